@@ -38,7 +38,7 @@ def split_sentences(x) -> Column:
 def join_sentences(arr) -> Column:
     """Join with one space and end with a period unless empty."""
     j = F.array_join(F.filter(_c(arr), lambda s: s != F.lit("")), " ")
-    return F.when((j == "") | j.endswith("."), j).otherwise(F.concat(j, F.lit(".")))
+    return F.regexp_replace(j, r"(?s)([^.])\z", "$1.")
 
 
 def render_value(x) -> Column:
@@ -116,6 +116,14 @@ def domain_from_path(x, rules=DOMAIN_RULES) -> tuple[Column, Column]:
     return dom, dif
 
 
+def materialize(df, keep: list[str], **named: Column):
+    """Evaluate ``named`` expressions once per row and expose them as plain
+    columns. A one-element ``inline`` is a Generate node, which projection
+    collapsing cannot see through; without it an array expression referenced
+    inside a lambda is re-evaluated for every element."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(k) for k, e in named.items()]))))
+
+
 def finalize(df):
     """Normalise output types for comparison: integers as BIGINT, floating
     values rounded to 6 digits."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ["q_construction"]
+MODULES = ["q_construction", "q_noise"]
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
