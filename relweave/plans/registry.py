@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ["q_construction", "q_noise"]
+MODULES = ["q_construction", "q_noise", "q_clean", "q_joins"]
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
