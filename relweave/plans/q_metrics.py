@@ -15,6 +15,7 @@ from relweave.functions.text import NULL_WORDS, finalize, is_number
 from relweave.operators.similarity import block_cosine, cosine_pairs, value_similarity
 from relweave.plans import common as C
 from relweave.plans.registry import query
+from relweave.session import cut_lineage
 
 # Method name, drop share, corrupt share, missing-database share, rank.
 METHODS = [("staged", 0.05, 0.10, 0.02, 0), ("tst", 0.10, 0.10, 0.05, 1), ("single_shot", 0.35, 0.15, 0.10, 2)]
@@ -36,6 +37,10 @@ def truth_items(spark, sf):
     return C.truth(spark, sf).select("entry_id", "attr", "row_id", "value")
 
 
+def truth_cached(spark, sf):
+    return cut_lineage(truth_items(spark, sf))
+
+
 def pred_cells(spark, sf):
     """(method, method_rank, entry_id, table_name, row_pos, id_val, column_name, value)."""
     t = truth_items(spark, sf)
@@ -85,9 +90,14 @@ def gt_pairs(truth):
 
 
 def all_pairs(spark, sf, pred=None):
-    pred = pred if pred is not None else pred_cells(spark, sf)
+    """Predicted cells, databases present and the (entry, domain, method) grid.
+
+    The predicted cells feed many branches of every metric plan; a reliable
+    checkpoint in the shared checkpoint folder turns them into one scan (short
+    plans, and no recomputation after an executor loss)."""
+    pred = cut_lineage(pred if pred is not None else pred_cells(spark, sf))
     dbs = pred.select("method", "entry_id").distinct()
-    ents = entry_domains(spark, sf)
+    ents = cut_lineage(entry_domains(spark, sf))
     ms = F.array(*[F.lit(n) for n, *_ in METHODS])
     grid = ents.select("entry_id", "domain", F.explode(ms).alias("method"))
     return pred, dbs, grid
@@ -101,7 +111,7 @@ def row_match(spark, sf):
     rows (H4 with C7's positional fallback)."""
     pred, dbs, grid = all_pairs(spark, sf)
     rows, cells = db_rows(pred), db_cells(pred)
-    it = truth_items(spark, sf).join(dbs, "entry_id")
+    it = truth_cached(spark, sf).join(dbs, "entry_id")
     ids = it.select("method", "entry_id", "row_id").distinct()
     ex = ids.join(rows, ["method", "entry_id"]).filter(F.col("id_val") == F.col("row_id")) \
         .select("method", "entry_id", "row_id", "row_pos")
@@ -147,7 +157,7 @@ def value_coverage(spark, sf):
     cells = db_cells(pred)
     blob = cells.groupBy("method", "entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("row_pos", "column_name", F.lower("value").alias("v")))), lambda x: x["v"]), " | ").alias("blob"))
-    gv = gt_values(truth_items(spark, sf))
+    gv = gt_values(truth_cached(spark, sf))
     j = grid.join(gv, "entry_id").join(blob, ["method", "entry_id"], "left")
     hit = F.when(F.col("blob").isNotNull() & (F.instr(F.col("blob"), F.lower("v")) > 0), 1).otherwise(0)
     agg = j.groupBy("method", "entry_id").agg(F.avg(hit.cast("double")).alias("vc"))
@@ -161,7 +171,7 @@ def tuple_coverage(spark, sf):
     the (method, entry) block."""
     pred, dbs, grid = all_pairs(spark, sf)
     cells = db_cells(pred)
-    gv = gt_values(truth_items(spark, sf)).join(dbs, "entry_id")
+    gv = gt_values(truth_cached(spark, sf)).join(dbs, "entry_id")
     bc = block_cosine(gv, cells, ["method", "entry_id"], "v", "value")
     best = bc.groupBy("method", "entry_id", F.col("l").alias("v")).agg(F.max("cos").alias("best"))
     j = gv.join(best, ["method", "entry_id", "v"], "left")
@@ -177,7 +187,7 @@ def column_consistency(spark, sf):
     name has cosine >= 0.5 with the attribute."""
     pred, dbs, grid = all_pairs(spark, sf)
     cells = db_cells(pred).select("method", "entry_id", F.lower("value").alias("lv"), "column_name").distinct()
-    gp = gt_pairs(truth_items(spark, sf)).join(dbs, "entry_id").withColumn("lq", F.lower("v"))
+    gp = gt_pairs(truth_cached(spark, sf)).join(dbs, "entry_id").withColumn("lq", F.lower("v"))
     keyed = gp.select("method", "entry_id", "attr", "lq").distinct()
     eq = keyed.join(cells, ["method", "entry_id"]).filter(F.col("lv") == F.col("lq"))
     rest = keyed.join(eq.select("method", "entry_id", "attr", "lq").distinct(),
