@@ -175,7 +175,10 @@ cells AS (SELECT 'staged' AS method, variant, entry_id, {tbl} AS table_name, row
 def _scores_sql() -> str:
     vlist = ", ".join(f"('{v}')" for v in VARIANTS)
     mlist = ", ".join(f"('{m}')" for m in METHODS)
-    typed = " OR ".join(f"(column_name = '{c}' AND TRY_CAST(value AS {t.upper()}) IS NULL)" for c, t in TYPED.items())
+    typed = " OR ".join(
+        f"(column_name = '{c}' AND (TRY_CAST(value AS {t.upper()}) IS NULL"
+        + (r" OR NOT regexp_matches(value, '^\s*[+-]?[0-9]+\s*$')" if t == "bigint" else "") + "))"
+        for c, t in TYPED.items())
     return f"""WITH t AS (SELECT entry_id, attr, row_id, value FROM ({C.TRUTH_SQL}) x),
 {_cells_sql()},
 grid AS (SELECT e.entry_id, v.variant, m.method FROM (SELECT DISTINCT entry_id FROM t) e
@@ -213,7 +216,8 @@ ok AS (SELECT cols.variant, cols.method, cols.entry_id, cols.attr, cols.lq FROM
 cc AS (SELECT gpm.variant, gpm.method, gpm.entry_id, avg(CASE WHEN ok.lq IS NOT NULL THEN 1.0 ELSE 0.0 END) AS cc
        FROM gpm LEFT JOIN ok USING (variant, method, entry_id, attr, lq) GROUP BY ALL),
 ch AS (SELECT variant, method, entry_id, TRY_CAST(value AS BIGINT) AS k FROM cells
-       WHERE table_name = 'customer' AND column_name = 'c_nationkey' AND TRY_CAST(value AS BIGINT) IS NOT NULL),
+       WHERE table_name = 'customer' AND column_name = 'c_nationkey' AND TRY_CAST(value AS BIGINT) IS NOT NULL
+         AND regexp_matches(value, '^\\s*[+-]?[0-9]+\\s*$')),
 pa AS (SELECT DISTINCT variant, method, entry_id, TRY_CAST(regexp_extract(value, '(\\d+)$', 1) AS BIGINT) AS k FROM cells
        WHERE table_name = 'nation' AND column_name = 'n_name'
          AND TRY_CAST(regexp_extract(value, '(\\d+)$', 1) AS BIGINT) IS NOT NULL),
