@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ["q_construction", "q_noise", "q_clean", "q_joins", "q_metrics", "q_reports", "q_sensitivity", "q_misc", "q_catalog", "q_load"]
+MODULES = ["q_construction", "q_noise", "q_clean", "q_joins", "q_metrics", "q_reports", "q_sensitivity", "q_misc", "q_catalog", "q_load", "q_parse", "q_extract"]
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
