@@ -52,11 +52,14 @@ def n_picked(n: Column, level: float) -> Column:
     return F.greatest(F.lit(1), F.bround(n.cast("double") * F.lit(float(level)), 0).cast("int"))
 
 
-def picked_flags(hashes: Column, level: float) -> Column:
-    """Boolean per sentence: among the ``k`` smallest hashes, or all if k >= n."""
+def picked_flags(hashes: Column, level: float, sorted_hashes: Column | None = None) -> Column:
+    """Boolean per sentence: among the ``k`` smallest hashes, or all if k >= n.
+    Picks are nested across levels (the k smallest for a growing k), so one
+    sorted copy of the hashes serves every level."""
     n = F.size(hashes)
     k = n_picked(n, level)
-    thr = F.when(n > 0, F.element_at(F.array_sort(hashes), F.least(k, n)))
+    srt = sorted_hashes if sorted_hashes is not None else F.array_sort(hashes)
+    thr = F.when(n > 0, F.element_at(srt, F.least(k, n)))
     return F.transform(hashes, lambda h: (k >= n) | (h <= thr))
 
 
@@ -111,14 +114,16 @@ def _swap(w: Column, h: Column) -> Column:
     return F.when(ae > 2, swapped).otherwise(w)
 
 
-def word_info(sents: Column, src: Column, tid: Column) -> Column:
+def word_info(sents: Column, src: Column, tid: Column, only: Column | None = None) -> Column:
     """Per sentence: its words and the three draws type 4 needs. Materialise
-    this once per text so the word split is not repeated per word."""
-    return F.transform(sents, lambda s, i: F.struct(
-        F.split(s, r"\s+").alias("words"),
-        _h("t4w", src, tid, i).alias("hw"),
-        _h("t4d", src, tid, i).alias("hd"),
-        _h("t4s", src, tid, i).alias("hs")))
+    this once per text so the word split is not repeated per word. With
+    ``only`` (a flag array, e.g. the picks of the highest level) the work is
+    done for flagged sentences alone; the others get NULL and are never read."""
+    def one(s, i):
+        info = F.struct(F.split(s, r"\s+").alias("words"), _h("t4w", src, tid, i).alias("hw"),
+                        _h("t4d", src, tid, i).alias("hd"), _h("t4s", src, tid, i).alias("hs"))
+        return info if only is None else F.when(F.get(only, i), info)
+    return F.transform(sents, one)
 
 
 def type4(sents: Column, picked: Column, info: Column) -> Column:

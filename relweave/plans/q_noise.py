@@ -24,9 +24,12 @@ def with_sentences(df):
     t = materialize(df, ["src", "id"], sents=split_sentences("text"))
     t = materialize(t, ["src", "id", "sents"],
                     hs=N.sentence_hashes(F.col("sents"), F.col("src"), F.col("id")))
-    named = {f"p_{name}": N.picked_flags(F.col("hs"), lvl) for name, lvl in N.LEVELS.items()}
-    named["info"] = N.word_info(F.col("sents"), F.col("src"), F.col("id"))
-    return materialize(t, ["src", "id", "sents"], **named)
+    t = materialize(t, ["src", "id", "sents", "hs"], srt=F.array_sort("hs"))
+    named = {f"p_{name}": N.picked_flags(F.col("hs"), lvl, F.col("srt")) for name, lvl in N.LEVELS.items()}
+    t = materialize(t, ["src", "id", "sents"], **named)
+    top = f"p_{max(N.LEVELS, key=N.LEVELS.get)}"
+    return materialize(t, ["src", "id", "sents", *[f"p_{n}" for n in N.LEVELS]],
+                       info=N.word_info(F.col("sents"), F.col("src"), F.col("id"), only=F.col(top)))
 
 
 def noisy_texts(spark, sf, kind: str):
