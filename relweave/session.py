@@ -7,7 +7,6 @@ happens in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ _REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# A session that names no checkpoint folder deletes its scratch files as they go out of use.
+_DEFAULTS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def build_session(master: str | None = None, app: str = "relweave",
@@ -31,7 +32,7 @@ def build_session(master: str | None = None, app: str = "relweave",
     if master:
         b = b.master(master)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    for k, v in _REQUIRED.items():
+    for k, v in {**_DEFAULTS, **_REQUIRED}.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -48,14 +49,19 @@ def build_session(master: str | None = None, app: str = "relweave",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object-store) folder there. Only when the
-    setting is absent -- local runs and tests -- is a scratch folder created.
+    A cluster names a shared (HDFS/object-store) folder there; without one a
+    cluster job is refused. Only a local session, as in tests, gets a scratch
+    folder of its own.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="relweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -64,8 +70,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of the executors that computed ``df``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint directory for intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
