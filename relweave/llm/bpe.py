@@ -17,6 +17,7 @@ import mmap
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -318,47 +319,48 @@ class Decoder:
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                      lexicon_size: int = 65_536, lexicon: bytes | None = None) -> DataFrame:
-    """(doc_id, ids array<int>, decoded) for every row: the ids of the whole text
+    """(doc_id, n_tokens, decoded, ids array<int>) for every row: the ids of the whole text
     and the text that decoding the ids gives.
 
     Special tokens written inside a text are taken as such, none are added. Null
     texts count as empty; empty texts have no ids. Repeated rows are encoded one
     by one; an empty table gives no rows; extra columns are ignored.
     """
-    return _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, False)
+    return _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, False, True)
 
 
 def token_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                  lexicon_size: int = 65_536, lexicon: bytes | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same ids and decoded
-    texts, made in the task that encodes them. Cases as in :func:`encode_documents`."""
-    return _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, True)
+                  lexicon_size: int = 65_536, lexicon: bytes | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of the same ids and
+    decoded texts, made in the task that encodes them. Cases as in
+    :func:`encode_documents`."""
+    return _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, True, with_ids)
 
 
-def _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, digests) -> DataFrame:
-    from hashlib import sha256
-
+def _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, digests, with_ids) -> DataFrame:
     docs = pick(df, id_col, text_col)
     spark: SparkSession = df.sparkSession
-    name = publish(spark, lexicon or build_lexicon(docs, path, pattern, lexicon_size), "lexicon")
+    file = publish(spark, lexicon or build_lexicon(docs, path, pattern, lexicon_size), "lexicon")
 
     def run(batches):
         v = vocabulary(path, pattern)
-        encoder, decoder = Encoder(v, _mapped(name)), Decoder(v)
+        encoder, decoder = Encoder(v, _mapped(file)), Decoder(v)
         numbers = [str(i) for i in range(len(v.pieces))]
         for b in slices(batches):
             ids, ends = encoder.encode(b.column("text").to_pylist())
             starts = np.concatenate([[0], ends[:-1]])
             each = [ids[a:z].tolist() for a, z in zip(starts.tolist(), ends.tolist())]
-            if not digests:
-                flat = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat, pa.array([decoder.decode(x) for x in each], pa.string())], ["doc_id", "ids", "decoded"])
-                continue
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array(ends - starts, pa.int64()),
-                pa.array([sha256(",".join([numbers[i] for i in x]).encode()).hexdigest() for x in each], pa.string()),
-                pa.array([sha256(decoder.decode(x).encode("utf-8")).hexdigest() for x in each], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
-                           else "doc_id long, ids array<int>, decoded string")
+            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(ends - starts, pa.int64())}
+            texts = map(decoder.decode, each)
+            if digests:
+                cols["ids_sha256"] = pa.array([sha256(",".join([numbers[i] for i in x]).encode()).hexdigest() for x in each], pa.string())
+                cols["decoded_sha256"] = pa.array([sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string())
+            else:
+                cols["decoded"] = pa.array(list(texts), pa.string())
+            if with_ids:
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_pydict({k: cols[k] for k in names})
+
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["decoded"]), *(["ids"] if with_ids else [])]
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
+    return docs.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names))

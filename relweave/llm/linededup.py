@@ -13,7 +13,6 @@ and the lines to drop always follow from the documents now in the table.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.llm.common import pick, slices
 from relweave.llm.cuckoo import CuckooFilter
@@ -178,11 +178,31 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     that state instead of from the given documents alone.
     """
     docs = pick(df, id_col, text_col)
+    return _rewritten(docs, _gone(docs, least, shards, filter_limit, index), least)
+
+
+def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, shards: int = 64,
+               filter_limit: int = 64 << 20) -> DataFrame:
+    """The rows with all their columns and ``text_col`` rewritten as in
+    :func:`dedup_lines`; rows that lost all their lines go."""
+    gone = _gone(pick(df, id_col, text_col), least, shards, filter_limit, None)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"),
+                       F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _rewritten(packed, gone, least).where("n_dropped < n_lines")
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"record.`{c}`") for c in df.columns])
+
+
+def _gone(docs: DataFrame, least: int, shards: int, filter_limit: int, index: LineIndex | None) -> DataFrame:
     drops = index.drops() if index is not None else _drops_of(docs, least, shards, filter_limit)
     # bounded by one document's own lines
-    per_doc = drops.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
+    return drops.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
+
+
+def _rewritten(docs: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """The rows of ``docs`` with n_lines, n_dropped and kept in place of text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     joined = (docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-              .join(per_doc, "doc", "left").select("doc_id", "text", "gone.k1", "gone.k2"))
+              .join(gone, "doc", "left").select(*others, "doc_id", "text", "gone.k1", "gone.k2"))
 
     def run(batches):
         for b in slices(batches):
@@ -192,16 +212,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 out = ls
                 if k1:
                     a = np.array([k1, k2], np.int64).T.tobytes()
-                    gone = {a[i:i + 16] for i in range(0, len(a), 16)}
-                    out = [x for x in ls if line_key(x, least) not in gone]
+                    drop = {a[i:i + 16] for i in range(0, len(a), 16)}
+                    out = [x for x in ls if line_key(x, least) not in drop]
                 lines.append(len(ls))
                 dropped.append(len(ls) - len(out))
                 kept.append("\n".join(out))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
-                                             ["doc_id", "n_lines", "n_dropped", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
-
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], b.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
+                                             [*others, "doc_id", "n_lines", "n_dropped", "kept"])
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+    schema = T.StructType([docs.schema[c] for c in others]).add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    return joined.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, langid, linededup, sharding, simhash, tokencount
+from relweave.llm import ann, bpe, chat, decontam, langid, linededup, quality, sharding, simhash, tokencount
 from relweave.llm.common import read
 
 
@@ -20,6 +20,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with item, edits and place."""
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def quality_field(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.LineField:
+    """The field fitted on labels of documents that aren't held out."""
+    labels = read(spark, sf_dir, "labels").where(_remainder(3) != 1).select("doc_id", "quality")
+    return quality.fit(docs, labels)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = read(spark, sf_dir, "documents")
+    out = quality.score(docs, quality_field(spark, sf_dir, docs))
+    return out.withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, by models of the documents that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -38,6 +56,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(rows.unionByName(extra)))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that a smaller document holds."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
@@ -49,5 +80,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_language_id, op5_bpe, op6_simhash, op9_line_dedup, op10_token_counts)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, from documents to token ids."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_bpe, op6_simhash,
+                                    op7_chat_format, op8_nearest, op9_line_dedup, op10_token_counts, pipeline)}
 ORACLE: dict[str, str] = {}
