@@ -1,15 +1,19 @@
 """String and vector similarity.
 
 Default text similarity: cosine of character 3-gram count vectors over
-``' ' || lower(s) || ' '``, computed as a sparse join on grams. Pairs without a
-common gram score 0, so the join is exact and blocks by itself. Strings are
-deduplicated before grams are built and pairs are deduplicated before they are
-scored, so a string pair is scored once however often it occurs.
+``' ' || lower(s) || ' '``. A string's grams, counts and norm are one struct
+(:func:`gram_struct`), and the cosine of two structs is an expression
+(:func:`gram_cosine`), so strings that are compared inside a bounded block (an
+entry, a paragraph, one schema) are scored inside the block's row: each distinct
+string gets its grams once, each distinct pair its cosine once, without joins
+on strings or grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relweave.functions.text import is_number
@@ -17,36 +21,60 @@ from relweave.functions.text import is_number
 N_GRAM = 3
 
 
-def gram_counts(strings: DataFrame, col: str = "s", n: int = N_GRAM) -> DataFrame:
-    """(s, gram, cnt) for distinct strings."""
-    src = strings.select(F.col(col).alias("_src"))
-    p = F.concat(F.lit(" "), F.lower(F.col("_src")), F.lit(" "))
-    pos = F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - n + 1)).otherwise(F.array().cast("array<int>"))
-    g = src.select(F.col("_src").alias("s"), F.explode(F.transform(pos, lambda i: F.substring(p, i, n))).alias("gram"))
-    return g.groupBy("s", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def gram_struct(s: Column, n: int = N_GRAM) -> Column:
+    """struct(k: distinct grams, c: gram -> count, norm) of one string."""
+    def grams(p):
+        pos = F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(pos, lambda i: F.substring(p, i, n))
+
+    def counted(g):
+        return let(F.array_distinct(g), lambda k: let(
+            F.transform(k, lambda x: (F.size(g) - F.size(F.array_remove(g, x))).cast("bigint")),
+            lambda c: F.struct(k.alias("k"), F.map_from_arrays(k, c).alias("c"),
+                               F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x * x)).alias("norm"))))
+
+    return let(F.concat(F.lit(" "), F.lower(s), F.lit(" ")), lambda p: let(grams(p), counted))
+
 
+def gram_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two gram structs; 0 for strings without grams."""
+    dot = F.aggregate(F.array_intersect(a["k"], b["k"]), F.lit(0).cast("bigint"),
+                      lambda s, k: s + F.element_at(a["c"], k) * F.element_at(b["c"], k))
+    return F.when((a["norm"] > 0) & (b["norm"] > 0), dot / (a["norm"] * b["norm"])).otherwise(0.0)
 
-def cosine_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Distinct (a, b) string pairs with their 3-gram cosine ``cos``."""
-    p = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    strs = p.select(F.col("a").alias("s")).union(p.select(F.col("b").alias("s"))).distinct()
-    g = gram_counts(strs)
-    norms = g.groupBy("s").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
-    ga = g.select(F.col("s").alias("a"), "gram", F.col("cnt").alias("ca"))
-    gb = g.select(F.col("s").alias("b"), "gram", F.col("cnt").alias("cb"))
-    dots = (p.join(ga, "a").join(gb, ["b", "gram"])
-            .groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot")))
-    na = norms.select(F.col("s").alias("a"), F.col("norm").alias("na"))
-    nb = norms.select(F.col("s").alias("b"), F.col("norm").alias("nb"))
-    out = p.join(dots, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left")
-    cos = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.coalesce(F.col("dot"), F.lit(0)) / (F.col("na") * F.col("nb")))
-    return out.select("a", "b", F.coalesce(cos, F.lit(0.0)).alias("cos"))
 
+def with_grams(strings: Column) -> Column:
+    """array<struct<s, g>> of the distinct strings of an array."""
+    return F.transform(F.array_distinct(strings), lambda s: F.struct(s.alias("s"), gram_struct(s).alias("g")))
 
-def with_cosine(df: DataFrame, a: str, b: str, out: str = "cos") -> DataFrame:
-    """Attach the cosine of columns ``a`` and ``b`` to every row of ``df``."""
-    scores = cosine_pairs(df, a, b).withColumnRenamed("a", a).withColumnRenamed("b", b).withColumnRenamed("cos", out)
-    return df.join(scores, [a, b], "left")
+
+def partners(left: Column, right: Column, least: float) -> Column:
+    """For arrays made by :func:`with_grams`: array<struct<s, near>>, each left
+    string with the right strings whose cosine is at least ``least``."""
+    return F.transform(left, lambda x: F.struct(x["s"].alias("s"), F.transform(
+        F.filter(right, lambda y: gram_cosine(x["g"], y["g"]) >= least), lambda y: y["s"]).alias("near")))
+
+
+def best_matches(left: Column, right: Column) -> Column:
+    """For arrays made by :func:`with_grams`: array<struct<s, best, best_match>>, the
+    nearest right string of each left one (ties: the larger string); a left
+    string without any right one has 0 and NULL."""
+    def one(x):
+        scored = F.transform(right, lambda y: F.struct(gram_cosine(x["g"], y["g"]).alias("cos"), y["s"].alias("s")))
+        return let(F.array_max(scored), lambda m: F.struct(
+            x["s"].alias("s"), F.coalesce(m["cos"], F.lit(0.0)).alias("best"), m["s"].alias("best_match")))
+    return F.transform(left, one)
+
+
+def counted(values: Column) -> Column:
+    """array<struct<v, n>>: distinct elements and how often each occurs."""
+    return let(values, lambda a: F.transform(F.array_distinct(a), lambda v: F.struct(
+        v.alias("v"), (F.size(a) - F.size(F.array_remove(a, v))).alias("n"))))
 
 
 def value_similarity(gt: Column, cell: Column, cos: Column) -> Column:
@@ -65,53 +93,10 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(0.0)
 
 
-def best_match(needles: DataFrame, hay: DataFrame, block: list[str], needle: str, cand: str) -> DataFrame:
-    """For each needle, the best-scoring haystack string inside its block
-    (H3, E12): ``best`` cosine and ``best_match`` string; 0.0 when the block
-    has no haystack."""
-    pairs = needles.select(*block, needle).distinct().join(hay.select(*block, cand).distinct(), block, "left")
-    scored = pairs.join(cosine_pairs(pairs.filter(F.col(cand).isNotNull()), needle, cand)
-                        .withColumnRenamed("a", needle).withColumnRenamed("b", cand), [needle, cand], "left")
-    return scored.groupBy(*block, needle).agg(
-        F.coalesce(F.max("cos"), F.lit(0.0)).alias("best"),
-        F.max_by(cand, F.struct(F.coalesce(F.col("cos"), F.lit(-1.0)), F.col(cand))).alias("best_match"))
-
-
-def block_cosine(left: DataFrame, right: DataFrame, block: list[str], lcol: str, rcol: str) -> DataFrame:
-    """Cosine of every (left string, right string) pair inside a block that
-    shares at least one gram -- the only pairs that can score above 0. Grams
-    are built per distinct (block, string); no pair without a common gram is
-    ever emitted. Returns (block..., l, r, cos)."""
-    def side(df, col, name):
-        d = df.select(*block, F.col(col).alias(name)).distinct()
-        g = gram_counts(d.select(F.col(name).alias("s")).distinct())
-        gs = d.join(g.withColumnRenamed("s", name), name)
-        nrm = g.groupBy("s").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias(f"n_{name}"))
-        return gs.withColumnRenamed("cnt", f"c_{name}"), nrm.withColumnRenamed("s", name)
-    gl, nl = side(left, lcol, "l")
-    gr, nr = side(right, rcol, "r")
-    dots = gl.join(gr, block + ["gram"]).groupBy(*block, "l", "r").agg(
-        F.sum(F.col("c_l") * F.col("c_r")).alias("dot"))
-    out = dots.join(nl, "l").join(nr, "r")
-    return out.select(*block, "l", "r", (F.col("dot") / (F.col("n_l") * F.col("n_r"))).alias("cos"))
-
-
-def near_duplicates(items: DataFrame, block: list[str], pos: str, text: str, threshold: float) -> DataFrame:
-    """H5/H6: item j is removed when any earlier item i (i < j) in the same
-    block has cosine > threshold, even if i itself is removed. Candidate pairs
-    come from a gram join inside the block, so only pairs sharing a gram are
-    formed; the result is exact. Returns the kept items."""
-    it = items.select(*block, pos, F.col(text).alias("_t"))
-    g = gram_counts(it.select(F.col("_t").alias("s")).distinct())
-    ig = it.join(g.withColumnRenamed("s", "_t"), "_t")
-    nrm = g.groupBy("s").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("nrm"))
-    a = ig.select(*block, F.col(pos).alias("pi"), "gram", F.col("cnt").alias("ci"))
-    b = ig.select(*block, F.col(pos).alias("pj"), "gram", F.col("cnt").alias("cj"))
-    dots = (a.join(b, block + ["gram"]).filter(F.col("pi") < F.col("pj"))
-            .groupBy(*block, "pi", "pj").agg(F.sum(F.col("ci") * F.col("cj")).alias("dot")))
-    ti = it.join(nrm.withColumnRenamed("s", "_t"), "_t").select(*block, F.col(pos).alias("pi"), F.col("nrm").alias("ni"))
-    tj = it.join(nrm.withColumnRenamed("s", "_t"), "_t").select(*block, F.col(pos).alias("pj"), F.col("nrm").alias("nj"))
-    sc = dots.join(ti, block + ["pi"]).join(tj, block + ["pj"])
-    dropped = (sc.filter(F.col("dot") / (F.col("ni") * F.col("nj")) > threshold)
-               .select(*block, F.col("pj").alias(pos)).distinct())
-    return items.join(dropped, block + [pos], "left_anti")
+def near_duplicates(texts: Column, threshold: float) -> Column:
+    """H5/H6: positions (0-based) of an array that stay. Item j goes when any
+    earlier item i (i < j) has cosine > threshold, even if i itself goes."""
+    g = F.transform(texts, gram_struct)
+    return let(g, lambda gs: F.filter(F.sequence(F.lit(0), F.size(gs) - 1), lambda j: ~F.exists(
+        F.slice(gs, F.lit(1), j), lambda x: gram_cosine(x, F.get(gs, j)) > threshold)))
+

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relweave.functions.text import finalize, split_lines, split_sentences
 from relweave.operators.extract import rule_extract, table_of
 from relweave.operators.joins import union_results
-from relweave.operators.similarity import block_cosine, near_duplicates, vector_cosine
+from relweave.operators.similarity import best_matches, gram_cosine, gram_struct, let, near_duplicates, vector_cosine, with_grams
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.q_catalog import CATALOG_SQL, catalog

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relweave.functions.text import NULL_WORDS, finalize, is_number
-from relweave.operators.similarity import block_cosine, cosine_pairs, value_similarity
+from relweave.functions.text import finalize, is_number, materialize
+from relweave.operators import coverage as V
+from relweave.operators.coverage import CC_T, COLUMN_T, TC_T, VALUE_T
+from relweave.operators.similarity import best_matches, gram_cosine, let, with_grams
 from relweave.plans import common as C
 from relweave.plans.registry import query
-from relweave.session import cut_lineage
 
 # Method name, drop share, corrupt share, missing-database share, rank.
 METHODS = [("staged", 0.05, 0.10, 0.02, 0), ("tst", 0.10, 0.10, 0.05, 1), ("single_shot", 0.35, 0.15, 0.10, 2)]
 PREFIX_TABLE = {"c_": "customer", "n_": "nation", "r_": "region"}
-VALUE_T, COLUMN_T, TC_T, CC_T = 0.8, 0.5, 0.7, 0.5
 
 
 def hunit(*parts):
@@ -37,10 +37,6 @@ def truth_items(spark, sf):
     return C.truth(spark, sf).select("entry_id", "attr", "row_id", "value")
 
 
-def truth_cached(spark, sf):
-    return cut_lineage(truth_items(spark, sf))
-
-
 def pred_cells(spark, sf):
     """(method, method_rank, entry_id, table_name, row_pos, id_val, column_name, value)."""
     t = truth_items(spark, sf)
@@ -59,48 +55,42 @@ def pred_cells(spark, sf):
                     (rid - 1).alias("row_pos"),
                     F.when(hunit(F.lit("rid"), F.col("method"), F.col("entry_id"), F.col("row_id")) < 0.1,
                            (rid + 10).cast("string")).otherwise(F.col("row_id")).alias("id_val"),
-                    F.when(F.col("method") == "tst", F.substring("attr", 3, 1 << 20)).otherwise(F.col("attr"))
+                    F.when(F.col("method") == "tst", F.expr("substring(attr, 3)")).otherwise(F.col("attr"))
                     .alias("column_name"),
                     F.when(u < F.col("drop") + F.col("alter"), F.reverse("value")).otherwise(F.col("value"))
                     .alias("value")))
 
 
-def db_rows(pred):
-    return pred.select("method", "entry_id", "row_pos", "id_val").distinct()
-
-
-def db_cells(pred):
-    """All cells of each predicted database, the row id column included."""
-    ids = db_rows(pred).select("method", "entry_id", "row_pos", F.lit("id").alias("column_name"),
-                               F.col("id_val").alias("value"))
-    return pred.select("method", "entry_id", "row_pos", "column_name", "value").unionByName(ids)
+CELL = "array<struct<method:string,row_pos:int,id_val:string,column_name:string,value:string>>"
 
 
-def gt_values(truth):
-    """Truth values flattened with row ids included (B12, Q11); empty and
-    none/null/na dropped."""
-    v = truth.select("entry_id", F.explode(F.array("row_id", "value")).alias("v"))
-    return v.filter((F.col("v") != "") & ~F.lower("v").isin(*NULL_WORDS))
+def entry_frame(spark, sf):
+    """One row per entry: domain, truth and the predicted cells of all methods.
+    All three are grouped by the entry, so they meet without a further shuffle."""
+    truth = truth_items(spark, sf).groupBy("entry_id").agg(F.collect_list(F.struct("attr", "row_id", "value")).alias("truth"))
+    cells = pred_cells(spark, sf).groupBy("entry_id").agg(
+        F.collect_list(F.struct("method", "row_pos", "id_val", "column_name", "value")).alias("pred"))
+    return (entry_domains(spark, sf).join(truth, "entry_id", "left").join(cells, "entry_id", "left")
+            .select("entry_id", "domain", F.coalesce("truth", F.array().cast("array<struct<attr:string,row_id:string,value:string>>")).alias("truth"),
+                    F.coalesce("pred", F.array().cast(CELL)).alias("pred")))
 
 
-def gt_pairs(truth):
-    """(attr, value) pairs with ids, as the column-consistency walk yields them."""
-    v = truth.select("entry_id", "attr", F.explode(F.array("row_id", "value")).alias("v"))
-    return v.filter((F.col("v") != "") & ~F.lower("v").isin(*NULL_WORDS))
+def _databases(pred):
+    """array<struct<method, cells>>: each method's cells, its id column included."""
+    def one(name):
+        mine = F.filter(pred, lambda c: c["method"] == name)
+        return F.struct(F.lit(name).alias("method"), V.with_id_cells(mine, lambda c: c["id_val"]).alias("cells"))
+    return F.array(*[one(n) for n, *_ in METHODS])
 
 
-def all_pairs(spark, sf, pred=None):
-    """Predicted cells, databases present and the (entry, domain, method) grid.
-
-    The predicted cells feed many branches of every metric plan; a reliable
-    checkpoint in the shared checkpoint folder turns them into one scan (short
-    plans, and no recomputation after an executor loss)."""
-    pred = cut_lineage(pred if pred is not None else pred_cells(spark, sf))
-    dbs = pred.select("method", "entry_id").distinct()
-    ents = cut_lineage(entry_domains(spark, sf))
-    ms = F.array(*[F.lit(n) for n, *_ in METHODS])
-    grid = ents.select("entry_id", "domain", F.explode(ms).alias("method"))
-    return pred, dbs, grid
+def scored(spark, sf, score, targets):
+    """(method, entry_id, domain, score): ``targets`` once per entry from its truth
+    and all its cells, ``score`` for each of its databases."""
+    e = materialize(entry_frame(spark, sf), ["entry_id", "domain", "truth"], dbs=_databases(F.col("pred")))
+    e = materialize(e, ["entry_id", "domain", "dbs"], targets=targets(F.col("truth"), F.flatten(F.transform("dbs", lambda d: d["cells"]))))
+    per = F.transform("dbs", lambda d: F.struct(d["method"].alias("method"), F.when(
+        F.size(d["cells"]) > 0, score(F.col("targets"), d["cells"])).otherwise(0.0).alias("score")))
+    return e.select("entry_id", "domain", F.inline(per))
 
 
 # ------------------------------------------------------------------ C7 + H4
@@ -109,120 +99,100 @@ def row_match(spark, sf):
     """Per (method, entry): avg_row_accuracy, match_accuracy,
     match_in_right_column_accuracy; -1 for all three when the database has no
     rows (H4 with C7's positional fallback)."""
-    pred, dbs, grid = all_pairs(spark, sf)
-    rows, cells = db_rows(pred), db_cells(pred)
-    it = truth_cached(spark, sf).join(dbs, "entry_id")
-    ids = it.select("method", "entry_id", "row_id").distinct()
-    ex = ids.join(rows, ["method", "entry_id"]).filter(F.col("id_val") == F.col("row_id")) \
-        .select("method", "entry_id", "row_id", "row_pos")
-    rest = ids.join(ex.select("method", "entry_id", "row_id").distinct(), ["method", "entry_id", "row_id"], "left_anti")
-    start = F.col("row_id").cast("int") - 1
-    fb = (rest.withColumn("_m", F.pmod(start, F.lit(5)))
-          .join(rows.withColumn("_m", F.pmod(F.col("row_pos"), F.lit(5))), ["method", "entry_id", "_m"])
-          .filter(F.col("row_pos") >= start).select("method", "entry_id", "row_id", "row_pos"))
-    cand = ex.unionByName(fb)
-    pairs = (it.join(cand, ["method", "entry_id", "row_id"])
-             .join(cells.withColumnRenamed("value", "cell"), ["method", "entry_id", "row_pos"]))
-    vcos = cosine_pairs(pairs, "value", "cell").withColumnRenamed("a", "value").withColumnRenamed("b", "cell") \
-        .withColumnRenamed("cos", "vcos")
-    ccos = cosine_pairs(pairs, "attr", "column_name").withColumnRenamed("a", "attr") \
-        .withColumnRenamed("b", "column_name").withColumnRenamed("cos", "ccos")
-    sc = pairs.join(vcos, ["value", "cell"], "left").join(ccos, ["attr", "column_name"], "left")
-    hit = value_similarity(F.col("value"), F.col("cell"), F.col("vcos")) >= VALUE_T
-    colok = (F.col("ccos") + 1.0) / 2.0 >= COLUMN_T
-    per_item = sc.groupBy("method", "entry_id", "attr", "row_id").agg(
-        F.max(hit.cast("int")).alias("hit"), F.max((hit & colok).cast("int")).alias("col_hit"))
-    found = cand.select("method", "entry_id", "row_id").distinct().withColumn("found", F.lit(1))
-    items = (it.join(per_item, ["method", "entry_id", "attr", "row_id"], "left")
-             .join(found, ["method", "entry_id", "row_id"], "left").na.fill(0, ["hit", "col_hit", "found"]))
-    per_attr = items.groupBy("method", "entry_id", "attr").agg(
-        (F.sum("found") / F.count_distinct("row_id")).alias("row_acc"),
-        F.sum("hit").alias("hits"), F.sum("col_hit").alias("col_hits"), F.count(F.lit(1)).alias("n"))
-    per_entry = per_attr.groupBy("method", "entry_id").agg(
-        F.avg("row_acc").alias("avg_row_accuracy"),
-        (F.sum("hits") / F.sum("n")).alias("match_accuracy"),
-        (F.sum("col_hits") / F.sum("n")).alias("match_in_right_column_accuracy"))
-    out = grid.join(per_entry, ["method", "entry_id"], "left")
-    return out.select("method", "entry_id", "domain",
-                      *[F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in
-                        ("avg_row_accuracy", "match_accuracy", "match_in_right_column_accuracy")])
+    e = materialize(entry_frame(spark, sf), ["entry_id", "domain", "truth"], dbs=_databases(F.col("pred")))
+    cells = F.flatten(F.transform("dbs", lambda d: d["cells"]))
+    e = materialize(e, ["entry_id", "domain", "truth", "dbs"],
+                    tv=_typed(F.transform("truth", lambda t: t["value"])), cv=_typed(F.transform(cells, lambda c: c["value"])),
+                    ta=with_grams(F.transform("truth", lambda t: t["attr"])), cc=with_grams(F.transform(cells, lambda c: c["column_name"])))
+    # each distinct pair of an entry is scored once, for all methods
+    e = materialize(e, ["entry_id", "domain", "dbs", "truth"],
+                    same=F.transform("tv", lambda x: F.struct(x["s"].alias("s"), F.transform(F.filter("cv", lambda y: _same_value(x, y)), lambda y: y["s"]).alias("near"))),
+                    cols=F.transform("ta", lambda x: F.struct(x["s"].alias("s"), F.transform(
+                        F.filter("cc", lambda y: (gram_cosine(x["g"], y["g"]) + 1.0) / 2.0 >= COLUMN_T), lambda y: y["s"]).alias("near"))))
+    near = lambda m, s: F.get(F.filter(m, lambda x: x["s"] == s), F.lit(0))["near"]
+    e = materialize(e, ["entry_id", "domain", "dbs"], items=F.transform("truth", lambda t: F.struct(
+        t["attr"].alias("attr"), t["row_id"].alias("row_id"), near(F.col("same"), t["value"]).alias("values"), near(F.col("cols"), t["attr"]).alias("columns"))))
+    m = e.select("entry_id", "domain", "items", F.inline("dbs"))
+    flags = F.transform("items", lambda t: let(_row_cells(F.col("cells"), t["row_id"]), lambda cs: let(
+        F.filter(cs, lambda c: F.array_contains(t["values"], c["value"])), lambda hits: F.struct(
+            t["attr"].alias("attr"), t["row_id"].alias("row_id"), (F.size(cs) > 0).cast("int").alias("found"), (F.size(hits) > 0).cast("int").alias("hit"),
+            F.exists(hits, lambda c: F.array_contains(t["columns"], c["column_name"])).cast("int").alias("col_hit")))))
+    m = materialize(m, ["entry_id", "domain", "method", "cells"], flags=flags)
+    total = lambda a, f: F.aggregate(a, F.lit(0), lambda s, x: s + x[f])
+
+    def row_accuracy(attr):
+        return let(F.filter("flags", lambda x: x["attr"] == attr), lambda mine: total(mine, "found").cast("double")
+                   / F.size(F.array_distinct(F.transform(mine, lambda x: x["row_id"]))))
+
+    attrs = F.array_distinct(F.transform("flags", lambda x: x["attr"]))
+    has = (F.size("cells") > 0) & (F.size("flags") > 0)
+    share = lambda f: F.when(has, total(F.col("flags"), f).cast("double") / F.size("flags")).otherwise(-1.0)
+    mean = let(F.transform(attrs, row_accuracy), lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+    return m.select("method", "entry_id", "domain", F.when(has, mean).otherwise(-1.0).alias("avg_row_accuracy"),
+                    share("hit").alias("match_accuracy"), share("col_hit").alias("match_in_right_column_accuracy"))
+
+
+def _typed(strings):
+    """Distinct strings with grams and the number they may be."""
+    return F.transform(with_grams(strings), lambda x: F.struct(x["s"].alias("s"), x["g"].alias("g"), is_number(x["s"]).alias("number")))
+
+
+def _same_value(t, c):
+    """H1 at the value threshold: numeric truth needs a numeric cell within 0.01."""
+    close = F.coalesce(F.abs(t["number"] - c["number"]) < 0.01, F.lit(False))
+    return F.when(t["number"].isNotNull(), close).otherwise((gram_cosine(t["g"], c["g"]) + 1.0) / 2.0 >= VALUE_T)
+
+
+def _row_cells(cells, row_id):
+    """Cells of the rows whose id cell equals the truth's row id, else of the rows
+    at its position and every fifth after it (C7)."""
+    start = row_id.cast("int") - 1
+    by_id = F.transform(F.filter(cells, lambda c: (c["column_name"] == "id") & (c["value"] == row_id)), lambda c: c["row_pos"])
+    return let(by_id, lambda ids: F.when(F.size(ids) > 0, F.filter(cells, lambda c: F.array_contains(ids, c["row_pos"])))
+               .otherwise(F.filter(cells, lambda c: (c["row_pos"] >= start) & (F.pmod(c["row_pos"] - start, F.lit(5)) == 0))))
 
 
 # ------------------------------------------------------------------ D14-D16
 
+def _value_targets(truth, cells):
+    return V.value_targets(truth, F.transform(cells, lambda c: c["value"]))
+
+
 def value_coverage(spark, sf):
     """VC (D15): share of truth values contained in the lower-cased cells of
     the entry's database joined by `` | ``; 0 when either side is empty."""
-    pred, dbs, grid = all_pairs(spark, sf)
-    cells = db_cells(pred)
-    blob = cells.groupBy("method", "entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("row_pos", "column_name", F.lower("value").alias("v")))), lambda x: x["v"]), " | ").alias("blob"))
-    gv = gt_values(truth_cached(spark, sf))
-    j = grid.join(gv, "entry_id").join(blob, ["method", "entry_id"], "left")
-    hit = F.when(F.col("blob").isNotNull() & (F.instr(F.col("blob"), F.lower("v")) > 0), 1).otherwise(0)
-    agg = j.groupBy("method", "entry_id").agg(F.avg(hit.cast("double")).alias("vc"))
-    return grid.join(agg, ["method", "entry_id"], "left").select(
-        "method", "entry_id", "domain", F.coalesce("vc", F.lit(0.0)).alias("vc"))
+    plain = lambda truth, cells: F.transform(V.counted(V.truth_values(truth)), lambda c: F.struct(c["v"].alias("v"), c["n"].alias("n")))
+    return scored(spark, sf, V.value_coverage, plain).withColumnRenamed("score", "vc")
 
 
 def tuple_coverage(spark, sf):
     """TC (D14): share of truth values whose best cosine against the distinct
-    cells of the entry's database is >= 0.7; pairs come from a gram join inside
-    the (method, entry) block."""
-    pred, dbs, grid = all_pairs(spark, sf)
-    cells = db_cells(pred)
-    gv = gt_values(truth_cached(spark, sf)).join(dbs, "entry_id")
-    bc = block_cosine(gv, cells, ["method", "entry_id"], "v", "value")
-    best = bc.groupBy("method", "entry_id", F.col("l").alias("v")).agg(F.max("cos").alias("best"))
-    j = gv.join(best, ["method", "entry_id", "v"], "left")
-    agg = j.groupBy("method", "entry_id").agg(
-        F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= TC_T, 1.0).otherwise(0.0)).alias("tc"))
-    return grid.join(agg, ["method", "entry_id"], "left").select(
-        "method", "entry_id", "domain", F.coalesce("tc", F.lit(0.0)).alias("tc"))
+    cells of the entry's database is >= 0.7."""
+    return scored(spark, sf, V.tuple_coverage, _value_targets).withColumnRenamed("score", "tc")
 
 
 def column_consistency(spark, sf):
     """CC (D16): share of (attr, value) pairs for which the cells equal to the
     value -- else containing it or contained in it -- sit in a column whose
     name has cosine >= 0.5 with the attribute."""
-    pred, dbs, grid = all_pairs(spark, sf)
-    cells = db_cells(pred).select("method", "entry_id", F.lower("value").alias("lv"), "column_name").distinct()
-    gp = gt_pairs(truth_cached(spark, sf)).join(dbs, "entry_id").withColumn("lq", F.lower("v"))
-    keyed = gp.select("method", "entry_id", "attr", "lq").distinct()
-    eq = keyed.join(cells, ["method", "entry_id"]).filter(F.col("lv") == F.col("lq"))
-    rest = keyed.join(eq.select("method", "entry_id", "attr", "lq").distinct(),
-                      ["method", "entry_id", "attr", "lq"], "left_anti")
-    cont = rest.join(cells, ["method", "entry_id"]).filter(
-        (F.instr("lv", F.col("lq")) > 0) | (F.instr("lq", F.col("lv")) > 0))
-    cols = eq.unionByName(cont).select("method", "entry_id", "attr", "lq", "column_name")
-    cs = cosine_pairs(cols, "attr", "column_name").withColumnRenamed("a", "attr").withColumnRenamed("b", "column_name")
-    ok = (cols.join(cs, ["attr", "column_name"]).groupBy("method", "entry_id", "attr", "lq")
-          .agg(F.max("cos").alias("best")).filter(F.col("best") >= CC_T).withColumn("ok", F.lit(1)))
-    j = gp.join(ok.select("method", "entry_id", "attr", "lq", "ok"), ["method", "entry_id", "attr", "lq"], "left")
-    agg = j.groupBy("method", "entry_id").agg(F.avg(F.coalesce("ok", F.lit(0)).cast("double")).alias("cc"))
-    return grid.join(agg, ["method", "entry_id"], "left").select(
-        "method", "entry_id", "domain", F.coalesce("cc", F.lit(0.0)).alias("cc"))
+    targets = lambda truth, cells: V.column_targets(truth, F.transform(cells, lambda c: c["column_name"]))
+    return scored(spark, sf, V.column_consistency, targets).withColumnRenamed("score", "cc")
 
 
 def entity_coverage(spark, sf):
     """D9 per (method, domain): for every truth attribute without ``id`` in its
     name, the best cosine against the predicted column names (``table_col``
     and ``col``); the sum over all attributes x 100."""
-    pred = pred_cells(spark, sf)
     dom = entry_domains(spark, sf)
-    attrs = truth_items(spark, sf).join(dom, "entry_id").select("domain", "attr").distinct()
-    cols = pred.join(dom, "entry_id").select("method", "domain", "table_name", "column_name").distinct()
-    names = cols.select("method", "domain", F.concat_ws("_", "table_name", "column_name").alias("name")) \
-        .unionByName(cols.select("method", "domain", F.col("column_name").alias("name"))).distinct()
-    md = cols.select("method", "domain").distinct()
-    cand = attrs.filter(~F.lower("attr").contains("id")).join(md, "domain")
-    bc = block_cosine(cand, names, ["method", "domain"], "attr", "name")
-    best = bc.groupBy("method", "domain", F.col("l").alias("attr")).agg(F.max("cos").alias("best"))
-    scored = cand.join(best, ["method", "domain", "attr"], "left")
-    num = scored.groupBy("method", "domain").agg(F.sum(F.coalesce("best", F.lit(0.0))).alias("s"))
-    den = attrs.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    return md.join(num, ["method", "domain"], "left").join(den, "domain").select(
-        "method", "domain", (F.coalesce("s", F.lit(0.0)) / F.col("n") * 100.0).alias("entity_coverage"))
+    attrs = truth_items(spark, sf).join(dom, "entry_id").groupBy("domain").agg(F.collect_set("attr").alias("attrs"))
+    # a schema's names: bounded by its columns
+    names = pred_cells(spark, sf).join(dom, "entry_id").groupBy("method", "domain").agg(
+        F.collect_set(F.struct("table_name", "column_name")).alias("cols"))
+    j = names.join(attrs, "domain")
+    both = F.flatten(F.transform("cols", lambda c: F.array(F.concat_ws("_", c["table_name"], c["column_name"]), c["column_name"])))
+    asked = F.filter("attrs", lambda a: ~F.lower(a).contains("id"))
+    best = best_matches(with_grams(asked), with_grams(both))
+    return j.select("method", "domain", (F.aggregate(best, F.lit(0.0), lambda s, x: s + x["best"]) / F.size("attrs") * 100.0).alias("entity_coverage"))
 
 
 # ------------------------------------------------------------------ oracle SQL

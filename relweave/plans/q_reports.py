@@ -10,15 +10,14 @@ from relweave.functions.text import finalize
 from relweave.operators.joins import common_keys
 from relweave.plans import q_metrics as M
 from relweave.plans.registry import query
-from relweave.session import cut_lineage
 
 SCORES = ["avg_row_accuracy", "match_accuracy", "match_in_right_column_accuracy"]
 METHOD_NAMES = [m[0] for m in M.METHODS]
 
 
 def metric_rows(spark, sf):
-    """Row-match scores per (method, entry, domain), materialised once."""
-    return cut_lineage(M.row_match(spark, sf))
+    """Row-match scores per (method, entry, domain)."""
+    return M.row_match(spark, sf)
 
 
 def domain_rollup(rm, restrict_ok: bool = False):
@@ -83,11 +82,13 @@ def pct_correct(spark, sf):
     """% correct databases (D21): correct count summed over domains divided by
     (entries per domain x number of domains), x 100, two digits."""
     rm = metric_rows(spark, sf)
-    per = rm.groupBy("method").agg(F.count(F.when(F.col("match_accuracy") != 0, 1)).alias("c"))
-    # The divisor is a one-row aggregate, read as two scalars.
-    d, nd = rm.agg((F.count(F.lit(1)) / F.count_distinct("domain") / float(len(METHOD_NAMES))).alias("d"),
-                   F.count_distinct("domain").alias("nd")).first()
-    return finalize(per.select("method", F.round(F.col("c") / F.lit(d * nd) * 100.0, 2).alias("pct_correct")))
+    # One row per (method, domain); the domains' divisor is the same for every
+    # method, so it comes from one aggregate over these few rows.
+    per = rm.groupBy("method", "domain").agg(F.count(F.when(F.col("match_accuracy") != 0, 1)).alias("c"), F.count(F.lit(1)).alias("n"))
+    per_method = per.groupBy("method").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    every = per.agg(F.sum("n").alias("all"), F.count_distinct("domain").alias("nd"))
+    share = F.col("c") / (F.col("all") / F.col("nd") / float(len(METHOD_NAMES)) * F.col("nd")) * 100.0
+    return finalize(per_method.join(every, F.lit(True)).select("method", F.round(share, 2).alias("pct_correct")))
 
 
 @query("null_share_integrity", f"""WITH {M.BASE_SQL},
@@ -101,12 +102,13 @@ def null_share_integrity(spark, sf):
     """Referential-integrity score as non-null share (D6): per joined row the
     share of present cells over the method's column count, mean per database
     (0 without rows), summed and divided by all entries."""
-    pred, dbs, grid = M.all_pairs(spark, sf)
-    cells = M.db_cells(pred)
-    width = cells.groupBy("method").agg(F.count_distinct("column_name").alias("w"))
-    rs = cells.groupBy("method", "entry_id", "row_pos").agg(F.count(F.lit(1)).alias("k")) \
+    cells = M.pred_cells(spark, sf)
+    # the id column counts as a column, and as a cell of every row
+    width = cells.groupBy("method").agg((F.count_distinct("column_name") + 1).alias("w"))
+    rs = cells.groupBy("method", "entry_id", "row_pos").agg((F.count(F.lit(1)) + 1).alias("k")) \
         .join(width, "method").withColumn("share", F.col("k") / F.col("w"))
     pe = rs.groupBy("method", "entry_id").agg(F.avg("share").alias("s"))
+    grid = M.entry_domains(spark, sf).select("entry_id", F.explode(F.array(*[F.lit(m) for m in METHOD_NAMES])).alias("method"))
     j = grid.join(pe, ["method", "entry_id"], "left")
     return finalize(j.groupBy("method").agg(
         (F.sum(F.coalesce("s", F.lit(0.0))) / F.count(F.lit(1))).alias("null_share_integrity"),
@@ -153,8 +155,7 @@ def ensemble_union(spark, sf):
     """Ensembles (E6, F2): per database, the first 15 rows of each member
     method concatenated in method order; positions are renumbered within the
     (combo, entry) group, which holds at most 15 x members rows."""
-    pred, _, _ = M.all_pairs(spark, sf)
-    rk = pred.select("method", "method_rank", "entry_id", "row_pos", "id_val").distinct()
+    rk = M.pred_cells(spark, sf).select("method", "method_rank", "entry_id", "row_pos", "id_val").distinct()
     capped = rk.withColumn("_r", F.row_number().over(Window.partitionBy("method", "entry_id").orderBy("row_pos"))) \
         .filter(F.col("_r") <= ENS_CAP).drop("_r")
     combos = F.array(*[F.struct(F.lit(c).alias("combo"), F.array(*[F.lit(m) for m in ms]).alias("members"))

@@ -6,135 +6,141 @@ methods, and every database is scored against the frozen ground truth:
 TC tuple coverage, VC value coverage, CC column consistency, RI referential
 integrity and EX load validity, averaged per (variant, method).
 
-Everything is one lazy plan: the sentence split is done once per entry, all 13
-variants come from the same arrays, and the scoring joins are blocked on
-(variant, method, entry).
+An entry is one bounded row from text to scores: its variants, facts, databases
+and truth are arrays of that row, strings are compared once per entry for all 39
+databases, and only the five scores leave the row.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relweave.functions import noise as N
-from relweave.functions.text import NULL_WORDS, finalize, materialize
-from relweave.operators.joins import union_results
-from relweave.operators.similarity import block_cosine, cosine_pairs
+from relweave.functions.text import finalize, materialize
+from relweave.operators import coverage as V
+from relweave.operators.similarity import let
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.q_noise import _BASE, _noisy_rows, with_sentences
 from relweave.plans.registry import query
-from relweave.session import cut_lineage
 
 METHODS = ["staged", "tst", "single_shot"]
 VARIANTS = ["clean"] + [f"{k}_{lv}" for k in N.TYPES for lv in N.LEVELS]
 TYPED = {"c_nationkey": "bigint", "c_acctbal": "double"}
+#: Foreign keys that a method's schema declares: (table, column, parent table, parent column).
+FKS = {"staged": [("customer", "c_nationkey", "nation", "n_name")], "tst": [("customer", "c_nationkey", "nation", "n_name")],
+       "single_shot": []}
+METRICS = ["tc", "vc", "cc", "ri", "ex"]
 
 
-def variant_sentences(spark, sf):
-    """(entry_id, variant, sents) for the clean text and the 12 noisy ones."""
+def _facts(sents):
+    """array<struct<row_pos, attr, value>>: every ``attr is value`` item of the sentences."""
+    def items(s, i):
+        found = F.filter(F.split(F.regexp_replace(s, r"\.$", ""), ", "), lambda x: F.instr(x, " is ") > 0)
+        return F.transform(found, lambda x: F.struct(
+            i.alias("row_pos"), F.substr(x, F.lit(1), F.instr(x, " is ") - 1).alias("attr"), F.substr(x, F.instr(x, " is ") + 4).alias("value")))
+    return F.flatten(F.transform(sents, items))
+
+
+def _table(attr):
+    tbl = F.lit(None).cast("string")
+    for p, tn in M.PREFIX_TABLE.items():
+        tbl = F.when(attr.startswith(p), F.lit(tn)).otherwise(tbl)
+    return tbl
+
+
+def _untyped(column, value):
+    """Whether a cell of a typed column fails its type."""
+    bad = F.lit(False)
+    for c, t in TYPED.items():
+        bad = bad | ((column == c) & value.try_cast(t).isNull())
+    return bad
+
+
+def _databases(facts):
+    """Each method's cells from its own reading of the facts. staged: every fact,
+    table from the attribute prefix; tst: facts bound to the catalog whose values
+    fit their columns' types; single_shot: one wide table whose values stop at
+    the first period."""
+    staged = F.filter(facts, lambda f: _table(f["attr"]).isNotNull())
+    bound = F.filter(staged, lambda f: f["attr"].isin(*C.CUST_COLS) & ~_untyped(f["attr"], f["value"]))
+    wide = F.transform(facts, lambda f: F.struct(f["row_pos"].alias("row_pos"), f["attr"].alias("attr"),
+                                                 F.regexp_extract(f["value"], r"^([^.]*)", 1).alias("value")))
+    made = []
+    for name, fs in (("staged", staged), ("tst", bound), ("single_shot", wide)):
+        cells = F.transform(fs, lambda f: F.struct(f["row_pos"].alias("row_pos"), f["attr"].alias("column_name"), f["value"].alias("value")))
+        made.append(F.struct(F.lit(name).alias("method"), V.with_id_cells(cells, lambda c: (c["row_pos"] + 1).cast("string")).alias("cells")))
+    return F.array(*made)
+
+
+def entry_databases(spark, sf):
+    """(entry_id, truth, dbs): one row per entry with all its databases, as
+    array<struct<variant, method, cells>>."""
     e = C.entries(spark, sf).select(F.lit("entry").alias("src"), F.col("entry_id").alias("id"), "text")
     t = with_sentences(e)
     named = {"v0": F.col("sents")}
     for i, v in enumerate(VARIANTS[1:], start=1):
         kind, lv = v.rsplit("_", 1)
-        named[f"v{i}"] = N.apply_noise(kind, F.col("sents"), F.col(f"p_{lv}"), F.col("src"), F.col("id"),
-                                       F.col("info"))
+        named[f"v{i}"] = N.apply_noise(kind, F.col("sents"), F.col(f"p_{lv}"), F.col("src"), F.col("id"), F.col("info"))
     m = materialize(t, ["id"], **named)
-    arr = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"v{i}").alias("sents"))
-                    for i, v in enumerate(VARIANTS)])
-    return m.select(F.col("id").alias("entry_id"), F.inline(arr))
-
-
-def extracted_cells(spark, sf):
-    """(variant, method, entry_id, table_name, row_pos, column_name, value).
-
-    staged: every ``attr is value`` fact, table from the attribute prefix;
-    tst: only attributes of the catalog (schema-bound); single_shot: one wide
-    table whose values stop at the first period."""
-    v = variant_sentences(spark, sf)
-    s = v.select("entry_id", "variant", F.posexplode("sents").alias("row_pos", "sentence"))
-    body = F.regexp_replace("sentence", r"\.$", "")
-    items = s.select("entry_id", "variant", "row_pos", F.explode(F.split(body, ", ")).alias("item"))
-    at = F.instr("item", " is ")
-    facts = items.filter(at > 0).select(
-        "entry_id", "variant", "row_pos",
-        F.expr("substring(item, 1, instr(item, ' is ') - 1)").alias("attr"),
-        F.expr("substring(item, instr(item, ' is ') + 4)").alias("value"))
-    tbl = F.lit(None).cast("string")
-    for p, tn in M.PREFIX_TABLE.items():
-        tbl = F.when(F.col("attr").startswith(p), F.lit(tn)).otherwise(tbl)
-    staged = facts.select(F.lit("staged").alias("method"), "variant", "entry_id", tbl.alias("table_name"),
-                          "row_pos", F.col("attr").alias("column_name"), "value")
-    tst = staged.filter(F.col("column_name").isin(*C.CUST_COLS)).withColumn("method", F.lit("tst"))
-    single = facts.select(F.lit("single_shot").alias("method"), "variant", "entry_id", F.lit("data").alias("table_name"),
-                          "row_pos", F.col("attr").alias("column_name"),
-                          F.regexp_extract("value", r"^([^.]*)", 1).alias("value"))
-    return union_results([staged.filter(F.col("table_name").isNotNull()), tst, single])
+    m = materialize(m, ["id"], facts=F.array(*[F.struct(F.lit(v).alias("variant"), _facts(F.col(f"v{i}")).alias("facts"))
+                                               for i, v in enumerate(VARIANTS)]))
+    dbs = F.flatten(F.transform("facts", lambda x: F.transform(_databases(x["facts"]), lambda d: F.struct(
+        x["variant"].alias("variant"), d["method"].alias("method"), d["cells"].alias("cells")))))
+    m = materialize(m, ["id"], dbs=dbs)
+    truth = M.truth_items(spark, sf).groupBy("entry_id").agg(F.collect_list(F.struct("attr", "row_id", "value")).alias("truth"))
+    return truth.join(m, truth.entry_id == m.id).select("entry_id", "truth", "dbs")
+
+
+def _integrity(cells, fks):
+    """(score, declared): mean over declared foreign keys of the share of child keys
+    found among the parent's; 1 where none is declared or no child key is there."""
+    if not fks:
+        return F.lit(1.0), 0
+    keys = lambda col: F.transform(F.filter(cells, lambda c: c["column_name"] == col), lambda c: c["value"])
+    scores = []
+    for _, child, _, parent in fks:
+        kids = F.filter(F.transform(keys(child), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
+        there = F.array_distinct(F.filter(F.transform(keys(parent), lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("bigint")), lambda x: x.isNotNull()))
+        scores.append(let(there, lambda ps: let(kids, lambda ks: F.when(F.size(ks) == 0, 1.0).otherwise(
+            F.size(F.filter(ks, lambda k: F.array_contains(ps, k))).cast("double") / F.size(ks)))))
+    total = scores[0]
+    for s in scores[1:]:
+        total = total + s
+    return total / float(len(fks)), len(fks)
 
 
 def cell_scores(spark, sf):
-    """Per (variant, method, entry): tc, vc, cc, ri, ex."""
-    cells = cut_lineage(extracted_cells(spark, sf))
-    truth = cut_lineage(M.truth_items(spark, sf))
-    ents = truth.select("entry_id").distinct()
-    grid = ents.select("entry_id", F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant")) \
-        .select("*", F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"))
-    blk = ["variant", "method", "entry_id"]
-    dbs = cells.select(*blk).distinct()
-    gv = M.gt_values(truth).join(dbs, "entry_id")
-
-    blob = cells.groupBy(*blk).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("row_pos", "column_name", F.lower("value").alias("v")))), lambda x: x["v"]), " | ").alias("blob"))
-    vc = gv.join(blob, blk).groupBy(*blk).agg(
-        F.avg(F.when(F.instr("blob", F.lower("v")) > 0, 1.0).otherwise(0.0)).alias("vc"))
-
-    bc = block_cosine(gv, cells, blk, "v", "value")
-    best = bc.groupBy(*blk, F.col("l").alias("v")).agg(F.max("cos").alias("best"))
-    tc = gv.join(best, blk + ["v"], "left").groupBy(*blk).agg(
-        F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= M.TC_T, 1.0).otherwise(0.0)).alias("tc"))
-
-    lc = cells.select(*blk, F.lower("value").alias("lv"), "column_name").distinct()
-    gp = M.gt_pairs(truth).join(dbs, "entry_id").withColumn("lq", F.lower("v"))
-    keyed = gp.select(*blk, "attr", "lq").distinct()
-    eq = keyed.join(lc, blk).filter(F.col("lv") == F.col("lq"))
-    rest = keyed.join(eq.select(*blk, "attr", "lq").distinct(), blk + ["attr", "lq"], "left_anti")
-    cont = rest.join(lc, blk).filter((F.instr("lv", F.col("lq")) > 0) | (F.instr("lq", F.col("lv")) > 0))
-    cols = eq.unionByName(cont)
-    cs = cosine_pairs(cols, "attr", "column_name").withColumnRenamed("a", "attr").withColumnRenamed("b", "column_name")
-    ok = (cols.join(cs, ["attr", "column_name"]).groupBy(*blk, "attr", "lq").agg(F.max("cos").alias("b"))
-          .filter(F.col("b") >= M.CC_T).select(*blk, "attr", "lq", F.lit(1).alias("ok")))
-    cc = gp.join(ok, blk + ["attr", "lq"], "left").groupBy(*blk).agg(
-        F.avg(F.coalesce("ok", F.lit(0)).cast("double")).alias("cc"))
-
-    child = cells.filter((F.col("table_name") == "customer") & (F.col("column_name") == "c_nationkey")) \
-        .select(*blk, F.col("value").try_cast("bigint").alias("k")).filter(F.col("k").isNotNull())
-    parent = cells.filter((F.col("table_name") == "nation") & (F.col("column_name") == "n_name")) \
-        .select(*blk, F.regexp_extract("value", r"(\d+)$", 1).try_cast("bigint").alias("k")) \
-        .filter(F.col("k").isNotNull()).distinct().withColumn("hit", F.lit(1))
-    ri = child.join(parent, blk + ["k"], "left").groupBy(*blk).agg(
-        F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("ri_fk"))
-
-    bad = F.lit(False)
-    for c, t in TYPED.items():
-        bad = bad | ((F.col("column_name") == c) & F.col("value").try_cast(t).isNull())
-    ex = cells.groupBy(*blk).agg(F.max(bad.cast("int")).alias("bad"))
-
-    j = (grid.join(dbs.withColumn("has_db", F.lit(1)), blk, "left")
-         .join(vc, blk, "left").join(tc, blk, "left").join(cc, blk, "left").join(ri, blk, "left")
-         .join(ex, blk, "left"))
-    has = F.col("has_db").isNotNull()
-    ri_v = (F.when(F.col("method") == "single_shot", 1.0).when(~has, 0.0)
-            .otherwise(F.coalesce("ri_fk", F.lit(1.0))))
-    return j.select(*blk,
-                    F.coalesce("tc", F.lit(0.0)).alias("tc"), F.coalesce("vc", F.lit(0.0)).alias("vc"),
-                    F.coalesce("cc", F.lit(0.0)).alias("cc"), ri_v.alias("ri"),
-                    F.when(has & (F.col("bad") == 0), 1.0).otherwise(0.0).alias("ex"))
+    """Per (variant, method, entry): tc, vc, cc, ri, ex and the declared foreign keys."""
+    e = entry_databases(spark, sf)
+    cells = F.flatten(F.transform("dbs", lambda d: d["cells"]))
+    e = materialize(e, ["entry_id", "dbs"],
+                    values=V.value_targets(F.col("truth"), F.transform(cells, lambda c: c["value"])),
+                    columns=V.column_targets(F.col("truth"), F.transform(cells, lambda c: c["column_name"])))
+
+    def scores(d):
+        has = F.size(d["cells"]) > 0
+        ri, n_fk = F.lit(None).cast("double"), F.lit(None).cast("int")
+        for m in METHODS:
+            value, declared = _integrity(d["cells"], FKS[m])
+            ri = F.when(d["method"] == m, F.when(has | F.lit(declared == 0), value).otherwise(0.0)).otherwise(ri)
+            n_fk = F.when(d["method"] == m, F.lit(declared)).otherwise(n_fk)
+        valid = has & ~F.exists(d["cells"], lambda c: F.coalesce(_untyped(c["column_name"], c["value"]), F.lit(False)))
+        when = lambda x: F.when(has, x).otherwise(0.0)
+        return F.struct(d["variant"].alias("variant"), d["method"].alias("method"),
+                        when(V.tuple_coverage(F.col("values"), d["cells"])).alias("tc"), when(V.value_coverage(F.col("values"), d["cells"])).alias("vc"),
+                        when(V.column_consistency(F.col("columns"), d["cells"])).alias("cc"), ri.alias("ri"),
+                        F.when(valid, 1.0).otherwise(0.0).alias("ex"), n_fk.alias("n_fk"))
+
+    return e.select("entry_id", F.inline(F.transform("dbs", scores)))
 
 
 def summary(spark, sf):
-    """Per (variant, method) mean of the five metrics and n."""
+    """Per (variant, method) mean of the five metrics, the declared foreign
+    keys (Q13) and n."""
     s = cell_scores(spark, sf)
-    return s.groupBy("variant", "method").agg(*[F.avg(c).alias(c) for c in ("tc", "vc", "cc", "ri", "ex")],
+    return s.groupBy("variant", "method").agg(*[F.avg(c).alias(c) for c in METRICS], F.max("n_fk").alias("n_fk"),
                                               F.count(F.lit(1)).alias("n"))
 
 
@@ -162,23 +168,29 @@ it AS (SELECT vr.entry_id, vr.variant, vr.row_pos, u.item FROM vr,
        unnest(string_split(regexp_replace(vr.ns, '\\.$', ''), ', ')) AS u(item)),
 facts AS (SELECT entry_id, variant, row_pos, substr(item, 1, instr(item, ' is ') - 1) AS attr,
                  substr(item, instr(item, ' is ') + 4) AS value FROM it WHERE instr(item, ' is ') > 0),
-cells AS (SELECT 'staged' AS method, variant, entry_id, {tbl} AS table_name, row_pos, attr AS column_name, value
+cells0 AS (SELECT 'staged' AS method, variant, entry_id, {tbl} AS table_name, row_pos, attr AS column_name, value
           FROM facts WHERE {tbl} IS NOT NULL
           UNION ALL
           SELECT 'tst', variant, entry_id, {tbl}, row_pos, attr, value FROM facts
-          WHERE {tbl} IS NOT NULL AND attr IN ({cust})
+          WHERE {tbl} IS NOT NULL AND attr IN ({cust}) AND NOT ({_typed_sql('attr')})
           UNION ALL
           SELECT 'single_shot', variant, entry_id, 'data', row_pos, attr, regexp_extract(value, '^([^.]*)', 1)
-          FROM facts)"""
+          FROM facts),
+cells AS (SELECT * FROM cells0 UNION ALL
+          SELECT DISTINCT method, variant, entry_id, NULL, row_pos, 'id', CAST(row_pos + 1 AS VARCHAR) FROM cells0)"""
+
+
+def _typed_sql(col: str) -> str:
+    return " OR ".join(
+        f"({col} = '{c}' AND (TRY_CAST(value AS {t.upper()}) IS NULL"
+        + (r" OR NOT regexp_matches(value, '^\s*[+-]?[0-9]+\s*$')" if t == "bigint" else "") + "))"
+        for c, t in TYPED.items())
 
 
 def _scores_sql() -> str:
     vlist = ", ".join(f"('{v}')" for v in VARIANTS)
     mlist = ", ".join(f"('{m}')" for m in METHODS)
-    typed = " OR ".join(
-        f"(column_name = '{c}' AND (TRY_CAST(value AS {t.upper()}) IS NULL"
-        + (r" OR NOT regexp_matches(value, '^\s*[+-]?[0-9]+\s*$')" if t == "bigint" else "") + "))"
-        for c, t in TYPED.items())
+    typed = _typed_sql("column_name")
     return f"""WITH t AS (SELECT entry_id, attr, row_id, value FROM ({C.TRUTH_SQL}) x),
 {_cells_sql()},
 grid AS (SELECT e.entry_id, v.variant, m.method FROM (SELECT DISTINCT entry_id FROM t) e
@@ -232,7 +244,7 @@ FROM grid g LEFT JOIN dbs d USING (variant, method, entry_id) LEFT JOIN vc USING
 LEFT JOIN tc USING (variant, method, entry_id) LEFT JOIN cc USING (variant, method, entry_id)
 LEFT JOIN ri USING (variant, method, entry_id) LEFT JOIN ex USING (variant, method, entry_id)),
 summ AS (SELECT variant, method, avg(tc) AS tc, avg(vc) AS vc, avg(cc) AS cc, avg(ri) AS ri, avg(ex) AS ex,
-                count(*) AS n FROM scores GROUP BY ALL)"""
+                max(CASE WHEN method = 'single_shot' THEN 0 ELSE 1 END) AS n_fk, count(*) AS n FROM scores GROUP BY ALL)"""
 
 
 SUMMARY_SQL = _scores_sql()
@@ -240,7 +252,7 @@ SUMMARY_SQL = _scores_sql()
 
 @query("sensitivity_summary", SUMMARY_SQL + """
 SELECT variant, method, round(tc, 6) AS tc, round(vc, 6) AS vc, round(cc, 6) AS cc, round(ri, 6) AS ri,
-       round(ex, 6) AS ex, n FROM summ""")
+       round(ex, 6) AS ex, n_fk, n FROM summ""")
 def sensitivity_summary(spark, sf):
     return finalize(summary(spark, sf))
 
@@ -248,13 +260,13 @@ def sensitivity_summary(spark, sf):
 @query("variant_matrix", SUMMARY_SQL + """
 SELECT variant, """ + ", ".join(
     f"round(max({m_}) FILTER (WHERE method = '{me}'), 6) AS {me}_{m_}"
-    for me in METHODS for m_ in ("tc", "vc", "cc", "ri", "ex")) + " FROM summ GROUP BY variant")
+    for me in METHODS for m_ in METRICS) + " FROM summ GROUP BY variant")
 def variant_matrix(spark, sf):
     """Variant x (method, metric) matrix (D25): one pivot over the fixed
     method list."""
     s = summary(spark, sf)
     pv = s.groupBy("variant").pivot("method", METHODS).agg(
-        *[F.first(F.round(m_, 6)).alias(m_) for m_ in ("tc", "vc", "cc", "ri", "ex")])
+        *[F.first(F.round(m_, 6)).alias(m_) for m_ in METRICS])
     return finalize(pv)
 
 
@@ -262,19 +274,20 @@ def variant_matrix(spark, sf):
 noisy AS (SELECT s.*, split_part(s.variant, '_L', 1) AS noise_type, 'L' || split_part(s.variant, '_L', 2) AS level
           FROM summ s WHERE s.variant <> 'clean')
 SELECT n.noise_type, n.level, CASE n.level WHEN 'L1' THEN 10 WHEN 'L2' THEN 30 ELSE 60 END AS pct, n.method,
-       round(n.tc, 6) AS tc, round(n.tc - c.tc, 6) AS delta_tc, round(n.vc, 6) AS vc, round(n.vc - c.vc, 6) AS delta_vc,
-       round(n.cc, 6) AS cc, round(n.cc - c.cc, 6) AS delta_cc
+       """ + ",\n       ".join(f"round(n.{m_}, 6) AS {m_}, round(n.{m_} - c.{m_}, 6) AS delta_{m_}" for m_ in METRICS) + """
 FROM noisy n JOIN summ c ON c.variant = 'clean' AND c.method = n.method""")
 def degradation_delta(spark, sf):
     """Value at 10/30/60 % per noise type and method, and its delta to the
     clean row of the same method (D26)."""
-    s = cut_lineage(summary(spark, sf))
-    clean = s.filter(F.col("variant") == "clean").select("method", *[F.col(m_).alias(f"c_{m_}") for m_ in ("tc", "vc", "cc")])
+    # 13 variants x 3 methods: the clean row of a method joins its noisy ones by a window over 13 rows
+    w = Window.partitionBy("method")
+    s = summary(spark, sf)
+    for m_ in METRICS:
+        s = s.withColumn(f"c_{m_}", F.max(F.when(F.col("variant") == "clean", F.col(m_))).over(w))
     n = s.filter(F.col("variant") != "clean") \
         .withColumn("noise_type", F.split_part("variant", F.lit("_L"), F.lit(1))) \
         .withColumn("level", F.concat(F.lit("L"), F.split_part("variant", F.lit("_L"), F.lit(2))))
-    j = n.join(clean, "method")
     pct = F.when(F.col("level") == "L1", 10).when(F.col("level") == "L2", 30).otherwise(60)
-    return finalize(j.select("noise_type", "level", pct.cast("bigint").alias("pct"), "method",
-                             *[c for m_ in ("tc", "vc", "cc") for c in
+    return finalize(n.select("noise_type", "level", pct.cast("bigint").alias("pct"), "method",
+                             *[c for m_ in METRICS for c in
                                (F.col(m_), (F.col(m_) - F.col(f"c_{m_}")).alias(f"delta_{m_}"))]))
