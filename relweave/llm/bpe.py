@@ -12,7 +12,9 @@ lacks are merged exactly.
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import mmap
 from collections import Counter
 from dataclasses import dataclass
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.llm.common import pick, publish, ragged, slices
+from relweave.session import cut_lineage
 
 
 def byte_chars() -> dict[int, str]:
@@ -68,7 +71,7 @@ class Vocabulary:
             pieces[v] = k.encode()
         by_length = sorted(specials, key=len, reverse=True)
         splitter = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if specials else None
-        return cls(regex.compile(pattern), specials, splitter, ids, ranks, pieces)
+        return cls(regex.compile(pattern), specials, splitter, ids, ranks, pieces).tables()
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; special tokens inside the text are pre-tokens of their own."""
@@ -106,6 +109,64 @@ class Vocabulary:
         return tuple(whole)
 
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of many pre-tokens, none of them special: words of one length
+        are rows of a matrix, and every step merges each row's best pair."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > 64:
+                for i in at.tolist():
+                    out[i] = _merge_long(self.first[np.frombuffer(words[i], np.uint8)].tolist(), self.ranks)
+                continue
+            ids = self.first[np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, n)]
+            length, pair = np.full(len(at), n), self._pair(ids[:, :-1], ids[:, 1:])
+            live = np.arange(len(at)) if n > 1 else np.empty(0, np.int64)
+            while len(live):
+                rank = self.pair_rank[pair[live]]
+                best = rank.argmin(1)
+                hit = rank[np.arange(len(live)), best] < _NEVER
+                live, best = live[hit], best[hit]
+                if not len(live):
+                    break
+                row, k = np.arange(len(live)), np.arange(n)
+                moved = ids[live[:, None], np.minimum(k + (k > best[:, None]), n - 1)]
+                moved[row, best] = self.pair_id[pair[live, best]]
+                length[live] -= 1
+                moved[k >= length[live][:, None]] = -1
+                ids[live] = moved
+                k = np.arange(n - 1)
+                pairs = pair[live[:, None], np.minimum(k + (k > best[:, None]), n - 2)]
+                pairs[k >= length[live][:, None] - 1] = len(self.pair_id)
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best < length[live] - 1)
+                pairs[left, best[left] - 1] = self._pair(moved[left, best[left] - 1], moved[left, best[left]])
+                pairs[right, best[right]] = self._pair(moved[right, best[right]], moved[right, best[right] + 1])
+                pair[live] = pairs
+            for i, x, m in zip(at.tolist(), ids.tolist(), length.tolist()):
+                out[i] = x[:m]
+        return (np.fromiter(itertools.chain.from_iterable(out), np.int64), np.cumsum(np.fromiter(map(len, out), np.int64, len(out))))
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Positions of pairs in the merge table; one past its end if there is no merge."""
+        key = a * len(self.pieces) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, at, len(self.pair_keys))
+
+    def tables(self) -> Vocabulary:
+        """Fills the sorted merge table."""
+        n = len(self.pieces)
+        rows = sorted((a * n + b, rank, new) for (a, b), (rank, new) in self.ranks.items())
+        self.pair_keys = np.array([r[0] for r in rows], np.int64)
+        self.pair_rank = np.array([r[1] for r in rows] + [_NEVER], np.int64)
+        self.pair_id = np.array([r[2] for r in rows], np.int64)
+        self.first = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        return self
+
+
+_NEVER = 1 << 40
+
+
 def _merge_long(ids: list[int], ranks: dict) -> list[int]:
     """The same merges with a heap over a linked list, for very long pre-tokens."""
     import heapq
@@ -250,12 +311,25 @@ def pretoken_counts(docs: DataFrame, path: str, pattern: str, flush: int = 400_0
 
 
 def build_lexicon(docs: DataFrame, path: str, pattern: str, size: int, longest: int = 64) -> bytes:
-    """The ``size`` most frequent pre-tokens of at most ``longest`` bytes, compiled.
-    The size bounds what the driver gathers and the executors map."""
+    """Frequent pre-tokens of at most ``longest`` bytes, compiled: all whose count
+    reaches the lowest step of a logarithmic scale that no more than ``size``
+    pre-tokens reach. ``size`` bounds what the driver gathers and the executors map."""
     v = vocabulary(path, pattern)
-    top = (pretoken_counts(docs, path, pattern).where(F.octet_length("word") <= longest)
-           .orderBy(F.desc("n"), "word").limit(size).select("word").collect())
-    return compile_lexicon({r.word.encode("utf-8"): v.merge(r.word) for r in top})
+    counts = cut_lineage(pretoken_counts(docs, path, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= longest))
+                         .withColumn("step", F.floor(F.log(F.col("n").cast("double")) * 32).cast("int")))
+    steps = sorted(((r.step, r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True)  # some hundred rows
+    total, least = 0, math.inf
+    for step, n in steps:
+        total += n
+        if total > size:
+            break
+        least = step
+    words = sorted(r.word for r in counts.where(F.col("step") >= least).select("word").collect()) if least < math.inf else []
+    plain = [w.encode("utf-8") for w in words if w not in v.specials]
+    ids, ends = v.merge_many(plain)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if plain else []
+    lexicon = {w: tuple(ids[a:z].tolist()) for w, a, z in zip(plain, starts, ends)}
+    return compile_lexicon(lexicon | {w.encode("utf-8"): v.merge(w) for w in words if w in v.specials})
 
 
 @lru_cache(2)
@@ -265,11 +339,11 @@ def _mapped(name: str) -> Lexicon:
 
 class Encoder:
     """Encodes slices of texts with a lexicon; merges of other words are kept for
-    later slices up to ``most`` words."""
+    later slices, up to ``most`` words beyond those of one slice."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = 200_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = 300_000):
         self.vocab, self.lexicon, self.most = vocab, lexicon, most
-        self.merged: dict[str, tuple[int, ...]] = {}
+        self.merged: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): all texts' ids one after the other, and where each text ends."""
@@ -288,25 +362,37 @@ class Encoder:
         start, size = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
         start[hit] = self.lexicon.ends[rank[hit]]
         size[hit] = self.lexicon.ends[rank[hit] + 1] - start[hit]
-        extra: list[int] = []
-        base = len(self.lexicon.ids)
-        for k in np.flatnonzero(~hit).tolist():
-            w = kinds[k]
-            ids = self.merged.get(w)
-            if ids is None:
-                if len(self.merged) >= self.most:
-                    self.merged.clear()
-                ids = self.vocab.merge(w)
-                if len(w) <= 256:
-                    self.merged[w] = ids
-            start[k], size[k] = base + len(extra), len(ids)
-            extra += ids
-        flat = np.concatenate([self.lexicon.ids, np.array(extra, np.int64)])
+        extra, base = self._merged(kinds, np.flatnonzero(~hit), start, size), len(self.lexicon.ids)
+        start[~hit] += base
+        flat = np.concatenate([self.lexicon.ids, extra])
         per = size[codes]
         ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum(counts)]
         return flat[ragged(start[codes], per)], ends
 
 
+    def _merged(self, kinds, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Ids of the words at ``at``, merged now or for an earlier slice; fills their
+        starts and sizes."""
+        known = self.merged
+        fresh = [w for w in kinds[at].tolist() if w not in known]
+        if len(known) + len(fresh) > self.most:
+            known.clear()
+            fresh = kinds[at].tolist()
+        plain = [w for w in fresh if w not in self.vocab.specials]
+        ids, ends = self.vocab.merge_many([w.encode("utf-8") for w in plain])
+        ids, a = ids.tolist(), 0
+        for w, z in zip(plain, ends.tolist()):
+            known[w] = ids[a:z]
+            a = z
+        for w in fresh:
+            if w in self.vocab.specials:
+                known[w] = list(self.vocab.merge(w))
+        got = [known[w] for w in kinds[at].tolist()]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        size[at], start[at] = n, np.cumsum(n) - n
+        return np.fromiter(itertools.chain.from_iterable(got), np.int64)
+
+
 class Decoder:
     """Ids back to text: the pieces' bytes one after the other, read as UTF-8."""
 
