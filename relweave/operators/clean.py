@@ -87,6 +87,6 @@ def placeholder_filter(df: DataFrame, cols: list[str], words: list[str]) -> Data
     return df.filter(cond)
 
 
-def keep_mentioned(arr, text):
-    """Entities whose lower-case name occurs in the lower-case text."""
-    return F.filter(arr, lambda x: F.instr(F.lower(text), F.lower(x)) > 0)
+def keep_mentioned(arr, low_text, name=lambda x: x):
+    """Elements whose lower-case ``name`` occurs in the lower-cased text."""
+    return F.filter(arr, lambda x: F.instr(low_text, F.lower(name(x))) > 0)

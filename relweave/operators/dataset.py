@@ -63,12 +63,6 @@ def entry_truth(truth: DataFrame, key: str, batch: int = 5) -> DataFrame:
     return t.withColumn("row_id", F.row_number().over(w).cast("string"))
 
 
-def renumber_ids(df: DataFrame, arr: str) -> DataFrame:
-    """``id := 1-based position`` inside an array of (id, value) pairs."""
-    return df.withColumn(arr, F.transform(arr, lambda p, i: F.struct(
-        (i + 1).cast("string").alias("id"), p["value"].alias("value"))))
-
-
 def first_k_per_group(df: DataFrame, group: str, order: list[str], k: int,
                       require_full: bool = True) -> DataFrame:
     """First ``k`` rows per group; groups with fewer than ``k`` rows removed.
@@ -93,58 +87,59 @@ def first_k_per_group(df: DataFrame, group: str, order: list[str], k: int,
 
 
 def round_robin(df: DataFrame, group: str, order: list[str], group_order: list[str]) -> DataFrame:
-    """Round-robin interleave (E3): one row per group in the fixed group order,
-    until every group is used; unlisted groups are dropped. ``rr_pos`` is the
-    global 1-based output position: a row with in-group rank ``rn`` in group
-    ``g`` follows, for every listed group ``h``, ``min(size_h, rn - 1 + [h
-    before g])`` rows. Group sizes are one count per listed group, so the
-    expression is built from a bounded aggregate."""
+    """Round-robin interleave (E3): one row per group in the given group order,
+    until every group is used; unlisted groups are dropped. ``rn`` is the row's
+    position in its group, ``rr_pos`` its 1-based output position: rows are in
+    order of (rn, group_rank), and a range-partitioned sort numbers them."""
+    rank = F.array_position(F.array(*[F.lit(g) for g in group_order]), F.col(group)) - 1
     d = rank_in_group(df.filter(F.col(group).isin(group_order)), group, order, out="rn")
-    sizes = {r[0]: r[1] for r in
-             d.groupBy(group).agg(F.count(F.lit(1))).collect()}  # <= len(group_order) rows
-    rank = {g: i for i, g in enumerate(group_order)}
-    gr = F.lit(None).cast("int")
-    for g, i in rank.items():
-        gr = F.when(F.col(group) == g, F.lit(i)).otherwise(gr)
-    before = F.lit(0).cast("bigint")
-    for h, i in rank.items():
-        n_h = sizes.get(h, 0)
-        before = before + F.least(F.lit(n_h).cast("bigint"),
-                                  F.col("rn") - 1 + F.when(F.lit(i) < gr, 1).otherwise(0))
-    return d.withColumn("group_rank", gr).withColumn("rr_pos", before + 1)
-
-
-def domain_context(df: DataFrame, group: str, order: str, text: str, k: int = 5,
-                   cut: int | None = None) -> DataFrame:
-    """Text plus the texts of the first ``k`` entries of the same group, itself
-    skipped, concatenated without separator (E4). Fewer than ``k`` entries in a
-    group is allowed (Q22). Only the first ``k`` per group are gathered, so the
-    broadcast context is bounded by ``k`` rows per group."""
-    t = F.substring(F.col(text), 1, cut) if cut else F.col(text)
-    d = df.withColumn("_t", t)
-    firsts = (first_k_per_group(d.select(group, order, "_t"), group, [order], k, require_full=False)
+    return rank_in_group(d.withColumn("group_rank", rank.cast("int")), None, ["rn", "group_rank"], out="rr_pos")
+
+
+def domain_context(df: DataFrame, group: str, order: str, text: str, k: int = 5) -> DataFrame:
+    """Text plus the whole texts of the first ``k`` entries of the same group,
+    itself skipped, concatenated without separator (E4). Fewer than ``k``
+    entries in a group is allowed (Q22). Only the first ``k`` per group are
+    gathered; a large group's rows meet that one row in a join that adaptive
+    execution can split."""
+    firsts = (first_k_per_group(df.select(group, order, text), group, [order], k, require_full=False)
               .groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
-                  F.col(order).alias("o"), F.col("_t").alias("t")))).alias("_ctx")))
-    j = d.join(firsts, group, "left")
-    ctx = F.array_join(F.transform(F.filter("_ctx", lambda x: x["o"] != F.col(order)),
-                                   lambda x: x["t"]), "")
-    return j.withColumn("context", F.concat(F.col("_t"), F.coalesce(ctx, F.lit("")))).drop("_ctx", "_t")
+                  F.col(order).alias("o"), F.col(text).alias("t")))).alias("_ctx")))
+    j = df.join(firsts, group, "left")
+    ctx = F.array_join(F.transform(F.filter("_ctx", lambda x: x["o"] != F.col(order)), lambda x: x["t"]), "")
+    return j.withColumn("context", F.concat(F.col(text), F.coalesce(ctx, F.lit("")))).drop("_ctx")
+
+
+def first_seen(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
+    """Each row with its group's first non-empty value in ``order`` (E5): the value
+    found once for a group is used for all its entries."""
+    v = F.when(F.col(value) != "", F.col(value))
+    firsts = df.groupBy(group).agg(F.min_by(v, F.when(v.isNotNull(), F.col(order))).alias(out))
+    return df.join(firsts, group, "left")
+
+
+def merged_pairs(rows: DataFrame, entry: str, attr: str, pos: str, value: str) -> DataFrame:
+    """Per entry and attribute the distinct (pos, value) pairs, first seen first
+    (D2, F5). An entry holds a handful of rows."""
+    w = rows.groupBy(entry, attr, pos, value).agg(F.count(F.lit(1)).alias("_n"))
+    return w.groupBy(entry, attr).agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("pairs"))
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Deterministic shuffle (E9): order by ``md5(seed|key)``; the returned
-    ``shuffle_key`` is what a range-partitioned sort uses."""
-    return df.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
+def cap_and_append(df: DataFrame, group: str, name: str, order: list[str], k: int) -> DataFrame:
+    """Rows of group ``name`` are capped to the first ``k`` and come after all
+    other rows. ``part`` 0: others, 1: the capped group."""
+    others = df.filter(F.col(group) != name).withColumn("part", F.lit(0))
+    capped = first_k_per_group(df.filter(F.col(group) == name), group, order, k, require_full=False)
+    return others.unionByName(capped.drop("rank_in_group").withColumn("part", F.lit(1)))
 
 
 def positional_replace(target: DataFrame, source: DataFrame, group: str, order: str,
-                       value_cols: list[str], only_group: str | None = None) -> DataFrame:
+                       value_cols: list[str]) -> DataFrame:
     """The i-th row of a group in ``target`` takes the i-th row's values from
-    ``source``; unmatched rows keep theirs (C10). Positions come from
+    ``source``; rows without a partner keep theirs (C10). Positions come from
     ``rank_in_group`` so a large group is numbered by many tasks."""
     t = rank_in_group(target, group, [order], out="_i")
-    s = source if only_group is None else source.filter(F.col(group) == only_group)
-    s = rank_in_group(s, group, [order], out="_i")
+    s = rank_in_group(source, group, [order], out="_i")
     s = s.select(group, "_i", *[F.col(c).alias(f"_src_{c}") for c in value_cols])
     j = t.join(s, [group, "_i"], "left")
     rep = F.col(f"_src_{value_cols[0]}").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
-from relweave.operators.clean import column_null_profile, null_profile
+from relweave.operators.clean import column_null_profile, drop_null_rows, drop_sparse_columns, null_profile
 from relweave.plans.registry import query
 from relweave.sources.tables import read_table
 
@@ -58,3 +58,24 @@ _sparse = " UNION ALL ".join(
 @query("drop_sparse_columns", f"WITH o AS ({ORDERS_NULLED_SQL}) {_sparse}")
 def drop_sparse_columns_q(spark, sf):
     return finalize(column_null_profile(orders_with_nulls(spark, sf), list(NULL_RATES)))
+
+
+@query("drop_null_rows", f"""WITH o AS ({ORDERS_NULLED_SQL})
+SELECT 'any' AS rule, o_orderkey FROM o WHERE NOT ({_any}) UNION ALL SELECT 'all', o_orderkey FROM o WHERE NOT ({_all})""")
+def drop_null_rows_q(spark, sf):
+    """The rows left after dropping those with any null (B4) and those with nulls
+    only (B5)."""
+    o = orders_with_nulls(spark, sf)
+    parts = [drop_null_rows(o, how, list(NULL_RATES)).select(F.lit(how).alias("rule"), "o_orderkey") for how in ("any", "all")]
+    return finalize(parts[0].unionByName(parts[1]))
+
+
+_KEPT = [c for c, r in NULL_RATES.items() if r <= 8]
+
+
+@query("keep_dense_columns", f"""WITH o AS ({ORDERS_NULLED_SQL}),
+k AS (SELECT {', '.join(f'count({c}) >= count(*) * 0.5 AS keep_{c}' for c in NULL_RATES)} FROM o)
+SELECT o_orderkey, {', '.join(_KEPT)} FROM o, k WHERE {' AND '.join(f'keep_{c}' if c in _KEPT else f'NOT keep_{c}' for c in NULL_RATES)}""")
+def keep_dense_columns(spark, sf):
+    """The table without the columns that are more than half empty."""
+    return finalize(drop_sparse_columns(orders_with_nulls(spark, sf), list(NULL_RATES)))

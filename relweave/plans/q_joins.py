@@ -142,9 +142,15 @@ def flatten_two_roles(spark, sf):
                              .alias("same_nation")))
 
 
-MELT = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey")]
+MELT = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"),
+        ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
 _MELT_COLS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
-              "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
+              "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+              "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+              "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+              "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+              "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                           "l_returnflag", "l_linestatus", "l_shipdate"]}
 
 
 def melt(df, table: str, pk: str):
@@ -176,13 +182,13 @@ def broken_lineitem(spark, sf):
     """lineitem with 1/16 of each FK value moved outside every parent key."""
     l = read_table(spark, sf, "lineitem")
     ident = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return l.select(*[F.when(hex_digit(F.lit("ri"), F.lit(c), *ident) < 1, F.col(c) + 1000000000)
+    return l.select(*[F.when(hex_digit(F.lit("ri"), F.lit(c), *ident) < 1, -F.col(c) - 1)
                       .otherwise(F.col(c)).alias(c) for c in BROKEN])
 
 
 _BROKEN_SQL = "SELECT " + ", ".join(
     f"CASE WHEN {_sql_hex(repr('ri'), repr(c), *[f'CAST({x} AS VARCHAR)' for x in ('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')])} < 1 "
-    f"THEN {c} + 1000000000 ELSE {c} END AS {c}" for c in BROKEN) + " FROM lineitem"
+    f"THEN -{c} - 1 ELSE {c} END AS {c}" for c in BROKEN) + " FROM lineitem"
 
 
 def _ri_sql():

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from relweave.functions.text import domain_from_key, domain_from_path, finalize, is_number
-from relweave.operators.clean import drop_pattern_columns, exclude_values, placeholder_filter, rename
-from relweave.operators.dataset import domain_context, first_k_per_group, positional_replace, round_robin
+from relweave.functions.text import DOMAIN_RULES, domain_from_key, domain_from_path, finalize, is_number
+from relweave.operators.clean import drop_columns, drop_pattern_columns, keep_mentioned, exclude_values, placeholder_filter, rename
+from relweave.operators.dataset import cap_and_append, domain_context, first_k_per_group, first_seen, merged_pairs, positional_replace, round_robin
 from relweave.operators.extract import pending
 from relweave.operators.joins import union_results
 from relweave.operators.windows import rank_in_group
@@ -56,18 +56,24 @@ def domain_from_key_q(spark, sf):
     return finalize(d.select("doc_id", k.alias("key")).withColumn("domain", domain_from_key("key")))
 
 
-_DOM_SQL = "CASE " + " ".join(f"WHEN contains(url, '{n}') THEN '{d}'" for n, d, _ in
-                              __import__("relweave.functions.text", fromlist=["DOMAIN_RULES"]).DOMAIN_RULES) + " END"
-_DIF_SQL = "CASE " + " ".join(f"WHEN contains(url, '{n}') THEN '{k}'" for n, _, k in
-                              __import__("relweave.functions.text", fromlist=["DOMAIN_RULES"]).DOMAIN_RULES) + " END"
+_DOM_SQL = "CASE " + " ".join(f"WHEN contains(path, '{n}') THEN '{d}'" for n, d, _ in DOMAIN_RULES) + " END"
+_DIF_SQL = "CASE " + " ".join(f"WHEN contains(path, '{n}') THEN '{k}'" for n, _, k in DOMAIN_RULES) + " END"
+#: Folder words of the derived paths: the five domains and one without a rule.
+PATH_WORDS = [n for n, _, _ in DOMAIN_RULES] + ["misc"]
+_PATH_SQL = ("SELECT page_id, 'sources/' || (CASE " + _sql_hex("'path'", "CAST(page_id AS VARCHAR)") + f" % {len(PATH_WORDS)} "
+             + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(PATH_WORDS)) + " END) || '/' || url AS path FROM pages")
 
 
-@query("domain_from_path", f"""SELECT page_id, {_DOM_SQL} AS domain, {_DIF_SQL} AS difficulty FROM pages""")
+@query("domain_from_path", f"""SELECT page_id, path, {_DOM_SQL} AS domain, {_DIF_SQL} AS difficulty FROM ({_PATH_SQL}) p""")
 def domain_from_path_q(spark, sf):
-    """Domain and difficulty from a path by ordered substring tests."""
+    """Domain and difficulty from a path by ordered substring tests (G23); the
+    paths are the pages' urls below a folder picked by md5."""
     p = read_table(spark, sf, "pages")
-    dom, dif = domain_from_path("url")
-    return finalize(p.select("page_id", dom.alias("domain"), dif.alias("difficulty")))
+    pick = F.pmod(hex_digit(F.lit("path"), F.col("page_id").cast("string")), F.lit(len(PATH_WORDS)))
+    word = F.get(F.array(*[F.lit(w) for w in PATH_WORDS]), pick)
+    p = p.select("page_id", F.concat(F.lit("sources/"), word, F.lit("/"), "url").alias("path"))
+    dom, dif = domain_from_path("path")
+    return finalize(p.select("page_id", "path", dom.alias("domain"), dif.alias("difficulty")))
 
 
 @query("seeded_shuffle", """SELECT doc_id, md5('42|' || CAST(doc_id AS VARCHAR)) AS shuffle_key,
@@ -99,49 +105,90 @@ def first_k_per_domain(spark, sf):
     return finalize(first_k_per_group(d, "source", ["doc_id"], 24).select("doc_id", "source", "rank_in_group"))
 
 
-@query("round_robin", """WITH d AS (SELECT doc_id, source FROM documents
-        WHERE source <> (SELECT max(source) FROM documents)),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-             dense_rank() OVER (ORDER BY source) - 1 AS group_rank FROM d)
+#: Domains interleaved, in this order; others are dropped.
+INTERLEAVED = [f"src{i}" for i in range(18, -1, -1)]
+
+
+@query("round_robin", "WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', {i})" for i, g in enumerate(INTERLEAVED)) + """) v(source, group_rank)),
+r AS (SELECT doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS rn, group_rank
+      FROM documents d JOIN g ON g.source = d.source)
 SELECT doc_id, source, rn, group_rank, row_number() OVER (ORDER BY rn, group_rank) AS rr_pos FROM r""")
 def round_robin_q(spark, sf):
-    """Round-robin interleave over the sorted domain list without its last
-    domain, which is therefore dropped (E3). The domain list is a bounded
-    distinct over the domain column."""
+    """Round-robin interleave over a given domain list; a domain that the list
+    lacks is dropped (E3)."""
     d = read_table(spark, sf, "documents").select("doc_id", "source")
-    order = sorted(r[0] for r in d.select("source").distinct().collect())[:-1]
-    return finalize(round_robin(d, "source", ["doc_id"], order).select("doc_id", "source", "rn", "group_rank", "rr_pos"))
+    return finalize(round_robin(d, "source", ["doc_id"], INTERLEAVED).select("doc_id", "source", "rn", "group_rank", "rr_pos"))
 
 
 @query("positional_replace", """WITH t AS (SELECT doc_id, source, text,
         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE lang = 'en'),
 s AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE lang = 'de')
 SELECT t.doc_id, t.source, s.text IS NOT NULL AS replaced, md5(coalesce(s.text, t.text)) AS text_md5
-FROM t LEFT JOIN s ON s.source = t.source AND s.i = t.i""")
+FROM t LEFT JOIN s ON s.source = t.source AND s.i = t.i
+UNION ALL SELECT doc_id, source, false, md5(text) FROM documents WHERE lang <> 'en'""")
 def positional_replace_q(spark, sf):
     """The i-th English document of a domain takes the text of the i-th German
-    document of the same domain; unmatched ones keep theirs (C10)."""
+    document of the same domain; all other documents keep theirs (C10)."""
     d = read_table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     t = d.filter(F.col("lang") == "en").drop("lang")
     s = d.filter(F.col("lang") == "de").drop("lang")
     r = positional_replace(t, s, "source", "doc_id", ["text"])
-    return finalize(r.select("doc_id", "source", "replaced", F.md5("text").alias("text_md5")))
+    rest = d.filter(F.col("lang") != "en").select("doc_id", "source", "text", F.lit(False).alias("replaced"))
+    return finalize(r.select("doc_id", "source", "text", "replaced").unionByName(rest)
+                    .select("doc_id", "source", "replaced", F.md5("text").alias("text_md5")))
 
 
-@query("domain_context", """WITH d AS (SELECT doc_id, source, substr(text, 1, 200) AS t FROM documents),
+@query("domain_context", """WITH d AS (SELECT doc_id, source, text AS t FROM documents),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5),
 c AS (SELECT d.doc_id, d.source, d.t || coalesce(string_agg(f.t, '' ORDER BY f.doc_id) FILTER (WHERE f.doc_id <> d.doc_id), '') AS ctx
       FROM d LEFT JOIN f ON f.source = d.source GROUP BY d.doc_id, d.source, d.t)
 SELECT doc_id, source, md5(ctx) AS ctx_md5, length(ctx) AS ctx_len FROM c""")
 def domain_context_q(spark, sf):
-    """Own text plus the first five texts of the same domain, itself skipped,
-    texts cut to 200 characters (E4, E5)."""
+    """Own text plus the first five texts of the same domain, itself skipped."""
     d = read_table(spark, sf, "documents").select("doc_id", "source", "text")
-    c = domain_context(d, "source", "doc_id", "text", k=5, cut=200)
+    c = domain_context(d, "source", "doc_id", "text", k=5)
     return finalize(c.select("doc_id", "source", F.md5("context").alias("ctx_md5"),
                              F.length("context").alias("ctx_len")))
 
 
+_SCHEMA_SQL = ("SELECT doc_id, source, CASE WHEN " + _sql_hex("'sch'", "CAST(doc_id AS VARCHAR)")
+               + " < 12 THEN '' ELSE 'schema_' || lang || '_' || CAST(doc_id AS VARCHAR) END AS s FROM documents")
+
+
+@query("domain_schema", f"""WITH d AS ({_SCHEMA_SQL}),
+f AS (SELECT source, arg_min(s, doc_id) FILTER (WHERE s <> '') AS domain_schema FROM d GROUP BY source)
+SELECT d.doc_id, d.source, d.s AS own_schema, f.domain_schema FROM d LEFT JOIN f ON f.source = d.source""")
+def domain_schema(spark, sf):
+    """The first non-empty schema seen in a domain serves all its entries (E5);
+    three of four entries, by md5, have none of their own."""
+    d = read_table(spark, sf, "documents")
+    own = F.when(hex_digit(F.lit("sch"), F.col("doc_id").cast("string")) < 12, "").otherwise(
+        F.concat_ws("_", F.lit("schema"), "lang", F.col("doc_id").cast("string")))
+    d = d.select("doc_id", "source", own.alias("own_schema"))
+    return finalize(first_seen(d, "source", "doc_id", "own_schema", "domain_schema"))
+
+
+@query("merged_pairs", f"""WITH t AS ({C.TRUTH_SQL})
+SELECT entry_id, attr, string_agg(row_id || '=' || value, '; ' ORDER BY CAST(row_id AS INTEGER), value) AS pairs, count(*) AS n
+FROM (SELECT DISTINCT entry_id, attr, row_id, value FROM t) x GROUP BY entry_id, attr""")
+def merged_pairs_q(spark, sf):
+    """Key/values of a batch merged per attribute, repeated pairs once."""
+    t = C.truth(spark, sf).select("entry_id", "attr", F.col("row_id").cast("int").alias("pos"), "value")
+    m = merged_pairs(t, "entry_id", "attr", "pos", "value")
+    return finalize(m.select("entry_id", "attr", F.array_join(F.transform("pairs", lambda p: F.concat_ws("=", p["pos"].cast("string"), p["value"])), "; ").alias("pairs"),
+                             F.size("pairs").alias("n")))
+
+
+@query("cap_domain", """SELECT doc_id, source, part FROM (
+  SELECT doc_id, source, 0 AS part, 0 AS r FROM documents WHERE source <> 'src1'
+  UNION ALL SELECT doc_id, source, 1, row_number() OVER (ORDER BY doc_id) FROM documents WHERE source = 'src1') x WHERE r <= 24""")
+def cap_domain(spark, sf):
+    """One domain cut to its first 24 entries and put after the others (B8); the
+    cap is the feature."""
+    d = read_table(spark, sf, "documents").select("doc_id", "source")
+    return finalize(cap_and_append(d, "source", "src1", ["doc_id"], 24).select("doc_id", "source", "part"))
+
+
 @query("renumber_ids", f"""SELECT entry_id, attr, c_custkey AS orig_id, row_id AS new_id, value FROM ({C.TRUTH_SQL}) t""")
 def renumber_ids(spark, sf):
     """Pair ids renumbered to their 1-based position in each attribute list."""
@@ -167,9 +214,11 @@ def contained_passages(spark, sf):
     """(doc_id, item_id) where the lower-cased passage occurs in the lower-cased
     document (B9). A passage of 3+ words occurs in a text only if its longest
     inner word is a whole white-space token of that text, so candidates come
-    from an equi-join on that token, then ``instr`` verifies. Passages shorter
-    than 3 words (none in the test data) are checked against every document
-    only when their count is small."""
+    from an equi-join on that token. A shorter passage may begin and end inside
+    words: its first three characters are looked up in the text -- the distinct
+    ones of all short passages, a set bounded by the alphabet, are one row that
+    every document sees -- and candidates come from an equi-join on these. Either
+    way ``instr`` verifies."""
     d = read_table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lt"))
     b = read_table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("lp"))
     b = b.withColumn("_w", F.split(F.trim("lp"), r"\s+"))
@@ -177,16 +226,13 @@ def contained_passages(spark, sf):
     key = F.aggregate(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
     long_b = b.filter(F.size("_w") >= 3).select("item_id", "lp", key.alias("token"))
     toks = d.select("doc_id", F.explode(F.array_distinct(F.split("lt", r"\s+"))).alias("token"))
-    cand = toks.join(long_b, "token").select("doc_id", "item_id", "lp").join(d, "doc_id")
-    hits = cand.filter(F.instr("lt", F.col("lp")) > 0).select("doc_id", "item_id")
-    short_b = b.filter(F.size("_w") < 3).select("item_id", "lp")
-    n_short = short_b.count()
-    if n_short:
-        if n_short > 10000:
-            raise ValueError("too many short passages for the nested-loop check")
-        hits = hits.unionByName(d.join(F.broadcast(short_b), F.instr("lt", F.col("lp")) > 0)
-                                .select("doc_id", "item_id"))
-    return hits.distinct()
+    cand = toks.join(long_b, "token").select("doc_id", "item_id", "lp")
+    short_b = b.filter(F.size("_w") < 3).select("item_id", "lp", F.substring("lp", 1, 3).alias("start"))
+    starts = short_b.agg(F.collect_set("start").alias("starts"))
+    seen = (d.join(starts, F.size("starts") > 0)
+            .select("doc_id", F.explode(F.filter("starts", lambda g: F.instr(F.col("lt"), g) > 0)).alias("start")))
+    cand = cand.unionByName(seen.join(short_b, "start").select("doc_id", "item_id", "lp"))
+    return cand.join(d, "doc_id").filter(F.instr("lt", F.col("lp")) > 0).select("doc_id", "item_id").distinct()
 
 
 @query("containment_filter", """SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b
@@ -238,19 +284,22 @@ def resume_antijoin(spark, sf):
 
 @query("prepare_dataset", """SELECT DISTINCT * FROM (
   SELECT 'customer' AS dataset, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
-  UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier) x WHERE dataset NOT IN ('excluded')""")
+  UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier
+  UNION ALL SELECT 'nation', n_name, NULL, NULL FROM nation) x WHERE dataset NOT IN ('nation')""")
 def prepare_dataset(spark, sf):
-    """Two datasets with suffixed and id columns cleaned the reference's way:
-    rename (B3), drop ``id``/``_y`` columns and strip ``_x`` (B2), drop named
-    columns (B1), union (F1), exclude datasets (B16/B8), distinct rows (F4)."""
-    c, s = tables(spark, sf, "customer", "supplier")
+    """Three datasets with suffixed and id columns: rename (B3), drop ``id``/``_y``
+    columns and strip ``_x`` (B2), drop named columns (B1), union (F1), exclude a
+    dataset by name (B16), distinct rows (F4)."""
+    c, s, n = tables(spark, sf, "customer", "supplier", "nation")
+    n2 = rename(n, {"n_name": "name_x", "n_nationkey": "nationid", "n_regionkey": "region"})
+    n3 = drop_pattern_columns(drop_columns(n2, ["region"])).withColumn("dataset", F.lit("nation"))
     c2 = rename(c, {"c_custkey": "custid", "c_name": "name_x", "c_acctbal": "acctbal_x",
                     "c_mktsegment": "segment", "c_nationkey": "nation_y"})
     s2 = rename(s, {"s_suppkey": "suppid", "s_name": "name_x", "s_acctbal": "acctbal_x", "s_nationkey": "nation_y"})
     c3 = drop_pattern_columns(c2).withColumn("dataset", F.lit("customer"))
     s3 = drop_pattern_columns(s2).withColumn("dataset", F.lit("supplier"))
-    u = union_results([c3, s3])
-    return finalize(exclude_values(u, "dataset", ["excluded"]).distinct()
+    u = union_results([c3, s3, n3])
+    return finalize(exclude_values(u, "dataset", ["nation"]).distinct()
                     .select("dataset", "name", "acctbal", "segment"))
 
 
@@ -275,7 +324,7 @@ FROM noisy WHERE lower(table_name) <> 'table_name' AND lower(column_name) <> 'co
 def cells_clean(spark, sf):
     """Cell cleanup (G20, G21, B15): whole-cell ``#`` and ``?`` become NULL,
     reserved table names get the suffix 1, header-word placeholder rows are
-    dropped (all three parts must match, Q14 fixed)."""
+    dropped (any of the three parts, Q14 fixed)."""
     r, n, o = tables(spark, sf, "region", "nation", "orders")
     raw = union_results([
         r.select(F.lit("region").alias("table_name"), F.col("r_regionkey").cast("string").alias("row_key"),
@@ -295,3 +344,35 @@ def cells_clean(spark, sf):
                       .otherwise(F.col("table_name")).alias("table_name"), "row_key", "column_name",
                       F.when(F.col("value").isin("#", "?"), F.lit(None)).otherwise(F.col("value")).alias("value"))
     return finalize(out)
+
+
+_MENTION_SQL = f"""WITH t AS ({C.TRUTH_SQL}), e AS ({C.ENTRIES_SQL}),
+p AS (SELECT t.entry_id, t.attr, t.row_id, CASE WHEN {_sql_hex("'men'", 't.entry_id', 't.attr', 't.row_id')} < 3 THEN reverse(t.value) ELSE t.value END AS value FROM t),
+k AS (SELECT p.* FROM p JOIN e ON e.entry_id = p.entry_id WHERE instr(lower(e.text), lower(p.value)) > 0)"""
+
+
+@query("mentioned_pairs", _MENTION_SQL + """
+SELECT entry_id, attr, string_agg(row_id || '=' || value, '; ' ORDER BY CAST(row_id AS INTEGER)) AS pairs FROM k GROUP BY entry_id, attr""")
+def mentioned_pairs(spark, sf):
+    """Key/value pairs whose value the entry's text mentions; an attribute left
+    without pairs goes (B9, B10). Three of sixteen values, by md5, are reversed."""
+    t = C.truth(spark, sf)
+    off = hex_digit(F.lit("men"), F.col("entry_id").cast("string"), F.col("attr"), F.col("row_id")) < 3
+    p = t.select("entry_id", "attr", F.col("row_id").cast("int").alias("pos"), F.when(off, F.reverse("value")).otherwise(F.col("value")).alias("value"))
+    g = p.groupBy("entry_id", "attr").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("pairs"))
+    j = g.join(C.entries(spark, sf).select("entry_id", F.lower("text").alias("lt")), "entry_id")
+    kept = keep_mentioned(F.col("pairs"), F.col("lt"), lambda x: x["value"])
+    j = j.select("entry_id", "attr", kept.alias("pairs")).filter(F.size("pairs") > 0)
+    return finalize(j.select("entry_id", "attr", F.array_join(F.transform("pairs", lambda x: F.concat_ws("=", x["pos"].cast("string"), x["value"])), "; ").alias("pairs")))
+
+
+@query("drop_empty_key_values", """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS quality, CAST(l.toxic AS VARCHAR) AS toxic
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
+def drop_empty_key_values(spark, sf):
+    """Entries whose key/value map is empty are dropped (B11); a document's map
+    holds its labels."""
+    d, l = tables(spark, sf, "documents", "labels")
+    kv = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    e = d.select("doc_id").join(l.select("doc_id", kv.alias("kv")), "doc_id", "left")
+    e = e.withColumn("kv", F.coalesce("kv", F.create_map().cast("map<string,string>"))).filter(F.size("kv") > 0)
+    return finalize(e.select("doc_id", F.col("kv")["quality"].alias("quality"), F.col("kv")["toxic"].alias("toxic")))
