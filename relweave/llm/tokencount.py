@@ -2,7 +2,8 @@
 
 Each task splits its documents into pre-tokens and keeps, for a block of
 documents, the block's different pre-tokens and each document's frequencies of
-them. The different pre-tokens go to the task that owns their hash, where the
+them; pre-tokens that are one piece of the vocabulary are counted at once. The
+other different pre-tokens go to the task that owns their hash, where the
 pieces of each are counted once; the piece counts return to the blocks that
 hold the pre-token, are joined to the documents' frequencies and summed.
 A frequent pre-token is one row per block, so it makes no hot task.
@@ -11,12 +12,14 @@ A frequent pre-token is one row per block, so it makes no hot task.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 from relweave.llm.bpe import byte_chars
 from relweave.llm.common import pick, shuffle_partitions, slices
 
-_WORD, _DOC = 0, 1
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 _SPACES = regex.compile(r"\s+")
 
@@ -43,6 +45,10 @@ class PieceCounter:
         # fixed value: the file's own pattern of pre-tokens
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.chars = byte_chars()
+        # words that are one piece of the vocabulary (a table of the vocabulary's size)
+        back = {c: b for b, c in self.chars.items()}
+        ends = [w[:-4] for w in self.tok.get_vocab(False) if w.endswith("</w>") and w not in self.special]
+        self.single = {w for w in (bytes(back[c] for c in x).decode("utf-8", "replace") for x in ends) if self.pieces(w) == 1}
 
     def _normal(self, text: str) -> str:
         if _BEYOND_LATIN.search(text):  # rarer scripts: the library's own lower-casing
@@ -68,21 +74,43 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Consecutive pieces of an array as a binary column."""
-    ends = np.concatenate([[0], np.cumsum(sizes * data.itemsize)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+_ROW = "block long, code int, word string, data binary"
+_NAMES = ["block", "code", "word", "data"]
+_HEAD = struct.Struct("<qqq?H")  # id, bytes, tokens of single pieces, whether the id is null, parts
 
 
-_ROW = "key long, kind int, block long, doc_id long, n_bytes long, word string, code int, data binary"
-_NAMES = ["key", "kind", "block", "doc_id", "n_bytes", "word", "code", "data"]
+def pack(doc: int | None, n_bytes: int, base: int, codes: np.ndarray) -> bytes:
+    """A document's code frequencies: codes cut into 16-bit parts and their sorted low
+    halves, frequencies as bytes (a larger one repeats its code)."""
+    kinds, freq = np.unique(codes, return_counts=True)
+    if len(freq) and freq.max() > 255:
+        n = -(-freq // 255)
+        last = np.cumsum(n) - 1
+        rest = freq - 255 * (n - 1)
+        kinds = np.repeat(kinds, n)
+        freq = np.full(len(kinds), 255)
+        freq[last] = rest
+    parts = np.bincount(kinds >> 16).astype("<u4") if len(kinds) else np.empty(0, "<u4")
+    return b"".join([_HEAD.pack(doc or 0, n_bytes, base, doc is None, len(parts)), parts.tobytes(), (kinds & 0xFFFF).astype("<u2").tobytes(), freq.astype("u1").tobytes()])
+
+
+def unpack(data: bytes) -> tuple[int | None, int, int, np.ndarray, np.ndarray]:
+    """(doc, bytes, base, codes, frequencies)."""
+    doc, n_bytes, base, null, n = _HEAD.unpack_from(data)
+    at = _HEAD.size
+    parts = np.frombuffer(data, "<u4", n, at)
+    total = int(parts.sum())
+    at += 4 * n
+    codes = np.frombuffer(data, "<u2", total, at).astype(np.int64) | np.repeat(np.arange(n) << 16, parts)
+    return None if null else doc, n_bytes, base, codes, np.frombuffer(data, "u1", total, at + 2 * total)
 
 
 def _frequencies(path: str, block_bytes: int):
-    """Tasks' rows: per block its different pre-tokens, and per document its
-    pre-token codes with frequencies."""
+    """Tasks' rows: per block its different pre-tokens of more than one piece, and
+    per document its frequencies of them."""
     def run(batches):
         c = counter(path)
+        single = c.single
         part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         seen: dict[str, int] = defaultdict()
         seen.default_factory = seen.__len__
@@ -90,32 +118,21 @@ def _frequencies(path: str, block_bytes: int):
 
         def words():
             ws = list(seen)
-            n = len(ws)
-            none = pa.nulls(n, pa.int64())
-            for i in range(0, n, 50_000):
-                m = min(50_000, n - i)
+            for i in range(0, len(ws), 50_000):
+                w = ws[i:i + 50_000]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([hash_of(w) for w in ws[i:i + m]], pa.int64()), pa.array(np.full(m, _WORD, np.int32)), pa.array(np.full(m, block)),
-                    none[:m], none[:m], pa.array(ws[i:i + m], pa.string()), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.nulls(m, pa.binary())], _NAMES)
+                    pa.array(np.full(len(w), block)), pa.array(np.arange(i, i + len(w), dtype=np.int32)), pa.array(w, pa.string()), pa.nulls(len(w), pa.binary())], _NAMES)
 
         for b in slices(batches):
-            texts = b.column("text").to_pylist()
-            n = len(texts)
-            data, sizes = [], np.zeros(n, np.int64)
-            nbytes = np.zeros(n, np.int64)
-            for i, t in enumerate(texts):
-                if not t:
-                    continue
-                nbytes[i] = len(t) if t.isascii() else len(t.encode("utf-8"))
-                codes = np.array([seen[w] for w in c.split(t)], np.int32)
-                kinds, freq = np.unique(codes, return_counts=True)
-                data.append(np.stack([kinds.astype(np.int32), freq.astype(np.int32)]).ravel())
-                sizes[i] = 2 * len(kinds)
-            flat = np.concatenate(data) if data else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.array(np.full(n, _DOC, np.int32)), pa.array(np.full(n, block)), b.column("doc_id"), pa.array(nbytes),
-                pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), _binary(flat, sizes)], _NAMES)
-            size += int(nbytes.sum())
+            rows = []
+            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                t = t or ""
+                ws = c.split(t)
+                codes = np.array([seen[w] for w in ws if w not in single], np.int64)
+                n = len(t) if t.isascii() else len(t.encode("utf-8"))
+                size += n
+                rows.append(pack(doc, n, len(ws) - len(codes), codes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.string()), pa.array(rows, pa.binary())], _NAMES)
             if size >= block_bytes:
                 yield from words()
                 seen.clear()
@@ -125,12 +142,6 @@ def _frequencies(path: str, block_bytes: int):
     return run
 
 
-def hash_of(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8")) - (1 << 63)
-
-
 def _count_pieces(path: str, flush: int = 1_000_000):
     """Sorted by pre-token: pieces of each counted once, sent to every block that
     holds it as (code, pieces) pairs packed by block. Document rows pass through."""
@@ -142,18 +153,16 @@ def _count_pieces(path: str, flush: int = 1_000_000):
 
         def packed():
             ks = list(held)
-            data = [np.stack([np.array(held[k][0], np.int32), np.array(held[k][1], np.int32)]).ravel() for k in ks]
-            n = len(ks)
-            blocks = pa.array(ks, pa.int64())
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([blocks, pa.array(np.full(n, _WORD, np.int32)), blocks, none, none, pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
-                                               _binary(np.concatenate(data), np.array([len(d) for d in data]))], _NAMES)
+            data = [np.array(held[k], np.int32).tobytes() for k in ks]
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(np.full(len(ks), -1, np.int32)), pa.nulls(len(ks), pa.string()), pa.array(data, pa.binary())], _NAMES)
 
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            if (kind == _DOC).any():
-                yield b.filter(pa.array(kind == _DOC))
-            mine = b.filter(pa.array(kind == _WORD))
+            docs = b.column("word").is_null()
+            if docs.true_count:
+                yield b.filter(docs)
+            if docs.true_count == b.num_rows:
+                continue
+            mine = b.filter(pc.invert(docs))
             for w, block, code in zip(mine.column("word").to_pylist(), mine.column("block").to_pylist(), mine.column("code").to_pylist()):
                 if w != last:
                     last, pieces = w, c.pieces(w)
@@ -171,26 +180,26 @@ def _count_pieces(path: str, flush: int = 1_000_000):
 
 
 def _sum_documents(batches):
-    """Sorted by block, piece counts first: sums frequency times pieces."""
+    """Sorted by block, piece counts (code -1) before documents (code null, last):
+    sums frequency times pieces."""
     block, parts, pieces = None, [], None
     for b in batches:
-        ids, counts, nbytes = [], [], []
-        for k, kind, doc, size, data in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "doc_id", "n_bytes", "data"))):
+        out = []
+        for k, code, data in zip(*(b.column(c).to_pylist() for c in ("block", "code", "data"))):
             if k != block:
                 block, parts, pieces = k, [], None
-            a = np.frombuffer(data or b"", np.int32).reshape(2, -1)
-            if kind == _WORD:
-                parts.append(a)
+            if code is not None:
+                parts.append(np.frombuffer(data, np.int32).reshape(2, -1))
                 continue
             if pieces is None:
                 both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int32)
                 pieces = np.zeros(int(both[0].max()) + 1 if both.shape[1] else 0, np.int64)
                 pieces[both[0]] = both[1]
                 parts = []
-            ids.append(doc)
-            nbytes.append(size)
-            counts.append(int((pieces[a[0]] * a[1]).sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nbytes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            doc, n_bytes, base, codes, freq = unpack(data)
+            out.append((doc, n_bytes, base + int((pieces[codes] * freq).sum())))
+        cols = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048,
@@ -204,6 +213,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     n = shuffle_partitions(df.sparkSession)
     rows = pick(df, id_col, text_col).mapInArrow(_frequencies(path, block_bytes), _ROW)
-    back = rows.repartition(n, "key").sortWithinPartitions("kind", "word").mapInArrow(_count_pieces(path), _ROW)
-    sums = back.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_sum_documents, "doc_id long, n_bytes long, n_tokens long")
+    to = F.coalesce("word", F.col("block").cast("string"))
+    back = rows.repartition(n, to).sortWithinPartitions("word").mapInArrow(_count_pieces(path), _ROW)
+    sums = back.repartition(n, "block").sortWithinPartitions("block", F.col("code").asc_nulls_last()).mapInArrow(_sum_documents, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
