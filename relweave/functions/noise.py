@@ -67,7 +67,7 @@ def _bump(s: Column, pattern: str, delta: Column) -> Column:
     pre = F.regexp_extract(s, pattern, 1)
     num = F.regexp_extract(s, pattern, 2)
     new = (num.cast("decimal(38,0)") + delta.cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
-    return F.concat(pre, new, F.substring(s, F.length(pre) + F.length(num) + 1, 1 << 30))
+    return F.concat(pre, new, F.substr(s, F.length(pre) + F.length(num) + 1))
 
 
 def type1(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
@@ -110,7 +110,7 @@ def _swap(w: Column, h: Column) -> Column:
     ae = F.length(F.regexp_replace(w, r"\PL+$", ""))
     sp = F.pmod(h, F.greatest(ae - 1, F.lit(1)))
     swapped = F.concat(F.substring(w, 1, sp), F.substring(w, sp + 2, 1),
-                       F.substring(w, sp + 1, 1), F.substring(w, sp + 3, 1 << 30))
+                       F.substring(w, sp + 1, 1), F.substr(w, sp + 3))
     return F.when(ae > 2, swapped).otherwise(w)
 
 

@@ -96,7 +96,7 @@ def vector_cosine(a: Column, b: Column) -> Column:
 def near_duplicates(texts: Column, threshold: float) -> Column:
     """H5/H6: positions (0-based) of an array that stay. Item j goes when any
     earlier item i (i < j) has cosine > threshold, even if i itself goes."""
-    g = F.transform(texts, gram_struct)
-    return let(g, lambda gs: F.filter(F.sequence(F.lit(0), F.size(gs) - 1), lambda j: ~F.exists(
+    g = F.transform(texts, lambda t: gram_struct(t))
+    return let(g, lambda gs: F.filter(F.transform(gs, lambda x, i: i), lambda j: ~F.exists(
         F.slice(gs, F.lit(1), j), lambda x: gram_cosine(x, F.get(gs, j)) > threshold)))
 

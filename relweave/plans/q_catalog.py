@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
 from relweave.operators.extract import rule_extract
-from relweave.operators.joins import union_results
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.registry import query
@@ -31,29 +30,28 @@ def catalog(spark, sf):
     for p, tn in M.PREFIX_TABLE.items():
         tbl = F.when(F.col("attr").startswith(p), F.lit(tn)).otherwise(tbl)
     k = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("cat|"), F.col("domain"))), 1, 1), 16, 10).cast("int"), F.lit(4))
-    base = a.select("domain", tbl.alias("table_name"), (F.col("p") + 1).cast("int").alias("col_pos"),
-                    F.col("attr").alias("column_name"),
-                    F.when(F.col("all_int") == 1, "INTEGER").when(F.col("all_num") == 1, "REAL")
-                    .otherwise("TEXT").alias("sql_type"),
-                    ((k == 3) & (F.col("attr") == "c_name")).alias("is_pk"),
-                    F.lit(False).alias("is_fk"), F.lit(None).cast("string").alias("fk_table"),
-                    F.lit(None).cast("string").alias("fk_column"))
-    tabs = base.select("domain", "table_name").distinct()
-    keys = tabs.select("domain", "table_name", F.lit(0).alias("col_pos"),
-                       F.concat("table_name", F.lit("_id")).alias("column_name"), F.lit("INTEGER").alias("sql_type"),
-                       (~((k == 0) & (F.col("table_name") == "region"))).alias("is_pk"), F.lit(False).alias("is_fk"),
-                       F.lit(None).cast("string").alias("fk_table"), F.lit(None).cast("string").alias("fk_column"))
+    none = F.lit(None).cast("string")
+    base = a.select("domain", tbl.alias("table_name"), F.struct(
+        (F.col("p") + 1).cast("int").alias("col_pos"), F.col("attr").alias("column_name"),
+        F.when(F.col("all_int") == 1, "INTEGER").when(F.col("all_num") == 1, "REAL").otherwise("TEXT").alias("sql_type"),
+        ((k == 3) & (F.col("attr") == "c_name")).alias("is_pk"), F.lit(False).alias("is_fk"), none.alias("fk_table"), none.alias("fk_column")).alias("c"))
+    # a table's columns, its key column before them and its foreign key after the last
+    t = base.groupBy("domain", "table_name").agg(F.collect_list("c").alias("cols"), F.max("c.col_pos").alias("last"))
     cust = F.col("table_name") == "customer"
-    fks = tabs.filter(F.col("table_name").isin("customer", "nation")).select(
-        "domain", "table_name", F.lit(100).alias("col_pos"),
-        F.when(cust, "nation_id").otherwise("region_id").alias("column_name"), F.lit("INTEGER").alias("sql_type"),
-        F.lit(False).alias("is_pk"), F.lit(True).alias("is_fk"),
-        F.when(cust, "nation").when(k == 2, "continent").otherwise("region").alias("fk_table"),
-        F.when(cust, F.when(k == 1, "n_name").otherwise("nation_id")).otherwise("region_id").alias("fk_column"))
-    cat = union_results([base, keys, fks])
+
+    def column(pos, name, pk, fk, fk_table, fk_column):
+        return F.struct(pos.cast("int").alias("col_pos"), name.alias("column_name"), F.lit("INTEGER").alias("sql_type"), pk.alias("is_pk"),
+                        F.lit(fk).alias("is_fk"), fk_table.alias("fk_table"), fk_column.alias("fk_column"))
+
+    key = column(F.lit(0), F.concat("table_name", F.lit("_id")), ~((k == 0) & (F.col("table_name") == "region")), False, none, none)
+    fk = column(F.col("last") + 1, F.when(cust, "nation_id").otherwise("region_id"), F.lit(False), True,
+                F.when(cust, "nation").when(k == 2, "continent").otherwise("region"),
+                F.when(cust, F.when(k == 1, "n_name").otherwise("nation_id")).otherwise("region_id"))
+    fks = F.when(F.col("table_name").isin("customer", "nation"), F.array(fk)).otherwise(F.array().cast("array<struct<col_pos:int,column_name:string,sql_type:string,is_pk:boolean,is_fk:boolean,fk_table:string,fk_column:string>>"))
+    cat = t.select("domain", "table_name", F.inline(F.concat("cols", F.array(key), fks)))
     tp = F.lit(None).cast("int")
-    for t, i in TABLE_POS.items():
-        tp = F.when(F.col("table_name") == t, F.lit(i)).otherwise(tp)
+    for tn, i in TABLE_POS.items():
+        tp = F.when(F.col("table_name") == tn, F.lit(i)).otherwise(tp)
     return cat.withColumn("table_pos", tp)
 
 
@@ -71,11 +69,11 @@ base AS (SELECT a.domain, {_TBL} AS table_name, CAST(p + 1 AS INTEGER) AS col_po
                 CASE WHEN all_int = 1 THEN 'INTEGER' WHEN all_num = 1 THEN 'REAL' ELSE 'TEXT' END AS sql_type,
                 dk.k = 3 AND attr = 'c_name' AS is_pk, false AS is_fk, NULL::VARCHAR AS fk_table, NULL::VARCHAR AS fk_column
          FROM a JOIN dk ON dk.domain = a.domain),
-tabs AS (SELECT DISTINCT b.domain, b.table_name, dk.k FROM base b JOIN dk ON dk.domain = b.domain),
+tabs AS (SELECT b.domain, b.table_name, dk.k, max(b.col_pos) AS last FROM base b JOIN dk ON dk.domain = b.domain GROUP BY ALL),
 cat0 AS (SELECT * FROM base
   UNION ALL SELECT domain, table_name, 0, table_name || '_id', 'INTEGER', NOT (k = 0 AND table_name = 'region'),
                    false, NULL, NULL FROM tabs
-  UNION ALL SELECT domain, table_name, 100, CASE WHEN table_name = 'customer' THEN 'nation_id' ELSE 'region_id' END,
+  UNION ALL SELECT domain, table_name, last + 1, CASE WHEN table_name = 'customer' THEN 'nation_id' ELSE 'region_id' END,
                    'INTEGER', false, true,
                    CASE WHEN table_name = 'customer' THEN 'nation' WHEN k = 2 THEN 'continent' ELSE 'region' END,
                    CASE WHEN table_name = 'customer' THEN (CASE WHEN k = 1 THEN 'n_name' ELSE 'nation_id' END)
@@ -158,15 +156,15 @@ def column_names(spark, sf):
 
 
 @query("id_columns", f"""WITH {CATALOG_SQL}
-SELECT domain, arg_min(table_name || '_' || column_name, table_pos * 1000 + col_pos) AS first_col,
-       arg_min(table_name || '_' || column_name, table_pos * 1000 + col_pos) FILTER (WHERE suffix(lower(column_name), 'id'))
+SELECT domain, arg_min(table_name || '_' || column_name, (table_pos, col_pos)) AS first_col,
+       arg_min(table_name || '_' || column_name, (table_pos, col_pos)) FILTER (WHERE suffix(lower(column_name), 'id'))
          AS first_id_col
 FROM cat GROUP BY domain""")
 def id_columns(spark, sf):
     """First column of the first table, and the first column ending in ``id``
     across tables, both as ``table_col`` (I2)."""
     cat = catalog(spark, sf)
-    order = F.col("table_pos") * 1000 + F.col("col_pos")
+    order = F.struct("table_pos", "col_pos")
     name = F.concat_ws("_", "table_name", "column_name")
     return finalize(cat.groupBy("domain").agg(
         F.min_by(name, order).alias("first_col"),
@@ -201,26 +199,32 @@ def ddl_text(cat):
     per_t = cat.groupBy("domain", "table_pos", "table_name").agg(
         F.array_sort(F.collect_list(F.struct("col_pos", coldef.alias("d")))).alias("cols"),
         F.array_sort(F.collect_list(tl)).alias("tls"))
-    body = F.array_join(F.concat(F.transform("cols", lambda x: x["d"]), F.col("tls")), ",\n")
+    one_line = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("ddl|"), F.col("domain"))), 1, 1), 16, 10).cast("int"), F.lit(2)) == 0
+    parts = F.concat(F.transform("cols", lambda x: x["d"]), F.col("tls"))
+    body = F.when(one_line, F.array_join(F.transform(parts, lambda x: F.trim(x)), ", ")).otherwise(F.array_join(parts, ",\n"))
     head = F.when(F.col("table_name") == "region", "CREATE TABLE IF NOT EXISTS ").otherwise("CREATE TABLE ")
     t = per_t.select("domain", "table_pos", F.concat(head, "table_name", F.lit(" (\n"), body, F.lit("\n);")).alias("ddl"))
     return t.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_pos", "ddl"))),
                                                             lambda x: x["ddl"]), "\n\n").alias("ddl"))
 
 
-BLOCK_RE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*\((.*?)\)\s*;"
-FKCOL_RE = r"(?is)^\s*`?(\w+)`?\s+\w+.*?REFERENCES\s+`?(\w+)`?\s*\(\s*`?(\w+)`?\s*\)"
+# A table's name and, up to the closing bracket before the semicolon, its body.
+BLOCK_RE = r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?(\w+)[`\"]?\s*\((.*?)\)\s*;"
+# A definition: text in which every comma stands inside brackets.
+DEFINITION_RE = r"(?:[^,()]|\([^()]*\))+"
+REFERENCE_RE = r"(?is)^\s*[`\"]?(\w+)[`\"]?\s.*\breferences\s+[`\"]?(\w+)[`\"]?\s*\(\s*[`\"]?(\w+)"
 
 
 def fks_from_ddl(ddl):
-    """Inline FK references per column of each CREATE TABLE block (I6); table
-    level FOREIGN KEY lines are skipped; one-line tables and IF NOT EXISTS are
-    handled (Q26 fixed)."""
+    """Inline FK references per column of each CREATE TABLE block (I6): a body is cut
+    at the commas outside brackets, so one-line tables and types such as
+    DECIMAL(5,2) bind the right column (Q26 fixed); table-level FOREIGN KEY lines
+    are left out."""
     b = ddl.select("domain", F.arrays_zip(F.regexp_extract_all("ddl", F.lit(BLOCK_RE), 1).alias("t"),
                                           F.regexp_extract_all("ddl", F.lit(BLOCK_RE), 2).alias("b")).alias("z"))
-    blocks = b.select("domain", F.inline("z"))
-    lines = blocks.select("domain", F.col("t").alias("table_name"), F.explode(F.split("b", r",\s*\n")).alias("line"))
-    m = lines.select("domain", "table_name", *[F.regexp_extract("line", FKCOL_RE, i).alias(n)
+    parts = b.select("domain", F.inline("z")).select("domain", F.col("t").alias("table_name"),
+                                                     F.explode(F.regexp_extract_all("b", F.lit(DEFINITION_RE), 0)).alias("part"))
+    m = parts.select("domain", "table_name", *[F.regexp_extract("part", REFERENCE_RE, i).alias(n)
                                                for i, n in ((1, "column_name"), (2, "ref_table"), (3, "ref_column"))])
     return m.filter((F.col("column_name") != "") & (F.upper("column_name") != "FOREIGN"))
 
@@ -233,14 +237,16 @@ cd AS (SELECT domain, table_pos, table_name, col_pos,
   FROM cat),
 pt AS (SELECT domain, table_pos, table_name,
   CASE WHEN table_name = 'region' THEN 'CREATE TABLE IF NOT EXISTS ' ELSE 'CREATE TABLE ' END || table_name || ' (' || chr(10) ||
-  array_to_string(list_concat(list(d ORDER BY col_pos), coalesce(list(tl ORDER BY tl) FILTER (WHERE tl IS NOT NULL), [])), ',' || chr(10))
+  CASE WHEN ('0x' || substr(md5('ddl|' || domain), 1, 1))::INTEGER % 2 = 0
+   THEN array_to_string(list_transform(list_concat(list(d ORDER BY col_pos), coalesce(list(tl ORDER BY tl) FILTER (WHERE tl IS NOT NULL), [])), lambda x: trim(x)), ', ')
+   ELSE array_to_string(list_concat(list(d ORDER BY col_pos), coalesce(list(tl ORDER BY tl) FILTER (WHERE tl IS NOT NULL), [])), ',' || chr(10)) END
   || chr(10) || ');' AS ddl FROM cd GROUP BY domain, table_pos, table_name),
 dd AS (SELECT domain, string_agg(ddl, chr(10) || chr(10) ORDER BY table_pos) AS ddl FROM pt GROUP BY domain),
 bl AS (SELECT domain, unnest(regexp_extract_all(ddl, '{BLOCK_RE}', 1)) AS t,
               unnest(regexp_extract_all(ddl, '{BLOCK_RE}', 2)) AS b FROM dd),
-ln AS (SELECT domain, t AS table_name, unnest(string_split_regex(b, ',\\s*\\n')) AS line FROM bl),
-m AS (SELECT domain, table_name, regexp_extract(line, '{FKCOL_RE}', 1) AS column_name,
-             regexp_extract(line, '{FKCOL_RE}', 2) AS ref_table, regexp_extract(line, '{FKCOL_RE}', 3) AS ref_column FROM ln)
+ln AS (SELECT domain, t AS table_name, unnest(regexp_extract_all(b, '{DEFINITION_RE}')) AS line FROM bl),
+m AS (SELECT domain, table_name, regexp_extract(line, '{REFERENCE_RE}', 1) AS column_name,
+             regexp_extract(line, '{REFERENCE_RE}', 2) AS ref_table, regexp_extract(line, '{REFERENCE_RE}', 3) AS ref_column FROM ln)
 SELECT * FROM m WHERE column_name <> '' AND upper(column_name) <> 'FOREIGN'"""
 
 

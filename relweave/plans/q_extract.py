@@ -8,13 +8,14 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from relweave.functions.text import finalize, split_lines, split_sentences
+from relweave.functions.text import finalize, materialize, split_lines, split_sentences
 from relweave.operators.extract import rule_extract, table_of
 from relweave.operators.joins import union_results
-from relweave.operators.similarity import best_matches, gram_cosine, gram_struct, let, near_duplicates, vector_cosine, with_grams
+from relweave.operators.similarity import gram_cosine, let, near_duplicates, vector_cosine, with_grams
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.q_catalog import CATALOG_SQL, catalog
+from relweave.plans.q_clean import _sql_hex, hex_digit
 from relweave.plans.registry import query
 from relweave.sources.tables import read_table, tables
 
@@ -45,33 +46,51 @@ def schema_bound_facts(spark, sf):
     return finalize(j.select("entry_id", "line_pos", "table_name", "column_name", "value"))
 
 
-@query("population_strategies", f"""WITH f AS ({C.FACTS_SQL}),
-cells AS (SELECT 'ts' AS method, entry_id, line_pos, {M.PREFIX_TABLE and "CASE " + " ".join(f"WHEN starts_with(attr, '{p}') THEN '{t}'" for p, t in M.PREFIX_TABLE.items()) + " END"} AS table_name, attr, value FROM f
-  UNION ALL SELECT 'tst', entry_id, line_pos, {"CASE " + " ".join(f"WHEN starts_with(attr, '{p}') THEN '{t}'" for p, t in M.PREFIX_TABLE.items()) + " END"}, attr, value FROM f
-            WHERE attr IN ({", ".join(f"'{c}'" for c in C.CUST_COLS)})
-  UNION ALL SELECT 'tst_l', entry_id, line_pos, {"CASE " + " ".join(f"WHEN starts_with(attr, '{p}') THEN '{t}'" for p, t in M.PREFIX_TABLE.items()) + " END"}, attr, value FROM f
-            WHERE attr IN ({", ".join(f"'{c}'" for c in C.CUST_COLS)})
+_TABLE_SQL = "CASE " + " ".join(f"WHEN starts_with(attr, '{p}') THEN '{t}'" for p, t in M.PREFIX_TABLE.items()) + " END"
+_BOUND_SQL = "attr IN (" + ", ".join(f"'{c}'" for c in C.CUST_COLS) + ")"
+_CELLS_SQL = f"""f AS ({C.FACTS_SQL}),
+cells AS (SELECT 'ts' AS method, entry_id, line_pos, {_TABLE_SQL} AS table_name, attr, value FROM f
+  UNION ALL SELECT 'tst', entry_id, line_pos, {_TABLE_SQL}, attr, value FROM f WHERE {_BOUND_SQL}
+  UNION ALL SELECT 'tst_l', entry_id, line_pos, {_TABLE_SQL}, attr, value FROM f WHERE {_BOUND_SQL}
               AND (attr <> 'c_acctbal' OR TRY_CAST(value AS DOUBLE) IS NOT NULL)
               AND (attr <> 'c_nationkey' OR (regexp_matches(value, '^\\s*[+-]?[0-9]+\\s*$') AND TRY_CAST(value AS BIGINT) IS NOT NULL))
-  UNION ALL SELECT 'baseline', entry_id, line_pos, 'data', attr, value FROM f)
+  UNION ALL SELECT 'baseline', entry_id, line_pos, 'data', attr, value FROM f)"""
+
+
+def population_cells(spark, sf):
+    """(method, entry_id, line_pos, table_name, attr, value): four ways to populate
+    tables from the same entries (J5, J6): text only (ts), facts bound to the
+    schema (tst), bound and typed (tst_l), and one wide table (baseline)."""
+    f = rule_extract(C.entries(spark, sf)).withColumn("table_name", table_of("attr", M.PREFIX_TABLE))
+    bound = F.col("attr").isin(*C.CUST_COLS)
+    typed = (((F.col("attr") != "c_acctbal") | F.col("value").try_cast("double").isNotNull())
+             & ((F.col("attr") != "c_nationkey") | F.col("value").try_cast("bigint").isNotNull()))
+    # one pass over the facts: the methods that take a fact, with the table it goes to
+    ways = F.array_compact(F.array(
+        F.when(F.col("table_name").isNotNull(), F.struct(F.lit("ts").alias("method"), F.col("table_name").alias("t"))),
+        F.when(bound & F.col("table_name").isNotNull(), F.struct(F.lit("tst").alias("method"), F.col("table_name").alias("t"))),
+        F.when(bound & typed & F.col("table_name").isNotNull(), F.struct(F.lit("tst_l").alias("method"), F.col("table_name").alias("t"))),
+        F.struct(F.lit("baseline").alias("method"), F.lit("data").alias("t"))))
+    return (f.select("entry_id", "line_pos", "attr", "value", F.inline(ways))
+            .select("method", "entry_id", "line_pos", F.col("t").alias("table_name"), "attr", "value"))
+
+
+@query("population_strategies", f"""WITH {_CELLS_SQL}
 SELECT method, count(*) AS n_cells, count(DISTINCT (entry_id, line_pos)) AS n_rows,
        count(DISTINCT table_name) AS n_tables FROM cells WHERE table_name IS NOT NULL GROUP BY method""")
 def population_strategies(spark, sf):
-    """Four ways to populate tables from the same entries (J5, J6): text only
-    (ts), facts bound to the schema (tst), bound and typed (tst_l), and one
-    wide table (baseline)."""
-    f = rule_extract(C.entries(spark, sf)).withColumn("table_name", table_of("attr", M.PREFIX_TABLE))
-    bound = f.filter(F.col("attr").isin(*C.CUST_COLS))
-    typed = bound.filter(((F.col("attr") != "c_acctbal") | F.col("value").try_cast("double").isNotNull())
-                         & ((F.col("attr") != "c_nationkey") | F.col("value").try_cast("bigint").isNotNull()))
-    cells = union_results([f.withColumn("method", F.lit("ts")), bound.withColumn("method", F.lit("tst")),
-                           typed.withColumn("method", F.lit("tst_l")),
-                           f.withColumn("method", F.lit("baseline")).withColumn("table_name", F.lit("data"))])
-    return finalize(cells.filter(F.col("table_name").isNotNull()).groupBy("method").agg(
+    """Cells, rows and tables that each way of populating makes."""
+    return finalize(population_cells(spark, sf).groupBy("method").agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_distinct("entry_id", "line_pos").alias("n_rows"),
         F.count_distinct("table_name").alias("n_tables")))
 
 
+@query("population_cells", f"""WITH {_CELLS_SQL}
+SELECT method, entry_id, line_pos, table_name, attr, value FROM cells WHERE table_name IS NOT NULL""")
+def population_cells_q(spark, sf):
+    return finalize(population_cells(spark, sf))
+
+
 FDS = [("c_nationkey", "n_name"), ("n_name", "n_regionkey"), ("c_mktsegment", "c_nationkey"),
        ("n_regionkey", "n_nationkey")]
 
@@ -94,6 +113,20 @@ def functional_dependency(spark, sf):
     return finalize(union_results(outs))
 
 
+def _nouns(sentences):
+    words = F.flatten(F.transform(sentences, lambda s: F.split(s, r"\s+")))
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\pL\pN]+|[^\pL\pN]+$", ""))
+    return F.filter(bare, lambda t: t.rlike(r"^\pN+$") | t.rlike(r"^\p{Lu}"))
+
+
+def _fact_texts(text):
+    """``attr | is | value`` of a text's facts, ordered by item."""
+    lines = F.transform(split_lines(text), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\.$", ""))
+    items = F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, ", "))), lambda x: F.instr(x, " is ") > 0)
+    return F.transform(F.array_sort(items), lambda x: F.concat(
+        F.substr(x, F.lit(1), F.instr(x, " is ") - 1), F.lit(" | is | "), F.substr(x, F.instr(x, " is ") + 4)))
+
+
 @query("noun_coverage", r"""WITH s AS (SELECT d.doc_id, u.s FROM documents d, unnest(list_filter(list_transform(
         string_split(regexp_replace(d.text, '\.\s+', '.' || chr(1), 'g'), chr(1)),
         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS u(s)),
@@ -103,61 +136,111 @@ c AS (SELECT doc_id, tok FROM t WHERE regexp_matches(tok, '^\pN+$') OR regexp_ma
 l AS (SELECT d.doc_id, u.line FROM documents d, unnest(string_split(d.text, chr(10))) AS u(line)),
 i AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\.$', ''), ', ')) AS item FROM l),
 fa AS (SELECT doc_id, string_agg(substr(item, 1, instr(item, ' is ') - 1) || ' | is | ' || substr(item, instr(item, ' is ') + 4),
-                                 ' || ' ORDER BY item) AS blob FROM i WHERE instr(item, ' is ') > 0 GROUP BY doc_id)
+                                 ' || ' ORDER BY item) AS blob FROM i WHERE instr(item, ' is ') > 0 GROUP BY doc_id),
+pt AS (SELECT DISTINCT doc_id, unnest([substr(item, 1, instr(item, ' is ') - 1), substr(item, instr(item, ' is ') + 4)]) AS part
+       FROM i WHERE instr(item, ' is ') > 0)
 SELECT d.doc_id, count(c.tok) AS n_tokens,
-       count(c.tok) FILTER (WHERE fa.blob IS NULL OR instr(fa.blob, c.tok) = 0) AS n_uncovered
+       count(c.tok) FILTER (WHERE fa.blob IS NULL OR instr(fa.blob, c.tok) = 0) AS n_uncovered,
+       count(DISTINCT c.tok) FILTER (WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.doc_id = c.doc_id AND pt.part = c.tok)) AS n_not_a_value
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN fa ON fa.doc_id = d.doc_id GROUP BY d.doc_id""")
 def noun_coverage(spark, sf):
-    """Candidate nouns (numbers, capitalised words; a POS tagger can replace
-    the rule) that no extracted fact covers (G12, F6). Coverage is a substring
-    test against the document's facts joined into one text, so no token x fact
-    pairs are formed."""
+    """Candidate nouns (numbers, capitalised words; a POS tagger can replace the
+    rule) that no extracted fact covers (G12, F6), by substring of the
+    document's facts and by equality with a fact's value. Tokens and facts stay
+    in the document's row."""
     d = read_table(spark, sf, "documents")
-    s = d.select("doc_id", F.explode(split_sentences("text")).alias("s"))
-    w = s.select("doc_id", F.explode(F.split("s", r"\s+")).alias("w"))
-    t = w.select("doc_id", F.regexp_replace("w", r"^[^\pL\pN]+|[^\pL\pN]+$", "").alias("tok"))
-    c = t.filter(F.col("tok").rlike(r"^\pN+$") | F.col("tok").rlike(r"^\p{Lu}"))
-    f = rule_extract(d.select(F.col("doc_id").alias("entry_id"), "text"))
-    fa = f.groupBy(F.col("entry_id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(
-        F.struct(F.concat("attr", F.lit(" is "), "value").alias("item"),
-                 F.concat("attr", F.lit(" | is | "), "value").alias("t")))).getField("t"), " || ").alias("blob"))
-    j = d.select("doc_id").join(c, "doc_id", "left").join(fa, "doc_id", "left")
-    unc = F.col("tok").isNotNull() & (F.col("blob").isNull() | (F.instr("blob", F.col("tok")) == 0))
-    return finalize(j.groupBy("doc_id").agg(F.count("tok").alias("n_tokens"), F.count(F.when(unc, 1)).alias("n_uncovered")))
-
-
-@query("string_similarity_topk", """WITH n AS (SELECT DISTINCT p_name AS s FROM part),
-pr AS (SELECT a.s AS a, b.s AS b FROM n a JOIN n b ON a.s <> b.s),
+    d = materialize(d, ["doc_id"], nouns=_nouns(split_sentences("text")), facts=_fact_texts("text"))
+    d = materialize(d, ["doc_id", "nouns"], blob=F.array_join("facts", " || "),
+                    parts=F.array_distinct(F.flatten(F.transform("facts", lambda x: F.split(x, r" \| is \| ")))))
+    # a noun that repeats is looked up once
+    d = materialize(d, ["doc_id", "nouns", "parts"], lacking=F.filter(F.array_distinct("nouns"), lambda t: F.instr(F.col("blob"), t) == 0))
+    return finalize(d.select("doc_id", F.size("nouns").alias("n_tokens"),
+                             F.size(F.filter("nouns", lambda t: F.array_contains(F.col("lacking"), t))).alias("n_uncovered"),
+                             F.size(F.array_except("nouns", "parts")).alias("n_not_a_value")))
+
+
+@query("string_similarity_topk", """WITH n AS (SELECT DISTINCT p_brand, p_name AS s FROM part),
+pr AS (SELECT a.p_brand, a.s AS a, b.s AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.s <> b.s),
 """ + M.sql_cos("s", "SELECT a, b FROM pr") + """
-SELECT a AS name, round(max(cos), 6) AS best, count(*) FILTER (WHERE cos >= 0.5) AS n_similar FROM scs GROUP BY a""")
+SELECT n.p_brand, n.s AS name, round(coalesce(max(cos), 0.0), 6) AS best, arg_max(pr.b, (cos, pr.b)) AS best_match,
+       count(*) FILTER (WHERE cos >= 0.5) AS n_similar
+FROM n LEFT JOIN pr ON pr.p_brand = n.p_brand AND pr.a = n.s LEFT JOIN scs ON scs.a = pr.a AND scs.b = pr.b GROUP BY n.p_brand, n.s""")
 def string_similarity_topk(spark, sf):
-    """For each distinct part name, its best cosine against the other names
-    and how many score >= 0.5 (H2, H3, E12). Names are deduplicated first and
-    only gram-sharing pairs are formed."""
-    p = read_table(spark, sf, "part").select(F.col("p_name").alias("s")).distinct().withColumn("b", F.lit(0))
-    bc = block_cosine(p, p, ["b"], "s", "s").filter(F.col("l") != F.col("r"))
-    agg = bc.groupBy(F.col("l").alias("name")).agg(F.max("cos").alias("best"),
-                                                   F.count(F.when(F.col("cos") >= 0.5, 1)).alias("n_similar"))
-    out = p.select(F.col("s").alias("name")).join(agg, "name", "left")
-    return finalize(out.select("name", F.coalesce("best", F.lit(0.0)).alias("best"),
-                               F.coalesce("n_similar", F.lit(0)).alias("n_similar")))
+    """For each distinct part name of a brand the nearest other name of the brand,
+    its cosine, and how many score >= 0.5 (H2, H3, E12). A brand's names are one
+    row; each pair is scored there."""
+    p = read_table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"))
+    p = materialize(p, ["p_brand"], g=with_grams(F.col("names")))
 
+    def one(x):
+        others = F.transform(F.filter("g", lambda y: y["s"] != x["s"]), lambda y: F.struct(gram_cosine(x["g"], y["g"]).alias("cos"), y["s"].alias("s")))
+        return let(others, lambda o: F.struct(x["s"].alias("name"), F.coalesce(F.array_max(o)["cos"], F.lit(0.0)).alias("best"), F.array_max(o)["s"].alias("best_match"),
+                                              F.size(F.filter(o, lambda y: y["cos"] >= 0.5)).alias("n_similar")))
+    return finalize(p.select("p_brand", F.inline(F.transform("g", one))))
+
+
+FACT_T, CELL_T = 0.97, 0.99
+
+
+def _near_dup_sql(items: str, least: float) -> str:
+    """SQL for items(entry_id, line_pos, pos, t): kept unless an earlier one is too close."""
+    return f"""WITH {items},
+pr AS (SELECT a.entry_id, a.line_pos, a.pos AS pi, b.pos AS pj, a.t AS a, b.t AS b FROM items a JOIN items b
+       ON a.entry_id = b.entry_id AND a.line_pos = b.line_pos AND a.pos < b.pos),
+{M.sql_cos('n', 'SELECT a, b FROM pr')},
+gone AS (SELECT DISTINCT pr.entry_id, pr.line_pos, pr.pj FROM pr JOIN ncs ON ncs.a = pr.a AND ncs.b = pr.b WHERE ncs.cos > {least})
+SELECT i.entry_id, i.line_pos, i.pos, i.t FROM items i
+LEFT JOIN gone g ON g.entry_id = i.entry_id AND g.line_pos = i.line_pos AND g.pj = i.pos WHERE g.pj IS NULL"""
+
+
+def _copies(spark, sf):
+    """Facts of every entry, and by md5 a second mention of one in four: the same,
+    or with one more letter. Positions follow the facts, copies after originals."""
+    f = rule_extract(C.entries(spark, sf))
+    h = hex_digit(F.lit("dup"), F.col("entry_id").cast("string"), F.col("line_pos").cast("string"), F.col("fact_pos").cast("string"))
+    again = F.when(h < 2, F.col("value")).when(h < 4, F.concat("value", F.lit("s")))
+    both = F.array_compact(F.array(F.struct(F.lit(0).alias("copy"), F.col("value").alias("v")),
+                                   F.when(again.isNotNull(), F.struct(F.lit(1).alias("copy"), again.alias("v")))))
+    return f.select("entry_id", "line_pos", "fact_pos", "attr", F.inline(both))
 
-NEAR_DUP_T = 0.97
 
+_COPIES_SQL = f"""ff AS ({C.FACTS_SQL}),
+hh AS (SELECT *, {_sql_hex("'dup'", 'CAST(entry_id AS VARCHAR)', 'CAST(line_pos AS VARCHAR)', 'CAST(fact_pos AS VARCHAR)')} AS h FROM ff),
+cp AS (SELECT entry_id, line_pos, fact_pos, attr, 0 AS copy, value AS v FROM hh
+       UNION ALL SELECT entry_id, line_pos, fact_pos, attr, 1, CASE WHEN h < 2 THEN value ELSE value || 's' END FROM hh WHERE h < 4)"""
 
-# No oracle SQL: an all-pairs self-join over whole lines is too large for the
-# SQL engine on whole tables; tests/test_operators.py checks the operator
-# against brute force on a small fixture instead.
-@query("near_dup_facts")
+
+def _kept(items, threshold):
+    """Items (entry_id, line_pos, order columns o, text t) that stay, one row per paragraph."""
+    g = items.groupBy("entry_id", "line_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]).alias("ts"))
+    kept = F.transform(near_duplicates(F.col("ts"), threshold), lambda j: F.struct(j.alias("pos"), F.get("ts", j).alias("t")))
+    return g.select("entry_id", "line_pos", F.inline(kept))
+
+
+@query("near_dup_facts", _near_dup_sql(_COPIES_SQL + """,
+items AS (SELECT entry_id, line_pos, row_number() OVER (PARTITION BY entry_id, line_pos ORDER BY copy, fact_pos) - 1 AS pos,
+                 'row | ' || attr || ' | ' || v AS t FROM cp)""", FACT_T))
 def near_dup_facts(spark, sf):
-    """Near-duplicate lines inside a document removed (H5): line j goes when
-    any earlier line has cosine > 0.97, even if that one goes too."""
-    d = read_table(spark, sf, "documents")
-    lines = d.select("doc_id", F.posexplode(split_lines("text")).alias("pos", "t"))
-    return finalize(near_duplicates(lines, ["doc_id"], "pos", "t", NEAR_DUP_T).select("doc_id", "pos"))
+    """Near-duplicate facts inside a paragraph removed (H5): compared as ``subject |
+    relation | object``; a fact goes when an earlier one has cosine > 0.97, even
+    if that one goes too."""
+    c = _copies(spark, sf)
+    items = c.select("entry_id", "line_pos", F.struct("copy", "fact_pos").alias("o"), F.concat(F.lit("row | "), "attr", F.lit(" | "), "v").alias("t"))
+    return finalize(_kept(items, FACT_T))
 
 
+@query("near_dup_cells", _near_dup_sql(_COPIES_SQL + f""",
+items AS (SELECT entry_id, line_pos, row_number() OVER (PARTITION BY entry_id, line_pos ORDER BY copy, fact_pos) - 1 AS pos,
+                 ({_TABLE_SQL}) || ' | ' || attr || ' | ' || v AS t FROM cp WHERE ({_TABLE_SQL}) IS NOT NULL AND {_BOUND_SQL})""", CELL_T))
+def near_dup_cells(spark, sf):
+    """Near-duplicate schema-bound values inside a paragraph removed (H6): compared
+    as ``table | column | value`` at 0.99."""
+    c = _copies(spark, sf).withColumn("table_name", table_of("attr", M.PREFIX_TABLE)).filter(F.col("table_name").isNotNull() & F.col("attr").isin(*C.CUST_COLS))
+    items = c.select("entry_id", "line_pos", F.struct("copy", "fact_pos").alias("o"), F.concat_ws(" | ", "table_name", "attr", "v").alias("t"))
+    return finalize(_kept(items, CELL_T))
+
+
+NEAR_DUP_T = 0.97
 GRID_DIMS = 3
 
 

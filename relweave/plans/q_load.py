@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
@@ -10,6 +12,7 @@ from relweave.plans.q_clean import _sql_hex, hex_digit
 from relweave.plans.registry import query
 from relweave.sources.tables import read_table
 
+ENTRY_ROWS = 5
 PK = ["l_orderkey", "l_linenumber"]
 SEQ = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag",
        "l_linestatus", "l_shipdate"]
@@ -58,10 +61,17 @@ def pk_merge_non_null(spark, sf):
     return finalize(m.select(*PK, *[F.col(f"n_{c}").alias(c) for c in NULLED]))
 
 
-# Catalog of the loaded table: column -> (SQL type, primary key).
-ORDERS_CATALOG = [("o_orderkey", "INTEGER", True), ("o_custkey", "INTEGER", False),
-                  ("o_totalprice", "REAL", False), ("o_orderdate", "DATE", False), ("o_urgent", "BOOLEAN", False)]
-SPARK_TYPE = {"INTEGER": "bigint", "REAL": "double", "DATE": "date"}
+# Catalog of the loaded table: column -> (SQL type, part of the primary key).
+ORDERS_CATALOG = [("o_orderkey", "INTEGER", True), ("o_custkey", "INTEGER", False), ("o_totalprice", "REAL", False),
+                  ("o_orderdate", "DATE", False), ("o_urgent", "BOOLEAN", False), ("o_orderstatus", "TEXT", False)]
+# SQL types and what they load as (B14); any other type loads as text.
+SPARK_TYPE = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double", "DECIMAL": "double", "NUMERIC": "double",
+              "DATE": "date"}
+
+
+def runtime_type(sql_type: str) -> str:
+    """Type name without its size, as the type it loads as; ``string`` if unknown."""
+    return SPARK_TYPE.get(sql_type.split("(")[0].strip().upper(), "string")
 
 
 def raw_orders(spark, sf):
@@ -81,7 +91,7 @@ def raw_orders(spark, sf):
     urgent = F.when(F.col("o_orderpriority") == "1-URGENT", "True").otherwise("False")
     urg = (F.when(d("ug") == 0, "maybe").when(d("ug") == 1, F.concat(F.lit("'"), urgent, F.lit("'"))).otherwise(urgent))
     return o.select(F.col("o_orderkey").alias("seq"), pk.alias("o_orderkey"), cust.alias("o_custkey"),
-                    price.alias("o_totalprice"), date.alias("o_orderdate"), urg.alias("o_urgent"))
+                    price.alias("o_totalprice"), date.alias("o_orderdate"), urg.alias("o_urgent"), "o_orderstatus")
 
 
 def clean_cell(c):
@@ -96,26 +106,45 @@ def parse_bool(c):
     return F.when(lc.isin("true", "1", "yes"), True).when(lc.isin("false", "0", "no"), False)
 
 
-def typed_load(raw, catalog=ORDERS_CATALOG, seq="seq"):
-    """(loaded, rejects): typed columns with raw text kept, key rules applied.
-    Rejects: NULL key, non-integer key, duplicate key (first row by ``seq``
-    wins); cells that do not cast are kept as NULL and reported."""
-    cols = [c for c, _, _ in catalog]
-    pk = [c for c, _, p in catalog if p][0]
-    x = raw.select(seq, *[clean_cell(F.col(c)).alias(f"raw_{c}") for c in cols])
+def typed_load(raw, catalog=ORDERS_CATALOG, seq="seq", keep=()):
+    """All rows of ``raw`` with their cells cleaned and typed by ``catalog``, and
+    ``reasons``: why a row or a cell is refused. One scan and one join.
+
+    A row is refused when a key column is missing (``pk_null``) or does not fit its
+    type (``pk_not_integer``), or when an earlier row by ``seq`` has the same key
+    (``duplicate_pk``); the key may have several columns. In a row that loads, a
+    cell that does not fit its type becomes NULL with ``cast_failed:<column>``.
+    Without key columns no row is refused."""
+    pk = [c for c, _, p in catalog if p]
+    x = raw.select(seq, *keep, *[clean_cell(F.col(c)).alias(f"raw_{c}") for c, _, _ in catalog])
     for c, t, _ in catalog:
-        x = x.withColumn(c, parse_bool(F.col(f"raw_{c}")) if t == "BOOLEAN" else F.col(f"raw_{c}").try_cast(SPARK_TYPE[t]))
-    first = x.filter(F.col(pk).isNotNull()).groupBy(pk).agg(F.min(seq).alias("_first"))
-    x = x.join(first, pk, "left")
-    reason = (F.when(F.col(f"raw_{pk}").isNull(), "pk_null").when(F.col(pk).isNull(), "pk_not_integer")
-              .when(F.col(seq) != F.col("_first"), "duplicate_pk"))
-    x = x.withColumn("reason", reason)
-    loaded = x.filter(F.col("reason").isNull())
-    row_rej = x.filter(F.col("reason").isNotNull()).select(seq, "reason")
-    cell_rej = union_results([
-        loaded.filter(F.col(f"raw_{c}").isNotNull() & F.col(c).isNull())
-        .select(seq, F.lit(f"cast_failed:{c}").alias("reason")) for c in cols if c != pk])
-    return loaded, row_rej.unionByName(cell_rej)
+        x = x.withColumn(c, parse_bool(F.col(f"raw_{c}")) if t == "BOOLEAN" else F.col(f"raw_{c}").try_cast(runtime_type(t)))
+    refused = F.lit(None).cast("string")
+    if pk:
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
+        # grouped minimum with map-side combine: a hot key is one row per task
+        first = x.filter(whole).groupBy(*pk).agg(F.min(seq).alias("_first"))
+        x = x.join(first, pk, "left")
+        missing = reduce(lambda a, b: a | b, [F.col(f"raw_{c}").isNull() for c in pk])
+        refused = F.when(missing, "pk_null").when(~whole, "pk_not_integer").when(F.col(seq) != F.col("_first"), "duplicate_pk")
+    failed = F.array_compact(F.array(*[F.when(F.col(f"raw_{c}").isNotNull() & F.col(c).isNull(), F.lit(f"cast_failed:{c}"))
+                                       for c, _, p in catalog if not p]))
+    x = x.withColumn("refused", refused)
+    reasons = F.when(F.col("refused").isNotNull(), F.array("refused")).otherwise(failed)
+    return x.select(seq, *keep, *[c for c, _, _ in catalog], "refused", reasons.alias("reasons"))
+
+
+def load_tables(raw, catalogs: dict, table="table_name", seq="seq"):
+    """Rows of several tables in one frame: each table is typed by its own catalog,
+    rows of unknown tables are refused (``unknown_table``). Returns {table: frame}
+    and the refused rows as (seq, table_name, reason)."""
+    out, bad = {}, [raw.filter(~F.col(table).isin(list(catalogs)) | F.col(table).isNull())
+                    .select(seq, F.col(table).alias("table_name"), F.lit("unknown_table").alias("reason"))]
+    for name, catalog in catalogs.items():
+        t = typed_load(raw.filter(F.col(table) == name), catalog, seq)
+        out[name] = t.filter(F.col("refused").isNull()).drop("refused", "reasons")
+        bad.append(t.select(seq, F.lit(name).alias("table_name"), F.explode("reasons").alias("reason")))
+    return out, union_results(bad)
 
 
 def _raw_sql() -> str:
@@ -128,7 +157,7 @@ def _raw_sql() -> str:
        ELSE CAST(o_custkey AS VARCHAR) END AS r_cust,
   CASE WHEN {d('tp')} = 0 THEN CAST(o_totalprice AS VARCHAR) || ' USD' ELSE CAST(o_totalprice AS VARCHAR) END AS r_price,
   CASE WHEN {d('od')} = 0 THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS r_date,
-  CASE WHEN {d('ug')} = 0 THEN 'maybe' WHEN {d('ug')} = 1 THEN '''' || {urgent} || '''' ELSE {urgent} END AS r_urg
+  CASE WHEN {d('ug')} = 0 THEN 'maybe' WHEN {d('ug')} = 1 THEN '''' || {urgent} || '''' ELSE {urgent} END AS r_urg, o_orderstatus AS r_status
 FROM orders"""
 
 
@@ -139,7 +168,7 @@ def _clean_sql(c: str) -> str:
 
 LOAD_SQL = f"""WITH raw AS ({_raw_sql()}),
 c AS (SELECT seq, {_clean_sql('r_pk')} AS raw_pk, {_clean_sql('r_cust')} AS raw_cust, {_clean_sql('r_price')} AS raw_price,
-             {_clean_sql('r_date')} AS raw_date, {_clean_sql('r_urg')} AS raw_urg FROM raw),
+             {_clean_sql('r_date')} AS raw_date, {_clean_sql('r_urg')} AS raw_urg, {_clean_sql('r_status')} AS raw_status FROM raw),
 t AS (SELECT *, CASE WHEN regexp_matches(raw_pk, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(raw_pk AS BIGINT) END AS pk,
              CASE WHEN regexp_matches(raw_cust, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(raw_cust AS BIGINT) END AS cust,
              TRY_CAST(raw_price AS DOUBLE) AS price, TRY_CAST(raw_date AS DATE) AS dt,
@@ -159,23 +188,55 @@ rej AS (SELECT seq, reason FROM r WHERE reason IS NOT NULL
 
 @query("typed_load_rejects", LOAD_SQL + " SELECT seq, reason FROM rej")
 def typed_load_rejects(spark, sf):
-    _, rej = typed_load(raw_orders(spark, sf))
-    return finalize(rej)
+    """Refused rows and cells with the reason."""
+    x = typed_load(raw_orders(spark, sf))
+    return finalize(x.select("seq", F.explode("reasons").alias("reason")))
+
 
+@query("typed_load_rows", LOAD_SQL + """
+SELECT seq, pk AS o_orderkey, cust AS o_custkey, round(price, 6) AS o_totalprice, strftime(dt, '%Y-%m-%d') AS o_orderdate, urg AS o_urgent, raw_status AS o_orderstatus
+FROM loaded""")
+def typed_load_rows(spark, sf):
+    """The loaded table itself: typed cells of the rows that load."""
+    x = typed_load(raw_orders(spark, sf)).filter(F.col("refused").isNull())
+    return finalize(x.select("seq", "o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+                             "o_urgent", "o_orderstatus"))
 
-@query("load_validity", LOAD_SQL + """
-SELECT (SELECT count(*) FROM raw) AS n_in, (SELECT count(*) FROM loaded) AS n_loaded,
-       (SELECT count(*) FROM r WHERE reason IS NOT NULL) AS n_rejected,
-       (SELECT count(*) FROM rej WHERE starts_with(reason, 'cast_failed')) AS n_cast_failed,
-       (SELECT count(*) FROM rej) = 0 AS valid""")
+
+LINE_CATALOG = [("l_orderkey", "INTEGER", True), ("l_linenumber", "INTEGER", True), ("l_quantity", "DECIMAL(15,2)", False), ("l_shipmode", "VARCHAR(10)", False)]
+
+
+@query("typed_load_composite", f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_partkey || '|' || l_suppkey || '|' || CAST(l_extendedprice AS VARCHAR)
+             || '|' || CAST(l_quantity AS VARCHAR) || '|' || CAST(l_discount AS VARCHAR) || '|' || CAST(l_tax AS VARCHAR) AS seq FROM lineitem),
+f AS (SELECT l_orderkey, l_linenumber, min(seq) AS first FROM l GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, count(*) AS n_in, count(*) FILTER (WHERE l.seq = f.first) AS n_loaded,
+       count(*) FILTER (WHERE l.seq <> f.first) AS n_duplicate
+FROM l JOIN f ON f.l_orderkey = l.l_orderkey AND f.l_linenumber = l.l_linenumber GROUP BY l.l_orderkey, l.l_linenumber""")
+def typed_load_composite(spark, sf):
+    """Rows in, loaded and refused per composite key (Q10): lineitem by order and
+    line number, first row by its other cells."""
+    l = read_table(spark, sf, "lineitem")
+    seq = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")])
+    raw = l.select(seq.alias("seq"), *[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_quantity")],
+                   F.col("l_returnflag").alias("l_shipmode"))
+    x = typed_load(raw, LINE_CATALOG)
+    return finalize(x.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("n_in"), F.count(F.when(F.col("refused").isNull(), 1)).alias("n_loaded"),
+        F.count(F.when(F.col("refused") == "duplicate_pk", 1)).alias("n_duplicate")))
+
+
+@query("load_validity", LOAD_SQL + f""",
+e AS (SELECT seq, CAST(floor(seq / {ENTRY_ROWS}) AS BIGINT) AS entry_id FROM raw)
+SELECT e.entry_id, count(DISTINCT e.seq) AS n_in, count(DISTINCT l.seq) AS n_loaded,
+       count(DISTINCT x.seq) AS n_rejected, count(j.reason) FILTER (WHERE starts_with(j.reason, 'cast_failed')) AS n_cast_failed,
+       count(j.reason) = 0 AS valid
+FROM e LEFT JOIN loaded l ON l.seq = e.seq LEFT JOIN r x ON x.seq = e.seq AND x.reason IS NOT NULL
+LEFT JOIN rej j ON j.seq = e.seq GROUP BY e.entry_id""")
 def load_validity(spark, sf):
-    """Load validity (I7): rows in, loaded, rejected, failed casts, and valid =
-    nothing rejected. The reference's executability, re-aimed."""
-    raw = raw_orders(spark, sf)
-    loaded, rej = typed_load(raw)
-    u = union_results([raw.select(F.lit("in").alias("k")), loaded.select(F.lit("loaded").alias("k")),
-                       rej.select(F.when(F.col("reason").startswith("cast_failed"), "cast").otherwise("rej").alias("k"))])
-    cnt = lambda v: F.count(F.when(F.col("k") == v, 1))
-    out = u.agg(cnt("in").alias("n_in"), cnt("loaded").alias("n_loaded"), cnt("rej").alias("n_rejected"),
-                cnt("cast").alias("n_cast_failed"), ((cnt("rej") + cnt("cast")) == 0).alias("valid"))
-    return finalize(out)
+    """Load validity per entry (I7, D17): rows in, loaded and rejected, failed casts,
+    and valid = nothing rejected; an entry is five consecutive rows."""
+    x = typed_load(raw_orders(spark, sf)).withColumn("entry_id", F.floor(F.col("seq") / ENTRY_ROWS))
+    rejected = F.col("refused").isNotNull()
+    return finalize(x.groupBy("entry_id").agg(
+        F.count(F.lit(1)).alias("n_in"), F.count(F.when(~rejected, 1)).alias("n_loaded"), F.count(F.when(rejected, 1)).alias("n_rejected"),
+        F.sum(F.when(rejected, 0).otherwise(F.size("reasons"))).alias("n_cast_failed"), (F.sum(F.size("reasons")) == 0).alias("valid")))
