@@ -16,6 +16,7 @@ import itertools
 import json
 import math
 import mmap
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,6 +34,14 @@ from relweave.llm.common import pick, publish, ragged, slices
 from relweave.session import cut_lineage
 
 
+#: Fixed value: the byte-level pattern of pre-tokens.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pre-tokens for texts of ASCII and Latin letters only, in plain classes.
+_LATIN = "a-zA-ZÀ-ÖØ-öø-ɏ"
+_LATIN_LEVEL = re.compile(rf" ?[{_LATIN}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s{_LATIN}0-9]++|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile(rf"[^\t\n\x0b\x0c\r -~{_LATIN}]")
+
+
 def byte_chars() -> dict[int, str]:
     """The fixed map of byte-level vocabularies from bytes to printable characters:
     printable Latin-1 stands for itself, the others follow from 256 on."""
@@ -75,11 +84,14 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; special tokens inside the text are pre-tokens of their own."""
+        find = self.pattern.findall
+        if self.pattern.pattern == BYTE_LEVEL and not _NOT_LATIN.search(text):
+            find = _LATIN_LEVEL.findall
         if self.splitter is None or not any(s in text for s in self.specials):
-            return self.pattern.findall(text)
+            return find(text)
         out: list[str] = []
         for i, part in enumerate(self.splitter.split(text)):
-            out += [part] if i % 2 else self.pattern.findall(part)
+            out += [part] if i % 2 else find(part)
         return out
 
     def merge(self, word: str) -> tuple[int, ...]:
@@ -337,16 +349,49 @@ def _mapped(name: str) -> Lexicon:
     return Lexicon.mapped(SparkFiles.get(name))
 
 
+class _Codes(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes slices of texts with a lexicon; merges of other words are kept for
-    later slices, up to ``most`` words beyond those of one slice."""
+    """Encodes slices of texts with a lexicon. A word's ids are looked up or merged
+    once and kept for later slices; beyond ``most`` words the encoder starts anew."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = 300_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = 400_000):
         self.vocab, self.lexicon, self.most = vocab, lexicon, most
-        self.merged: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.start = self.size = np.empty(0, np.int64)
+        self.pool = np.array(self.lexicon.ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Starts and sizes in the pool for words new to this encoder."""
+        data = [w.encode("utf-8") for w in words]
+        rank = self.lexicon.ranks(data)
+        hit = rank >= 0
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        start[hit] = self.lexicon.ends[rank[hit]]
+        size[hit] = self.lexicon.ends[rank[hit] + 1] - start[hit]
+        special = np.array([w in self.vocab.specials for w in words], bool) & ~hit
+        plain = np.flatnonzero(~hit & ~special)
+        ids, ends = self.vocab.merge_many([data[i] for i in plain.tolist()])
+        size[plain] = np.diff(ends, prepend=0)
+        start[plain] = len(self.pool) + ends - size[plain]
+        more = [self.vocab.specials[words[i]] for i in np.flatnonzero(special).tolist()]
+        start[special], size[special] = len(self.pool) + len(ids) + np.arange(len(more)), 1
+        self.pool = np.concatenate([self.pool, ids, np.array(more, np.int64)])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): all texts' ids one after the other, and where each text ends."""
+        if len(self.codes) > self.most:
+            self._forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -354,43 +399,13 @@ class Encoder:
                 got = self.vocab.split(t)
                 counts[i] = len(got)
                 words += got
-        if not words:
-            return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-        codes, kinds = pd.factorize(np.array(words, object))
-        rank = self.lexicon.ranks([w.encode("utf-8") for w in kinds])
-        hit = rank >= 0
-        start, size = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-        start[hit] = self.lexicon.ends[rank[hit]]
-        size[hit] = self.lexicon.ends[rank[hit] + 1] - start[hit]
-        extra, base = self._merged(kinds, np.flatnonzero(~hit), start, size), len(self.lexicon.ids)
-        start[~hit] += base
-        flat = np.concatenate([self.lexicon.ids, extra])
-        per = size[codes]
+        known = len(self.codes)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if len(self.codes) > known:
+            self._learn(list(itertools.islice(self.codes, known, None)))
+        per = self.size[codes]
         ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum(counts)]
-        return flat[ragged(start[codes], per)], ends
-
-
-    def _merged(self, kinds, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Ids of the words at ``at``, merged now or for an earlier slice; fills their
-        starts and sizes."""
-        known = self.merged
-        fresh = [w for w in kinds[at].tolist() if w not in known]
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = kinds[at].tolist()
-        plain = [w for w in fresh if w not in self.vocab.specials]
-        ids, ends = self.vocab.merge_many([w.encode("utf-8") for w in plain])
-        ids, a = ids.tolist(), 0
-        for w, z in zip(plain, ends.tolist()):
-            known[w] = ids[a:z]
-            a = z
-        for w in fresh:
-            if w in self.vocab.specials:
-                known[w] = list(self.vocab.merge(w))
-        got = [known[w] for w in kinds[at].tolist()]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        size[at], start[at] = n, np.cumsum(n) - n
-        return np.fromiter(itertools.chain.from_iterable(got), np.int64)
+        return self.pool[ragged(self.start[codes], per)], ends
 
 
 class Decoder:
