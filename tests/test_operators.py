@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from relweave.functions import noise as N
 from relweave.functions.text import is_number, join_sentences, row_to_sentence, split_sentences
 from relweave.operators.clean import drop_pattern_columns, null_profile
-from relweave.operators.dataset import first_k_per_group, round_robin
+from relweave.operators.dataset import cap_and_append, domain_context, first_k_per_group, first_seen, merged_pairs, positional_replace, round_robin
 from relweave.operators.extract import rule_extract
-from relweave.operators.joins import fk_share, merge_nullsafe
-from relweave.operators.similarity import cosine_pairs, near_duplicates
+from relweave.operators.joins import fk_share, flatten, merge_nullsafe
+from relweave.operators.similarity import best_matches, counted, gram_cosine, gram_struct, near_duplicates, partners, with_grams
 from relweave.operators.windows import rank_in_group
 from relweave.plans.q_extract import near_dup_vectors_df
-from relweave.plans.q_load import merge_non_null, typed_load
+from relweave.plans.q_catalog import fks_from_ddl
+from relweave.plans.q_load import load_tables, merge_non_null, runtime_type, typed_load
 
 
 def py_split(text):
@@ -115,12 +116,42 @@ def test_fk_share(spark):
 
 
 def test_typed_load_rules(spark):
-    raw = spark.createDataFrame([(1, "1", "5", "1.5", "2020-01-02", "True"), (2, "1", "6", "x", "bad", "maybe"),
-                                 (3, "k3", "7", "2", "2020-01-03", "'False'"), (4, None, "#", "?", "2020-01-04", "no")],
-                                "seq long, o_orderkey string, o_custkey string, o_totalprice string, o_orderdate string, o_urgent string")
-    loaded, rej = typed_load(raw)
-    assert [r.seq for r in loaded.collect()] == [1]
-    assert sorted((r.seq, r.reason) for r in rej.collect()) == [(2, "duplicate_pk"), (3, "pk_not_integer"), (4, "pk_null")]
+    raw = spark.createDataFrame([(1, "1", "5", "1.5", "2020-01-02", "True", "F"), (2, "1", "6", "x", "bad", "maybe", None),
+                                 (3, "k3", "7", "2", "2020-01-03", "'False'", "O"), (4, None, "#", "?", "2020-01-04", "no", "P"),
+                                 (5, "5", "x", "2", "soon", "maybe", "'q'")],
+                                "seq long, o_orderkey string, o_custkey string, o_totalprice string, o_orderdate string, o_urgent string, o_orderstatus string")
+    x = {r.seq: r for r in typed_load(raw).collect()}
+    assert {k: list(r.reasons) for k, r in x.items()} == {
+        1: [], 2: ["duplicate_pk"], 3: ["pk_not_integer"], 4: ["pk_null"], 5: ["cast_failed:o_custkey", "cast_failed:o_orderdate", "cast_failed:o_urgent"]}
+    assert (x[1].o_custkey, x[1].o_totalprice, x[1].o_urgent, x[1].o_orderstatus) == (5, 1.5, True, "F") and x[5].o_orderstatus == "q"
+
+
+def test_typed_load_composite_text_and_missing_keys(spark):
+    cat = [("a", "INT", True), ("b", "VARCHAR(9)", True), ("c", "DECIMAL(5,2)", False), ("d", "BLOB", False)]
+    raw = spark.createDataFrame([(1, "1", "x", "2.5", "z"), (2, "1", "y", "q", "w"), (3, "1", "x", "3", "v"), (4, None, "x", "1", "u")], "seq long, a string, b string, c string, d string")
+    got = {r.seq: (r.refused, r.c, r.d, list(r.reasons)) for r in typed_load(raw, cat).collect()}
+    assert got == {1: (None, 2.5, "z", []), 2: (None, None, "w", ["cast_failed:c"]), 3: ("duplicate_pk", 3.0, "v", ["duplicate_pk"]), 4: ("pk_null", 1.0, "u", ["pk_null"])}
+    free = typed_load(raw, [(c, t, False) for c, t, _ in cat])
+    assert free.filter("refused is not null").count() == 0
+    assert runtime_type("text") == "string" and runtime_type("decimal(3, 1)") == "double" and runtime_type("geometry") == "string"
+
+
+def test_load_tables_refuses_unknown_ones(spark):
+    raw = spark.createDataFrame([(1, "t", "1"), (2, "u", "2"), (3, None, "3"), (4, "t", "x")], "seq long, table_name string, k string")
+    loaded, bad = load_tables(raw, {"t": [("k", "INTEGER", True)]})
+    assert [r.k for r in loaded["t"].collect()] == [1]
+    assert sorted((r.seq, r.reason) for r in bad.collect()) == [(2, "unknown_table"), (3, "unknown_table"), (4, "pk_not_integer")]
+
+
+def test_fks_from_ddl(spark):
+    ddl = """CREATE TABLE a (id INT PRIMARY KEY, b INT REFERENCES x(y), price DECIMAL(5,2), c INT REFERENCES `z`( w ));
+create table if not exists "t" (
+  id INT,
+  p INTEGER NOT NULL REFERENCES q(r),
+  FOREIGN KEY (id) REFERENCES s(u)
+);"""
+    got = sorted((r.table_name, r.column_name, r.ref_table, r.ref_column) for r in fks_from_ddl(spark.createDataFrame([("d", ddl)], "domain string, ddl string")).collect())
+    assert got == [("a", "b", "x", "y"), ("a", "c", "z", "w"), ("t", "p", "q", "r")]
 
 
 def test_merge_non_null_first_wins_per_column(spark):
@@ -162,28 +193,32 @@ def _py_cos(a, b):
     return sum(v * y.get(k, 0) for k, v in x.items()) / (na * nb)
 
 
-def test_cosine_pairs_match_python(spark):
-    pairs = [("red widget", "red widgets"), ("small ring", "tiny bolt"), ("", "x"), ("abc", "abc")]
+def test_gram_cosine_matches_python(spark):
+    pairs = [("red widget", "red widgets"), ("small ring", "tiny bolt"), ("", "x"), ("abc", "abc"), ("aaaa", "aaaaa"), ("", ""), ("Äb", "äB")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    got = {(r.a, r.b): r.cos for r in cosine_pairs(df).collect()}
-    for a, b in pairs:
-        assert abs(got[(a, b)] - _py_cos(a, b)) < 1e-9
+    for r in df.select("a", "b", gram_cosine(gram_struct(F.col("a")), gram_struct(F.col("b"))).alias("cos")).collect():
+        assert abs(r.cos - _py_cos(r.a, r.b)) < 1e-9
+
+
+def test_partners_and_best_matches(spark):
+    left, right = ["red widget", "bolt", "", "red widget"], ["red widgets", "blue bolt", "bolt", "zz"]
+    df = spark.createDataFrame([(left, right), (left, [])], "l array<string>, r array<string>")
+    got = df.select(partners(with_grams(F.col("l")), with_grams(F.col("r")), 0.6).alias("p"), best_matches(with_grams(F.col("l")), with_grams(F.col("r"))).alias("b")).collect()
+    assert {x.s: set(x.near) for x in got[0].p} == {s: {t for t in right if _py_cos(s, t) >= 0.6} for s in set(left)}
+    for x in got[0].b:
+        best = max(right, key=lambda t: (_py_cos(x.s, t), t))
+        assert x.best_match == best and abs(x.best - _py_cos(x.s, best)) < 1e-9
+    assert all(x.best == 0 and x.best_match is None for x in got[1].b)
+    assert [(x.v, x.n) for x in df.select(counted(F.col("l")).alias("c")).first().c] == [("red widget", 2), ("bolt", 1), ("", 1)]
 
 
 def test_near_duplicates_brute_force(spark):
     lines = ["the quick brown fox", "the quick brown fox", "the quick brown fax", "something else",
              "Something else!", "unrelated text here", "the quick brown fox"]
-    rows = [(d, i, t) for d in (1, 2) for i, t in enumerate(lines if d == 1 else lines[::-1])]
-    df = spark.createDataFrame(rows, "doc long, pos int, t string")
+    df = spark.createDataFrame([(1, lines), (2, lines[::-1]), (3, []), (4, ["x"])], "doc long, ts array<string>")
     for thr in (0.97, 0.8, 0.5):
-        got = sorted((r.doc, r.pos) for r in near_duplicates(df, ["doc"], "pos", "t", thr).collect())
-        exp = []
-        for d in (1, 2):
-            ls = [x for x in rows if x[0] == d]
-            for _, j, tj in ls:
-                if not any(i < j and _py_cos(ti, tj) > thr for _, i, ti in ls):
-                    exp.append((d, j))
-        assert got == sorted(exp), thr
+        for r in df.select("ts", near_duplicates(F.col("ts"), thr).alias("kept")).collect():
+            assert r.kept == [j for j, t in enumerate(r.ts) if not any(_py_cos(x, t) > thr for x in r.ts[:j])], thr
 
 
 def test_near_dup_vectors_exact(spark):
@@ -211,3 +246,42 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None), (2, 3)], "a int, b int")
     r = null_profile(df, ["a", "b"]).first()
     assert (r.n_rows, r.n_any_null, r.n_all_null, r.n_after_drop_any, r.n_after_drop_all) == (3, 2, 1, 1, 2)
+
+
+def test_domain_context_keeps_whole_texts(spark):
+    rows = [("a", i, f"<{i}>" + "x" * 500) for i in range(7)] + [("b", 0, "only")]
+    df = spark.createDataFrame(rows, "g string, i int, t string")
+    got = {(r.g, r.i): r.context for r in domain_context(df, "g", "i", "t", k=5).collect()}
+    for g, i, t in rows:
+        assert got[g, i] == t + "".join(x for h, j, x in rows if h == g and j != i and j < 5)
+
+
+def test_first_seen_value_serves_the_group(spark):
+    df = spark.createDataFrame([("a", 2, "s2"), ("a", 1, ""), ("a", 3, "s3"), ("b", 1, None)], "g string, i int, v string")
+    assert {(r.g, r.i): r.f for r in first_seen(df, "g", "i", "v", "f").collect()} == {("a", 1): "s2", ("a", 2): "s2", ("a", 3): "s2", ("b", 1): None}
+
+
+def test_merged_pairs_and_cap(spark):
+    df = spark.createDataFrame([(1, "x", 1, "p"), (1, "x", 1, "p"), (1, "x", 2, "q"), (1, "y", 1, "p")], "e int, a string, i int, v string")
+    got = {(r.e, r.a): [tuple(p) for p in r.pairs] for r in merged_pairs(df, "e", "a", "i", "v").collect()}
+    assert got == {(1, "x"): [(1, "p"), (2, "q")], (1, "y"): [(1, "p")]}
+    rows = spark.createDataFrame([("f", i) for i in range(30)] + [("g", i) for i in range(3)], "g string, i int")
+    got = [(r.g, r.i, r.part) for r in cap_and_append(rows, "g", "f", ["i"], 24).collect()]
+    assert sorted(got) == [("f", i, 1) for i in range(24)] + [("g", i, 0) for i in range(3)]
+
+
+def test_positional_replace_keeps_unmatched_rows(spark):
+    t = spark.createDataFrame([("a", 1, "t1"), ("a", 5, "t5"), ("b", 2, "u")], "g string, i int, t string")
+    src = spark.createDataFrame([("a", 9, "s1")], "g string, i int, t string")
+    got = {(r.g, r.i): (r.t, r.replaced) for r in positional_replace(t, src, "g", "i", ["t"]).collect()}
+    assert got == {("a", 1): ("s1", True), ("a", 5): ("t5", False), ("b", 2): ("u", False)}
+
+
+def test_flatten_from_the_parent_down(spark):
+    t = {"p": spark.createDataFrame([(1,), (2,)], "id int"), "c": spark.createDataFrame([(10, 1), (11, 1)], "cid int, pid int"),
+         "bridge": spark.createDataFrame([(10, 7)], "cid int, tag int"), "tag": spark.createDataFrame([(7, "x")], "tid int, name string")}
+    edges = [{"child": "c", "child_col": "pid", "parent": "p", "parent_col": "id", "reverse": True},
+             {"child": "bridge", "child_col": "cid", "parent": "c", "parent_col": "cid", "reverse": True},
+             {"child": "bridge", "child_col": "tag", "parent": "tag", "parent_col": "tid", "how": "left"}]
+    got = sorted(((r.p_id, r.c_cid, r.tag_name) for r in flatten(t, edges, "p").collect()), key=str)
+    assert got == sorted([(1, 10, "x"), (1, 11, None), (2, None, None)], key=str)
