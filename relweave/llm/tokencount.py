@@ -29,7 +29,6 @@ from relweave.llm.bpe import byte_chars
 from relweave.llm.common import pick, shuffle_partitions, slices
 
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-_SPACES = regex.compile(r"\s+")
 
 
 class PieceCounter:
@@ -44,23 +43,31 @@ class PieceCounter:
         self.splitter = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         # fixed value: the file's own pattern of pre-tokens
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # the same pre-tokens for lower-cased texts of ASCII and Latin letters
+        latin = "a-zA-ZÀ-ÖØ-öø-ɏ"
+        self.latin = re.compile(rf"[{latin}]++|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{latin}0-9]++")
+        self.not_latin = re.compile(rf"[^\t\n\x0b\x0c\r -~{latin}]")
         self.chars = byte_chars()
         # words that are one piece of the vocabulary (a table of the vocabulary's size)
         back = {c: b for b, c in self.chars.items()}
         ends = [w[:-4] for w in self.tok.get_vocab(False) if w.endswith("</w>") and w not in self.special]
         self.single = {w for w in (bytes(back[c] for c in x).decode("utf-8", "replace") for x in ends) if self.pieces(w) == 1}
 
-    def _normal(self, text: str) -> str:
+    def _find(self, text: str) -> list[str]:
+        if not self.not_latin.search(text):
+            low = text.lower()
+            if "i̇" not in low:
+                return self.latin.findall(low)
         if _BEYOND_LATIN.search(text):  # rarer scripts: the library's own lower-casing
-            return self.tok.normalizer.normalize_str(text)
-        return unicodedata.normalize("NFC", text).lower()
+            return self.pattern.findall(self.tok.normalizer.normalize_str(text))
+        return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
 
     def split(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
-            return self.pattern.findall(self._normal(text))
+            return self._find(text)
         out: list[str] = []
         for i, part in enumerate(self.splitter.split(text)):
-            out += [part] if i % 2 else self.pattern.findall(self._normal(part))
+            out += [part] if i % 2 else self._find(part)
         return out
 
     def pieces(self, word: str) -> int:
