@@ -63,6 +63,7 @@ def truth_value(x) -> Column:
     return F.when(_c(x).isNull() | (s == NAN_WORD), F.lit(None)).otherwise(s)
 
 
+# Fixed value: numbers with a sign, a dollar sign and thousands commas.
 NUMBER_RE = r"^-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?$"
 
 

@@ -43,12 +43,12 @@ def with_id_cells(cells: Column, id_of) -> Column:
 
 
 def value_targets(truth: Column, all_cells: Column, least: float = TC_T) -> Column:
-    """array<struct<v, n, near>>: each distinct truth value, how often it occurs, and the
-    strings among ``all_cells`` that cover it. Scored once per entry and reused
+    """array<struct<v, lv, n, near>>: each distinct truth value, also lower-cased, how
+    often it occurs, and the strings among ``all_cells`` that cover it. Scored once per entry and reused
     for all its databases."""
     v = truth_values(truth)
     return F.zip_with(counted(v), partners(with_grams(v), with_grams(all_cells), least),
-                      lambda a, b: F.struct(a["v"].alias("v"), a["n"].alias("n"), b["near"].alias("near")))
+                      lambda a, b: F.struct(a["v"].alias("v"), F.lower(a["v"]).alias("lv"), a["n"].alias("n"), b["near"].alias("near")))
 
 
 def column_targets(truth: Column, all_columns: Column, least: float = CC_T) -> Column:
@@ -77,7 +77,7 @@ def value_coverage(targets: Column, cells: Column) -> Column:
     """Share of truth values inside the lower-cased cells joined by `` | ``."""
     line = F.array_join(F.transform(F.array_sort(F.transform(cells, lambda c: F.struct(
         c["row_pos"], c["column_name"], F.lower(c["value"]).alias("v")))), lambda x: x["v"]), " | ")
-    return let(line, lambda b: _share(targets, lambda t: (F.size(cells) > 0) & (F.instr(b, F.lower(t["v"])) > 0)))
+    return let(line, lambda b: _share(targets, lambda t: (F.size(cells) > 0) & (F.instr(b, t["lv"]) > 0)))
 
 
 def column_consistency(targets: Column, cells: Column) -> Column:
@@ -85,10 +85,11 @@ def column_consistency(targets: Column, cells: Column) -> Column:
     containing it or contained in it -- sit in a column close to the attribute."""
     low = F.array_distinct(F.transform(cells, lambda c: F.struct(F.lower(c["value"]).alias("lv"), c["column_name"].alias("col"))))
 
-    def hit(cs, t):
-        same = F.filter(cs, lambda c: c["lv"] == t["lq"])
+    def hit(cs, lvs, t):
         close = lambda c: F.array_contains(t["near"], c["col"])
         part = lambda c: (F.instr(c["lv"], t["lq"]) > 0) | (F.instr(t["lq"], c["lv"]) > 0)
-        return let(same, lambda eq: F.when(F.size(eq) > 0, F.exists(eq, close)).otherwise(F.exists(cs, lambda c: part(c) & close(c))))
+        return F.when(F.array_contains(lvs, t["lq"]), F.exists(cs, lambda c: (c["lv"] == t["lq"]) & close(c))) \
+            .otherwise(F.exists(cs, lambda c: close(c) & part(c)))
 
-    return let(low, lambda cs: _share(targets, lambda t: F.coalesce(hit(cs, t), F.lit(False))))
+    return let(low, lambda cs: let(F.transform(cs, lambda c: c["lv"]), lambda lvs: _share(
+        targets, lambda t: F.coalesce(hit(cs, lvs, t), F.lit(False)))))

@@ -38,8 +38,10 @@ def flatten(tables: dict[str, DataFrame], edges: list[dict], root: str) -> DataF
     """Join along FK edges in breadth-first order from ``root``.
 
     ``edges``: dicts with child, child_col, parent, parent_col, how and an
-    optional ``alias`` (one table under several roles). Output columns are
-    named ``<alias>_<column>``."""
+    optional ``alias`` (one table under several roles). An edge is followed from
+    the child to its parent, or with ``reverse`` from the parent to its children
+    and bridges (LEFT unless ``how`` says otherwise). Output columns are named
+    ``<alias>_<column>``."""
     def aliased(name, alias):
         df = tables[name]
         return df.select(*[F.col(c).alias(f"{alias}_{c}") for c in df.columns])
@@ -49,13 +51,14 @@ def flatten(tables: dict[str, DataFrame], edges: list[dict], root: str) -> DataF
     while queue:
         tname, talias = queue.popleft()
         for e in edges:
-            if e["child"] != tname or e.get("from_alias", e["child"]) != talias:
+            near, far = ("parent", "child") if e.get("reverse") else ("child", "parent")
+            if e[near] != tname or e.get("from_alias", e[near]) != talias:
                 continue
-            alias = e.get("alias", e["parent"])
-            p = aliased(e["parent"], alias)
-            out = out.join(p, out[f"{talias}_{e['child_col']}"] == p[f"{alias}_{e['parent_col']}"],
-                           e.get("how", "inner"))
-            queue.append((e["parent"], alias))
+            alias = e.get("alias", e[far])
+            p = aliased(e[far], alias)
+            out = out.join(p, out[f"{talias}_{e[near + '_col']}"] == p[f"{alias}_{e[far + '_col']}"],
+                           e.get("how", "left" if e.get("reverse") else "inner"))
+            queue.append((e[far], alias))
     return out
 
 

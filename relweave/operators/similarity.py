@@ -27,7 +27,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def gram_struct(s: Column, n: int = N_GRAM) -> Column:
-    """struct(k: distinct grams, c: gram -> count, norm) of one string."""
+    """struct(k: distinct grams, c: gram -> count, norm, and for the bound of
+    :func:`may_reach` m: bit mask of the grams' hashes, p: grams that share a bit
+    with another, x: highest count) of one string."""
     def grams(p):
         pos = F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(pos, lambda i: F.substring(p, i, n))
@@ -35,8 +37,13 @@ def gram_struct(s: Column, n: int = N_GRAM) -> Column:
     def counted(g):
         return let(F.array_distinct(g), lambda k: let(
             F.transform(k, lambda x: (F.size(g) - F.size(F.array_remove(g, x))).cast("bigint")),
-            lambda c: F.struct(k.alias("k"), F.map_from_arrays(k, c).alias("c"),
-                               F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x * x)).alias("norm"))))
+            lambda c: let(F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(one_bit(x))), lambda m: F.struct(
+                k.alias("k"), F.map_from_arrays(k, c).alias("c"),
+                F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x * x)).alias("norm"),
+                m.alias("m"), (F.size(k) - F.bit_count(m)).alias("p"), F.coalesce(F.array_max(c), F.lit(0)).alias("x")))))
+
+    def one_bit(gram):
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(gram), F.lit(64)))
 
     return let(F.concat(F.lit(" "), F.lower(s), F.lit(" ")), lambda p: let(grams(p), counted))
 
@@ -48,6 +55,21 @@ def gram_cosine(a: Column, b: Column) -> Column:
     return F.when((a["norm"] > 0) & (b["norm"] > 0), dot / (a["norm"] * b["norm"])).otherwise(0.0)
 
 
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """False only if the cosine of two gram structs is below ``least`` (> 0) for
+    certain: shared grams share a bit, all but ``p`` of them one of their own, and
+    none adds more than the product of the highest counts. A few operations on
+    numbers that spare most pairs the comparison of grams."""
+    shared = F.bit_count(a["m"].bitwiseAND(b["m"])) + a["p"]
+    return (shared * a["x"] * b["x"]).cast("double") >= F.lit(least - 1e-9) * a["norm"] * b["norm"]
+
+
+def cosine_reaches(a: Column, b: Column, least: float) -> Column:
+    """``gram_cosine(a, b) >= least``."""
+    reached = gram_cosine(a, b) >= least
+    return may_reach(a, b, least) & reached if least > 0 else reached
+
+
 def with_grams(strings: Column) -> Column:
     """array<struct<s, g>> of the distinct strings of an array."""
     return F.transform(F.array_distinct(strings), lambda s: F.struct(s.alias("s"), gram_struct(s).alias("g")))
@@ -56,19 +78,19 @@ def with_grams(strings: Column) -> Column:
 def partners(left: Column, right: Column, least: float) -> Column:
     """For arrays made by :func:`with_grams`: array<struct<s, near>>, each left
     string with the right strings whose cosine is at least ``least``."""
-    return F.transform(left, lambda x: F.struct(x["s"].alias("s"), F.transform(
-        F.filter(right, lambda y: gram_cosine(x["g"], y["g"]) >= least), lambda y: y["s"]).alias("near")))
+    return let(right, lambda r: F.transform(left, lambda x: F.struct(x["s"].alias("s"), F.transform(
+        F.filter(r, lambda y: cosine_reaches(x["g"], y["g"], least)), lambda y: y["s"]).alias("near"))))
 
 
 def best_matches(left: Column, right: Column) -> Column:
     """For arrays made by :func:`with_grams`: array<struct<s, best, best_match>>, the
     nearest right string of each left one (ties: the larger string); a left
     string without any right one has 0 and NULL."""
-    def one(x):
-        scored = F.transform(right, lambda y: F.struct(gram_cosine(x["g"], y["g"]).alias("cos"), y["s"].alias("s")))
+    def one(x, r):
+        scored = F.transform(r, lambda y: F.struct(gram_cosine(x["g"], y["g"]).alias("cos"), y["s"].alias("s")))
         return let(F.array_max(scored), lambda m: F.struct(
             x["s"].alias("s"), F.coalesce(m["cos"], F.lit(0.0)).alias("best"), m["s"].alias("best_match")))
-    return F.transform(left, one)
+    return let(right, lambda r: F.transform(left, lambda x: one(x, r)))
 
 
 def counted(values: Column) -> Column:
@@ -98,5 +120,5 @@ def near_duplicates(texts: Column, threshold: float) -> Column:
     earlier item i (i < j) has cosine > threshold, even if i itself goes."""
     g = F.transform(texts, lambda t: gram_struct(t))
     return let(g, lambda gs: F.filter(F.transform(gs, lambda x, i: i), lambda j: ~F.exists(
-        F.slice(gs, F.lit(1), j), lambda x: gram_cosine(x, F.get(gs, j)) > threshold)))
+        F.slice(gs, F.lit(1), j), lambda x: may_reach(x, F.get(gs, j), threshold) & (gram_cosine(x, F.get(gs, j)) > threshold))))
 

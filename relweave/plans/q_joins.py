@@ -142,6 +142,23 @@ def flatten_two_roles(spark, sf):
                              .alias("same_nation")))
 
 
+CHILD_EDGES = [
+    {"child": "nation", "child_col": "n_regionkey", "parent": "region", "parent_col": "r_regionkey", "reverse": True},
+    {"child": "customer", "child_col": "c_nationkey", "parent": "nation", "parent_col": "n_nationkey", "reverse": True},
+    {"child": "orders", "child_col": "o_custkey", "parent": "customer", "parent_col": "c_custkey", "reverse": True},
+]
+
+
+@query("flatten_children", """SELECT r_regionkey, r_name, n_name, c_custkey, o_orderkey, o_totalprice FROM region
+LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey""")
+def flatten_children(spark, sf):
+    """Child tables LEFT-joined from the parent down."""
+    t = {n: read_table(spark, sf, n) for n in ("region", "nation", "customer", "orders")}
+    f = flatten(t, CHILD_EDGES, "region")
+    return finalize(f.select(*[F.col(f"{tb}_{c}").alias(c) for tb, c in (("region", "r_regionkey"), ("region", "r_name"), ("nation", "n_name"),
+                                                                        ("customer", "c_custkey"), ("orders", "o_orderkey"), ("orders", "o_totalprice"))]))
+
+
 MELT = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"),
         ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
 _MELT_COLS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],

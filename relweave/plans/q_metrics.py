@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from relweave.functions.text import finalize, is_number, materialize
 from relweave.operators import coverage as V
 from relweave.operators.coverage import CC_T, COLUMN_T, TC_T, VALUE_T
-from relweave.operators.similarity import best_matches, gram_cosine, let, with_grams
+from relweave.operators.similarity import best_matches, gram_cosine, let, may_reach, with_grams
 from relweave.plans import common as C
 from relweave.plans.registry import query
 
@@ -140,7 +140,8 @@ def _typed(strings):
 def _same_value(t, c):
     """H1 at the value threshold: numeric truth needs a numeric cell within 0.01."""
     close = F.coalesce(F.abs(t["number"] - c["number"]) < 0.01, F.lit(False))
-    return F.when(t["number"].isNotNull(), close).otherwise((gram_cosine(t["g"], c["g"]) + 1.0) / 2.0 >= VALUE_T)
+    return F.when(t["number"].isNotNull(), close).otherwise(
+        may_reach(t["g"], c["g"], 2 * VALUE_T - 1) & ((gram_cosine(t["g"], c["g"]) + 1.0) / 2.0 >= VALUE_T))
 
 
 def _row_cells(cells, row_id):
@@ -161,7 +162,7 @@ def _value_targets(truth, cells):
 def value_coverage(spark, sf):
     """VC (D15): share of truth values contained in the lower-cased cells of
     the entry's database joined by `` | ``; 0 when either side is empty."""
-    plain = lambda truth, cells: F.transform(V.counted(V.truth_values(truth)), lambda c: F.struct(c["v"].alias("v"), c["n"].alias("n")))
+    plain = lambda truth, cells: F.transform(V.counted(V.truth_values(truth)), lambda c: F.struct(F.lower(c["v"]).alias("lv"), c["n"].alias("n")))
     return scored(spark, sf, V.value_coverage, plain).withColumnRenamed("score", "vc")
 
 

@@ -11,33 +11,60 @@ from relweave.plans.registry import query
 from relweave.sources.tables import read_table
 
 
+# Words of the staff notes, picked by md5.
+TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Coach"]
+SCHOOLS = ["High School", "Elementary School", "Middle School", "Unified School District", "School District", "College"]
+
+
+def _pick(tag, words):
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), F.col("s_suppkey").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(h, F.lit(len(words))).cast("int"))
+
+
+def staff_notes(spark, sf):
+    """One note per supplier, case kept: a title, a school, a county, a year and a
+    five-digit code."""
+    sup = read_table(spark, sf, "supplier")
+    n = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    j = sup.join(n, "s_nationkey")
+    text = F.concat(_pick("title", TITLES), F.lit(" Lee of "), "n_name", F.lit(" "), _pick("school", SCHOOLS), F.lit(", Alameda County, knows "), "s_name",
+                    F.lit(". The school was founded in "), (F.lit(1900) + F.pmod("s_suppkey", F.lit(100))).cast("string"),
+                    F.lit(". Its code is "), (F.lit(10000) + F.pmod(F.col("s_suppkey") * 7, F.lit(90000))).cast("string"),
+                    F.lit(". It is in Orange County. Room "), (F.lit(10) + F.pmod("s_suppkey", F.lit(80))).cast("string"), F.lit(" is open."))
+    return j.select(F.lit("staff").alias("src"), F.col("s_suppkey").alias("id"), text.alias("text"))
+
+
 def texts(spark, sf):
-    """Documents and rendered customer entries as one (src, id, text) table."""
+    """Documents, rendered customer entries and staff notes as one (src, id, text) table."""
     d = read_table(spark, sf, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
     e = C.entries(spark, sf).select(F.lit("entry").alias("src"), F.col("entry_id").alias("id"), "text")
-    return d.unionByName(e)
+    return d.unionByName(e).unionByName(staff_notes(spark, sf))
 
 
-def with_sentences(df):
+def with_sentences(df, words: bool = True):
     """Sentence array, sampling hashes and one picked-flag array per level,
-    each evaluated once per text."""
+    each evaluated once per text; ``words``: also what type 4 needs."""
     t = materialize(df, ["src", "id"], sents=split_sentences("text"))
     t = materialize(t, ["src", "id", "sents"],
                     hs=N.sentence_hashes(F.col("sents"), F.col("src"), F.col("id")))
     t = materialize(t, ["src", "id", "sents", "hs"], srt=F.array_sort("hs"))
     named = {f"p_{name}": N.picked_flags(F.col("hs"), lvl, F.col("srt")) for name, lvl in N.LEVELS.items()}
     t = materialize(t, ["src", "id", "sents"], **named)
+    if not words:
+        return t
     top = f"p_{max(N.LEVELS, key=N.LEVELS.get)}"
     return materialize(t, ["src", "id", "sents", *[f"p_{n}" for n in N.LEVELS]],
                        info=N.word_info(F.col("sents"), F.col("src"), F.col("id"), only=F.col(top)))
 
 
 def noisy_texts(spark, sf, kind: str):
-    t = with_sentences(texts(spark, sf))
+    structural = kind == "type4_structural"
+    t = with_sentences(texts(spark, sf), words=structural)
     per_level = []
     for name, lvl in N.LEVELS.items():
         picked = F.col(f"p_{name}")
-        noisy = N.apply_noise(kind, F.col("sents"), picked, F.col("src"), F.col("id"), F.col("info"))
+        noisy = N.apply_noise(kind, F.col("sents"), picked, F.col("src"), F.col("id"),
+                              F.col("info") if structural else None)
         per_level.append(F.struct(F.lit(name).alias("level"), join_sentences(noisy).alias("text")))
     return t.select("src", "id", F.inline(F.array(*per_level)))
 
@@ -48,9 +75,21 @@ _SENT_LIST = r"""list_filter(list_transform(
         string_split(regexp_replace(t.text, '\.\s+', '.' || chr(1), 'g'), chr(1)),
         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
 
+def _pick_sql(tag: str, words: list[str]) -> str:
+    h = f"('0x' || substr(md5('{tag}|' || CAST(s_suppkey AS VARCHAR)), 1, 8))::BIGINT"
+    return f"([{', '.join(repr(w) for w in words)}])[CAST({h} % {len(words)} AS INTEGER) + 1]"
+
+
+STAFF_SQL = f"""SELECT 'staff' AS src, s_suppkey AS id, {_pick_sql('title', TITLES)} || ' Lee of ' || n_name || ' ' || {_pick_sql('school', SCHOOLS)}
+  || ', Alameda County, knows ' || s_name || '. The school was founded in ' || CAST(1900 + s_suppkey % 100 AS VARCHAR)
+  || '. Its code is ' || CAST(10000 + (s_suppkey * 7) % 90000 AS VARCHAR) || '. It is in Orange County. Room ' || CAST(10 + s_suppkey % 80 AS VARCHAR) || ' is open.' AS text
+FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+
+
 _BASE = f"""texts AS (
   SELECT 'doc' AS src, doc_id AS id, text FROM documents
-  UNION ALL SELECT 'entry' AS src, entry_id AS id, text FROM ({C.ENTRIES_SQL}) e),
+  UNION ALL SELECT 'entry' AS src, entry_id AS id, text FROM ({C.ENTRIES_SQL}) e
+  UNION ALL {STAFF_SQL}),
 lv AS (SELECT * FROM (VALUES ('L1', 0.1::DOUBLE), ('L2', 0.3::DOUBLE), ('L3', 0.6::DOUBLE)) v(level, lvl)),
 s AS (SELECT t.src, t.id, u.s, u.o - 1 AS pos FROM texts t, unnest({_SENT_LIST}) WITH ORDINALITY AS u(s, o)),
 sn AS (SELECT *, count(*) OVER (PARTITION BY src, id) AS n,

@@ -122,19 +122,24 @@ def parse_braces(spark, sf):
 
 # ------------------------------------------------------------------ G15
 
+# The two answer formats, tried in order.
 ASSOC_RE = r"(?s)paragraph \d+: (.*?)\nassociated superkey: ([^\n]+)"
+ASSOC_BOLD_RE = r"(?s)(?:\*\*)?[Pp]aragraph\s+\d+:(?:\*\*)?\s*\n(.*?)\nassociated superkey:\s*([^\n]+)"
 
 
 def association_texts(spark, sf):
-    """Per entry either a ``paragraph k: ...\\nassociated superkey: ...`` answer
-    or (md5-chosen) a plain text without associations."""
+    """Per entry, chosen by md5, a ``paragraph k: ...\\nassociated superkey: ...``
+    answer, the same with bold headings on lines of their own, or a plain text
+    without associations."""
     r = C.rendered(spark, sf).withColumn("entry_id", F.floor(F.col("c_custkey") / C.BATCH))
     r = r.withColumn("pos", F.col("c_custkey") - F.col("entry_id") * C.BATCH + 1)
     block = F.concat(F.lit("paragraph "), F.col("pos").cast("string"), F.lit(": "), F.col("sentence"),
                      F.lit("\nassociated superkey: customer.c_custkey="), F.col("c_custkey").cast("string"))
     e = r.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("b"), "sentence"))).alias("a"))
-    plain = hex_digit(F.lit("sk"), F.col("entry_id").cast("string")) < 4
-    return e.select("entry_id", F.when(plain, F.array_join(F.transform("a", lambda x: x["sentence"]), "\n"))
+    h = hex_digit(F.lit("sk"), F.col("entry_id").cast("string"))
+    bold = F.transform("a", lambda x: F.regexp_replace(x["b"], r"^paragraph (\d+): ", "**Paragraph $1:**\n"))
+    return e.select("entry_id", F.when(h < 4, F.array_join(F.transform("a", lambda x: x["sentence"]), "\n"))
+                    .when(h < 8, F.array_join(bold, "\n"))
                     .otherwise(F.array_join(F.transform("a", lambda x: x["b"]), "\n")).alias("text"))
 
 
@@ -142,10 +147,14 @@ def association_texts(spark, sf):
 rp AS (SELECT *, c_custkey - entry_id * {C.BATCH} + 1 AS pos FROM r),
 e AS (SELECT entry_id, CASE WHEN {_sql_hex("'sk'", 'CAST(entry_id AS VARCHAR)')} < 4
         THEN string_agg(sentence, chr(10) ORDER BY pos)
+        WHEN {_sql_hex("'sk'", 'CAST(entry_id AS VARCHAR)')} < 8
+        THEN string_agg('**Paragraph ' || CAST(pos AS VARCHAR) || ':**' || chr(10) || sentence || chr(10) ||
+                        'associated superkey: customer.c_custkey=' || CAST(c_custkey AS VARCHAR), chr(10) ORDER BY pos)
         ELSE string_agg('paragraph ' || CAST(pos AS VARCHAR) || ': ' || sentence || chr(10) ||
                         'associated superkey: customer.c_custkey=' || CAST(c_custkey AS VARCHAR), chr(10) ORDER BY pos) END AS text
       FROM rp GROUP BY entry_id),
-m AS (SELECT entry_id, regexp_extract_all(text, '{ASSOC_RE}', 1) AS ps, regexp_extract_all(text, '{ASSOC_RE}', 2) AS ks,
+m AS (SELECT entry_id, CASE WHEN regexp_matches(text, '{ASSOC_RE}') THEN regexp_extract_all(text, '{ASSOC_RE}', 1) ELSE regexp_extract_all(text, '{ASSOC_BOLD_RE}', 1) END AS ps,
+             CASE WHEN regexp_matches(text, '{ASSOC_RE}') THEN regexp_extract_all(text, '{ASSOC_RE}', 2) ELSE regexp_extract_all(text, '{ASSOC_BOLD_RE}', 2) END AS ks,
              string_split(text, chr(10)) AS lines FROM e),
 a AS (SELECT entry_id, u.p AS paragraph, ks[u.o] AS superkey, u.o - 1 AS pos FROM m, unnest(ps) WITH ORDINALITY AS u(p, o)
       WHERE len(ps) > 0),
@@ -153,11 +162,12 @@ f AS (SELECT entry_id, u.p AS paragraph, CAST(u.o AS VARCHAR) AS superkey, u.o -
       FROM m, unnest(lines) WITH ORDINALITY AS u(p, o) WHERE len(ps) = 0)
 SELECT entry_id, pos, trim(paragraph) AS paragraph, trim(superkey) AS superkey FROM (SELECT * FROM a UNION ALL SELECT * FROM f) z""")
 def parse_superkeys(spark, sf):
-    """Paragraph/superkey pairs by regex; with none found, each line is a
-    paragraph and its 1-based number is the superkey (G15)."""
+    """Paragraph/superkey pairs by the first answer format that matches; with none
+    found, each line is a paragraph and its 1-based number is the superkey (G15)."""
     e = association_texts(spark, sf)
-    m = e.select("entry_id", F.regexp_extract_all("text", F.lit(ASSOC_RE), 1).alias("ps"),
-                 F.regexp_extract_all("text", F.lit(ASSOC_RE), 2).alias("ks"), F.split("text", "\n").alias("lines"))
+    plain = F.col("text").rlike(ASSOC_RE)
+    found = lambda i: F.when(plain, F.regexp_extract_all("text", F.lit(ASSOC_RE), i)).otherwise(F.regexp_extract_all("text", F.lit(ASSOC_BOLD_RE), i))
+    m = e.select("entry_id", found(1).alias("ps"), found(2).alias("ks"), F.split("text", "\n").alias("lines"))
     pairs = F.when(F.size("ps") > 0, F.arrays_zip(F.col("ps").alias("p"), F.col("ks").alias("k"))).otherwise(
         F.transform("lines", lambda x, i: F.struct(x.alias("p"), (i + 1).cast("string").alias("k"))))
     out = m.select("entry_id", F.posexplode(pairs).alias("pos", "z"))
@@ -173,11 +183,10 @@ SCHEMA_PATTERNS = [
     r"```(?:json|python)?\s*(\[[\s\S]*\])\s*```",
     r"schema\s*=\s*(\[[\s\S]*\])",
     r"[Ss]chema\s*[:=]\s*(\[[\s\S]*?\])",
-    r"[Ss]chema\s*:\s*{\s*\"schema\"\s*:\s*(\[[\s\S]*?\])\s*}",
+    r"[Ss]chema\s*:\s*\{\s*\"schema\"\s*:\s*(\[[\s\S]*?\])\s*}",
 ]
 FENCE_RE = r"(?s)```(?:python|sql)\s*(.*?)```"
-# The same patterns with the literal brace escaped, which Java's regex requires.
-ESC_PATTERNS = [p.replace("\\s*{", "\\s*\\{") for p in SCHEMA_PATTERNS]
+
 
 
 def schema_texts(spark, sf):
@@ -202,14 +211,14 @@ x AS (SELECT domain, fmt, CASE fmt WHEN 0 THEN '```python' || chr(10) || 'schema
                                  WHEN 2 THEN 'Here it is: schema = ' || lit
                                  ELSE 'Schema: ' || lit || ' and no more' END AS text FROM t)
 SELECT domain, fmt, coalesce(""" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')"
-                                            for p in ESC_PATTERNS) + f""") AS extracted,
+                                            for p in SCHEMA_PATTERNS) + f""") AS extracted,
        nullif(regexp_extract(text, '{FENCE_RE}', 1), '') AS fenced FROM x""")
 def extract_schema_text(spark, sf):
     """First of five patterns that finds a list literal (G13) and the body of
     a python/sql fence (G14), over schema answers written four ways."""
     x = schema_texts(spark, sf)
     ext = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-                       for p in ESC_PATTERNS])
+                       for p in SCHEMA_PATTERNS])
     return finalize(x.select("domain", "fmt", ext.alias("extracted"),
                              F.nullif(F.regexp_extract("text", FENCE_RE, 1), F.lit("")).alias("fenced")))
 
@@ -217,6 +226,7 @@ def extract_schema_text(spark, sf):
 # ------------------------------------------------------------------ G17
 
 TRIPLET_SCHEMA = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object")]))
+# Fixed value: a list of objects.
 LIST_RE = r"(?s)\[\s*\{.*?\}\s*\]"
 
 

@@ -140,7 +140,19 @@ def method_pivot_best(spark, sf):
 
 ENS_COMBOS = {"staged+tst": ["staged", "tst"], "staged+single_shot": ["staged", "single_shot"],
               "all": ["staged", "tst", "single_shot"]}
-ENS_CAP = 15
+ENS_CAP = 15  # rows of a member that enter an ensemble (E6); a parameter of ensemble_rows
+
+
+def ensemble_rows(rows, combos: dict, cap: int = ENS_CAP):
+    """Per (combo, entry) the first ``cap`` rows of each member method, in
+    method order; a group holds at most cap x members rows."""
+    capped = rows.withColumn("_r", F.row_number().over(Window.partitionBy("method", "entry_id").orderBy("row_pos"))) \
+        .filter(F.col("_r") <= cap).drop("_r")
+    named = F.array(*[F.struct(F.lit(c).alias("combo"), F.array(*[F.lit(m) for m in ms]).alias("members"))
+                      for c, ms in combos.items()])
+    ex = capped.select("*", F.inline(named)).filter(F.array_contains("members", F.col("method"))).drop("members")
+    w = Window.partitionBy("combo", "entry_id").orderBy("method_rank", "row_pos")
+    return ex.withColumn("ens_pos", F.row_number().over(w) - 1)
 
 
 @query("ensemble_union", f"""WITH {M.BASE_SQL},
@@ -154,13 +166,70 @@ FROM capped k JOIN combos c ON c.method = k.method""")
 def ensemble_union(spark, sf):
     """Ensembles (E6, F2): per database, the first 15 rows of each member
     method concatenated in method order; positions are renumbered within the
-    (combo, entry) group, which holds at most 15 x members rows."""
+    (combo, entry) group."""
     rk = M.pred_cells(spark, sf).select("method", "method_rank", "entry_id", "row_pos", "id_val").distinct()
-    capped = rk.withColumn("_r", F.row_number().over(Window.partitionBy("method", "entry_id").orderBy("row_pos"))) \
-        .filter(F.col("_r") <= ENS_CAP).drop("_r")
-    combos = F.array(*[F.struct(F.lit(c).alias("combo"), F.array(*[F.lit(m) for m in ms]).alias("members"))
-                       for c, ms in ENS_COMBOS.items()])
-    ex = capped.select("*", F.inline(combos)).filter(F.array_contains("members", F.col("method"))).drop("members")
-    w = Window.partitionBy("combo", "entry_id").orderBy("method_rank", "row_pos")
-    return finalize(ex.withColumn("ens_pos", F.row_number().over(w) - 1)
-                    .select("combo", "entry_id", "method", "row_pos", "id_val", "ens_pos"))
+    return finalize(ensemble_rows(rk, ENS_COMBOS).select("combo", "entry_id", "method", "row_pos", "id_val", "ens_pos"))
+
+
+_ENS_SQL = "(VALUES " + ", ".join(f"('{c}', '{m}')" for c, ms in ENS_COMBOS.items() for m in ms) + ") v(combo, method)"
+
+
+@query("ensemble_attributes", f"""WITH {M.BASE_SQL},
+mem AS (SELECT v.combo, p.entry_id, p.method, p.method_rank, p.table_name, e.domain
+        FROM p JOIN {_ENS_SQL} ON v.method = p.method JOIN ents e ON e.entry_id = p.entry_id),
+has AS (SELECT combo, entry_id, method, method_rank, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS schema, min(domain) AS domain FROM mem GROUP BY ALL),
+nul AS (SELECT *, CASE WHEN {M.sql_hunit("'ens'", 'method', 'entry_id')} < 0.5 THEN NULL ELSE schema END AS own FROM has)
+SELECT combo, entry_id, arg_min(own, method_rank) FILTER (WHERE own IS NOT NULL) AS schema, arg_min(domain, method_rank) AS domain, count(*) AS n_members
+FROM nul GROUP BY combo, entry_id""")
+def ensemble_attributes(spark, sf):
+    """Schema and domain of an ensemble: the first member's, in method order, that
+    has one (E7). Half of the members, by md5, have lost their schema."""
+    p = M.pred_cells(spark, sf).join(M.entry_domains(spark, sf), "entry_id")
+    has = p.groupBy("method", "method_rank", "entry_id").agg(F.array_join(F.array_sort(F.collect_set("table_name")), ",").alias("s"), F.min("domain").alias("domain"))
+    own = F.when(M.hunit(F.lit("ens"), F.col("method"), F.col("entry_id")) < 0.5, F.lit(None)).otherwise(F.col("s"))
+    named = F.array(*[F.struct(F.lit(c).alias("combo"), F.array(*[F.lit(m) for m in ms]).alias("members")) for c, ms in ENS_COMBOS.items()])
+    ex = has.withColumn("own", own).select("*", F.inline(named)).filter(F.array_contains("members", F.col("method")))
+    return finalize(ex.groupBy("combo", "entry_id").agg(
+        F.min_by("own", F.when(F.col("own").isNotNull(), F.col("method_rank"))).alias("schema"),
+        F.min_by("domain", "method_rank").alias("domain"), F.count(F.lit(1)).alias("n_members")))
+
+
+_INTEGRITY_SQL = f"""WITH {M.BASE_SQL},
+per AS (SELECT c.method, e.domain, c.entry_id, avg(CASE WHEN c.id_val = CAST(c.row_pos + 1 AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS ri
+        FROM r c JOIN ents e ON e.entry_id = c.entry_id GROUP BY ALL),
+md AS (SELECT method, domain, round(avg(ri), 3) AS ri FROM per GROUP BY ALL),
+pv AS (SELECT domain, """ + ", ".join(f"max(ri) FILTER (WHERE method = '{m}') AS {m}" for m in METHOD_NAMES) + " FROM md GROUP BY domain)"
+
+
+@query("integrity_pivot", _INTEGRITY_SQL + """
+SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN {m} = greatest({', '.join(METHOD_NAMES)}) THEN '{m}' END" for m in METHOD_NAMES) + """) AS best FROM pv""")
+def integrity_pivot(spark, sf):
+    """Domain x method pivot of row-id integrity, every method that reaches the row's
+    exact maximum marked (D24)."""
+    r = M.pred_cells(spark, sf).select("method", "entry_id", "row_pos", "id_val").distinct()
+    ok = (F.col("id_val") == (F.col("row_pos") + 1).cast("string")).cast("double")
+    per = r.groupBy("method", "entry_id").agg(F.avg(ok).alias("ri")).join(M.entry_domains(spark, sf), "entry_id")
+    md = per.groupBy("domain", "method").agg(F.round(F.avg("ri"), 3).alias("ri"))
+    pv = md.groupBy("domain").pivot("method", METHOD_NAMES).agg(F.first("ri"))
+    top = F.greatest(*METHOD_NAMES)
+    best = F.concat_ws(",", *[F.when(F.col(m) == top, F.lit(m)) for m in METHOD_NAMES])
+    return finalize(pv.withColumn("best", best))
+
+
+#: Difficulty of a domain (fixed values of the reports' second axis).
+DIFFICULTY = {"automobile": "easy", "building": "easy", "furniture": "medium", "household": "medium", "machinery": "hard"}
+_SHORT = {"avg_row_accuracy": "rc", "match_accuracy": "vc", "match_in_right_column_accuracy": "cc"}
+
+
+@query("difficulty_pivot", M.ROW_MATCH_SQL + f""",
+d AS (SELECT method, CASE domain {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in DIFFICULTY.items())} END AS difficulty, avg_row_accuracy, match_accuracy,
+             match_in_right_column_accuracy FROM rm)
+SELECT difficulty, """ + ", ".join(f"round(avg({c}) FILTER (WHERE method = '{m}'), 6) AS {m}_{s}" for m in METHOD_NAMES for c, s in _SHORT.items()) + """
+FROM d GROUP BY difficulty""")
+def difficulty_pivot(spark, sf):
+    """Difficulty x (method, metric) pivot of the three accuracies."""
+    level = F.lit(None).cast("string")
+    for k, v in DIFFICULTY.items():
+        level = F.when(F.col("domain") == k, F.lit(v)).otherwise(level)
+    d = metric_rows(spark, sf).withColumn("difficulty", level)
+    return finalize(d.groupBy("difficulty").pivot("method", METHOD_NAMES).agg(*[F.avg(c).alias(s) for c, s in _SHORT.items()]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relweave.operators.windows import rank_in_group
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -33,43 +37,59 @@ ENTRY_JSON_SCHEMA = T.StructType([
 
 
 def read_entries(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """Entry files (JSON arrays) with an explicit ``entry_id``.
+    """Entry files (JSON arrays) with an explicit ``entry_id``: the dense position
+    over (file name, position in file). With ``n`` exactly n entries are returned
+    (the reference's n+1 is fixed, Q1).
 
-    A JSON array file is not splittable, so each file is read by one task in
-    file order; ``entry_id`` is the dense position over (file name, position in
-    file), assigned with ``zipWithIndex`` (no single-partition window). With
-    ``n`` exactly n entries are returned (the reference's n+1 is fixed, Q1).
+    A JSON array file is not splittable, so one task reads a file in its order
+    and its entries have rising row numbers; :func:`rank_in_group` numbers them
+    over all files with a range-partitioned sort.
     """
     raw = (spark.read.schema(ENTRY_JSON_SCHEMA).option("multiLine", True).json(path)
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_pos", F.monotonically_increasing_id()))
-    raw = raw.orderBy("_file", "_pos")
-    schema = T.StructType(raw.schema.fields + [T.StructField("entry_id", T.LongType())])
-    idx = raw.rdd.zipWithIndex().map(lambda rp: tuple(rp[0]) + (rp[1],))
-    df = spark.createDataFrame(idx, schema).drop("_file", "_pos")
-    kv = F.transform_values(
-        "ground_truth_key_value",
-        lambda k, a: F.transform(a, lambda p: F.struct(F.get(p, 0).alias("id"),
-                                                      F.get(p, 1).alias("value"))))
-    df = df.withColumn("ground_truth_key_value", kv)
+    df = rank_in_group(raw, None, ["_file", "_pos"], out="entry_id").withColumn("entry_id", F.col("entry_id") - 1)
     if n is not None:
         df = df.filter(F.col("entry_id") < n)
-    return df
+    kv = F.transform_values("ground_truth_key_value", lambda k, a: F.transform(a, lambda p: F.struct(F.get(p, 0).alias("id"), F.get(p, 1).alias("value"))))
+    return df.drop("_file", "_pos").withColumn("ground_truth_key_value", kv)
+
+
+def _csv_files(spark: SparkSession, root: str, suffix: str, skip_folders: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(relative path, path) of the files below ``root`` whose name ends with
+    ``suffix``, by the cluster's file system; skipped folders aren't entered."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found, todo = [], [top]
+    while todo:
+        for st in fs.listStatus(todo.pop()):
+            name = st.getPath().getName()
+            if st.isDirectory():
+                if name not in skip_folders:
+                    todo.append(st.getPath())
+            elif name.endswith(suffix):
+                full = fs.makeQualified(st.getPath()).toString()
+                found.append((full[len(base):], full))
+    return sorted(found)
 
 
 def read_csv_folder(spark: SparkSession, root: str, suffix: str = "data.csv",
-                    skip_folders: tuple[str, ...] = ()) -> DataFrame:
-    """Recursive CSV ingest (A3): dataset name = relative folder path with
-    ``_``; files in skipped folders are left out; unreadable files skipped."""
-    df = (spark.read.option("header", True).option("inferSchema", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-          .option("ignoreCorruptFiles", True).csv(root)
-          .withColumn("_path", F.col("_metadata.file_path")))
-    rel = F.regexp_replace(F.col("_path"), r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    df = df.withColumn("dataset", F.regexp_replace(F.regexp_replace(rel, r"/[^/]*$", ""), "/", "_"))
-    for s in skip_folders:
-        df = df.filter(~F.col("_path").contains(f"/{s}/"))
-    return df.drop("_path")
+                    skip_folders: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Recursive CSV ingest (A3): one frame per file, each with its own header,
+    under the file's relative path without extension, folders joined by ``_``.
+    Files that can't be read as CSV are left out one by one."""
+    out = {}
+    for rel, full in _csv_files(spark, root, suffix, skip_folders):
+        try:
+            df = spark.read.option("header", True).option("inferSchema", True).csv(full)
+            df.limit(1).collect()
+        except (AnalysisException, Py4JJavaError, PySparkException):
+            continue
+        if df.columns:
+            out[rel.rsplit(".", 1)[0].replace("/", "_")] = df
+    return out
 
 
 def find_json(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:

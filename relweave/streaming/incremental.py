@@ -24,10 +24,11 @@ def process_pending(spark: SparkSession, entries: DataFrame, results_path: str,
                     stage: Callable[[DataFrame], DataFrame], key: str = "entry_id") -> DataFrame:
     """Run ``stage`` on the entries whose key is not yet in ``results_path``
     and append its output there. Returns the processed batch."""
-    try:
-        done = spark.read.parquet(results_path).select(key)
-    except Exception:  # noqa: BLE001 - no results written yet
-        done = entries.select(key).limit(0)
+    # Only a folder that isn't there means that nothing is done; any error in reading
+    # what is there must stop the job, or finished work would be appended again.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(results_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    done = spark.read.parquet(results_path).select(key) if there else entries.select(key).limit(0)
     todo = pending(entries, done, key)
     out = stage(todo)
     out.write.mode("append").parquet(results_path)
