@@ -89,4 +89,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_bpe, op6_simhash,
                                     op7_chat_format, op8_nearest, op9_line_dedup, op10_token_counts, pipeline)}
-ORACLE: dict[str, str] = {}
+
+#: The queries that SQL can express; the others are held against brute-force
+#: versions in tests/llm (64-bit hashes, fitted models, merges, edit distance).
+ORACLE: dict[str, str] = {
+    "op7_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+w AS (SELECT *, regexp_matches(text, '<s>|</s>|\[INST |\[/INST\]') OR contains(role, ']') OR suffix(role, '*') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(7 + sum(14 + length(role) + length(text) + CASE WHEN escaped
+         THEN 1 + length(regexp_replace(role || text, '[^\\<\[\]*]', '', 'g')) ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id""",
+    "op9_line_dedup": r"""WITH l AS (SELECT doc_id, u.o AS pos, u.x AS line,
+    translate(regexp_replace(u.x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(x, o)),
+own AS (SELECT key, min(doc_id) AS owner FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT l.*, own.owner IS NOT NULL AND own.owner <> l.doc_id AS gone FROM l LEFT JOIN own ON own.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
+}

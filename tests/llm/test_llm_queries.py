@@ -25,6 +25,20 @@ def test_registered():
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11
 
 
+def test_oracles(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
+    for name, sql in queries.ORACLE.items():
+        rows = entry.queries()[name](spark, SMOKE)
+        got = con.execute(sql).fetchall()
+        columns = [d[0] for d in con.description]
+        assert sorted(columns) == sorted(rows.columns)
+        assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(got)
+
+
 def test_held_out_flags(spark, docs):
     for name, mod, rest in (("op3_quality", 3, 1), ("op4_language_id", 5, 0)):
         rows = entry.queries()[name](spark, SMOKE).collect()
