@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize, materialize, split_lines, split_sentences
@@ -25,12 +24,15 @@ from relweave.sources.tables import read_table, tables
 FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(p, o)""")
 def paragraph_superkeys(spark, sf):
     """One key per paragraph (J2): the 1-based paragraph number fallback, and
-    whether the same paragraph repeats inside the document."""
+    whether the same paragraph repeats inside the document, which the document's
+    row finds from its sorted paragraphs."""
     d = read_table(spark, sf, "documents")
-    p = d.select("doc_id", F.posexplode(split_lines("text")).alias("para_pos", "p"))
-    rep = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "p")) > 1
+    p = materialize(d, ["doc_id"], paras=split_lines("text"))
+    p = materialize(p, ["doc_id", "paras"], line_up=F.array_sort("paras"))
+    p = materialize(p, ["doc_id", "paras"], twice=F.array_distinct(F.filter("line_up", lambda x, i: (i > 0) & (x == F.get("line_up", i - 1)))))
+    p = p.select("doc_id", "twice", F.posexplode("paras").alias("para_pos", "p"))
     return finalize(p.select("doc_id", "para_pos", (F.col("para_pos") + 1).cast("string").alias("superkey"),
-                             rep.alias("repeated")))
+                             F.array_contains("twice", F.col("p")).alias("repeated")))
 
 
 @query("schema_bound_facts", f"""WITH {CATALOG_SQL}
@@ -179,6 +181,7 @@ def string_similarity_topk(spark, sf):
     return finalize(p.select("p_brand", F.inline(F.transform("g", one))))
 
 
+# Cosine above which a fact or a cell repeats an earlier one.
 FACT_T, CELL_T = 0.97, 0.99
 
 
