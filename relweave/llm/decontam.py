@@ -273,19 +273,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     columns are ignored.
     """
     docs = pick(df, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
     out = None
-    for k in range(blocks):
-        block = sorted(((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()),
-                       key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        sent = df.sparkSession.sparkContext.broadcast(Searcher(block, **search))
-
+    for sent in _searchers(benchmark, item_col, item_text_col, block_bytes, search):
         def run(batches, sent=sent):
-            searcher = sent.value
             for b in slices(batches):
-                got = sorted(searcher.find(b.column("text").to_pylist()), key=lambda x: x[:1] + x[2:])
+                got = sorted(sent.value.find(b.column("text").to_pylist()), key=lambda x: x[:1] + x[2:])
                 if got:
                     cols = list(zip(*got))
                     ids = b.column("doc_id").take(pa.array(cols[0], pa.int64()))
@@ -295,3 +287,32 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         part = docs.mapInArrow(run, "doc_id long, item_id long, edits long, first_word long, n_words long, item_words long")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+               block_bytes: int = 8 << 20, **search) -> DataFrame:
+    """The rows, all columns kept, that hold no passage of the benchmark; each row is
+    judged where it is, without a shuffle. Cases as in :func:`contaminated`; a row
+    with a null id is judged like any other."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), F.col(text_col).cast("string").alias("text"))
+    for sent in _searchers(benchmark, item_col, item_text_col, block_bytes, search):
+        def run(batches, sent=sent):
+            for b in slices(batches):
+                keep = np.ones(b.num_rows, bool)
+                keep[[x[0] for x in sent.value.find(b.column("text").to_pylist())]] = False
+                yield b.filter(pa.array(keep))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*[F.col(f"record.`{c}`") for c in df.columns])
+
+
+def _searchers(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, search: dict):
+    """A broadcast searcher for each block of the benchmark."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    for k in range(blocks):
+        block = sorted(((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()),
+                       key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        yield spark.sparkContext.broadcast(Searcher(block, **search))

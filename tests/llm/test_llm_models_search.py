@@ -171,6 +171,8 @@ def test_decontamination_finds_planted_passages(spark):
         part = words[r.doc_id][r.first_word:r.first_word + r.n_words]
         assert _levenshtein(w, part) == r.edits <= 0.2 * len(w)
     assert all(_best(dict(items)[k], words[d]) <= 0.2 * len(dict(items)[k]) for d, k in got - exact - edited)
+    kept = {r.doc_id for r in decontam.clean_rows(df, bench).collect()}
+    assert kept == set(words) - {d for d, _ in got}
     # small blocks of the benchmark give the same
     more = decontam.contaminated(df, bench, block_bytes=1500).collect()
     assert exact <= {(r.doc_id, r.item_id) for r in more}
@@ -181,6 +183,8 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     got = sorted(((r.doc_id, r.item_id) for r in decontam.contaminated(odd_docs, bench).collect()), key=str)
     assert got == sorted([(1, 1), (4, 1), (4, 1), (None, 1), (9, None)], key=str)
     assert decontam.contaminated(no_docs, bench).count() == 0
+    kept = decontam.clean_rows(odd_docs, bench)
+    assert kept.columns == odd_docs.columns and kept.count() == 15 - 5 and kept.where("doc_id IS NULL").count() == 1
     assert decontam.contaminated(odd_docs, bench.where("item_id = 99")).count() == 0
     loops = spark.createDataFrame([(1, "the " * 50_000)], "doc_id long, text string")
     item = spark.createDataFrame([(1, "one two the the the the the the six seven eight nine ten end of it")], "item_id long, text string")
