@@ -32,12 +32,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, one row of it."""
-    firsts = simhash.simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    # an id that repeats keeps its smallest row
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in rest]).select(*docs.columns)
+    """One row of each group of near copies: the first by id (nulls last), then by the
+    other columns. Groups are of rows, so rows that share an id or have none and
+    aren't near copies all stay."""
+    return simhash.first_rows(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.llm.common import pick, slices
 from relweave.session import cut_lineage
@@ -263,11 +264,47 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     has a null id. An empty table gives no rows; extra columns are ignored.
     """
     fps = cut_lineage(fingerprints(df, id_col, text_col, size))
+    ids = _roots(fps, budget, split_over).select("fp", "component_id")
+    return (fps.join(ids, "fp")
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def _roots(fps: DataFrame, budget: int, split_over: int) -> DataFrame:
+    """(fp, root, component_id): every fingerprint's component, named by a fingerprint
+    and by the smallest id (null where all ids are)."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(distinct.select("fp"), budget, split_over))
     # only fingerprints that link to another one
     named = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
-    return (fps.join(ids, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+               budget: int = 3, split_over: int = 200_000) -> DataFrame:
+    """One row, all columns kept, of each component: the first by id, nulls last, and
+    then by the other columns in their order (nulls first).
+
+    Components are those of :func:`simhash_components` and belong to rows, not to
+    ids: rows of one id, or of none, whose texts aren't near each other all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    fps = cut_lineage(fingerprints(df, id_col, text_col, size))
+    # the texts meet only the (fingerprint, id) pairs that can stay, so a large group of copies isn't one key
+    firsts = (fps.distinct().join(_roots(fps, budget, split_over), "fp").where("doc_id <=> component_id")
+              .select("fp", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "root"))
+
+    def run(batches):
+        for b in slices(batches):
+            fp = pa.array(np.array([fingerprint_of(t or "", size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("record"), b.column("id"), b.column("no_id"), fp], ["record", "id", "no_id", "fp"])
+
+    key = F.col(id_col).cast("long")
+    rows = df.select(F.struct(*columns).alias("record"), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"),
+                     F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("fp", T.LongType())])
+    kept = rows.mapInArrow(run, schema).join(firsts, ["fp", "id", "no_id"])
+    # ids of a component's rows are equal here
+    order = [id_col, *(c for c in df.columns if c != id_col)]
+    best = kept.groupBy("root").agg(F.min(F.struct(*[F.col(f"record.`{c}`") for c in order])).alias("best"))
+    return best.select(*[F.col(f"best.`{c}`") for c in df.columns])

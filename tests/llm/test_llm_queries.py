@@ -1,6 +1,7 @@
 """The registered queries and the pipeline, against brute force at the smallest scale."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -90,3 +91,19 @@ def test_stages_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
         assert set(frame.columns) >= {"doc_id", "n_tokens", "ids"}
         if n == "none":
             assert frame.count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(rng.randint(4, 90))) for _ in range(60)]
+    rows = [(rng.choice([None, *range(25)]), t, rng.choice([None, "x", "y"])) for t in texts]
+    rows += [(rng.choice([None, *range(25)]), t + " z" * rng.randint(0, 1), rng.choice([None, "x"])) for t in texts[:30]] + rows[:6]
+    rows += [(None, "stands alone without an id", None), (7, None, "x"), (None, "", "x")]
+    comp = brute_components([brute_fingerprint(t) for _, t, _ in rows])
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "", r[2] is not None, r[2] or "")
+    want = [min((r for r, c in zip(rows, comp) if c == root), key=order) for root in set(comp)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = corpus_pipeline.without_near_copies(spark, df, SMOKE)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert any(r[0] is None for r in want) and len({r[0] for r in want}) < len(want)
