@@ -47,11 +47,11 @@ class Walk:
     entries: np.ndarray  # entry of each last reading
 
 
-def _read(codes: np.ndarray, starts: np.ndarray, walk_bits: np.ndarray, steps: list[int]) -> np.ndarray:
-    """What a walk from each start writes at the given steps; 0 beyond the end."""
+def _read(codes: np.ndarray, starts: np.ndarray, last: np.ndarray, walk_bits: np.ndarray, steps: list[int]) -> np.ndarray:
+    """What a walk from each start writes at the given steps; 0 beyond the text's
+    end, whose zero stands at ``last``."""
     pos = starts.copy()
     out = np.empty((len(starts), len(steps)), np.int64)
-    last = len(codes) - 1
     j = 0
     for k, s in enumerate(steps):
         while j < s:
@@ -94,6 +94,7 @@ class Searcher:
         joined = np.concatenate([np.append(self.codes[k], 0) for k, _ in entries])
         offsets = np.cumsum([0] + [len(self.codes[k]) + 1 for k, _ in entries])[:-1]
         starts = offsets + np.array([o for _, o in entries])
+        last = offsets + np.array([len(self.codes[k]) for k, _ in entries])
         trials = self._trials(mine, rate, rng)
         missed, rounds = 1.0, 0
         while missed > 1 - target and rounds < most_rounds:
@@ -104,7 +105,7 @@ class Searcher:
             steps = sorted([early, *map(int, later)])
             bits = rng.integers(0, 2, (span, len(self.vocab) + 1)).astype(np.int8)
             bits[:, 0] = 1  # no item has this word: go past it
-            got = _read(joined, starts, bits, steps)
+            got = _read(joined, starts, last, bits, steps)
             keys, h = [], np.zeros(len(got), np.uint64)
             for k in range(len(steps)):
                 h = _mix(h, got[:, k])
@@ -140,13 +141,14 @@ class Searcher:
     def _missed(self, trials, walk: Walk) -> float:
         for t in trials:
             if not t[2]:
-                entry, _ = self._look(t[1], np.arange(len(t[1])), walk)
+                n = len(t[1])
+                entry, _ = self._look(np.append(t[1], 0), np.arange(n), np.full(n, n), walk)
                 t[2] = any(self.entries[e][0] == t[0] for e in entry)
         return 1 - sum(t[2] for t in trials) / len(trials)
 
-    def _look(self, codes: np.ndarray, starts: np.ndarray, walk: Walk) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, starts): windows that agree with an entry on all sampled steps."""
-        last = len(codes) - 1
+    def _look(self, codes: np.ndarray, starts: np.ndarray, last: np.ndarray, walk: Walk) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, starts): windows that agree with an entry on all sampled steps.
+        ``last``: where the zero after each start's text stands; a walk ends there."""
         pos, at = starts.copy(), starts
         h = None
         j = 0
@@ -157,13 +159,13 @@ class Searcher:
             word = codes[np.minimum(pos, last)]
             if k == 0:
                 ok = walk.first[word]
-                pos, at, word = pos[ok], at[ok], word[ok]
+                pos, at, last, word = pos[ok], at[ok], last[ok], word[ok]
                 h = np.zeros(len(at), np.uint64)
             h = _mix(h, word)
             if k < len(walk.steps) - 1:
                 if k:
                     ok = _member(walk.keys[k], h)
-                    pos, at, h = pos[ok], at[ok], h[ok]
+                    pos, at, last, h = pos[ok], at[ok], last[ok], h[ok]
                 if not len(at):
                     return np.empty(0, np.int64), at
         lo, hi = np.searchsorted(walk.keys[-1], h, "left"), np.searchsorted(walk.keys[-1], h, "right")
@@ -177,7 +179,7 @@ class Searcher:
         parts, ends = [], []
         total = 0
         for t in texts:
-            # a zero after each text: windows don't run on into the next one
+            # a zero after each text, where its windows end
             c = [get(w, 0) for w in words_of(t)]
             c.append(0)
             parts += c
@@ -186,35 +188,37 @@ class Searcher:
         codes = np.array(parts, np.int64)
         ends = np.array(ends, np.int64)
         starts = np.flatnonzero(codes)
-        got = [self._look(codes, starts, walk) for walk in self.walks]
+        last = ends[np.searchsorted(ends, starts, "right")] - 1
+        got = [self._look(codes, starts, last, walk) for walk in self.walks]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if got:
             place = np.array(self.entries, np.int64).reshape(-1, 2)[np.concatenate([e for e, _ in got])]
-            # item and assumed beginning of the item in the documents
-            pairs = np.unique(np.stack([place[:, 0], np.concatenate([p for _, p in got]) - place[:, 1]], 1), axis=0)
-            for k in np.unique(pairs[:, 0]).tolist():
-                self._verify(k, pairs[pairs[:, 0] == k, 1], codes, ends, best)
+            found = np.concatenate([p for _, p in got])
+            # item, assumed beginning of the item, and the text that holds the window
+            pairs = np.unique(np.stack([place[:, 0], found - place[:, 1], np.searchsorted(ends, found, "right")], 1), axis=0)
+            cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+            for mine in np.split(pairs, cut) if len(pairs) else []:
+                self._verify(int(mine[0, 0]), mine[:, 1], mine[:, 2], codes, ends, best)
         return [(d, self.items[k][0], e, a, n, len(self.codes[k])) for (d, k), (e, a, n) in best.items()]
 
-    def _verify(self, k: int, begins: np.ndarray, codes: np.ndarray, ends: np.ndarray, best: dict) -> None:
+    def _verify(self, k: int, begins: np.ndarray, texts: np.ndarray, codes: np.ndarray, ends: np.ndarray, best: dict) -> None:
         item = self.codes[k]
         n, most = len(item), int(self.max_rate * len(item))
         words, times = np.unique(item, return_counts=True)
         for i in range(0, len(begins), 4096):
-            at = begins[i:i + 4096]
+            at, of = begins[i:i + 4096], texts[i:i + 4096]
             window = codes[np.clip(at[:, None] + np.arange(-most, n + most), 0, len(codes) - 1)]
             # item words that the window lacks altogether must be edited
             present = sum(t * (window == w).any(1) for w, t in zip(words, times))
-            for p in at[present >= n - most].tolist():
-                d = int(np.searchsorted(ends, max(p, 0), "right"))
-                for d in {d, int(np.searchsorted(ends, min(p + n - 1, len(codes) - 1), "right"))}:
-                    begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
-                    lo, hi = max(begin, p - most), min(end, p + n + most)
-                    got = edits_within(item, codes[lo:hi], most) if hi > lo else None
-                    if got is not None:
-                        new = (got[0], lo + got[1] - begin, got[2] - got[1])
-                        if (d, k) not in best or new < best[d, k]:
-                            best[d, k] = new
+            near = present >= n - most
+            for p, d in zip(at[near].tolist(), of[near].tolist()):
+                begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
+                lo, hi = max(begin, p - most), min(end, p + n + most)
+                got = edits_within(item, codes[lo:hi], most) if hi > lo else None
+                if got is not None:
+                    new = (got[0], lo + got[1] - begin, got[2] - got[1])
+                    if (d, k) not in best or new < best[d, k]:
+                        best[d, k] = new
 
 
 def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:

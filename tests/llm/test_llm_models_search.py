@@ -178,6 +178,24 @@ def test_decontamination_finds_planted_passages(spark):
     assert exact <= {(r.doc_id, r.item_id) for r in more}
 
 
+def test_short_trimmed_texts_are_found_in_any_batch():
+    """A text that is an item without its first and last words, alone and between others."""
+    rng = random.Random(12)
+    items = [(k, _prose(rng, rng.choice([10, 20, 30, 45]))) for k in range(25)]
+    search = decontam.Searcher([(k, " ".join(w)) for k, w in items])
+    texts = []
+    for _, w in items:
+        most = len(w) // 5
+        for s in range(most + 1):
+            texts += [" ".join(w[s:len(w) - (most - s)]), " ".join(_prose(rng, rng.randint(0, 6))), ""]
+    alone = {(d, *x[1:]) for d, t in enumerate(texts) for x in search.find([t])}
+    assert set(search.find(texts)) == alone
+    trimmed = [(d, k) for d, t in enumerate(texts) for k, w in items if len(t.split()) >= 0.8 * len(w) and t in " ".join(w)]
+    assert len(trimmed) > 100 and len(set(trimmed) - {x[:2] for x in alone}) <= 0.2 * len(trimmed)
+    for d, i, edits, *_ in alone:
+        assert edits == _best(dict(items)[i], texts[d].split()) <= 0.2 * len(dict(items)[i])
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "same line here and there"), (1, "same line here and there"), (2, None), (3, ""), (None, "ok"), (5, "!!")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in decontam.contaminated(odd_docs, bench).collect()), key=str)
