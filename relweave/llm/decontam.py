@@ -9,10 +9,13 @@ edit distance becomes Hamming distance.
 Bit sampling reads the embedding at a few random steps. A window of a document,
 starting at any word and as long as an item, is a candidate for the items that
 agree with it on all sampled steps; that is repeated with new walks and new
-steps until an item changed at the design rate is found with the target
-probability. The number of repetitions follows from trial edits of the items
-themselves. Long items enter at several starting points, which costs a window
-nothing. Candidates are verified by exact edit distance.
+steps until items with as many edits as are allowed are found with the target
+probability, whatever their length. The number of repetitions follows from trial
+edits of all items. Long items enter at several starting points, which costs a
+window nothing. Items of lengths still below the target after the last round are
+also looked up by pieces: of one piece more than edits are allowed, one is
+unchanged, so nothing of them is missed. Candidates are verified by exact edit
+distance.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def _read(codes: np.ndarray, starts: np.ndarray, last: np.ndarray, walk_bits: np
 class Searcher:
     """All items of one block of the benchmark, ready to look documents up."""
 
-    def __init__(self, items: list[tuple[int, str]], max_rate: float = 0.2, design_rate: float = 0.1,
+    def __init__(self, items: list[tuple[int, str]], max_rate: float = 0.2,
                  target: float = 0.95, samples: int = 4, seed: int = 1, most_rounds: int = 64):
         self.max_rate = max_rate
         texts = [(i, words_of(t)) for i, t in items]
@@ -80,71 +83,110 @@ class Searcher:
         for base in _BASES:
             mine = [k for k, c in enumerate(self.codes) if len(c) >= base and (base == _BASES[0] or len(c) < _BASES[_BASES.index(base) - 1])]
             if mine:
-                self._add_class(mine, base, design_rate, target, min(samples, base), rng, most_rounds)
+                self._add_class(mine, base, target, min(samples, base), rng, most_rounds)
 
-    def _add_class(self, mine, base, rate, target, samples, rng, most_rounds):
-        begin = len(self.entries)
-        for k in mine:  # starting points about a window apart; the last one reaches the item's end
-            n = len(self.codes[k])
-            for off in sorted({*range(0, n - base + 1, base), n - base}):
-                self.entries.append((k, off))
-        entries = self.entries[begin:]
+    def _add_class(self, mine, base, target, samples, rng, most_rounds):
         # a walk of 2*base-1 steps stays within about base words
         span = 2 * base - 1
-        joined = np.concatenate([np.append(self.codes[k], 0) for k, _ in entries])
-        offsets = np.cumsum([0] + [len(self.codes[k]) + 1 for k, _ in entries])[:-1]
-        starts = offsets + np.array([o for _, o in entries])
-        last = offsets + np.array([len(self.codes[k]) for k, _ in entries])
-        trials = self._trials(mine, rate, rng)
-        missed, rounds = 1.0, 0
-        while missed > 1 - target and rounds < most_rounds:
-            rounds += 1
+        by_length: dict[int, list[int]] = {}
+        for k in mine:
+            by_length.setdefault(len(self.codes[k]), []).append(k)
+        trials = {n: self._trials(ks, rng) for n, ks in by_length.items()}
+        for _ in range(most_rounds):
+            if not trials:
+                return
+            # starting points about a window apart; the last one reaches the item's end
+            places = [(k, off) for n in trials for off in sorted({*range(0, n - base + 1, base), n - base}) for k in by_length[n]]
             # the first sampled step is an early one: it sorts out most windows cheaply
             early = int(rng.integers(0, max(1, span // 4)))
             later = rng.choice(np.arange(early + 1, span), samples - 1, replace=False) if samples > 1 else []
-            steps = sorted([early, *map(int, later)])
             bits = rng.integers(0, 2, (span, len(self.vocab) + 1)).astype(np.int8)
             bits[:, 0] = 1  # no item has this word: go past it
-            got = _read(joined, starts, last, bits, steps)
-            keys, h = [], np.zeros(len(got), np.uint64)
-            for k in range(len(steps)):
-                h = _mix(h, got[:, k])
-                keys.append(h)
-            order = np.argsort(keys[-1], kind="stable")
-            first = np.zeros(len(self.vocab) + 1, bool)
-            first[got[:, 0]] = True
-            first[0] = False
-            walk = Walk(steps, bits, first, [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], begin + order)
-            self.walks.append(walk)
-            missed = self._missed(trials, walk)
-
-    def _trials(self, mine, rate, rng, per_item: int = 8, most: int = 4000):
-        """Edited copies of the items: words replaced, left out or put in at ``rate``."""
-        out = []
-        for k in rng.permutation(mine)[:most // per_item]:
-            c = self.codes[k]
-            for _ in range(per_item):
-                new = []
-                for x in c:
-                    u = rng.random()
-                    if u < rate / 3:
-                        continue
-                    if u < 2 * rate / 3:
-                        new.append(0)
-                        continue
-                    if u < rate:
-                        new.append(0)
-                    new.append(x)
-                out.append([int(k), np.array(new or [0], np.int64), False])
+            walk = self._walk(places, sorted([early, *map(int, later)]), bits)
+            # a length leaves the later rounds when it meets the target
+            trials = {n: t for n, t in trials.items() if self._missed(t, walk) > 1 - target}
+        for n in trials:
+            self._add_pieces(by_length[n])
+
+    def _walk(self, places: list[tuple[int, int]], steps: list[int], bits: np.ndarray) -> Walk:
+        """The walk, added to the search, with what (item, offset) places read on it."""
+        begin = len(self.entries)
+        self.entries += places
+        used = sorted({k for k, _ in places})
+        ends = dict(zip(used, np.cumsum([len(self.codes[k]) + 1 for k in used]).tolist()))
+        last = np.array([ends[k] - 1 for k, _ in places])
+        starts = np.array([ends[k] - 1 - len(self.codes[k]) + off for k, off in places])
+        got = _read(np.concatenate([np.append(self.codes[k], 0) for k in used]), starts, last, bits, steps)
+        keys, h = [], np.zeros(len(got), np.uint64)
+        for k in range(len(steps)):
+            h = _mix(h, got[:, k])
+            keys.append(h)
+        order = np.argsort(keys[-1], kind="stable")
+        first = np.zeros(len(self.vocab) + 1, bool)
+        first[got[:, 0]] = True
+        first[0] = False
+        walk = Walk(steps, bits, first, [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], begin + order)
+        self.walks.append(walk)
+        return walk
+
+    def _add_pieces(self, items: list[int]) -> None:
+        """The items' pieces, as walks that move on at every step."""
+        places: dict[int, list[tuple[int, int]]] = {}
+        for k in items:
+            n = len(self.codes[k])
+            pieces = int(self.max_rate * n) + 1
+            at = [i * n // pieces for i in range(pieces + 1)]
+            for a, b in zip(at, at[1:]):
+                places.setdefault(b - a, []).append((k, a))
+        for width, mine in places.items():
+            self._walk(mine, list(range(width)), np.ones((width, len(self.vocab) + 1), np.int8))
+
+    def _trials(self, mine: list[int], rng, per_item: int = 8, least: int = 400, slice_words: int = 1 << 18):
+        """Copies of all the items, which have one length, with as many edits as are
+        allowed: words replaced, left out or put in, half of the new words unknown
+        and half the items' own, between other such words. In slices (codes, ends,
+        item, begin and end of the copy, whether it was found)."""
+        n = len(self.codes[mine[0]])
+        edits = int(self.max_rate * n)
+        words = lambda m: np.where(rng.random(m) < 0.5, 0, rng.integers(1, len(self.vocab) + 1, m))
+        out, parts, rows, size = [], [], [], 0
+        for k in np.repeat(mine, max(per_item if edits else 1, -(-least // len(mine)) if edits else 1)).tolist():
+            new = [[x] for x in self.codes[k].tolist()]
+            for p, kind, x in zip(rng.permutation(n)[:edits].tolist(), rng.integers(0, 3, edits).tolist(), words(edits).tolist()):
+                new[p] = [[], [x], [x, *new[p]]][kind]
+            copy = [x for w in new for x in w]
+            around = words(24).tolist()
+            rows.append((k, size + 12, size + 12 + len(copy)))
+            parts += [*around[:12], *copy, *around[12:], 0]
+            size += len(copy) + 25
+            if size > slice_words:
+                out.append(self._trial_slice(parts, rows))
+                parts, rows, size = [], [], 0
+        if rows:
+            out.append(self._trial_slice(parts, rows))
         return out
 
+    @staticmethod
+    def _trial_slice(parts, rows):
+        rows = np.array(rows, np.int64)
+        return np.array(parts, np.int64), rows[:, 2] + 13, rows, np.zeros(len(rows), bool)
+
     def _missed(self, trials, walk: Walk) -> float:
-        for t in trials:
-            if not t[2]:
-                n = len(t[1])
-                entry, _ = self._look(np.append(t[1], 0), np.arange(n), np.full(n, n), walk)
-                t[2] = any(self.entries[e][0] == t[0] for e in entry)
-        return 1 - sum(t[2] for t in trials) / len(trials)
+        """Share of the trials that no walk so far has found."""
+        place = np.array(self.entries, np.int64).reshape(-1, 2)
+        for codes, ends, rows, found in trials:
+            starts = np.flatnonzero(codes)
+            of = np.searchsorted(ends, starts, "right")
+            starts, of = starts[~found[of]], of[~found[of]]
+            entry, at = self._look(codes, starts, ends[of] - 1, walk)
+            t = np.searchsorted(ends, at, "right")
+            item, begin = place[entry, 0], at - place[entry, 1]
+            n = len(self.codes[rows[0, 0]])
+            most = int(self.max_rate * n)
+            # what is verified must hold the copy
+            ok = (item == rows[t, 0]) & (begin - most <= rows[t, 1]) & (rows[t, 2] <= begin + n + most)
+            found[t[ok]] = True
+        return 1 - sum(x[3].sum() for x in trials) / sum(len(x[3]) for x in trials)
 
     def _look(self, codes: np.ndarray, starts: np.ndarray, last: np.ndarray, walk: Walk) -> tuple[np.ndarray, np.ndarray]:
         """(entries, starts): windows that agree with an entry on all sampled steps.
