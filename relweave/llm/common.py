@@ -81,3 +81,22 @@ def publish(spark: SparkSession, data: bytes, name: str) -> str:
         out.close()
     sc.addFile(str(fs.makeQualified(path).toString()))
     return full
+
+
+def publish_files(rows: DataFrame, column: str, name: str) -> tuple[str, ...]:
+    """Tasks write the binary ``column`` to a folder of the shared checkpoint folder,
+    each value followed by a line end, one file for each partition; the files are
+    handed to every executor. Returns the names to give to ``SparkFiles.get``."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
+    rows.select(F.col(column).cast("string").alias("value")).write.option("compression", "none").text(folder)
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(path):
+        file = status.getPath()
+        if file.getName().startswith("part-") and status.getLen():
+            sc.addFile(str(fs.makeQualified(file).toString()))
+            out.append(file.getName())
+    return tuple(sorted(out))

@@ -52,6 +52,48 @@ def test_models_are_probabilities(spark, lang_rows):
             assert 0.98 < total < 1.02, (lang, head, total)
 
 
+def _brute_entropy(texts, text, order, discount=0.75):
+    """Mean cross-entropy of ``text`` under interpolated Kneser-Ney over dictionaries of whole grams."""
+    pad = "\x02" * (order - 1)
+    counts = [{} for _ in range(order + 1)]
+    for t in texts:
+        t = pad + t
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1:i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    sums = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            total, kinds = sums[k].get(g[:-1], (0, 0))
+            sums[k][g[:-1]] = (total + c, kinds + 1)
+
+    def p(g):
+        if not g:
+            return 1 / (sums[1][""][1] + 1)
+        total, kinds = sums[len(g)].get(g[:-1], (0, 0))
+        return p(g[1:]) if not total else (max(counts[len(g)].get(g, 0) - discount, 0) + discount * kinds * p(g[1:])) / total
+
+    t = pad + text
+    return -sum(np.log(p(t[i - order + 1:i + 1])) for i in range(order - 1, len(t))) / len(text)
+
+
+@pytest.mark.parametrize("shard_entries", [1 << 18, 50])
+def test_every_gram_is_kept(spark, shard_entries):
+    """Many different grams, so that keys cut to fewer bits would meet; in one shard and in many."""
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(n))
+    rows = [(i, han(200), "zh" if i % 2 else "ja") for i in range(40 if shard_entries == 50 else 600)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), shard_entries=shard_entries, sample_rows=10)
+    tests = [rows[0][1], rows[1][1], han(50), rows[3][1][:20] + han(20), "abc"]
+    got = m.entropies(tests)
+    for j, lang in enumerate(m.langs):
+        mine = [t for _, t, x in rows if x == lang]
+        assert np.allclose(got[:, j], [_brute_entropy(mine, t, 4) for t in tests], rtol=1e-9), lang
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "x")], "doc_id long, text string, lang string")
     model = langid.fit(df)
