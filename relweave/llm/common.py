@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.session import ensure_checkpoint_dir
@@ -33,6 +33,15 @@ def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                      F.col(text_col).cast("string").alias("text"))
 
 
+def whole_components(v: Column, scale: int, limit: Column | float) -> tuple[Column, Column]:
+    """(usable, components): ``floor(scale * x)`` of every component, x as double.
+    Usable are vectors without null or non-finite components whose multiples stay
+    below ``limit``, so that sums of products fit into a long."""
+    x = v.cast("array<double>")
+    fine = F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e * float(scale)) < limit), F.lit(False)))
+    return F.coalesce(v.isNotNull() & fine, F.lit(False)), F.transform(x, lambda e: F.floor(e * float(scale)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
