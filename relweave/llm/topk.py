@@ -100,7 +100,7 @@ class BallTree:
     def search(self, q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query position, id, score) of each query's ``k`` best that reach its bound,
         and how many pairs were compared. In every round each query takes its next
-        best nodes, one in the first and twice as many in each later round; a
+        best nodes: one, and twice as many after each round that met leaves; a
         node below the query's k-th score so far is never opened."""
         qf = q.astype(np.float64)
         length = np.sqrt((qf * qf).sum(1))
@@ -122,7 +122,6 @@ class BallTree:
             start = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
             turn = np.arange(len(who)) - np.flatnonzero(start)[np.cumsum(start) - 1]
             now = turn < width
-            width *= 2
             w, x = who[now], node[now]
             who, node, ub = who[~now], node[~now], ub[~now]
             inner = self.child[x, 0] >= 0
@@ -132,6 +131,7 @@ class BallTree:
                 who, node, ub = np.concatenate([who, wi]), np.concatenate([node, xi]), np.concatenate([ub, upper(wi, xi)])
             got_q, got_p, got_s = [], [], []
             w, x = w[~inner], x[~inner]
+            width *= 1 + bool(len(x))
             at = np.argsort(x, kind="stable")
             w, x = w[at], x[at]
             for part in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1) if len(x) else []:
@@ -163,7 +163,7 @@ class BallTree:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim).astype(np.int64)
+    return np.asarray(column.flatten()).reshape(len(column), dim).astype(np.int64)
 
 
 def _by_length(batch: pa.RecordBatch):

@@ -23,14 +23,14 @@ def docs(spark):
 def test_registered():
     names = list(queries.QUERIES)
     assert set(names) <= set(entry.queries())
-    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11
+    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 14
 
 
 def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     for name, sql in queries.ORACLE.items():
         rows = entry.queries()[name](spark, SMOKE)
