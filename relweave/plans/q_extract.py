@@ -3,14 +3,14 @@ H2, H3, H5, H6, F6)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize, materialize, split_lines, split_sentences
 from relweave.operators.extract import rule_extract, table_of
 from relweave.operators.joins import union_results
-from relweave.operators.similarity import gram_cosine, let, near_duplicates, vector_cosine, with_grams
+from relweave.operators.simjoin import best_partners
+from relweave.operators.similarity import near_duplicates
+from relweave.operators.vectors import drop_near_copies
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.q_catalog import CATALOG_SQL, catalog
@@ -161,24 +161,17 @@ def noun_coverage(spark, sf):
                              F.size(F.array_except("nouns", "parts")).alias("n_not_a_value")))
 
 
-@query("string_similarity_topk", """WITH n AS (SELECT DISTINCT p_brand, p_name AS s FROM part),
-pr AS (SELECT a.p_brand, a.s AS a, b.s AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.s <> b.s),
+@query("string_similarity_topk", """WITH n AS (SELECT DISTINCT p_name AS s FROM part),
+pr AS (SELECT a.s AS a, b.s AS b FROM n a JOIN n b ON a.s <> b.s),
 """ + M.sql_cos("s", "SELECT a, b FROM pr") + """
-SELECT n.p_brand, n.s AS name, round(coalesce(max(cos), 0.0), 6) AS best, arg_max(pr.b, (cos, pr.b)) AS best_match,
+SELECT n.s AS name, round(coalesce(max(cos), 0.0), 6) AS best, arg_max(scs.b, (cos, scs.b)) FILTER (WHERE cos > 0) AS best_match,
        count(*) FILTER (WHERE cos >= 0.5) AS n_similar
-FROM n LEFT JOIN pr ON pr.p_brand = n.p_brand AND pr.a = n.s LEFT JOIN scs ON scs.a = pr.a AND scs.b = pr.b GROUP BY n.p_brand, n.s""")
+FROM n LEFT JOIN scs ON scs.a = n.s GROUP BY n.s""")
 def string_similarity_topk(spark, sf):
-    """For each distinct part name of a brand the nearest other name of the brand,
-    its cosine, and how many score >= 0.5 (H2, H3, E12). A brand's names are one
-    row; each pair is scored there."""
-    p = read_table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"))
-    p = materialize(p, ["p_brand"], g=with_grams(F.col("names")))
-
-    def one(x):
-        others = F.transform(F.filter("g", lambda y: y["s"] != x["s"]), lambda y: F.struct(gram_cosine(x["g"], y["g"]).alias("cos"), y["s"].alias("s")))
-        return let(others, lambda o: F.struct(x["s"].alias("name"), F.coalesce(F.array_max(o)["cos"], F.lit(0.0)).alias("best"), F.array_max(o)["s"].alias("best_match"),
-                                              F.size(F.filter(o, lambda y: y["cos"] >= 0.5)).alias("n_similar")))
-    return finalize(p.select("p_brand", F.inline(F.transform("g", one))))
+    """For each distinct part name the nearest of all other names, its cosine, and
+    how many score >= 0.5 (H2, H3, E12), by a join on prefixes of rare grams."""
+    best = best_partners(read_table(spark, sf, "part"), "p_name")
+    return finalize(best.withColumnRenamed("s", "name"))
 
 
 # Cosine above which a fact or a cell repeats an earlier one.
@@ -244,32 +237,17 @@ def near_dup_cells(spark, sf):
 
 
 NEAR_DUP_T = 0.97
-GRID_DIMS = 3
-
-
-def near_dup_vectors_df(emb, threshold: float, dims: int = GRID_DIMS):
-    """H6 on stored vectors, exact: for unit vectors cos > t iff the distance is
-    below r = sqrt(2 - 2t), so two near duplicates differ by less than r in
-    every coordinate. Vectors are put in grid cells of width r on the first
-    ``dims`` coordinates and compared only with the 3^dims neighbouring cells
-    -- never all pairs."""
-    r = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
-    nrm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
-                             F.lit(0.0), lambda a, b: a + b))
-    v = emb.select("vec_id", "embedding", nrm.alias("nrm"))
-    cell = F.array(*[F.floor(F.get("embedding", i).cast("double") / F.col("nrm") / r) for i in range(dims)])
-    home = v.withColumn("cell", cell)
-    offs = [[(k // 3 ** i) % 3 - 1 for i in range(dims)] for k in range(3 ** dims)]
-    probe = home.select(F.col("vec_id").alias("i"), F.col("embedding").alias("ei"), F.explode(F.array(*[
-        F.array(*[F.get("cell", i) + o for i, o in enumerate(off)]) for off in offs])).alias("cell"))
-    cand = probe.join(home.select(F.col("vec_id").alias("j"), F.col("embedding").alias("ej"), "cell"), "cell") \
-        .filter(F.col("i") < F.col("j"))
-    dropped = cand.filter(vector_cosine(F.col("ei"), F.col("ej")) > threshold).select(F.col("j").alias("vec_id")).distinct()
-    return emb.select("vec_id").join(dropped, "vec_id", "left_anti")
-
-
-@query("near_dup_vectors", f"""SELECT vec_id FROM embeddings e WHERE NOT EXISTS (
-  SELECT 1 FROM embeddings a WHERE a.vec_id < e.vec_id
-    AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > {NEAR_DUP_T})""")
+_PLANTED = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i = 1 THEN x + 0.05 ELSE x END) FROM embeddings WHERE vec_id % 10 = 3
+  UNION ALL SELECT vec_id + 2000000000, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 100 = 7)"""
+
+
+@query("near_dup_vectors", f"""WITH {_PLANTED}
+SELECT vec_id FROM v e WHERE NOT EXISTS (SELECT 1 FROM v a WHERE a.vec_id < e.vec_id AND list_cosine_similarity(a.e, e.e) > {NEAR_DUP_T})""")
 def near_dup_vectors(spark, sf):
-    return finalize(near_dup_vectors_df(read_table(spark, sf, "embeddings"), NEAR_DUP_T))
+    """Vectors without a near copy of a smaller id (H6), over the table and copies
+    derived from it: one in ten with its first component moved, one in a hundred as it is."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = e.where("vec_id % 10 = 3").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.05).otherwise(x)).alias("embedding"))
+    same = e.where("vec_id % 100 = 7").select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), "embedding")
+    return finalize(drop_near_copies(union_results([e, moved, same]), NEAR_DUP_T))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.text import DOMAIN_RULES, domain_from_key, domain_from_path, finalize, is_number
 from relweave.operators.clean import drop_columns, drop_pattern_columns, keep_mentioned, exclude_values, placeholder_filter, rename
+from relweave.operators.contain import contained
 from relweave.operators.dataset import cap_and_append, domain_context, first_k_per_group, first_seen, merged_pairs, positional_replace, round_robin
 from relweave.operators.extract import pending
 from relweave.operators.joins import union_results
@@ -125,7 +126,7 @@ def round_robin_q(spark, sf):
 s AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE lang = 'de')
 SELECT t.doc_id, t.source, s.text IS NOT NULL AS replaced, md5(coalesce(s.text, t.text)) AS text_md5
 FROM t LEFT JOIN s ON s.source = t.source AND s.i = t.i
-UNION ALL SELECT doc_id, source, false, md5(text) FROM documents WHERE lang <> 'en'""")
+UNION ALL SELECT doc_id, source, false, md5(text) FROM documents WHERE lang IS DISTINCT FROM 'en'""")
 def positional_replace_q(spark, sf):
     """The i-th English document of a domain takes the text of the i-th German
     document of the same domain; all other documents keep theirs (C10)."""
@@ -133,7 +134,7 @@ def positional_replace_q(spark, sf):
     t = d.filter(F.col("lang") == "en").drop("lang")
     s = d.filter(F.col("lang") == "de").drop("lang")
     r = positional_replace(t, s, "source", "doc_id", ["text"])
-    rest = d.filter(F.col("lang") != "en").select("doc_id", "source", "text", F.lit(False).alias("replaced"))
+    rest = d.filter(~F.col("lang").eqNullSafe("en")).select("doc_id", "source", "text", F.lit(False).alias("replaced"))
     return finalize(r.select("doc_id", "source", "text", "replaced").unionByName(rest)
                     .select("doc_id", "source", "replaced", F.md5("text").alias("text_md5")))
 
@@ -211,28 +212,9 @@ def gt_flatten(spark, sf):
 
 
 def contained_passages(spark, sf):
-    """(doc_id, item_id) where the lower-cased passage occurs in the lower-cased
-    document (B9). A passage of 3+ words occurs in a text only if its longest
-    inner word is a whole white-space token of that text, so candidates come
-    from an equi-join on that token. A shorter passage may begin and end inside
-    words: its first three characters are looked up in the text -- the distinct
-    ones of all short passages, a set bounded by the alphabet, are one row that
-    every document sees -- and candidates come from an equi-join on these. Either
-    way ``instr`` verifies."""
-    d = read_table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lt"))
-    b = read_table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("lp"))
-    b = b.withColumn("_w", F.split(F.trim("lp"), r"\s+"))
-    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    key = F.aggregate(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    long_b = b.filter(F.size("_w") >= 3).select("item_id", "lp", key.alias("token"))
-    toks = d.select("doc_id", F.explode(F.array_distinct(F.split("lt", r"\s+"))).alias("token"))
-    cand = toks.join(long_b, "token").select("doc_id", "item_id", "lp")
-    short_b = b.filter(F.size("_w") < 3).select("item_id", "lp", F.substring("lp", 1, 3).alias("start"))
-    starts = short_b.agg(F.collect_set("start").alias("starts"))
-    seen = (d.join(starts, F.size("starts") > 0)
-            .select("doc_id", F.explode(F.filter("starts", lambda g: F.instr(F.col("lt"), g) > 0)).alias("start")))
-    cand = cand.unionByName(seen.join(short_b, "start").select("doc_id", "item_id", "lp"))
-    return cand.join(d, "doc_id").filter(F.instr("lt", F.col("lp")) > 0).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id) where the lower-cased passage occurs in the lower-cased document."""
+    d, b = tables(spark, sf, "documents", "benchmark")
+    return contained(d, b, "doc_id", "text", "item_id", "text")
 
 
 @query("containment_filter", """SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b

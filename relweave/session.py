@@ -8,6 +8,7 @@ happens in local tests.
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of the executors that computed ``df``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine find the package wherever the session was
+    started; on a cluster it is shipped with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark

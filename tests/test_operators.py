@@ -14,7 +14,6 @@ from relweave.operators.extract import rule_extract
 from relweave.operators.joins import fk_share, flatten, merge_nullsafe
 from relweave.operators.similarity import best_matches, counted, gram_cosine, gram_struct, near_duplicates, partners, with_grams
 from relweave.operators.windows import rank_in_group
-from relweave.plans.q_extract import near_dup_vectors_df
 from relweave.plans.q_catalog import fks_from_ddl
 from relweave.plans.q_load import load_tables, merge_non_null, runtime_type, typed_load
 
@@ -221,21 +220,6 @@ def test_near_duplicates_brute_force(spark):
             assert r.kept == [j for j, t in enumerate(r.ts) if not any(_py_cos(x, t) > thr for x in r.ts[:j])], thr
 
 
-def test_near_dup_vectors_exact(spark):
-    import random
-    rnd = random.Random(7)
-    base = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(30)]
-    vecs = base + [[x + rnd.gauss(0, 0.01) for x in v] for v in base[:10]]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
-
-    def cos(a, b):
-        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    for thr in (0.97, 0.9, 0.5):
-        got = sorted(r.vec_id for r in near_dup_vectors_df(df, thr, dims=3).collect())
-        exp = [j for j in range(len(vecs)) if not any(cos(vecs[i], vecs[j]) > thr for i in range(j))]
-        assert got == exp, thr
-
-
 def test_drop_pattern_columns(spark):
     df = spark.createDataFrame([(1, "v", "x", "y", "z")], "id int, video string, name_x string, name_y string, a string")
     assert drop_pattern_columns(df).columns == ["name", "a"]
