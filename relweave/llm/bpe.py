@@ -37,6 +37,8 @@ from relweave.session import cut_lineage
 #: Fixed value: the byte-level pattern of pre-tokens.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same pre-tokens for texts of ASCII and Latin letters only, in plain classes.
+#: Text bytes encoded at a time, and words that a task counts or keeps ids of: its memory.
+SLICE, KEPT_WORDS = 1 << 20, 100_000
 _LATIN = "a-zA-ZÀ-ÖØ-öø-ɏ"
 _LATIN_LEVEL = re.compile(rf" ?[{_LATIN}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s{_LATIN}0-9]++|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile(rf"[^\t\n\x0b\x0c\r -~{_LATIN}]")
@@ -302,7 +304,7 @@ class Lexicon:
 
 # ---------------------------------------------------------------- corpus
 
-def pretoken_counts(docs: DataFrame, path: str, pattern: str, flush: int = 400_000) -> DataFrame:
+def pretoken_counts(docs: DataFrame, path: str, pattern: str, flush: int = KEPT_WORDS) -> DataFrame:
     """(word, n) over the whole texts; tasks add up what they see before the shuffle."""
     def rows(c: Counter):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
@@ -310,7 +312,7 @@ def pretoken_counts(docs: DataFrame, path: str, pattern: str, flush: int = 400_0
     def run(batches):
         v = vocabulary(path, pattern)
         c: Counter = Counter()
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             for t in b.column("text").to_pylist():
                 if t:
                     c.update(v.split(t))
@@ -361,7 +363,7 @@ class Encoder:
     """Encodes slices of texts with a lexicon. A word's ids are looked up or merged
     once and kept for later slices; beyond ``most`` words the encoder starts anew."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = 400_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, most: int = KEPT_WORDS):
         self.vocab, self.lexicon, self.most = vocab, lexicon, most
         self._forget()
 
@@ -447,17 +449,22 @@ def _tasks(df, path, pattern, id_col, text_col, lexicon_size, lexicon, digests,
         v = vocabulary(path, pattern)
         encoder, decoder = Encoder(v, _mapped(file)), Decoder(v)
         numbers = [str(i) for i in range(len(v.pieces))]
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             ids, ends = encoder.encode(b.column("text").to_pylist())
             starts = np.concatenate([[0], ends[:-1]])
-            each = [ids[a:z].tolist() for a, z in zip(starts.tolist(), ends.tolist())]
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(ends - starts, pa.int64())}
-            texts = map(decoder.decode, each)
-            if digests:
-                cols["ids_sha256"] = pa.array([sha256(",".join([numbers[i] for i in x]).encode()).hexdigest() for x in each], pa.string())
-                cols["decoded_sha256"] = pa.array([sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string())
-            else:
-                cols["decoded"] = pa.array(list(texts), pa.string())
+            first, second = [], []
+            for a, z in zip(starts.tolist(), ends.tolist()):  # one text's ids at a time
+                x = ids[a:z].tolist()
+                text = decoder.decode(x)
+                if digests:
+                    first.append(sha256(",".join([numbers[i] for i in x]).encode()).hexdigest())
+                    second.append(sha256(text.encode("utf-8")).hexdigest())
+                else:
+                    first.append(text)
+            for name, values in zip(names[2:], (first, second)):
+                if len(values) == b.num_rows:
+                    cols[name] = pa.array(values, pa.string())
             if with_ids:
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_pydict({k: cols[k] for k in names})
