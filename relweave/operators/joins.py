@@ -78,6 +78,24 @@ def fk_share(child: DataFrame, child_col: str, parent: DataFrame, parent_col: st
                           .otherwise(F.col("n_matched") / F.col("n_child")))
 
 
+def fk_shares(tables: dict[str, DataFrame], fks: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(fk, n_child, n_matched, share) for many foreign keys (child, column, parent,
+    column) at once, as :func:`fk_share`: every child table is read once for all its keys, whose
+    values are counted in long form and meet all parents' keys in one join."""
+    names = {fk: f"{fk[0]}.{fk[1]}->{fk[2]}.{fk[3]}" for fk in fks}
+    counted = []
+    for child in dict.fromkeys(fk[0] for fk in fks):
+        mine = [fk for fk in fks if fk[0] == child]
+        long = F.array(*[F.struct(F.lit(names[fk]).alias("fk"), F.col(fk[1]).alias("v")) for fk in mine])
+        counted.append(tables[child].select(F.inline(long)))
+    values = union_results(counted).where(F.col("v").isNotNull()).groupBy("fk", "v").agg(F.count(F.lit(1)).alias("n"))
+    parents = union_results([tables[p].select(F.lit(names[fk]).alias("fk"), F.col(pc).alias("v")) for fk in fks for p, pc in [fk[2:]]]).distinct().withColumn("hit", F.lit(1))
+    got = values.join(parents, ["fk", "v"], "left").groupBy("fk").agg(F.sum("n").alias("n_child"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("n_matched"))
+    all_fks = tables[fks[0][0]].sparkSession.createDataFrame([(n,) for n in names.values()], "fk string")
+    out = all_fks.join(got, "fk", "left").select("fk", F.coalesce("n_child", F.lit(0)).alias("n_child"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+    return out.withColumn("share", F.when(F.col("n_child") == 0, F.lit(1.0)).otherwise(F.col("n_matched") / F.col("n_child")))
+
+
 def union_results(dfs: list[DataFrame]) -> DataFrame:
     """Union of result sets with different columns (C4)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
 from relweave.operators.clean import rename
-from relweave.operators.joins import fk_share, flatten, merge_chain, merge_nullsafe, union_results
+from relweave.operators.joins import fk_shares, flatten, merge_chain, merge_nullsafe, union_results
 from relweave.plans.q_clean import _sql_hex, hex_digit
 from relweave.plans.registry import query
 from relweave.sources.tables import read_table, tables
@@ -230,8 +230,7 @@ def referential_integrity(spark, sf):
     broken by md5. The overall row comes from a rollup over the per-FK rows."""
     t = {n: read_table(spark, sf, n) for n in ("orders", "part", "supplier", "customer", "nation", "region")}
     t["lineitem"] = broken_lineitem(spark, sf)
-    per = union_results([fk_share(t[ct], cc, t[pt], pc).withColumn("fk", F.lit(f"{ct}.{cc}->{pt}.{pc}"))
-                         for ct, cc, pt, pc in FKS])
+    per = fk_shares(t, FKS)
     r = per.rollup("fk").agg(F.sum("n_child").alias("n_child"), F.sum("n_matched").alias("n_matched"),
                              F.avg("share").alias("share"), F.grouping_id().alias("_g"))
     return finalize(r.select(F.when(F.col("_g") == 1, F.lit("overall")).otherwise(F.col("fk")).alias("fk"),

@@ -17,6 +17,7 @@ from relweave.operators.coverage import CC_T, COLUMN_T, TC_T, VALUE_T
 from relweave.operators.similarity import best_matches, gram_cosine, let, may_reach, with_grams
 from relweave.plans import common as C
 from relweave.plans.registry import query
+from relweave.session import spread
 
 # Method name, drop share, corrupt share, missing-database share, rank.
 METHODS = [("staged", 0.05, 0.10, 0.02, 0), ("tst", 0.10, 0.10, 0.05, 1), ("single_shot", 0.35, 0.15, 0.10, 2)]
@@ -70,9 +71,10 @@ def entry_frame(spark, sf):
     truth = truth_items(spark, sf).groupBy("entry_id").agg(F.collect_list(F.struct("attr", "row_id", "value")).alias("truth"))
     cells = pred_cells(spark, sf).groupBy("entry_id").agg(
         F.collect_list(F.struct("method", "row_pos", "id_val", "column_name", "value")).alias("pred"))
-    return (entry_domains(spark, sf).join(truth, "entry_id", "left").join(cells, "entry_id", "left")
-            .select("entry_id", "domain", F.coalesce("truth", F.array().cast("array<struct<attr:string,row_id:string,value:string>>")).alias("truth"),
-                    F.coalesce("pred", F.array().cast(CELL)).alias("pred")))
+    e = (entry_domains(spark, sf).join(truth, "entry_id", "left").join(cells, "entry_id", "left")
+         .select("entry_id", "domain", F.coalesce("truth", F.array().cast("array<struct<attr:string,row_id:string,value:string>>")).alias("truth"),
+                 F.coalesce("pred", F.array().cast(CELL)).alias("pred")))
+    return spread(e, "entry_id")
 
 
 def _databases(pred):

@@ -8,6 +8,7 @@ from relweave.functions import noise as N
 from relweave.functions.text import finalize, join_sentences, materialize, split_sentences
 from relweave.plans import common as C
 from relweave.plans.registry import query
+from relweave.session import spread
 from relweave.sources.tables import read_table
 
 
@@ -43,8 +44,9 @@ def texts(spark, sf):
 
 def with_sentences(df, words: bool = True):
     """Sentence array, sampling hashes and one picked-flag array per level,
-    each evaluated once per text; ``words``: also what type 4 needs."""
-    t = materialize(df, ["src", "id"], sents=split_sentences("text"))
+    each evaluated once per text; ``words``: also what type 4 needs. Texts are dealt
+    out first: their sentences take far longer than the move."""
+    t = materialize(spread(df, "src", "id"), ["src", "id"], sents=split_sentences("text"))
     t = materialize(t, ["src", "id", "sents"],
                     hs=N.sentence_hashes(F.col("sents"), F.col("src"), F.col("id")))
     t = materialize(t, ["src", "id", "sents", "hs"], srt=F.array_sort("hs"))

@@ -6,8 +6,9 @@ methods, and every database is scored against the frozen ground truth:
 TC tuple coverage, VC value coverage, CC column consistency, RI referential
 integrity and EX load validity, averaged per (variant, method).
 
-An entry is one bounded row from text to scores: its variants, facts, databases
-and truth are arrays of that row, strings are compared once per entry for all 39
+An entry is one bounded row from text to scores. Noise is generated code over its
+sentences; a variant's databases are scored by what each different sentence adds,
+so the sentences that noise left alone are read and compared once for all 39
 databases, and only the five scores leave the row.
 """
 
@@ -18,122 +19,37 @@ from pyspark.sql import functions as F
 
 from relweave.functions import noise as N
 from relweave.functions.text import finalize, materialize
-from relweave.operators import coverage as V
-from relweave.operators.similarity import let
+from relweave.operators.rescore import Method, score_variants
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.q_noise import _BASE, _noisy_rows, with_sentences
 from relweave.plans.registry import query
+from relweave.session import spread
 
 METHODS = ["staged", "tst", "single_shot"]
 VARIANTS = ["clean"] + [f"{k}_{lv}" for k in N.TYPES for lv in N.LEVELS]
 TYPED = {"c_nationkey": "bigint", "c_acctbal": "double"}
-#: Foreign keys that a method's schema declares: (table, column, parent table, parent column).
-FKS = {"staged": [("customer", "c_nationkey", "nation", "n_name")], "tst": [("customer", "c_nationkey", "nation", "n_name")],
-       "single_shot": []}
+_FK = (("c_nationkey", "n_name"),)
+WAYS = [Method("staged", True, False, False, _FK), Method("tst", True, True, False, _FK), Method("single_shot", False, False, True, ())]
 METRICS = ["tc", "vc", "cc", "ri", "ex"]
 
 
-def _facts(sents):
-    """array<struct<row_pos, attr, value>>: every ``attr is value`` item of the sentences."""
-    def items(s, i):
-        found = F.filter(F.split(F.regexp_replace(s, r"\.$", ""), ", "), lambda x: F.instr(x, " is ") > 0)
-        return F.transform(found, lambda x: F.struct(
-            i.alias("row_pos"), F.substr(x, F.lit(1), F.instr(x, " is ") - 1).alias("attr"), F.substr(x, F.instr(x, " is ") + 4).alias("value")))
-    return F.flatten(F.transform(sents, items))
-
-
-def _table(attr):
-    tbl = F.lit(None).cast("string")
-    for p, tn in M.PREFIX_TABLE.items():
-        tbl = F.when(attr.startswith(p), F.lit(tn)).otherwise(tbl)
-    return tbl
-
-
-def _untyped(column, value):
-    """Whether a cell of a typed column fails its type."""
-    bad = F.lit(False)
-    for c, t in TYPED.items():
-        bad = bad | ((column == c) & value.try_cast(t).isNull())
-    return bad
-
-
-def _databases(facts):
-    """Each method's cells from its own reading of the facts. staged: every fact,
-    table from the attribute prefix; tst: facts bound to the catalog whose values
-    fit their columns' types; single_shot: one wide table whose values stop at
-    the first period."""
-    staged = F.filter(facts, lambda f: _table(f["attr"]).isNotNull())
-    bound = F.filter(staged, lambda f: f["attr"].isin(*C.CUST_COLS) & ~_untyped(f["attr"], f["value"]))
-    wide = F.transform(facts, lambda f: F.struct(f["row_pos"].alias("row_pos"), f["attr"].alias("attr"),
-                                                 F.regexp_extract(f["value"], r"^([^.]*)", 1).alias("value")))
-    made = []
-    for name, fs in (("staged", staged), ("tst", bound), ("single_shot", wide)):
-        cells = F.transform(fs, lambda f: F.struct(f["row_pos"].alias("row_pos"), f["attr"].alias("column_name"), f["value"].alias("value")))
-        made.append(F.struct(F.lit(name).alias("method"), V.with_id_cells(cells, lambda c: (c["row_pos"] + 1).cast("string")).alias("cells")))
-    return F.array(*made)
-
-
-def entry_databases(spark, sf):
-    """(entry_id, truth, dbs): one row per entry with all its databases, as
-    array<struct<variant, method, cells>>."""
+def entry_variants(spark, sf):
+    """(entry_id, truth, texts): one row per entry with the sentences of all its variants."""
     e = C.entries(spark, sf).select(F.lit("entry").alias("src"), F.col("entry_id").alias("id"), "text")
     t = with_sentences(e)
     named = {"v0": F.col("sents")}
     for i, v in enumerate(VARIANTS[1:], start=1):
         kind, lv = v.rsplit("_", 1)
         named[f"v{i}"] = N.apply_noise(kind, F.col("sents"), F.col(f"p_{lv}"), F.col("src"), F.col("id"), F.col("info"))
-    m = materialize(t, ["id"], **named)
-    m = materialize(m, ["id"], facts=F.array(*[F.struct(F.lit(v).alias("variant"), _facts(F.col(f"v{i}")).alias("facts"))
-                                               for i, v in enumerate(VARIANTS)]))
-    dbs = F.flatten(F.transform("facts", lambda x: F.transform(_databases(x["facts"]), lambda d: F.struct(
-        x["variant"].alias("variant"), d["method"].alias("method"), d["cells"].alias("cells")))))
-    m = materialize(m, ["id"], dbs=dbs)
+    m = materialize(t, ["id"], **named).select("id", F.array(*[f"v{i}" for i in range(len(VARIANTS))]).alias("texts"))
     truth = M.truth_items(spark, sf).groupBy("entry_id").agg(F.collect_list(F.struct("attr", "row_id", "value")).alias("truth"))
-    return truth.join(m, truth.entry_id == m.id).select("entry_id", "truth", "dbs")
-
-
-def _integrity(cells, fks):
-    """(score, declared): mean over declared foreign keys of the share of child keys
-    found among the parent's; 1 where none is declared or no child key is there."""
-    if not fks:
-        return F.lit(1.0), 0
-    keys = lambda col: F.transform(F.filter(cells, lambda c: c["column_name"] == col), lambda c: c["value"])
-    scores = []
-    for _, child, _, parent in fks:
-        kids = F.filter(F.transform(keys(child), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
-        there = F.array_distinct(F.filter(F.transform(keys(parent), lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("bigint")), lambda x: x.isNotNull()))
-        scores.append(let(there, lambda ps: let(kids, lambda ks: F.when(F.size(ks) == 0, 1.0).otherwise(
-            F.size(F.filter(ks, lambda k: F.array_contains(ps, k))).cast("double") / F.size(ks)))))
-    total = scores[0]
-    for s in scores[1:]:
-        total = total + s
-    return total / float(len(fks)), len(fks)
+    return spread(truth.join(m, truth.entry_id == m.id).select("entry_id", "truth", "texts"), "entry_id")
 
 
 def cell_scores(spark, sf):
     """Per (variant, method, entry): tc, vc, cc, ri, ex and the declared foreign keys."""
-    e = entry_databases(spark, sf)
-    cells = F.flatten(F.transform("dbs", lambda d: d["cells"]))
-    e = materialize(e, ["entry_id", "dbs"],
-                    values=V.value_targets(F.col("truth"), F.transform(cells, lambda c: c["value"])),
-                    columns=V.column_targets(F.col("truth"), F.transform(cells, lambda c: c["column_name"])))
-
-    def scores(d):
-        has = F.size(d["cells"]) > 0
-        ri, n_fk = F.lit(None).cast("double"), F.lit(None).cast("int")
-        for m in METHODS:
-            value, declared = _integrity(d["cells"], FKS[m])
-            ri = F.when(d["method"] == m, F.when(has | F.lit(declared == 0), value).otherwise(0.0)).otherwise(ri)
-            n_fk = F.when(d["method"] == m, F.lit(declared)).otherwise(n_fk)
-        valid = has & ~F.exists(d["cells"], lambda c: F.coalesce(_untyped(c["column_name"], c["value"]), F.lit(False)))
-        when = lambda x: F.when(has, x).otherwise(0.0)
-        return F.struct(d["variant"].alias("variant"), d["method"].alias("method"),
-                        when(V.tuple_coverage(F.col("values"), d["cells"])).alias("tc"), when(V.value_coverage(F.col("values"), d["cells"])).alias("vc"),
-                        when(V.column_consistency(F.col("columns"), d["cells"])).alias("cc"), ri.alias("ri"),
-                        F.when(valid, 1.0).otherwise(0.0).alias("ex"), n_fk.alias("n_fk"))
-
-    return e.select("entry_id", F.inline(F.transform("dbs", scores)))
+    return score_variants(entry_variants(spark, sf), VARIANTS, WAYS, list(M.PREFIX_TABLE), list(C.CUST_COLS), TYPED)
 
 
 def summary(spark, sf):

@@ -78,3 +78,10 @@ def share_package(spark: SparkSession) -> SparkSession:
     started; on a cluster it is shipped with ``--py-files``."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by key over the session's number of shuffle partitions. Adaptive
+    execution joins small partitions by their bytes; rows that are few but take long
+    each are dealt out with this before the long work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
