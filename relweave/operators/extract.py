@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.functions.text import split_lines, strip_ws
+from relweave.functions.text import materialize, split_lines, strip_ws
+from relweave.operators.joins import union_results
 
 FACT_SCHEMA = T.StructType([
     T.StructField("entry_id", T.LongType()),
@@ -69,3 +70,36 @@ def table_of(attr_col: str, prefixes: dict[str, str]) -> F.Column:
     for p, t in prefixes.items():
         out = F.when(F.col(attr_col).startswith(p), F.lit(t)).otherwise(out)
     return out
+
+
+#: Rules of the passes, each wider than those before: separator of a text's items, and
+#: an item's pattern with its attribute and value.
+PASSES = [(", ", r"(?s)^(.+?) is (.*)$"), (", ", r"(?s)^([^:=]+?)\s*[:=]\s*(.+)$"), (r", |; | and ", r"(?s)^(?:the )?(.+?) (?:was|equals) (.+)$")]
+
+
+def extract_passes(entries: DataFrame, passes: list[tuple[str, str]] = PASSES, text: str = "text", id_col: str = "entry_id") -> DataFrame:
+    """(entry_id, line_pos, pass, attr, value): facts found in several passes (J3). What
+    a pass leaves uncovered in a paragraph is the text of the next, wider one; after
+    the last, or when nothing is left, the rest stays uncovered. A paragraph never
+    leaves its row."""
+    t = paragraphs(entries, text, id_col)
+    t = materialize(t, [id_col, "line_pos"], rest=F.regexp_replace(strip_ws("line"), r"\.$", ""), found=F.array().cast("array<struct<pass:int,attr:string,value:string>>"))
+    for number, (separator, pattern) in enumerate(passes, start=1):
+        t = materialize(t, [id_col, "line_pos", "found"], items=F.split("rest", separator))
+        got = F.transform(F.filter("items", lambda x: x.rlike(pattern)), lambda x: F.struct(
+            F.lit(number).alias("pass"), F.regexp_extract(x, pattern, 1).alias("attr"), F.regexp_extract(x, pattern, 2).alias("value")))
+        t = materialize(t, [id_col, "line_pos"], found=F.concat("found", got), rest=F.array_join(F.filter("items", lambda x: ~x.rlike(pattern)), ", "))
+    return t.select(F.col(id_col).cast("bigint").alias("entry_id"), F.col("line_pos").cast("bigint"), F.inline("found"))
+
+
+def bind_passes(facts: DataFrame, catalog: DataFrame, names: list) -> DataFrame:
+    """The facts (with ``domain`` and ``attr``) bound to a catalog's columns (J4), and in
+    which binding pass. ``names`` are expressions of ``attr``, each a wider way to write a
+    column's name; a fact that an earlier one binds doesn't come to the next."""
+    todo, bound = facts, []
+    cat = catalog.select("domain", F.col("table_name"), F.col("column_name"), F.lower("column_name").alias("_n"))
+    for number, name in enumerate(names, start=1):
+        j = todo.withColumn("_n", name).join(cat, ["domain", "_n"], "left")
+        bound.append(j.where(F.col("column_name").isNotNull()).withColumn("bound_pass", F.lit(number)).drop("_n"))
+        todo = j.where(F.col("column_name").isNull()).select(*facts.columns)
+    return union_results(bound)

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize, materialize, split_lines, split_sentences
-from relweave.operators.extract import rule_extract, table_of
+from relweave.operators.dependencies import minimal_dependencies
+from relweave.operators.extract import bind_passes, extract_passes, rule_extract, table_of
 from relweave.operators.joins import union_results
 from relweave.operators.simjoin import best_partners
 from relweave.operators.similarity import near_duplicates
@@ -115,6 +116,68 @@ def functional_dependency(spark, sf):
     return finalize(union_results(outs))
 
 
+DEPENDENT = ["c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
+
+
+def _dependencies_sql(columns: list[str], most: int = 2) -> str:
+    """Each candidate by itself, then those without a smaller one."""
+    from itertools import combinations
+
+    per = []
+    for k in range(most + 1):
+        for x in combinations(columns, k):
+            for a in columns:
+                if a not in x:
+                    left = f"count(DISTINCT ({', '.join(x)}, 0))" if x else "1"
+                    per.append(f"SELECT '{','.join(x)}' AS lhs, [{', '.join(repr(c) for c in x)}]::VARCHAR[] AS xs, '{a}' AS rhs, {left} = count(DISTINCT ({', '.join([*x, a])}, 0)) AS holds FROM w")
+    return f"""WITH w AS (SELECT {', '.join(columns)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT * FROM ({' UNION ALL '.join(per)}) x WHERE holds)
+SELECT lhs, rhs FROM h WHERE NOT EXISTS (SELECT 1 FROM h s WHERE s.rhs = h.rhs AND len(s.xs) < len(h.xs) AND list_has_all(h.xs, s.xs))"""
+
+
+@query("dependency_discovery", _dependencies_sql(DEPENDENT))
+def dependency_discovery(spark, sf):
+    """All minimal dependencies with at most two left columns (I10) of customers
+    joined to nations and regions, searched level by level."""
+    c, n, r = tables(spark, sf, "customer", "nation", "region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    found = minimal_dependencies(j, DEPENDENT)
+    return spark.createDataFrame([(",".join(x), a) for x, a in found], "lhs string, rhs string")
+
+
+def _rewritten(spark, sf):
+    """Entries whose items are written, by md5, as ``attr is v``, ``ATTR: v``, ``the attr equals v``, or not as a fact."""
+    f = rule_extract(C.entries(spark, sf))
+    h = hex_digit(F.lit("ps"), F.col("entry_id").cast("string"), F.col("line_pos").cast("string"), F.col("fact_pos").cast("string"))
+    item = (F.when(h < 4, F.concat(F.upper(F.replace("attr", F.lit("_"), F.lit(" "))), F.lit(": "), "value")).when(h < 6, F.concat(F.lit("the "), "attr", F.lit(" equals "), "value"))
+            .when(h == 6, F.concat(F.lit("about "), "attr")).otherwise(F.concat("attr", F.lit(" is "), "value")))
+    lines = f.groupBy("entry_id", "line_pos").agg(F.array_sort(F.collect_list(F.struct("fact_pos", item.alias("item")))).alias("i"))
+    lines = lines.select("entry_id", F.struct("line_pos", F.concat(F.array_join(F.col("i.item"), ", "), F.lit(".")).alias("t")).alias("x"))
+    return lines.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_list("x"))["t"], "\n").alias("text"))
+
+
+_PASS_SQL = f"""ph AS (SELECT *, {_sql_hex("'ps'", 'CAST(entry_id AS VARCHAR)', 'CAST(line_pos AS VARCHAR)', 'CAST(fact_pos AS VARCHAR)')} AS h FROM ({C.FACTS_SQL}) z),
+pf AS (SELECT entry_id, dense_rank() OVER (PARTITION BY entry_id ORDER BY line_pos) - 1 AS line_pos, h,
+         CASE WHEN h < 4 THEN 2 WHEN h < 6 THEN 3 ELSE 1 END AS pass, CASE WHEN h < 4 THEN upper(replace(attr, '_', ' ')) ELSE attr END AS attr, attr AS own, value FROM ph)"""
+
+
+@query("extraction_passes", f"""WITH {_PASS_SQL} SELECT entry_id, line_pos, pass, attr, value FROM pf WHERE h <> 6""")
+def extraction_passes(spark, sf):
+    """Open facts in three passes (J3): what one leaves uncovered, the next, wider one reads."""
+    return finalize(extract_passes(_rewritten(spark, sf)))
+
+
+@query("bound_passes", f"""WITH {CATALOG_SQL}, {_PASS_SQL}, dm AS (SELECT DISTINCT entry_id, domain FROM f)
+SELECT p.entry_id, p.line_pos, p.pass, c.table_name, c.column_name, p.value, CASE WHEN p.h < 4 THEN 2 ELSE 1 END AS bound_pass
+FROM pf p JOIN dm ON dm.entry_id = p.entry_id JOIN cat c ON c.domain = dm.domain AND lower(c.column_name) = lower(p.own) WHERE p.h <> 6""")
+def bound_passes(spark, sf):
+    """The same facts bound to the schema (J4): by name, and those left by the name with
+    blanks for underscores."""
+    f = extract_passes(_rewritten(spark, sf)).join(M.entry_domains(spark, sf), "entry_id")
+    names = [F.lower("attr"), F.regexp_replace(F.lower(F.trim("attr")), r"[\s-]+", "_")]
+    return finalize(bind_passes(f, catalog(spark, sf), names).select("entry_id", "line_pos", "pass", "table_name", "column_name", "value", "bound_pass"))
+
+
 def _nouns(sentences):
     words = F.flatten(F.transform(sentences, lambda s: F.split(s, r"\s+")))
     bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\pL\pN]+|[^\pL\pN]+$", ""))
