@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relweave.functions.text import render_value, row_to_sentence, truth_value
+from relweave.operators.heavy import heavy_join
 from relweave.operators.windows import rank_in_group
 
 
@@ -55,6 +56,18 @@ def batch_entries(rendered: DataFrame, key: str, cols: list[str], batch: int = 5
     )
 
 
+def batch_consecutive(rendered: DataFrame, key: str, cols: list[str], batch: int = 5, domain: str = "domain") -> DataFrame:
+    """Combine each ``batch`` consecutive rows of one dataset into an entry (D2): rows are
+    counted in key order inside their domain, so an entry never mixes domains
+    and only a domain's last one may be shorter. Keys alone are numbered."""
+    at = rank_in_group(rendered.select(domain, key), domain, [key], out="_at")
+    rows = rendered.join(at.select(key, ((F.col("_at") - 1) / batch).cast("long").alias("entry_no")), key).withColumn("_attrs", present_attrs(cols))
+    return rows.groupBy(domain, "entry_no").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("sentence").alias("s"))))["s"], "\n").alias("text"),
+        F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_rows"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_attrs")))), ",").alias("entities"))
+
+
 def entry_truth(truth: DataFrame, key: str, batch: int = 5) -> DataFrame:
     """Ground truth per entry with pair ids renumbered 1..n inside each
     attribute's list, in key order (D2 + E10)."""
@@ -100,12 +113,12 @@ def domain_context(df: DataFrame, group: str, order: str, text: str, k: int = 5)
     """Text plus the whole texts of the first ``k`` entries of the same group,
     itself skipped, concatenated without separator (E4). Fewer than ``k``
     entries in a group is allowed (Q22). Only the first ``k`` per group are
-    gathered; a large group's rows meet that one row in a join that adaptive
-    execution can split."""
+    gathered; a large group's rows are spread over many tasks, each with a copy of
+    that one row."""
     firsts = (first_k_per_group(df.select(group, order, text), group, [order], k, require_full=False)
               .groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
                   F.col(order).alias("o"), F.col(text).alias("t")))).alias("_ctx")))
-    j = df.join(firsts, group, "left")
+    j = heavy_join(df, firsts, [group], "left")
     ctx = F.array_join(F.transform(F.filter("_ctx", lambda x: x["o"] != F.col(order)), lambda x: x["t"]), "")
     return j.withColumn("context", F.concat(F.col(text), F.coalesce(ctx, F.lit("")))).drop("_ctx")
 
@@ -115,7 +128,7 @@ def first_seen(df: DataFrame, group: str, order: str, value: str, out: str) -> D
     found once for a group is used for all its entries."""
     v = F.when(F.col(value) != "", F.col(value))
     firsts = df.groupBy(group).agg(F.min_by(v, F.when(v.isNotNull(), F.col(order))).alias(out))
-    return df.join(firsts, group, "left")
+    return heavy_join(df, firsts, [group], "left").select(*df.columns, out)
 
 
 def merged_pairs(rows: DataFrame, entry: str, attr: str, pos: str, value: str) -> DataFrame:

@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 
 
 def merge_nullsafe(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str = "inner",
-                   suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+                   suffixes: tuple[str, str] = ("_x", "_y"), heavy: bool = False) -> DataFrame:
     """pandas-style merge (C1): right key renamed to the left key, null keys
     match null keys, clashing columns suffixed, one key column (coalesced for
-    right/outer joins)."""
+    right/outer joins). ``heavy``: keys, null among them, that hold a large share of the
+    rows are counted first and spread over many tasks."""
     lcols = [c for c in left.columns if c != lk]
     rcols = [c for c in right.columns if c != rk]
     clash = set(lcols) & set(rcols)
     l2 = left.select(F.col(lk).alias("_lk"), *[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in lcols])
     r2 = right.select(F.col(rk).alias("_rk"), *[F.col(c).alias(c + suffixes[1] if c in clash else c) for c in rcols])
+    if heavy:
+        from relweave.operators.heavy import heavy_join
+
+        return heavy_join(l2.withColumnRenamed("_lk", lk), r2.withColumnRenamed("_rk", lk), [lk], "full" if how.replace("_", "") in ("outer", "fullouter") else how)
     j = l2.join(r2, l2["_lk"].eqNullSafe(r2["_rk"]), how)
     key = F.col("_lk") if how in ("inner", "left", "left_outer") else F.coalesce("_lk", "_rk")
     return j.select(key.alias(lk), *[c for c in j.columns if c not in ("_lk", "_rk")])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
-from relweave.operators.extract import rule_extract
+from relweave.operators.extract import rule_extract, table_of
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
 from relweave.plans.registry import query
@@ -156,19 +156,37 @@ def column_names(spark, sf):
 
 
 @query("id_columns", f"""WITH {CATALOG_SQL}
-SELECT domain, arg_min(table_name || '_' || column_name, (table_pos, col_pos)) AS first_col,
+SELECT c.domain, arg_min(table_name || '_' || column_name, (table_pos, col_pos)) AS first_col,
        arg_min(table_name || '_' || column_name, (table_pos, col_pos)) FILTER (WHERE suffix(lower(column_name), 'id'))
-         AS first_id_col
-FROM cat GROUP BY domain""")
+         AS first_id_col, any_value(r.first_row_col) AS first_row_col
+FROM cat c LEFT JOIN (SELECT domain, arg_min({_TBL} || '_' || attr, (entry_id, line_pos, fact_pos)) AS first_row_col FROM f WHERE {_TBL} IS NOT NULL GROUP BY domain) r
+  ON r.domain = c.domain GROUP BY c.domain""")
 def id_columns(spark, sf):
-    """First column of the first table, and the first column ending in ``id``
-    across tables, both as ``table_col`` (I2)."""
+    """First column of the first table, the first column ending in ``id`` across
+    tables, and the first key of the first joined row, all as ``table_col`` (I2)."""
     cat = catalog(spark, sf)
     order = F.struct("table_pos", "col_pos")
     name = F.concat_ws("_", "table_name", "column_name")
-    return finalize(cat.groupBy("domain").agg(
+    ids = cat.groupBy("domain").agg(
         F.min_by(name, order).alias("first_col"),
-        F.min_by(name, F.when(F.lower("column_name").endswith("id"), order)).alias("first_id_col")))
+        F.min_by(name, F.when(F.lower("column_name").endswith("id"), order)).alias("first_id_col"))
+    f = rule_extract(C.entries(spark, sf)).withColumn("t", table_of("attr", M.PREFIX_TABLE)).where(F.col("t").isNotNull()).join(M.entry_domains(spark, sf), "entry_id")
+    row = f.groupBy("domain").agg(F.min_by(F.concat_ws("_", "t", "attr"), F.struct("entry_id", "line_pos", "fact_pos")).alias("first_row_col"))
+    return finalize(ids.join(row, "domain", "left"))
+
+
+@query("extraction_instructions", f"""WITH {CATALOG_SQL}
+SELECT domain, table_name, 'Extract ' || table_name || ': ' || string_agg(column_name || ': ' || sql_type || CASE WHEN is_pk THEN ' PK' ELSE '' END
+       || CASE WHEN is_fk THEN ' FK -> ' || fk_table || '(' || fk_column || ')' ELSE '' END, '; ' ORDER BY col_pos, column_name) AS instruction, count(*) AS n_columns
+FROM cat WHERE table_name IS NOT NULL GROUP BY domain, table_name""")
+def extraction_instructions(spark, sf):
+    """One instruction text per table of a schema (I9): each column's type and its
+    role as a key, in column order."""
+    cat = catalog(spark, sf).where(F.col("table_name").isNotNull())
+    keys = F.concat(F.when(F.col("is_pk"), " PK").otherwise(""), F.when(F.col("is_fk"), F.concat(F.lit(" FK -> "), "fk_table", F.lit("("), "fk_column", F.lit(")"))).otherwise(""))
+    one = F.struct("col_pos", "column_name", F.concat("column_name", F.lit(": "), "sql_type", keys).alias("t"))
+    g = cat.groupBy("domain", "table_name").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return finalize(g.select("domain", "table_name", F.concat(F.lit("Extract "), "table_name", F.lit(": "), F.array_join(F.col("c.t"), "; ")).alias("instruction"), F.size("c").alias("n_columns")))
 
 
 @query("schema_score_summary", _FK_SQL + """,

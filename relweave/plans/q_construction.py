@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize, split_lines, split_sentences
+from relweave.operators.dataset import batch_consecutive
 from relweave.operators.extract import rule_extract
 from relweave.plans import common as C
 from relweave.plans.registry import query
@@ -44,3 +45,12 @@ FROM documents d, unnest(list_filter(list_transform(
 def sentence_split_q(spark, sf):
     d = read_table(spark, sf, "documents")
     return finalize(d.select("doc_id", F.posexplode(split_sentences("text")).alias("sent_pos", "sentence")))
+
+
+@query("batch_by_domain", f"""WITH r AS ({C.RENDERED_SQL}),
+n AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY c_custkey) - 1) // {C.BATCH} AS entry_no FROM r)
+SELECT domain, CAST(entry_no AS BIGINT) AS entry_no, string_agg(sentence, chr(10) ORDER BY c_custkey) AS text, min(c_custkey) AS first_key, count(*) AS n_rows,
+       array_to_string(list_sort(list_distinct(flatten(list(attrs)))), ',') AS entities FROM n GROUP BY domain, entry_no""")
+def batch_by_domain(spark, sf):
+    """Five consecutive rows of one dataset to an entry."""
+    return finalize(batch_consecutive(C.rendered(spark, sf), "c_custkey", C.CUST_COLS, C.BATCH))

@@ -46,7 +46,7 @@ def merge_outer_suffix(spark, sf):
     c = rename(c, {"c_custkey": "id", "c_name": "name", "c_nationkey": "nationkey",
                    "c_acctbal": "acctbal", "c_mktsegment": "mktsegment"})
     s = rename(s, {"s_suppkey": "id", "s_name": "name", "s_nationkey": "nationkey", "s_acctbal": "acctbal"})
-    return finalize(merge_nullsafe(c, s, "id", "id", "full_outer"))
+    return finalize(merge_nullsafe(c, s, "id", "id", "full_outer", heavy=True))
 
 
 STAR_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",

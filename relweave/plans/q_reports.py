@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from relweave.functions.text import finalize
 from relweave.operators.joins import common_keys
+from relweave.plans import common as C
 from relweave.plans import q_metrics as M
+from relweave.plans import q_sensitivity as S
 from relweave.plans.registry import query
 
 SCORES = ["avg_row_accuracy", "match_accuracy", "match_in_right_column_accuracy"]
@@ -20,12 +22,15 @@ def metric_rows(spark, sf):
     return M.row_match(spark, sf)
 
 
-def domain_rollup(rm, restrict_ok: bool = False):
+def domain_rollup(rm, restrict_ok: bool = False, domains: list[str] | None = None):
     """Mean per (method, domain) plus an ``overall`` row per method.
-    ``grouping_id`` marks the roll-up row; the grand total is dropped."""
+    ``grouping_id`` marks the roll-up row; the grand total is dropped. With ``domains``
+    only these have rows of their own; ``overall`` is over all entries."""
     src = rm.filter(F.col("match_accuracy") >= 0) if restrict_ok else rm
     r = src.rollup("method", "domain").agg(*[F.avg(c).alias(c) for c in SCORES],
                                            F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+    if domains is not None:
+        r = r.filter((F.col("_g") == 1) | F.col("domain").isin(domains))
     return r.filter(F.col("_g") < 3).select(
         "method", F.when(F.col("_g") == 1, F.lit("overall")).otherwise(F.col("domain")).alias("domain"),
         *SCORES, "n")
@@ -42,6 +47,17 @@ def domain_rollup_q(spark, sf):
     return finalize(domain_rollup(metric_rows(spark, sf)))
 
 
+#: Domains that a report asks for.
+LISTED = ["building", "machinery"]
+
+
+@query("domain_list_rollup", M.ROW_MATCH_SQL + ", ro AS (" + _ROLLUP_SQL.format(src="rm") + f""")
+SELECT * FROM ro WHERE domain IN ({", ".join(f"'{d}'" for d in [*LISTED, "overall"])})""")
+def domain_list_rollup(spark, sf):
+    """The roll-up over a given list of domains (D3)."""
+    return finalize(domain_rollup(metric_rows(spark, sf), domains=LISTED))
+
+
 @query("correct_db_count", M.ROW_MATCH_SQL + """
 SELECT method, domain, count(*) FILTER (WHERE match_accuracy <> 0) AS n_correct, count(*) AS n_entries
 FROM rm GROUP BY method, domain""")
@@ -233,3 +249,39 @@ def difficulty_pivot(spark, sf):
         level = F.when(F.col("domain") == k, F.lit(v)).otherwise(level)
     d = metric_rows(spark, sf).withColumn("difficulty", level)
     return finalize(d.groupBy("difficulty").pivot("method", METHOD_NAMES).agg(*[F.avg(c).alias(s) for c, s in _SHORT.items()]))
+
+
+_LEVELS = ["easy", "medium", "hard"]
+_LEVEL_SQL = f"""lv AS (SELECT domain, (['easy', 'medium', 'hard'])[ntile(3) OVER (ORDER BY m, domain)] AS difficulty
+  FROM (SELECT domain, avg(length(text)) AS m FROM ({C.ENTRIES_SQL}) e GROUP BY domain) a),
+ed AS (SELECT entry_id, domain FROM ({C.ENTRIES_SQL}) e)"""
+_COVERAGES = ["tc", "vc", "cc"]
+
+
+def domain_difficulty(spark, sf):
+    """(domain, difficulty) by the mean length of a domain's entries, in three equal parts. One row for each domain."""
+    per = C.entries(spark, sf).groupBy("domain").agg(F.avg(F.length("text")).alias("m"))
+    return per.select("domain", F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), F.ntile(3).over(Window.orderBy("m", "domain"))).alias("difficulty"))
+
+
+@query("model_difficulty_pivot", S.SUMMARY_SQL + f""", {_LEVEL_SQL}
+SELECT s.variant AS model, lv.difficulty, """ + ", ".join(f"round(avg({c}) FILTER (WHERE method = '{m}'), 6) AS {m}_{c}" for m in S.METHODS for c in _COVERAGES) + """
+FROM scores s JOIN ed ON ed.entry_id = s.entry_id JOIN lv ON lv.domain = ed.domain GROUP BY s.variant, lv.difficulty""")
+def model_difficulty_pivot(spark, sf):
+    """Rows (model, difficulty), three coverages per method (D22): the model is the text
+    variant that an extraction read, the difficulty comes from the domain's entries."""
+    s = S.cell_scores(spark, sf).join(M.entry_domains(spark, sf), "entry_id").join(domain_difficulty(spark, sf), "domain")
+    return finalize(s.withColumnRenamed("variant", "model").groupBy("model", "difficulty").pivot("method", S.METHODS).agg(*[F.avg(c).alias(c) for c in _COVERAGES]))
+
+
+@query("ri_score_pivot", S.SUMMARY_SQL + f""", {_LEVEL_SQL},
+pv AS (SELECT ed.domain, s.variant AS model, """ + ", ".join(f"round(avg(ri) FILTER (WHERE method = '{m}'), 3) AS {m}" for m in S.METHODS) + """
+  FROM scores s JOIN ed ON ed.entry_id = s.entry_id GROUP BY ed.domain, s.variant)
+SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN {m} = greatest({', '.join(S.METHODS)}) THEN '{m}' END" for m in S.METHODS) + ") AS best FROM pv")
+def ri_score_pivot(spark, sf):
+    """(dataset, model) x method pivot of the referential integrity score, every method that
+    reaches the row's exact maximum marked (D24)."""
+    s = S.cell_scores(spark, sf).join(M.entry_domains(spark, sf), "entry_id").withColumnRenamed("variant", "model")
+    pv = s.groupBy("domain", "model").pivot("method", S.METHODS).agg(F.round(F.avg("ri"), 3))
+    best = F.concat_ws(",", *[F.when(F.col(m) == F.greatest(*S.METHODS), F.lit(m)) for m in S.METHODS])
+    return finalize(pv.withColumn("best", best))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.operators.windows import rank_in_group
+from relweave.sources.entries import RANGE_BYTES, read_records
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -36,23 +36,15 @@ ENTRY_JSON_SCHEMA = T.StructType([
 ])
 
 
-def read_entries(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """Entry files (JSON arrays) with an explicit ``entry_id``: the dense position
-    over (file name, position in file). With ``n`` exactly n entries are returned
-    (the reference's n+1 is fixed, Q1).
-
-    A JSON array file is not splittable, so one task reads a file in its order
-    and its entries have rising row numbers; :func:`rank_in_group` numbers them
-    over all files with a range-partitioned sort.
+def read_entries(spark: SparkSession, path: str, n: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Entry files (JSON arrays) with an explicit ``entry_id``: the position over (file
+    name, place in file), from 0. With ``n`` exactly n entries are returned
+    (the reference's n+1 is fixed, Q1). A file is read by as many tasks as it has
+    ranges of ``range_bytes``.
     """
-    raw = (spark.read.schema(ENTRY_JSON_SCHEMA).option("multiLine", True).json(path)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_pos", F.monotonically_increasing_id()))
-    df = rank_in_group(raw, None, ["_file", "_pos"], out="entry_id").withColumn("entry_id", F.col("entry_id") - 1)
-    if n is not None:
-        df = df.filter(F.col("entry_id") < n)
+    df = read_records(spark, path, n, range_bytes).select("entry_id", F.from_json("json", ENTRY_JSON_SCHEMA).alias("e")).select("entry_id", "e.*")
     kv = F.transform_values("ground_truth_key_value", lambda k, a: F.transform(a, lambda p: F.struct(F.get(p, 0).alias("id"), F.get(p, 1).alias("value"))))
-    return df.drop("_file", "_pos").withColumn("ground_truth_key_value", kv)
+    return df.withColumn("ground_truth_key_value", kv)
 
 
 def _csv_files(spark: SparkSession, root: str, suffix: str, skip_folders: tuple[str, ...]) -> list[tuple[str, str]]:

@@ -10,6 +10,7 @@ needs no state.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,70 @@ def process_pending(spark: SparkSession, entries: DataFrame, results_path: str,
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) on the cluster's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _commit(spark: SparkSession, out: DataFrame, results_path: str, name: str) -> bool:
+    """Writes a batch aside and renames its folder into the results, which is one step:
+    readers see all of it or nothing. False if a batch of that name is there already."""
+    fs, final = _files(spark, f"{results_path}/batch={name}")
+    if fs.exists(final):
+        return False
+    aside = f"{results_path}/_writing-{name}-{uuid.uuid4().hex}"
+    out.write.parquet(aside)
+    if not fs.rename(_files(spark, aside)[1], final):
+        raise RuntimeError(f"batch {name} could not be put in place")
+    return True
+
+
+def read_filled(spark: SparkSession, results_path: str) -> DataFrame | None:
+    """All committed batches, or None where there is none yet."""
+    fs, path = _files(spark, results_path)
+    if not fs.exists(path) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(path)):
+        return None
+    return spark.read.option("basePath", results_path).parquet(f"{results_path}/batch=*").drop("batch")
+
+
+def fill_in_batches(spark: SparkSession, entries: DataFrame, results_path: str, stage: Callable[[DataFrame], DataFrame],
+                    key: str = "entry_id", batches: int = 16) -> int:
+    """Runs a costly ``stage`` over the entries that have no result yet, batch by batch
+    (A8, A9, I11); returns how many batches were committed. A run that ends between two
+    batches loses only the one it was at: the committed ones are results, and the next run takes
+    up the rest. Batches are dealt by the key's hash from one reading of the entries."""
+    done = read_filled(spark, results_path)
+    todo = pending(entries, done, key) if done is not None else entries
+    run = uuid.uuid4().hex
+    spool = f"{results_path}/_todo-{run}"
+    part = F.pmod(F.xxhash64(key), F.lit(batches))
+    todo.withColumn("_b", part).repartition("_b").write.partitionBy("_b").parquet(spool)
+    n = 0
+    try:
+        for i in range(batches):
+            fs, path = _files(spark, f"{spool}/_b={i}")
+            if fs.exists(path):
+                n += _commit(spark, stage(spark.read.schema(entries.schema).parquet(f"{spool}/_b={i}")), results_path, f"{run}-{i}")
+    finally:
+        fs, path = _files(spark, spool)
+        fs.delete(path, True)  # this run's own list of pending entries
+    return n
+
+
+def commit_stream_batch(results_path: str, stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a batch that is replayed after a failure is recognised by its number."""
+    def run(batch: DataFrame, number: int) -> None:
+        _commit(batch.sparkSession, stage(batch), results_path, f"stream-{number}")
+    return run
+
+
+def stream_fill(spark: SparkSession, source_dir: str, schema, results_path: str, checkpoint_dir: str, stage: Callable[[DataFrame], DataFrame]):
+    """New entry files in ``source_dir`` go through ``stage`` as they come, exactly once."""
+    s = spark.readStream.schema(schema).parquet(source_dir)
+    return s.writeStream.foreachBatch(commit_stream_batch(results_path, stage)).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+
+
 def noisy_variant(df: DataFrame, kind: str, level: str, src: str = "src", tid: str = "id",
                   text: str = "text") -> DataFrame:
     """One noise variant as plain per-row expressions (usable on a stream)."""
