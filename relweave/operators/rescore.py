@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from relweave.functions.text import NULL_WORDS
+from relweave.functions.text import NULL_WORDS, NUMBER_RE
 from relweave.operators.coverage import CC_T, TC_T
 from relweave.operators.similarity import N_GRAM
 from relweave.session import share_package
@@ -33,14 +33,16 @@ _END_NUMBER = re.compile(r"([0-9]+)\Z")
 @dataclass(frozen=True)
 class Method:
     """How a database is read from facts: ``bound`` to known tables, ``typed`` to the
-    schema's columns and types, or ``wide`` with values up to the first period; and its foreign keys
-    (child column, parent column, whose trailing number is the key)."""
+    schema's columns and types, or ``wide`` with values up to the first period; its foreign keys
+    (child column, parent column, whose trailing number is the key); and its primary keys (attribute
+    prefix of a table, key column), which every row of the table must have and none may repeat."""
 
     name: str
     bound: bool
     typed: bool
     wide: bool
     fks: tuple[tuple[str, str], ...]
+    keys: tuple[tuple[str, str], ...] = ()
 
 
 def _long(v: str) -> int | None:
@@ -185,11 +187,15 @@ class EntryScores:
     def score(self, sentences: list[str], m: Method) -> tuple[float, float, float, float, float, int]:
         """(tc, vc, cc, ri, ex, declared foreign keys) of one database."""
         covered = inside = equal = equal_close = part_close = 0
-        line, keys, bad = [], [], False
+        line, keys, bad, seen = [], [], False, set()
         for pos, s in enumerate(sentences):
             own = self.sentence(s, m)
             if not own.cells:
                 continue
+            for prefix, column in m.keys:
+                mine = [(column, v) for c, v in own.cells if c == column]
+                bad = bad or len(mine) > 1 or not seen.isdisjoint(mine) or (not mine and any(c.startswith(prefix) for c, _ in own.cells))
+                seen.update(mine)
             for p in (own, self.row_id(pos)):
                 covered |= p.covered
                 inside |= p.inside
@@ -237,3 +243,82 @@ def score_variants(entries: DataFrame, variants: list[str], methods: list[Method
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["entry_id", "variant", "method", "tc", "vc", "cc", "ri", "ex", "n_fk"])
 
     return entries.select("entry_id", "truth", "texts").mapInArrow(run, "entry_id long, variant string, method string, tc double, vc double, cc double, ri double, ex double, n_fk int")
+
+
+# Fixed value: numbers with a sign, a dollar sign and thousands commas.
+_NUMBER = re.compile(NUMBER_RE)
+
+
+@lru_cache(50_000)
+def number(s: str) -> float | None:
+    t = s.strip(" ")
+    return float(t.replace("$", "").replace(",", "")) if _NUMBER.match(t) else None
+
+
+def same_value(truth: str, cell: str, least: float) -> bool:
+    """H1: a numeric truth needs a numeric cell within 0.01, any other one a similar text."""
+    t = number(truth)
+    if t is not None:
+        c = number(cell)
+        return c is not None and abs(t - c) < 0.01
+    return (cosine(truth, cell) + 1.0) / 2.0 >= least
+
+
+def row_scores(truth: list[tuple[str, str, str]], cells: list[tuple[int, str, str]], value_t: float, column_t: float, like: dict, named: dict) -> tuple[float, float, float]:
+    """(row accuracy, match accuracy, match in the right column) of one database (C7,
+    H4); -1 for all three without cells or truth. A truth item looks into the rows whose id cell is
+    its row id, else into the row at its position and every fifth after it. ``like`` and ``named`` keep
+    the pairs that were compared."""
+    if not cells or not truth:
+        return -1.0, -1.0, -1.0
+    rows: dict[int, list[tuple[str, str]]] = {}
+    by_id: dict[str, set[int]] = {}
+    for pos, column, value in cells:
+        rows.setdefault(pos, []).append((column, value))
+        if column == "id":
+            by_id.setdefault(value, set()).add(pos)
+    found: dict[str, list[int]] = {}
+    ids: dict[str, set[str]] = {}
+    hits = right = 0
+    for attr, row, value in truth:
+        start = int(row) - 1
+        where = by_id.get(row) or [p for p in rows if p >= start and (p - start) % 5 == 0]
+        found.setdefault(attr, []).append(bool(where))
+        ids.setdefault(attr, set()).add(row)
+        hit = close = False
+        for p in where:
+            for column, v in rows[p]:
+                if (value, v) not in like:
+                    like[value, v] = same_value(value, v, value_t)
+                if like[value, v]:
+                    hit = True
+                    if (attr, column) not in named:
+                        named[attr, column] = (cosine(attr, column) + 1.0) / 2.0 >= column_t
+                    close = close or named[attr, column]
+        hits += hit
+        right += close
+    return sum(sum(f) / len(ids[a]) for a, f in found.items()) / len(found), hits / len(truth), right / len(truth)
+
+
+def match_rows(entries: DataFrame, methods: list[str], value_t: float, column_t: float) -> DataFrame:
+    """(method, entry_id, domain, avg_row_accuracy, match_accuracy,
+    match_in_right_column_accuracy) of entries (entry_id, domain, truth array<struct<attr, row_id,
+    value>>, pred array<struct<method, row_pos, id_val, column_name, value>>). Strings of an entry
+    are compared when rows meet, once for all its databases."""
+    share_package(entries.sparkSession)
+    names = ["method", "entry_id", "domain", "avg_row_accuracy", "match_accuracy", "match_in_right_column_accuracy"]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for entry, domain, truth, pred in zip(*(b.column(c).to_pylist() for c in ("entry_id", "domain", "truth", "pred"))):
+                items, like, named = [(t["attr"], t["row_id"], t["value"]) for t in truth], {}, {}
+                for m in methods:
+                    mine = [c for c in pred if c["method"] == m]
+                    cells = [(c["row_pos"], c["column_name"], c["value"]) for c in mine] + [(p, "id", v) for p, v in {(c["row_pos"], c["id_val"]) for c in mine}]
+                    out.append((m, entry, domain, *row_scores(items, cells, value_t, column_t, like, named)))
+            if out:
+                kinds = [pa.string(), pa.int64(), pa.string(), *[pa.float64()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return entries.select("entry_id", "domain", "truth", "pred").mapInArrow(run, "method string, entry_id long, domain string, " + ", ".join(f"{c} double" for c in names[3:]))

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relweave.functions.text import finalize, is_number, materialize
+from relweave.functions.text import finalize, materialize
 from relweave.operators import coverage as V
 from relweave.operators.coverage import CC_T, COLUMN_T, TC_T, VALUE_T
-from relweave.operators.similarity import best_matches, gram_cosine, let, may_reach, with_grams
+from relweave.operators.rescore import match_rows
+from relweave.operators.similarity import best_matches, with_grams
 from relweave.plans import common as C
 from relweave.plans.registry import query
 from relweave.session import spread
@@ -101,58 +102,7 @@ def row_match(spark, sf):
     """Per (method, entry): avg_row_accuracy, match_accuracy,
     match_in_right_column_accuracy; -1 for all three when the database has no
     rows (H4 with C7's positional fallback)."""
-    e = materialize(entry_frame(spark, sf), ["entry_id", "domain", "truth"], dbs=_databases(F.col("pred")))
-    cells = F.flatten(F.transform("dbs", lambda d: d["cells"]))
-    e = materialize(e, ["entry_id", "domain", "truth", "dbs"],
-                    tv=_typed(F.transform("truth", lambda t: t["value"])), cv=_typed(F.transform(cells, lambda c: c["value"])),
-                    ta=with_grams(F.transform("truth", lambda t: t["attr"])), cc=with_grams(F.transform(cells, lambda c: c["column_name"])))
-    # each distinct pair of an entry is scored once, for all methods
-    e = materialize(e, ["entry_id", "domain", "dbs", "truth"],
-                    same=F.transform("tv", lambda x: F.struct(x["s"].alias("s"), F.transform(F.filter("cv", lambda y: _same_value(x, y)), lambda y: y["s"]).alias("near"))),
-                    cols=F.transform("ta", lambda x: F.struct(x["s"].alias("s"), F.transform(
-                        F.filter("cc", lambda y: (gram_cosine(x["g"], y["g"]) + 1.0) / 2.0 >= COLUMN_T), lambda y: y["s"]).alias("near"))))
-    near = lambda m, s: F.get(F.filter(m, lambda x: x["s"] == s), F.lit(0))["near"]
-    e = materialize(e, ["entry_id", "domain", "dbs"], items=F.transform("truth", lambda t: F.struct(
-        t["attr"].alias("attr"), t["row_id"].alias("row_id"), near(F.col("same"), t["value"]).alias("values"), near(F.col("cols"), t["attr"]).alias("columns"))))
-    m = e.select("entry_id", "domain", "items", F.inline("dbs"))
-    flags = F.transform("items", lambda t: let(_row_cells(F.col("cells"), t["row_id"]), lambda cs: let(
-        F.filter(cs, lambda c: F.array_contains(t["values"], c["value"])), lambda hits: F.struct(
-            t["attr"].alias("attr"), t["row_id"].alias("row_id"), (F.size(cs) > 0).cast("int").alias("found"), (F.size(hits) > 0).cast("int").alias("hit"),
-            F.exists(hits, lambda c: F.array_contains(t["columns"], c["column_name"])).cast("int").alias("col_hit")))))
-    m = materialize(m, ["entry_id", "domain", "method", "cells"], flags=flags)
-    total = lambda a, f: F.aggregate(a, F.lit(0), lambda s, x: s + x[f])
-
-    def row_accuracy(attr):
-        return let(F.filter("flags", lambda x: x["attr"] == attr), lambda mine: total(mine, "found").cast("double")
-                   / F.size(F.array_distinct(F.transform(mine, lambda x: x["row_id"]))))
-
-    attrs = F.array_distinct(F.transform("flags", lambda x: x["attr"]))
-    has = (F.size("cells") > 0) & (F.size("flags") > 0)
-    share = lambda f: F.when(has, total(F.col("flags"), f).cast("double") / F.size("flags")).otherwise(-1.0)
-    mean = let(F.transform(attrs, row_accuracy), lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
-    return m.select("method", "entry_id", "domain", F.when(has, mean).otherwise(-1.0).alias("avg_row_accuracy"),
-                    share("hit").alias("match_accuracy"), share("col_hit").alias("match_in_right_column_accuracy"))
-
-
-def _typed(strings):
-    """Distinct strings with grams and the number they may be."""
-    return F.transform(with_grams(strings), lambda x: F.struct(x["s"].alias("s"), x["g"].alias("g"), is_number(x["s"]).alias("number")))
-
-
-def _same_value(t, c):
-    """H1 at the value threshold: numeric truth needs a numeric cell within 0.01."""
-    close = F.coalesce(F.abs(t["number"] - c["number"]) < 0.01, F.lit(False))
-    return F.when(t["number"].isNotNull(), close).otherwise(
-        may_reach(t["g"], c["g"], 2 * VALUE_T - 1) & ((gram_cosine(t["g"], c["g"]) + 1.0) / 2.0 >= VALUE_T))
-
-
-def _row_cells(cells, row_id):
-    """Cells of the rows whose id cell equals the truth's row id, else of the rows
-    at its position and every fifth after it (C7)."""
-    start = row_id.cast("int") - 1
-    by_id = F.transform(F.filter(cells, lambda c: (c["column_name"] == "id") & (c["value"] == row_id)), lambda c: c["row_pos"])
-    return let(by_id, lambda ids: F.when(F.size(ids) > 0, F.filter(cells, lambda c: F.array_contains(ids, c["row_pos"])))
-               .otherwise(F.filter(cells, lambda c: (c["row_pos"] >= start) & (F.pmod(c["row_pos"] - start, F.lit(5)) == 0))))
+    return match_rows(entry_frame(spark, sf), [n for n, *_ in METHODS], VALUE_T, COLUMN_T)
 
 
 # ------------------------------------------------------------------ D14-D16

@@ -30,7 +30,8 @@ METHODS = ["staged", "tst", "single_shot"]
 VARIANTS = ["clean"] + [f"{k}_{lv}" for k in N.TYPES for lv in N.LEVELS]
 TYPED = {"c_nationkey": "bigint", "c_acctbal": "double"}
 _FK = (("c_nationkey", "n_name"),)
-WAYS = [Method("staged", True, False, False, _FK), Method("tst", True, True, False, _FK), Method("single_shot", False, False, True, ())]
+_PK = (("c_", "c_name"),)
+WAYS = [Method("staged", True, False, False, _FK, _PK), Method("tst", True, True, False, _FK, _PK), Method("single_shot", False, False, True, ())]
 METRICS = ["tc", "vc", "cc", "ri", "ex"]
 
 
@@ -151,7 +152,11 @@ pa AS (SELECT DISTINCT variant, method, entry_id, TRY_CAST(regexp_extract(value,
          AND TRY_CAST(regexp_extract(value, '(\\d+)$', 1) AS BIGINT) IS NOT NULL),
 ri AS (SELECT ch.variant, ch.method, ch.entry_id, avg(CASE WHEN pa.k IS NOT NULL THEN 1.0 ELSE 0.0 END) AS ri_fk
        FROM ch LEFT JOIN pa USING (variant, method, entry_id, k) GROUP BY ALL),
-ex AS (SELECT variant, method, entry_id, max(CASE WHEN {typed} THEN 1 ELSE 0 END) AS bad FROM cells GROUP BY ALL),
+kr AS (SELECT variant, method, entry_id, row_pos, count(*) FILTER (WHERE column_name = 'c_name') AS n, any_value(value) FILTER (WHERE column_name = 'c_name') AS k
+       FROM cells WHERE table_name = 'customer' GROUP BY ALL),
+kb AS (SELECT variant, method, entry_id, max(CASE WHEN n <> 1 THEN 1 ELSE 0 END) AS odd, count(k) <> count(DISTINCT k) AS twice FROM kr GROUP BY ALL),
+ex AS (SELECT c.variant, c.method, c.entry_id, max(CASE WHEN {typed} THEN 1 ELSE 0 END) + coalesce(max(kb.odd), 0) + coalesce(max(CASE WHEN kb.twice THEN 1 ELSE 0 END), 0) AS bad
+       FROM cells c LEFT JOIN kb USING (variant, method, entry_id) GROUP BY ALL),
 scores AS (SELECT g.variant, g.method, g.entry_id,
        coalesce(tc.tc, 0.0) AS tc, coalesce(vc.vc, 0.0) AS vc, coalesce(cc.cc, 0.0) AS cc,
        CASE WHEN g.method = 'single_shot' THEN 1.0 WHEN d.entry_id IS NULL THEN 0.0 ELSE coalesce(ri.ri_fk, 1.0) END AS ri,

@@ -3,7 +3,7 @@
 import random
 
 from relweave.operators.joins import fk_share, fk_shares
-from relweave.operators.rescore import EntryScores, Method, cosine, fits
+from relweave.operators.rescore import EntryScores, Method, cosine, fits, number, row_scores
 
 WAYS = (Method("a", True, False, False, (("c_nationkey", "n_name"),)), Method("b", True, True, False, (("c_nationkey", "n_name"),)), Method("c", False, False, True, ()))
 
@@ -46,3 +46,22 @@ def test_many_foreign_keys_at_once(spark):
     got = {r.fk: (r.n_child, r.n_matched, r.share) for r in fk_shares(t, fks).collect()}
     assert got == {f"{c}.{cc}->{p}.{pc}": tuple(fk_share(t[c], cc, t[p], pc).select("n_child", "n_matched", "share").first()) for c, cc, p, pc in fks}
     assert got["q.y->p.x"] == (0, 0, 1.0)
+
+
+def test_a_repeated_or_missing_key_does_not_load():
+    keyed = Method("k", True, False, False, (), (("c_", "c_name"),))
+    e = EntryScores([("c_name", "1", "alpha")], (keyed,), ("c_", "n_"), frozenset(), {})
+    one, two = "c_name is alpha, c_phone is 1.", "c_name is beta."
+    assert [e.score(t, keyed)[4] for t in ([one, two], [one, one], [one, "c_phone is 2."], [one, "n_name is x."], ["c_name is a, c_name is b."])] == [1.0, 0.0, 0.0, 1.0, 0.0]
+    assert e.score([one, one], WAYS[0])[4] == 1.0
+
+
+def test_row_scores_by_hand():
+    truth = [("name", "1", "alpha"), ("age", "1", "30"), ("name", "2", "beta")]
+    cells = [(0, "name", "alpha"), (0, "years", "30.001"), (0, "id", "1"), (6, "nickname", "beta"), (6, "id", "9")]
+    # row 2 has no id cell: position 1 and every fifth after it, so row 6
+    assert row_scores(truth, cells, 0.8, 0.5, {}, {}) == (1.0, 1.0, 1.0)
+    assert row_scores(truth, cells, 0.8, 0.9, {}, {})[2] < 1.0
+    assert row_scores(truth, [], 0.8, 0.5, {}, {}) == (-1.0, -1.0, -1.0) == row_scores([], cells, 0.8, 0.5, {}, {})
+    assert row_scores(truth, [(3, "name", "alpha"), (3, "id", "x")], 0.8, 0.5, {}, {}) == (0.0, 0.0, 0.0)
+    assert [number(x) for x in ("$1,234.5", " -3 ", "1e3", "")] == [1234.5, -3.0, None, None]
