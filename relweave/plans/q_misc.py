@@ -3,7 +3,6 @@ B1-B3, B8-B13, B15, B16, C10, D19, E1-E5, E9, E10, F1, F4, G20, G21, G23, G24)."
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relweave.functions.text import DOMAIN_RULES, domain_from_key, domain_from_path, finalize, is_number
