@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,20 +70,21 @@ def _csv_files(spark: SparkSession, root: str, suffix: str, skip_folders: tuple[
 
 
 def read_csv_folder(spark: SparkSession, root: str, suffix: str = "data.csv",
-                    skip_folders: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+                    skip_folders: tuple[str, ...] = (), at_once: int = 8) -> dict[str, DataFrame]:
     """Recursive CSV ingest (A3): one frame per file, each with its own header,
     under the file's relative path without extension, folders joined by ``_``.
-    Files that can't be read as CSV are left out one by one."""
-    out = {}
-    for rel, full in _csv_files(spark, root, suffix, skip_folders):
+    Files that can't be read as CSV to their end are left out one by one: the one job of a file, which
+    infers its types, reads all of it. ``at_once`` such jobs run side by side."""
+    def frame(full):
         try:
-            df = spark.read.option("header", True).option("inferSchema", True).csv(full)
-            df.limit(1).collect()
+            return spark.read.option("header", True).option("inferSchema", True).csv(full)
         except (AnalysisException, Py4JJavaError, PySparkException):
-            continue
-        if df.columns:
-            out[rel.rsplit(".", 1)[0].replace("/", "_")] = df
-    return out
+            return None
+
+    files = _csv_files(spark, root, suffix, skip_folders)
+    with ThreadPoolExecutor(at_once) as pool:
+        frames = pool.map(frame, [full for _, full in files])
+    return {rel.rsplit(".", 1)[0].replace("/", "_"): df for (rel, _), df in zip(files, frames) if df is not None and df.columns}
 
 
 def find_json(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:

@@ -37,6 +37,19 @@ def test_read_csv_folder_keeps_each_header(spark, tmp_path):
     assert bad == {}
 
 
+def test_csv_file_that_breaks_off_is_left_out(spark, tmp_path):
+    import gzip
+    import random
+
+    rng = random.Random(1)
+    whole = gzip.compress("\n".join(["id,name", *(f"{i},{rng.random()}" for i in range(200_000))]).encode())
+    for name, data in (("a", whole), ("b", whole[:len(whole) // 2]), ("c", whole)):
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "data.csv.gz").write_bytes(data)
+    got = read_csv_folder(spark, str(tmp_path), suffix="data.csv.gz")
+    assert set(got) == {"a_data.csv", "c_data.csv"} and got["c_data.csv"].dtypes == [("id", "int"), ("name", "double")]
+
+
 def test_find_json_and_sinks(spark, tmp_path):
     for d, v in (("x", 1), ("x/y", 2)):
         os.makedirs(tmp_path / d, exist_ok=True)
