@@ -1,24 +1,29 @@
 """Line dedup with sharded cuckoo filters over exact reference tables.
 
-A line's key is a 128-bit digest. The exact table says for each key which
-documents hold it (``holds``) and, grouped, how many and which is the smallest
-(``refs``). Keys are dealt to shards by hash; each shard has a cuckoo filter over
-its keys. A filter has no false negatives, so a key that it doesn't show needs
-no look into the exact table, and a key that it shows is confirmed there.
+A line's key is a 128-bit digest. The exact tables say which documents hold a key
+(``holds``) and how many, the smallest and the largest (``refs``). Keys are dealt to
+shards by their leading bits. Each shard has two cuckoo filters: ``held`` over all its
+keys and ``shared`` over those of more than one document. A filter has no false
+negatives: a key that ``held`` doesn't show is new, and a line whose key ``shared``
+doesn't show stays, both without a look into the exact tables; what a filter shows
+is confirmed there.
 
 Documents can be added (:meth:`LineIndex.insert`) and taken away again
-(:meth:`LineIndex.delete`): a key's filter mark goes when its last holder goes,
-and the lines to drop always follow from the documents now in the table.
+(:meth:`LineIndex.delete`): a key leaves ``shared`` with its last but one holder and
+``held`` with its last. The lines to drop always follow from the documents now in
+the tables. The number of shards follows from the number of keys, so a shard, its
+filters and the task that works on them stay the same size whatever the corpus.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +33,8 @@ from relweave.session import cut_lineage
 
 _SPACE = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1  # stands for a null id: sorts after every other
+_REFS = "k1 long, k2 long, refs long, owner long, last long"
+_FILTERS = "shard int, n long, held binary, shared binary"
 
 
 def line_key(line: str, least: int = 10) -> bytes | None:
@@ -42,15 +49,14 @@ def _as_longs(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return a[:, 0].copy(), a[:, 1].copy()
 
 
-def _shard(k1: np.ndarray, shards: int) -> np.ndarray:
-    return ((k1.view(np.uint64) >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
+def _shard(bits: int) -> Column:
+    """The shard of column ``k1``: its leading ``bits`` bits."""
+    return F.shiftrightunsigned("k1", 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def line_holds(docs: DataFrame, least: int = 10, shards: int = 64, filters=None) -> DataFrame:
-    """(doc, shard, k1, k2): each document's distinct line keys. ``filters``: a
-    broadcast of shard -> filter bytes; only keys that it shows come out."""
+def line_holds(docs: DataFrame, least: int = 10) -> DataFrame:
+    """(doc, k1, k2): each row's distinct line keys."""
     def run(batches):
-        known = {s: CuckooFilter.load(f) for s, f in filters.value.items()} if filters is not None else None
         for b in slices(batches):
             ids, keys = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -58,142 +64,181 @@ def line_holds(docs: DataFrame, least: int = 10, shards: int = 64, filters=None)
                 mine.discard(None)
                 keys += mine
                 ids += [_LAST if d is None else d] * len(mine)
-            if not keys:
-                continue
-            k1, k2 = _as_longs(keys)
-            doc, shard = np.array(ids, np.int64), _shard(k1, shards)
-            if known is not None:
-                hit = np.zeros(len(k1), bool)
-                for s in np.unique(shard):
-                    if s in known:
-                        at = shard == s
-                        hit[at] = known[s].contains(k1[at])
-                doc, shard, k1, k2 = doc[hit], shard[hit], k1[hit], k2[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(shard), pa.array(k1), pa.array(k2)], ["doc", "shard", "k1", "k2"])
-
-    return docs.mapInArrow(run, "doc long, shard int, k1 long, k2 long")
+            if keys:
+                k1, k2 = _as_longs(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k1), pa.array(k2)], ["doc", "k1", "k2"])
+
+    return docs.mapInArrow(run, "doc long, k1 long, k2 long")
 
 
 def reference_counts(holds: DataFrame) -> DataFrame:
-    """(shard, k1, k2, refs, owner, last): the exact table, grouped with a
-    map-side combine, so a line in a third of all documents is one row per task."""
-    return holds.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    """(k1, k2, refs, owner, last): the exact table, grouped with a map-side
+    combine, so a line in a third of all documents is one row per task."""
+    return holds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
 
 
-def build_filters(refs: DataFrame) -> DataFrame:
-    """(shard, n, filter): one cuckoo filter per shard over distinct keys."""
-    def run(batches):
-        parts: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            s, k = b.column("shard").to_numpy(), b.column("k1").to_numpy()
-            for x in np.unique(s):
-                parts.setdefault(int(x), []).append(k[s == x])
-        for x, ks in parts.items():
-            k = np.concatenate(ks)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([CuckooFilter.of(k).dump()], pa.binary())], ["shard", "n", "filter"])
+def build_filters(refs: DataFrame, bits: int) -> DataFrame:
+    """(shard, n, held, shared): the filters of 2**bits shards over an exact table."""
+    def run(key, mine):
+        k, again = mine["k1"].to_numpy(), mine["again"].to_numpy()
+        return pd.DataFrame({"shard": [key[0]], "n": [len(k)], "held": [CuckooFilter.of(k).dump()], "shared": [CuckooFilter.of(k[again]).dump()]})
+
+    keys = refs.select(_shard(bits).alias("shard"), "k1", (F.col("owner") < F.col("last")).alias("again"))
+    return keys.groupBy("shard").applyInPandas(run, _FILTERS)
+
+
+def _changed(filters: DataFrame, changes: DataFrame, refs: DataFrame, bits: int) -> DataFrame:
+    """The filters after ``changes`` (k1, held, shared: 1 for a key to add, -1 for one
+    to take out). A filter that gets too full is built again, larger, from ``refs``."""
+    def run(key, mine, old):
+        k = mine["k1"].to_numpy()
+        out = {"shard": [key[0]], "n": [(int(old["n"].iloc[0]) if len(old) else 0) + int(mine["held"].sum())]}
+        for c in ("held", "shared"):
+            f = CuckooFilter.load(old[c].iloc[0]) if len(old) else CuckooFilter.of(k[:0])
+            way = mine[c].to_numpy()
+            f.delete(k[way < 0])
+            out[c] = [f.dump() if f.insert(k[way > 0]) else None]
+        return pd.DataFrame(out)
 
-    return refs.select("shard", "k1").repartition("shard").mapInArrow(run, "shard int, n long, filter binary")
+    dealt = changes.select(_shard(bits).alias("shard"), "k1", "held", "shared")
+    done = cut_lineage(dealt.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, _FILTERS))
+    fits = F.col("held").isNotNull() & F.col("shared").isNotNull()
+    again = refs.withColumn("shard", _shard(bits)).join(done.where(~fits).select("shard"), "shard", "left_semi")
+    return cut_lineage(done.where(fits).unionByName(build_filters(again, bits)))
 
 
 @dataclass
 class LineIndex:
-    """The lasting state: who holds which key, and the filters over all keys."""
+    """The lasting state: the exact tables, and the filters of 2**bits shards."""
 
     holds: DataFrame
+    refs: DataFrame
     filters: DataFrame
+    keys: int = 0
+    bits: int = 0
     least: int = 10
-    shards: int = 64
+    per_shard: int = 1 << 15
 
     @classmethod
-    def empty(cls, spark, least: int = 10, shards: int = 64) -> LineIndex:
-        return cls(spark.createDataFrame([], "doc long, shard int, k1 long, k2 long"),
-                   spark.createDataFrame([], "shard int, n long, filter binary"), least, shards)
+    def empty(cls, spark, least: int = 10, per_shard: int = 1 << 15) -> LineIndex:
+        """An index of no documents; ``per_shard``: keys that a shard holds at most on average."""
+        return cls(spark.createDataFrame([], "doc long, k1 long, k2 long"), spark.createDataFrame([], _REFS),
+                   spark.createDataFrame([], _FILTERS), least=least, per_shard=per_shard)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Adds documents. The shards' filters tell which keys may be known already;
-        the others are new for certain and go straight into the filter."""
-        new = cut_lineage(line_holds(pick(docs, id_col, text_col), self.least, self.shards).distinct())
-        return self._with(cut_lineage(self.holds.unionByName(new).distinct()), new, adds=True)
+        """Adds documents. A key that its shard's filter doesn't show goes straight
+        into the exact table; the others are merged with what is there. Rows that
+        repeat an id add one reference each; a deletion takes them all."""
+        new = cut_lineage(line_holds(pick(docs, id_col, text_col), self.least))
+        batch = cut_lineage(reference_counts(new))
+        added = batch.count()
+        bits = max(self.bits, int(np.ceil(np.log2(max(1, (self.keys + added) / self.per_shard)))))
+        if not self.keys:  # every key is new
+            return replace(self, holds=new, refs=batch, filters=cut_lineage(build_filters(batch, bits)), keys=added, bits=bits)
+        filters = self.filters if bits == self.bits else cut_lineage(build_filters(self.refs, bits))
+
+        def look(key, mine, old):
+            shown = CuckooFilter.load(old["held"].iloc[0]).contains(mine["k1"].to_numpy()) if len(old) else False
+            return mine.assign(shown=shown)[["k1", "k2", "refs", "owner", "last", "shown"]]
+
+        seen = cut_lineage(batch.withColumn("shard", _shard(bits)).groupBy("shard").cogroup(filters.groupBy("shard"))
+                           .applyInPandas(look, _REFS + ", shown boolean"))
+        shown = seen.where("shown").drop("shown")
+        fresh = seen.where("NOT shown").drop("shown")
+        merged = cut_lineage(
+            self.refs.selectExpr("*", "true AS old", "owner < last AS again", "false AS touched")
+            .unionByName(shown.selectExpr("*", "false AS old", "false AS again", "true AS touched"))
+            .groupBy("k1", "k2").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"),
+                                     *[F.max(c).alias(c) for c in ("old", "again", "touched")]))
+        changes = (merged.where("touched").selectExpr("k1", "int(NOT old) AS held", "int(owner < last AND NOT again) AS shared")
+                   .unionByName(fresh.selectExpr("k1", "1 AS held", "int(owner < last) AS shared")))
+        refs = cut_lineage(merged.select(*batch.columns).unionByName(fresh))
+        unchanged = filters.join(seen.select(_shard(bits).alias("shard")).distinct(), "shard", "left_anti")
+        return replace(self, holds=cut_lineage(self.holds.unionByName(new)), refs=refs, keys=refs.count(), bits=bits,
+                       filters=cut_lineage(unchanged.unionByName(_changed(filters.join(unchanged.select("shard"), "shard", "left_anti"), changes, refs, bits))))
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Takes documents away, with their references and, where a key's last
-        reference goes, its filter mark."""
+        """Takes documents away, with their references and, where these end, the marks
+        of their keys in the filters."""
         gone = doc_ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc")).distinct()
+        touched = cut_lineage(self.holds.join(gone, "doc", "left_semi").select("k1", "k2").distinct())
         left = cut_lineage(self.holds.join(gone, "doc", "left_anti"))
-        return self._with(left, self.holds.join(gone, "doc", "left_semi"), adds=False)
-
-    def _with(self, holds: DataFrame, changed: DataFrame, adds: bool) -> LineIndex:
-        keys = changed.select("shard", "k1", "k2").distinct()
-        # inserted: keys that no earlier document held; deleted: keys that none holds now
-        keys = cut_lineage(keys.join((self.holds if adds else holds).select("shard", "k1", "k2"), ["shard", "k1", "k2"], "left_anti"))
-
-        def run(key, mine, old):
-            k = mine["k1"].to_numpy()
-            f = CuckooFilter.load(old["filter"].iloc[0]) if len(old) else CuckooFilter.of(k[:0])
-            n = int(old["n"].iloc[0]) if len(old) else 0
-            fits = True
-            if adds:
-                fits = f.insert(k)
-            else:
-                f.delete(k)
-            return old.iloc[:0].reindex([0]).assign(shard=key[0], n=n + (len(k) if adds else -len(k)), filter=f.dump() if fits else None).astype({"shard": "int32", "n": "int64"})
-
-        changed = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, "shard int, n long, filter binary")
-        changed = cut_lineage(changed)
-        full = changed.where("filter IS NULL").select("shard")  # too full: built again, larger, from the exact table
-        again = build_filters(holds.join(full, "shard", "left_semi").select("shard", "k1", "k2").distinct())
-        return LineIndex(holds, cut_lineage(changed.where("filter IS NOT NULL").unionByName(again)), self.least, self.shards)
-
-    def drops(self) -> DataFrame:
-        """(doc, k1, k2): keys that a document loses, because a smaller id holds them."""
-        refs = reference_counts(self.holds).where("owner < last").select("k1", "k2", "owner")
-        return self.holds.join(refs, ["k1", "k2"]).where("doc > owner").select("doc", "k1", "k2")
-
-
-def _drops_of(docs: DataFrame, least: int, shards: int, filter_limit: int) -> DataFrame:
-    """The same as inserting all documents into an empty index and asking for
-    :meth:`LineIndex.drops`, without keeping who holds the keys of one holder:
-    the exact table keeps the repeated keys, cuckoo filters over these pick the
-    documents' lines that need a look, and the exact table decides."""
-    refs = cut_lineage(reference_counts(line_holds(docs, least, shards)).where("owner < last").select("shard", "k1", "k2", "owner"))
-    filters = None
-    # 16-bit marks, at least a third of the slots in use: under 7 bytes a key
-    if refs.count() * 7 <= filter_limit:
-        spark = docs.sparkSession
-        filters = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in build_filters(refs).collect()})
-    # Beyond the limit every key goes to the exact join, which gives the same rows.
-    seen = line_holds(docs, least, shards, filters)
-    return seen.join(refs, ["shard", "k1", "k2"]).where("doc > owner").select("doc", "k1", "k2")
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, shards: int = 64,
-                filter_limit: int = 64 << 20, index: LineIndex | None = None) -> DataFrame:
+        now = cut_lineage(reference_counts(left.join(touched, ["k1", "k2"], "left_semi")))
+        before = self.refs.join(touched, ["k1", "k2"], "left_semi").selectExpr("k1", "k2", "owner < last AS again")
+        changes = cut_lineage(before.join(now, ["k1", "k2"], "left").selectExpr(
+            "k1", "int(refs IS NULL) * -1 AS held", "int(again AND NOT coalesce(owner < last, false)) * -1 AS shared"))
+        refs = cut_lineage(self.refs.join(touched, ["k1", "k2"], "left_anti").unionByName(now))
+        apart = changes.select(_shard(self.bits).alias("shard")).distinct()
+        filters = (self.filters.join(apart, "shard", "left_anti")
+                   .unionByName(_changed(self.filters.join(apart, "shard", "left_semi"), changes, refs, self.bits)))
+        return replace(self, holds=left, refs=refs, filters=cut_lineage(filters), keys=refs.count())
+
+    def drops(self, piece_rows: int = 1 << 16) -> DataFrame:
+        """(doc, k1, k2): keys that a document loses, because a smaller id holds them.
+
+        Rows of ``holds`` go to their shard, where its filter of shared keys stands; what it
+        shows is confirmed in the shard's exact table. A shard of more than ``piece_rows``
+        rows (a line that many documents hold) is cut into pieces of about that size, each
+        with its copy of the shard's filter and table."""
+        shard = _shard(self.bits)
+        sizes = (self.refs.groupBy(shard.alias("shard")).agg(F.sum("refs").alias("rows"))
+                 .select("shard", F.ceil(F.col("rows") / piece_rows).cast("int").alias("pieces")).where("pieces > 1"))
+        sizes = cut_lineage(sizes)
+        if sizes.count() <= 200_000:  # 8 bytes a row
+            sizes = F.broadcast(sizes)
+
+        def pieces(df: DataFrame) -> DataFrame:
+            return df.join(sizes, "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+
+        rows = (pieces(self.holds.select(shard.alias("shard"), *[F.col(c).alias(c) for c in ("doc", "k1", "k2")]))
+                .withColumn("piece", F.pmod(F.xxhash64("doc", F.monotonically_increasing_id()), F.col("pieces")).cast("int")).drop("pieces"))
+        table = (self.refs.where("owner < last").select(shard.alias("shard"), "k1", "k2", "owner", F.lit(None).cast("binary").alias("shared"))
+                 .unionByName(self.filters.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("owner"), "shared")))
+        table = pieces(table).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+
+        def run(mine, state):
+            marks = state["shared"].notna()
+            exact = state.loc[~marks, ["k1", "k2", "owner"]]
+            if not len(mine) or not len(exact):
+                return mine[["doc", "k1", "k2"]].iloc[:0]
+            shown = mine[CuckooFilter.load(state.loc[marks, "shared"].iloc[0]).contains(mine["k1"].to_numpy())]
+            both = shown.merge(exact, on=["k1", "k2"])
+            return both.loc[both["doc"] > both["owner"], ["doc", "k1", "k2"]]
+
+        return rows.groupBy("shard", "piece").cogroup(table.groupBy("shard", "piece")).applyInPandas(run, "doc long, k1 long, k2 long")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 15,
+                piece_rows: int = 1 << 16, index: LineIndex | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): each document's text without the lines
     whose key (of at least ``least`` code points) a smaller doc_id holds too.
 
-    Inside the document that keeps a key all its lines stay. Null and empty texts
-    are one empty line. A null id sorts after all others. Rows that repeat an id
-    count as one document for a key, and each is rewritten. An empty table gives
-    no rows; extra columns are ignored. With ``index`` the decisions come from
-    that state instead of from the given documents alone.
+    The documents are inserted into an empty :class:`LineIndex`, and its drops are
+    applied; with ``index`` the decisions come from that state instead. Inside the
+    document that keeps a key all its lines stay. Null and empty texts are one empty
+    line. A null id sorts after all others. Rows that repeat an id count as one
+    document for a key, and each is rewritten. An empty table gives no rows; extra
+    columns are ignored.
     """
     docs = pick(df, id_col, text_col)
-    return _rewritten(docs, _gone(docs, least, shards, filter_limit, index), least)
+    return _rewritten(docs, _gone(docs, least, per_shard, piece_rows, index), least)
 
 
-def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, shards: int = 64,
-               filter_limit: int = 64 << 20) -> DataFrame:
+def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 15,
+               piece_rows: int = 1 << 16) -> DataFrame:
     """The rows with all their columns and ``text_col`` rewritten as in
     :func:`dedup_lines`; rows that lost all their lines go."""
-    gone = _gone(pick(df, id_col, text_col), least, shards, filter_limit, None)
+    gone = _gone(pick(df, id_col, text_col), least, per_shard, piece_rows, None)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"),
                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = _rewritten(packed, gone, least).where("n_dropped < n_lines")
     return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"record.`{c}`") for c in df.columns])
 
 
-def _gone(docs: DataFrame, least: int, shards: int, filter_limit: int, index: LineIndex | None) -> DataFrame:
-    drops = index.drops() if index is not None else _drops_of(docs, least, shards, filter_limit)
+def _gone(docs: DataFrame, least: int, per_shard: int, piece_rows: int, index: LineIndex | None) -> DataFrame:
+    if index is None:
+        index = LineIndex.empty(docs.sparkSession, least, per_shard).insert(docs)
+    drops = index.drops(piece_rows)
     # bounded by one document's own lines
     return drops.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
 

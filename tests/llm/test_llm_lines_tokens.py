@@ -37,11 +37,11 @@ def _lines(n, seed):
     return [(i, "\n".join(rng.choice(pool) if rng.random() < .5 else f"own line number {rng.randrange(40)} of it" for _ in range(rng.randint(0, 8)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_line_dedup_against_brute_force(spark, limit):
+@pytest.mark.parametrize("per_shard, piece_rows", [(1 << 15, 1 << 16), (4, 3), (64, 10)])
+def test_line_dedup_against_brute_force(spark, per_shard, piece_rows):
     rows = _lines(150, 1)
     random.Random(4).shuffle(rows)
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=3, filter_limit=limit).collect()
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), per_shard=per_shard, piece_rows=piece_rows).collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(rows)
 
 
@@ -54,25 +54,38 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 3").count() == 1
 
 
-def test_index_inserts_and_deletes_are_reversible(spark):
+@pytest.mark.parametrize("per_shard", [1 << 15, 6])
+def test_index_inserts_and_deletes_are_reversible(spark, per_shard):
+    """With few keys a shard the second insertion doubles the shards."""
     rows = _lines(60, 7)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     first, second = df.where("doc_id < 40"), df.where("doc_id >= 40")
-    one = linededup.LineIndex.empty(spark, shards=4).insert(first)
+    one = linededup.LineIndex.empty(spark, per_shard=per_shard).insert(first)
     both = one.insert(second)
     assert sorted(map(tuple, linededup.dedup_lines(df, index=both).collect()), key=str) == brute_lines(rows)
     back = both.delete(second.select("doc_id"))
     assert sorted(map(tuple, linededup.dedup_lines(first, index=back).collect()), key=str) == brute_lines(rows[:40])
-    assert sorted(map(tuple, back.holds.collect())) == sorted(map(tuple, one.holds.collect()))
     # the smallest holder goes: the next one keeps the line
     less = both.delete(df.where("doc_id < 20").select("doc_id"))
     assert sorted(map(tuple, linededup.dedup_lines(df.where("doc_id >= 20"), index=less).collect()), key=str) == brute_lines(rows[20:])
-    # filters show every key that is held
+    for name in ("holds", "refs"):
+        assert sorted(map(tuple, getattr(back, name).collect())) == sorted(map(tuple, getattr(one, name).collect()))
     for state in (one, both, back, less):
-        filters = {r.shard: CuckooFilter.load(bytes(r.filter)) for r in state.filters.collect()}
+        want = defaultdict(list)
         for r in state.holds.collect():
-            assert filters[r.shard].contains(np.array([r.k1]))[0]
-        assert sum(r.n for r in state.filters.collect()) == state.holds.select("k1", "k2").distinct().count()
+            want[r.k1, r.k2].append(r.doc)
+        assert {(r.k1, r.k2): (r.refs, r.owner, r.last) for r in state.refs.collect()} == {k: (len(d), min(d), max(d)) for k, d in want.items()}
+        filters = {r.shard: (CuckooFilter.load(bytes(r.held)), CuckooFilter.load(bytes(r.shared)), r.n) for r in state.filters.collect()}
+        # filters show every key that is held or shared, and hold as many marks
+        keys = np.array([k for k, _ in want])
+        of = (keys.view(np.uint64) >> np.uint64(64 - state.bits)).astype(int) if state.bits else np.zeros(len(keys), int)
+        many = np.array([min(d) < max(d) for d in want.values()])
+        for s, (held, shared, n) in filters.items():
+            mine = of == s
+            assert held.contains(keys[mine]).all() and shared.contains(keys[mine & many]).all()
+            assert n == mine.sum() == (held.table != 0).sum() and (mine & many).sum() == (shared.table != 0).sum()
+        assert sum(n for _, _, n in filters.values()) == len(keys) == state.keys
+    assert per_shard > 6 or both.bits > one.bits > 0
 
 
 def test_cuckoo_filter():
