@@ -117,10 +117,10 @@ class LineIndex:
     keys: int = 0
     bits: int = 0
     least: int = 10
-    per_shard: int = 1 << 15
+    per_shard: int = 1 << 12
 
     @classmethod
-    def empty(cls, spark, least: int = 10, per_shard: int = 1 << 15) -> LineIndex:
+    def empty(cls, spark, least: int = 10, per_shard: int = 1 << 12) -> LineIndex:
         """An index of no documents; ``per_shard``: keys that a shard holds at most on average."""
         return cls(spark.createDataFrame([], "doc long, k1 long, k2 long"), spark.createDataFrame([], _REFS),
                    spark.createDataFrame([], _FILTERS), least=least, per_shard=per_shard)
@@ -173,7 +173,7 @@ class LineIndex:
                    .unionByName(_changed(self.filters.join(apart, "shard", "left_semi"), changes, refs, self.bits)))
         return replace(self, holds=left, refs=refs, filters=cut_lineage(filters), keys=refs.count())
 
-    def drops(self, piece_rows: int = 1 << 16) -> DataFrame:
+    def drops(self, piece_rows: int = 1 << 14) -> DataFrame:
         """(doc, k1, k2): keys that a document loses, because a smaller id holds them.
 
         Rows of ``holds`` go to their shard, where its filter of shared keys stands; what it
@@ -208,8 +208,8 @@ class LineIndex:
         return rows.groupBy("shard", "piece").cogroup(table.groupBy("shard", "piece")).applyInPandas(run, "doc long, k1 long, k2 long")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 15,
-                piece_rows: int = 1 << 16, index: LineIndex | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 12,
+                piece_rows: int = 1 << 14, index: LineIndex | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): each document's text without the lines
     whose key (of at least ``least`` code points) a smaller doc_id holds too.
 
@@ -224,8 +224,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return _rewritten(docs, _gone(docs, least, per_shard, piece_rows, index), least)
 
 
-def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 15,
-               piece_rows: int = 1 << 16) -> DataFrame:
+def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, per_shard: int = 1 << 12,
+               piece_rows: int = 1 << 14) -> DataFrame:
     """The rows with all their columns and ``text_col`` rewritten as in
     :func:`dedup_lines`; rows that lost all their lines go."""
     gone = _gone(pick(df, id_col, text_col), least, per_shard, piece_rows, None)

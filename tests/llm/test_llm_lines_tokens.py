@@ -37,7 +37,7 @@ def _lines(n, seed):
     return [(i, "\n".join(rng.choice(pool) if rng.random() < .5 else f"own line number {rng.randrange(40)} of it" for _ in range(rng.randint(0, 8)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("per_shard, piece_rows", [(1 << 15, 1 << 16), (4, 3), (64, 10)])
+@pytest.mark.parametrize("per_shard, piece_rows", [(1 << 12, 1 << 14), (4, 3), (64, 10)])
 def test_line_dedup_against_brute_force(spark, per_shard, piece_rows):
     rows = _lines(150, 1)
     random.Random(4).shuffle(rows)
@@ -54,7 +54,7 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 3").count() == 1
 
 
-@pytest.mark.parametrize("per_shard", [1 << 15, 6])
+@pytest.mark.parametrize("per_shard", [1 << 12, 6])
 def test_index_inserts_and_deletes_are_reversible(spark, per_shard):
     """With few keys a shard the second insertion doubles the shards."""
     rows = _lines(60, 7)
