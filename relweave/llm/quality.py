@@ -1,8 +1,9 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line gets features of its own characters and words and those of its two
-neighbours. The field has two states, good and bad; training lines carry their
-document's label. Forward and backward messages are kept as log odds, so a step
+neighbours. The field has two states, good and bad. Which lines of a training
+document are good is hidden: its label only says that good lines make up most or
+little of its length. Forward and backward messages are kept as log odds, so a step
 of the chain is one expression, worked for all documents of a slice at once. A
 document's score is the mean of its lines' marginals, weighted by line length.
 """
@@ -129,28 +130,55 @@ class LineField:
         return np.add.reduceat(p * w, first) / np.add.reduceat(w, first)
 
 
-def fit_field(own: np.ndarray, per: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.05, ridge: float = 1e-3) -> LineField:
-    """Maximum likelihood by gradient steps; ``label``: one 0/1 per chain."""
+def _expected(s: np.ndarray, a: np.ndarray, per: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of state 1, and each neighbouring pair's of its four states."""
+    m, b = messages(s, a, per)
+    right = s[inner + 1] + b[inner + 1]
+    pair = np.stack([np.full(len(inner), a[0, 0]), a[0, 1] + right, m[inner] + a[1, 0], m[inner] + a[1, 1] + right], 1)
+    pair = np.exp(pair - pair.max(1, keepdims=True))
+    return 1 / (1 + np.exp(-np.clip(m + b, -50, 50))), pair / pair.sum(1, keepdims=True)
+
+
+def fit_field(own: np.ndarray, per: np.ndarray, label: np.ndarray, doc: np.ndarray | None = None, rounds: int = 300, alone: int = 100,
+              every: int = 5, most: float = 0.85, little: float = 0.25, rate: float = 0.05, ridge: float = 1e-3) -> LineField:
+    """Gradient steps with hidden line labels; ``label``: one 0/1 per chain, ``doc``: the
+    chain's document (none: one each).
+
+    The first ``alone`` rounds fit the line scores with the document's label on all its
+    lines and no transitions. After that the lines' labels are expected ones, made
+    again after ``every`` steps: forward and backward over the field itself, with each
+    document's line scores shifted by as much as it takes for good lines to make up at
+    least ``most`` (label 1) or at most ``little`` (label 0) of its length.
+    """
     mean, scale = own.mean(0), np.maximum(own.std(0), 1e-3)
     x = with_neighbours((own - mean) / scale, per).astype(np.float64)
+    doc = np.repeat(np.arange(len(per)) if doc is None else np.unique(doc, return_inverse=True)[1], per)
     y = np.repeat(label, per).astype(np.float64)
+    good = np.zeros(doc.max() + 1, bool)
+    good[doc] = y > 0
+    length = np.exp(own[:, 0].astype(np.float64))  # bytes and one: the first feature is their logarithm
+    total = np.bincount(doc, length)
+    part = length / total[doc]
+    weight = part * np.bincount(doc)[doc]  # one on average
+    shift = np.zeros(len(total))
     inner = np.ones(len(y), bool)
     inner[np.cumsum(per) - 1] = False
-    i = np.flatnonzero(inner)
+    inner = np.flatnonzero(inner)
     theta = np.zeros(x.shape[1] + 4)
     g1, g2 = np.zeros_like(theta), np.zeros_like(theta)
+    line, pairs = y, None
     for step in range(1, rounds + 1):
         a = theta[-4:].reshape(2, 2)
         s = x @ theta[:-4]
-        m, b = messages(s, a, per)
-        p = 1 / (1 + np.exp(-np.clip(m + b, -50, 50)))
-        right = s[i + 1] + b[i + 1]
-        pair = np.stack([np.full(len(i), a[0, 0]), a[0, 1] + right, m[i] + a[1, 0], m[i] + a[1, 1] + right], 1)
-        pair = np.exp(pair - pair.max(1, keepdims=True))
-        pair /= pair.sum(1, keepdims=True)
-        seen = np.zeros((len(i), 4))
-        seen[np.arange(len(i)), (2 * y[i] + y[i + 1]).astype(int)] = 1
-        grad = np.concatenate([x.T @ (y - p), (seen - pair).sum(0)]) / len(y) - ridge * theta
+        if step > alone and (step - alone) % every == 1:
+            line, pairs = _expected(s + shift[doc] * weight, a, per, inner)
+            share = np.bincount(doc, part * line)
+            # dual steps: a shift grows while its document's share is on the wrong side, and never passes zero
+            shift = np.where(good, np.clip(shift + 4 * (most - share), 0, 20), np.clip(shift - 4 * (share - little), -20, 0))
+            line, pairs = _expected(s + shift[doc] * weight, a, per, inner)
+        p, pair = _expected(s, a, per, inner)
+        moves = np.zeros(4) if pairs is None else (pairs - pair).sum(0)
+        grad = np.concatenate([x.T @ (line - p), moves]) / len(y) - ridge * theta
         g1, g2 = 0.9 * g1 + 0.1 * grad, 0.999 * g2 + 0.001 * grad ** 2
         theta = theta + rate * (g1 / (1 - 0.9 ** step)) / (np.sqrt(g2 / (1 - 0.999 ** step)) + 1e-8)
     return LineField(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
@@ -161,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits the field on at most ``sample_docs`` labelled ids (smallest id hash
     first), each document cut into chains of ``chain`` lines of which up to
     ``chains_per_doc``, spread over the document, are used. An id labelled twice counts with
-    its lower label; null labels and ids don't count. Without labels of both
-    kinds every line is as good as the labels there are (none: 0.5)."""
+    its lower label, an id of several rows with the row of the smallest text hash; null
+    labels and ids don't count. Labels of one kind alone say that of every line;
+    without any, all lines have 0.5."""
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
               .where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
@@ -170,21 +199,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in slices(batches, most=_SLICE):
             own, _, per = line_features(b.column("text").to_pylist())
-            first = np.cumsum(per) - per
-            for y, f, n in zip(b.column("y").to_pylist(), first.tolist(), per.tolist()):
+            size, data = [], []
+            for f, n in zip((np.cumsum(per) - per).tolist(), per.tolist()):
                 parts = -(-n // chain)
-                for c in sorted({int(q) for q in np.linspace(0, parts - 1, min(parts, chains_per_doc))}):
-                    rows = own[f + c * chain:f + min(n, (c + 1) * chain)]
-                    yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([len(rows)], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["y", "n", "data"])
-
-    # the chosen ids are at most sample_docs rows
-    rows = (pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y")
-            .mapInArrow(run, "y int, n int, data binary").toPandas())
+                used = sorted({int(q) for q in np.linspace(0, parts - 1, min(parts, chains_per_doc))})
+                size.append([min(n, (c + 1) * chain) - c * chain for c in used])
+                data.append(b"".join(own[f + c * chain:f + min(n, (c + 1) * chain)].tobytes() for c in used))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("hash"), pa.array(size, pa.list_(pa.int32())), pa.array(data, pa.binary())],
+                                             ["doc_id", "y", "hash", "size", "data"])
+
+    # the chosen ids are at most sample_docs rows; their chains are one row each
+    rows = (pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("hash"), "text")
+            .mapInArrow(run, "doc_id long, y int, hash long, size array<int>, data binary")
+            .groupBy("doc_id").agg(F.min(F.struct("hash", "size", "data", "y")).alias("one")).select("doc_id", "one.y", "one.size", "one.data").toPandas())
     if not len(rows):
         return LineField(np.zeros(N_OWN), np.ones(N_OWN), np.zeros(3 * N_OWN + 1), np.zeros((2, 2)))
-    rows = rows.sort_values(["y", "n", "data"])  # the same order however the tasks end
+    rows = rows.sort_values("doc_id")  # the same order however the tasks end
     own = np.frombuffer(b"".join(rows["data"]), np.float32).reshape(-1, N_OWN)
-    return fit_field(own, rows["n"].to_numpy(np.int64), (rows["y"].to_numpy() > 0).astype(np.int64))
+    chains = rows["size"].map(len).to_numpy()
+    return fit_field(own, np.concatenate(rows["size"].tolist()).astype(np.int64),
+                     np.repeat((rows["y"].to_numpy() > 0).astype(np.int64), chains), np.repeat(rows["doc_id"].to_numpy(), chains))
 
 
 def score(df: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

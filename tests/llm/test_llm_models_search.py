@@ -1,5 +1,9 @@
 import hashlib
+import itertools
+import math
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -123,6 +127,63 @@ def test_quality_held_out(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].predicted == 1}
 
 
+def test_lines_of_a_mixed_document_are_told_apart(spark):
+    rng = random.Random(6)
+    rows = [(i, _doc(rng, i % 2 == 0), int(i % 2 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    field = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    fine = [x for _ in range(40) for x in _doc(rng, True).split("\n")][:60]
+    poor = [x.upper() + "!!" for x in fine[:30]]
+    own, _, per = quality.line_features(["\n".join(fine[:30] + poor + fine[30:])])
+    p = field.marginals(own, per)
+    assert np.median(p[:30]) > 0.8 and np.median(p[30:60]) < 0.2 and np.median(p[60:]) > 0.8
+
+
+def test_one_row_of_an_id_counts(spark):
+    rng = random.Random(9)
+    rows = [(i, _doc(rng, i % 2 == 0), int(i % 2 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = df.select("doc_id", "quality")
+    one = quality.fit(df.select("doc_id", "text"), labels)
+    many = quality.fit(df.select("doc_id", "text").union(df.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text")).repartition(7), labels)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.moves, many.moves)
+
+
+def _plain_features(text):
+    """The features of each line, character by character."""
+    lines = text.split("\n")
+    out = []
+    for line in lines:
+        raw = line.encode()
+        n = max(1, len(raw))
+        words = [w.encode() for w in re.findall(r"[^\x20\x09\x0b-\x0d]+", line)]
+        many = max(1, len(words))
+        of = lambda chars: sum(c in chars for c in raw)
+        upper, lower, space = of(string.ascii_uppercase.encode()), of(string.ascii_lowercase.encode()), of(b" \t\r\x0b\x0c")
+        symbols = b"#$%&*@=+<>^~\\{}[]_/"
+        out.append([math.log1p(len(raw)), upper / max(1, upper + lower), of(b"0123456789") / n, of(symbols) / n, of(b"|") / n, of(b"!?") / n, of(b".,;:") / n, space / n,
+                    sum(c > 127 for c in raw) / n, math.log1p(len(words)), (len(raw) - space) / many, sum(x == y for x, y in zip(words, words[1:])) / many,
+                    len(set(words)) / many, sum(w[-1] in symbols + b"!?" for w in words) / many, len(raw) > 0 and lines.count(line) > 1, not raw])
+    return np.array(out, float)
+
+
+def test_score_equals_brute_force():
+    rng = np.random.default_rng(4)
+    n = quality.N_OWN
+    field = quality.LineField(rng.normal(size=n), rng.uniform(0.5, 2, n), rng.normal(size=3 * n + 1) / 4, rng.normal(size=(2, 2)))
+    texts = ["One line.", "", "a a b\n\nA|B | 12!?\na a b", "naïve  été\tx_y {z}\r\nEND!! the the\n  \n#1 #1", "x\n" * 6]
+    for text, got in zip(texts, field.scores(texts)):
+        own = (_plain_features(text) - field.mean) / field.scale
+        pad = np.zeros((1, n))
+        x = np.concatenate([own, np.concatenate([pad, own[:-1]]), np.concatenate([own[1:], pad]), np.ones((len(own), 1))], 1)
+        s, total, ones = x @ field.weights, 0.0, 0.0
+        for bits in itertools.product([0, 1], repeat=len(s)):
+            w = np.exp(sum(v for v, y in zip(s, bits) if y) + sum(field.moves[i, j] for i, j in zip(bits, bits[1:])))
+            total, ones = total + w, ones + w * np.array(bits)
+        length = np.array([len(line.encode()) + 1 for line in text.split("\n")])
+        assert abs((ones / total * length).sum() / length.sum() - got) < 1e-5, text
+
+
 def test_messages_equal_enumeration():
     rng = np.random.default_rng(3)
     per = np.array([4, 1, 6, 2])
