@@ -155,48 +155,69 @@ def _turn(fp: np.ndarray, by: int) -> np.ndarray:
     return fp if not by else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
 
 
+def _divided(nodes: DataFrame, depth: int, width: int, budget: int, bits: int) -> DataFrame:
+    """The rows of overfull node pairs, dealt to the pairs of child nodes ``bits`` bits
+    further down whose error budget isn't exceeded."""
+    masks = [F.struct(F.lit(sum(1 << i for i in c)).cast("long").alias("m"), F.lit(k).alias("k"))
+             for k in range(budget + 1) for c in itertools.combinations(range(bits), k)]
+    spent = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
+    below = (nodes.withColumn("own", F.expr(f"shiftrightunsigned(turned, {64 - width - depth}) & {(1 << depth) - 1}L"))
+             .withColumn("next", F.expr(f"shiftrightunsigned(turned, {64 - width - depth - bits}) & {(1 << bits) - 1}L"))
+             .withColumn("c", F.explode(F.filter(F.array(*masks), lambda c: c.k + spent <= budget))))
+    here, there = (F.shiftleft(F.col(c), bits) for c in ("p", "q"))
+    mine, other = F.col("next"), F.col("next").bitwiseXOR(F.col("c.m"))
+    # one node paired with itself: the smaller child first; two nodes: each row on its own side
+    same, left = F.col("p") == F.col("q"), F.col("own") == F.col("p")
+    p = F.when(same, here + F.least(mine, other)).when(left, here + mine).otherwise(here + other)
+    q = F.when(same, there + F.greatest(mine, other)).when(left, there + other).otherwise(there + mine)
+    return below.select("r", "block", p.alias("p"), q.alias("q"), "fp", "turned")
+
+
 def links(fps: DataFrame, budget: int = 3, split_over: int = 200_000, split_bits: int = 6) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column ``fp``) that connect
     exactly what is within ``budget`` differing bits; each task returns at most
-    one edge per fingerprint it holds, never the pairs themselves."""
+    one edge per fingerprint it holds, never the pairs themselves.
+
+    A pair of trie nodes with more than ``split_over`` fingerprints is divided into its
+    pairs of child nodes, level by level until none is over."""
     blocks = budget + 1
     width = 64 // blocks
-    bits = lambda c, start, n: f"(shiftrightunsigned({c}, {64 - start - n}) & {(1 << n) - 1})"
     turned = fps.select("fp", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("r"))
-    turned = turned.withColumn("block", F.expr("CASE r " + " ".join(
-        f"WHEN {r} THEN {bits('fp', r * width, width)}" for r in range(blocks)) + " END"))
     # the bits after the block, in the turned order (wrapping round at the end)
     turned = turned.withColumn("turned", F.expr(
         "CASE r WHEN 0 THEN fp " + " ".join(
             f"WHEN {r} THEN shiftleft(fp, {r * width}) | shiftrightunsigned(fp, {64 - r * width})" for r in range(1, blocks)) + " END"))
-    turned = turned.withColumn("next", F.expr(bits("turned", width, split_bits)))
-    # Overfull block values: at most blocks*N/split_over rows.
-    over = turned.groupBy("r", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over).select("r", "block", F.lit(True).alias("over"))
-    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in itertools.combinations(range(split_bits), k)]
-    other = F.explode(F.when(F.col("over"), F.array(*[F.lit(m) for m in masks])).otherwise(F.array(F.lit(-1))))
-    keyed = (turned.join(over, ["r", "block"], "left").withColumn("mask", other)
-             .withColumn("p", F.expr("CASE WHEN mask < 0 THEN -1 ELSE least(next, next ^ mask) END"))
-             .withColumn("q", F.expr("CASE WHEN mask < 0 THEN -1 ELSE greatest(next, next ^ mask) END"))
-             .select("r", "block", "p", "q", "fp"))
+    nodes = turned.withColumn("block", F.expr(f"shiftrightunsigned(turned, {64 - width})")).select(
+        "r", "block", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "fp", "turned")
+    key, depth, ready = ["r", "block", "p", "q"], 0, None
+    while True:
+        # overfull pairs: at most one for split_over rows
+        over = cut_lineage(nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over).select(*key))
+        more = depth + split_bits <= 64 - width and not over.isEmpty()
+        fine = (nodes.join(over, key, "left_anti") if more else nodes).select(*key, F.lit(depth).alias("depth"), "fp")
+        ready = fine if ready is None else ready.unionByName(fine)
+        if not more:
+            break
+        nodes = cut_lineage(_divided(nodes.join(over, key, "left_semi"), depth, width, budget, split_bits))
+        depth += split_bits
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        r, block, p, q = (t.column(c).to_numpy().astype(np.int64) for c in ("r", "block", "p", "q"))
+        r, block, p, q, deep = (t.column(c).to_numpy().astype(np.int64) for c in ("r", "block", "p", "q", "depth"))
         fp = t.column("fp").to_numpy().view(np.uint64)
-        top = np.uint64((1 << (64 - width - split_bits)) - 1)
         for turn in range(blocks):
             mine = r == turn
             if not mine.any():
                 continue
-            value, group = _turn(fp[mine], turn * width), np.stack((block[mine], p[mine], q[mine]), 1)
-            order = np.lexsort((value, group[:, 2], group[:, 1], group[:, 0]))
+            value, group = _turn(fp[mine], turn * width), np.stack((block[mine], deep[mine], p[mine], q[mine]), 1)
+            order = np.lexsort((value, group[:, 3], group[:, 2], group[:, 1], group[:, 0]))
             value, group = value[order], group[order]
             cut = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
             lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(value)]])
-            whole = group[lo, 1] < 0
+            whole = group[lo, 1] == 0
             forest = Forest(len(value))
             # one sorted array per group is needed for binary search across groups: a
             # plain group is sorted globally by its block already; node pairs are run one by one
@@ -208,25 +229,24 @@ def links(fps: DataFrame, budget: int = 3, split_over: int = 200_000, split_bits
                 plain = Forest(len(v))
                 trie_join(v, np.stack((e - n, e, e - n, e, np.zeros_like(e)), 1), width, budget, plain)
                 forest.root[keep] = np.flatnonzero(keep)[plain.root]
-            for a, b, (_, x, y) in zip(lo[~whole], hi[~whole], group[lo[~whole]]):
+            for a, b, (_, d, x, y) in zip(lo[~whole], hi[~whole], group[lo[~whole]].tolist()):
                 v = value[a:b]
                 one = Forest(len(v))
                 if x == y:
                     node = np.array([[0, len(v), 0, len(v), 0]])
                 else:
-                    side = (v >> np.uint64(64 - width - split_bits)) & np.uint64((1 << split_bits) - 1)
-                    m = int(np.searchsorted(side, y))
-                    node = np.array([[0, m, m, len(v), int(x ^ y).bit_count()]])
+                    side = (v >> np.uint64(64 - width - d)) & np.uint64((1 << d) - 1)
+                    m = int(np.searchsorted(side, np.uint64(max(x, y))))
+                    node = np.array([[0, m, m, len(v), (x ^ y).bit_count()]])
                     if not 0 < m < len(v):
                         continue
-                trie_join(v, node, width + split_bits, budget, one)
+                trie_join(v, node, width + d, budget, one)
                 forest.root[a:b] = a + one.root
             linked = np.flatnonzero(forest.root != np.arange(len(value)))
             back = _turn(value, 64 - turn * width) if turn else value
             yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[forest.root[linked]].view(np.int64))], ["a", "b"])
-        del top
 
-    return keyed.repartition("r", "block", "p", "q").mapInArrow(run, "a long, b long")
+    return ready.repartition(*key).mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- components

@@ -96,7 +96,7 @@ def _near(n, seed, share=0.7):
     return out
 
 
-@pytest.mark.parametrize("split_over", [200_000, 3])
+@pytest.mark.parametrize("split_over", [200_000, 60, 3])
 def test_trie_join_finds_exactly_the_linked_fingerprints(spark, split_over):
     fps = sorted(set(_near(1500, 5)))
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long").repartition(6)
