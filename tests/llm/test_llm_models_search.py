@@ -418,6 +418,49 @@ def test_nearest_of_odd_rows(spark):
     assert ann.nearest(df.where("vec_id = 12345")).count() == 0
 
 
+def _verified(v: np.ndarray, asked: np.ndarray, k: int = 5, dims: int = 12):
+    """Recall of a shard's search and the share of pairs it verified."""
+    axes = np.random.default_rng(1).standard_normal((dims, v.shape[1]))
+    shard = ann.Shard(np.arange(len(v)), v, axes)
+    who, vec, _, verified = shard.search(asked, v[asked], np.full(len(asked), -np.inf), k, ann.chi_square_quantile(0.97, dims))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = unit[asked] @ unit.T
+    cos[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    found = {(q, x) for q, x in zip(who.tolist(), vec.tolist())}
+    return sum((i, x) in found for i, row in enumerate(best.tolist()) for x in row) / best.size, verified / (len(v) * len(asked))
+
+
+def test_stopping_test_skips_vectors():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 64))
+    recall, share = _verified(centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 64)) * 0.2, np.arange(0, 6000, 50))
+    assert recall >= 0.95 and share < 0.1
+    # vectors without any structure: what lies beyond the reach is still left out
+    recall, share = _verified(rng.normal(size=(6000, 64)), np.arange(0, 6000, 50))
+    assert recall >= 0.9 and share < 0.9
+
+
+def test_nearest_of_routed_cells(spark):
+    """Far clusters lie in cells of their own, which other queries' tests close."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(16, 16))
+    rows = [(i, (centres[i % 16] + rng.normal(size=16) * 0.1).tolist()) for i in range(3200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, block_rows=200, max_cells=16).collect():
+        got.setdefault(r.query_id, set()).add((r.vec_id, r["rank"]))
+    want = _exact(rows, 5)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert sum(len({x for x, _ in got[q]} & {x for x, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_nearest_of_huge_and_tiny_components(spark):
+    df = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e-300, 0.0]), (2, [-3e-310, -3e-310]), (3, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 6)) for r in sorted(ann.nearest(df).collect(), key=lambda r: r["rank"])]
+    assert got == [(3, 1.0), (1, 0.707107), (2, -1.0)]
+
+
 def test_chi_square_quantile():
     for dims, p, want in [(1, 0.95, 3.841459), (2, 0.5, 1.386294), (6, 0.95, 12.591587), (10, 0.99, 23.209251)]:
         assert abs(ann.chi_square_quantile(p, dims) - want) < 1e-5
