@@ -262,14 +262,21 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, i
             .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     rows = cut_lineage(rows)
     sample = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
-    sizes = {r.dim: -(-r["count"] // shard_rows) for r in rows.groupBy("dim").count().collect()}
+    counted = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}
+    sizes = {dim: -(-n // shard_rows) for dim, n in counted.items()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     most = min(max_regions, max(sizes.values()))
     picked: dict[int, list] = {}
-    for r in rows.withColumn("turn", F.row_number().over(sample)).where(F.col("turn") <= most).select("dim", "turn", "v").collect():
+    # the window gets the rows of the smallest hashes, twice as many as wanted and 32, not all rows of a length
+    wide = {dim: min(1.0, (2 * min(most, sizes[dim]) + 32) / n) for dim, n in counted.items()}
+    upto = F.create_map(*[F.lit(x) for dim, part in wide.items() for x in (dim, int(part * ((1 << 64) - 2048) - (1 << 63)))])[F.col("dim")]
+    drawn = rows.where(F.xxhash64("id") <= upto).withColumn("turn", F.row_number().over(sample)).where(F.col("turn") <= most)
+    for r in drawn.select("dim", "turn", "v").collect():
         if r.turn <= sizes[r.dim]:
             picked.setdefault(r.dim, []).append(r.v)
+    for dim in sizes.keys() - picked.keys():  # no hash was small enough: the origin stands in
+        picked[dim] = [[0] * dim]
     regions = Regions({dim: np.unique(np.array(p, np.float64).reshape(len(p), dim), axis=0) for dim, p in picked.items()})
 
     def near(batches):
