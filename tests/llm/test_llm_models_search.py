@@ -104,6 +104,23 @@ def test_language_id_without_labels(spark):
     assert [r.lang_pred for r in langid.predict(df, model).collect()] == ["und", "und"]
 
 
+def test_language_id_of_odd_rows(spark, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows and clashing columns: an answer for each row."""
+    model = langid.fit(odd_docs, sample_rows=100)
+    rows = langid.predict(odd_docs, model).collect()
+    assert len(rows) == odd_docs.count()
+    texts = {}
+    for r in odd_docs.select("doc_id", "text").collect():
+        texts.setdefault(r.doc_id, r.text)
+    for r in rows:
+        if r.doc_id is not None:
+            letters = any(ch.isalpha() for ch in texts[r.doc_id] or "")
+            assert (r.lang_pred, r.score) == (("en", 1.0) if letters else ("und", 0.0))
+    assert len({(r.lang_pred, r.score, r.rejected) for r in rows if r.doc_id == 4}) == 1
+    assert langid.predict(no_docs, model).count() == 0
+    assert [r.lang_pred for r in langid.predict(odd_docs.where("doc_id = 9"), langid.fit(no_docs)).collect()] == ["und"]
+
+
 # ---------------------------------------------------------------- quality
 
 def _doc(rng, good):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -47,6 +48,22 @@ def test_held_out_flags(spark, docs):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in rows)
 
 
+def test_nearest_recall_on_the_given_table(spark):
+    folder = SMOKE.replace("sf0.001", "sf0.1")
+    v = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    ids = np.array(sorted(v))
+    unit = np.stack([v[i] / np.linalg.norm(v[i]) for i in ids.tolist()])
+    got = {}
+    for r in entry.queries()["op8_nearest"](spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        cos = unit @ unit[at]
+        cos[at] = -2
+        found += len(got[int(ids[at])] & set(ids[np.argsort(-cos)[:5]].tolist()))
+    assert found >= 0.9 * 5 * len(got)
+
+
 def test_stages_against_brute_force(spark, docs, tmp_path):
     frame = spark.read.parquet(f"{SMOKE}/documents.parquet")
     columns, state = frame.columns, None
