@@ -6,11 +6,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from relweave.operators.contain import contained
 from relweave.operators.simjoin import best_partners, prefix_join, ranked_grams
-from relweave.operators.vectors import drop_near_copies, visits
+from relweave.operators.vectors import OUT_COMPONENTS, copies, drop_near_copies, visits
 
 
 def grams(s):
@@ -100,6 +101,21 @@ def test_pivots_spare_most_pairs_of_clustered_vectors():
     assert pairs < 0.1 * 4000 ** 2
 
 
+def test_copies_of_vectors_leave_in_bounded_batches():
+    """At 64 dimensions a vector touches many cells; one batch of rows must not become one batch of copies."""
+    rng = np.random.default_rng(2)
+    x, pivots = rng.normal(size=(3000, 64)), unit(rng.normal(size=(400, 64)))
+    radius, r = np.full(400, 2.0), math.sqrt(2 - 2 * 0.97)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(x.tolist())], ["id", "v"])
+    out = list(copies([batch], 64, pivots, radius, r))
+    rows, cells = visits(unit(x), pivots, radius, r)
+    assert len(rows) > 20 * 3000 and max(b.num_rows for b in out) * 64 <= OUT_COMPONENTS
+    got = np.concatenate([np.stack([b.column("id").to_numpy(), b.column("cell").to_numpy()]) for b in out], axis=1)
+    assert (got == np.stack([rows, cells])).all()
+    assert sum(b.column("home").to_numpy(zero_copy_only=False).sum() for b in out) == 3000
+    assert all((np.array(b.column("v").to_pylist()) == x[b.column("id").to_numpy()]).all() for b in out[:2])
+
+
 def test_contained_equals_substring(spark):
     rng = random.Random(9)
     alphabet = ["ab", "aB ", "c", " ", "\n", "é", "É", "x."]
