@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +29,11 @@ _LONG = re.compile(r"\s*[+-]?[0-9]+\s*\Z")
 _DOUBLE = re.compile(r"\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[dDfF]?\s*\Z|\s*(?:[+-]?inf(?:inity)?|nan)\s*\Z", re.IGNORECASE)
 _END_NUMBER = re.compile(r"([0-9]+)\Z")
 
+#: Entries that a task holds as Python objects at a time, and strings whose grams and
+#: numbers it keeps: its memory doesn't depend on the rows of an Arrow batch or of a partition.
+PIECE_ENTRIES = 256
+KEPT_STRINGS = 4096
+
 
 @dataclass(frozen=True)
 class Method:
@@ -55,7 +60,7 @@ def fits(kind: str | None, v: str) -> bool:
     return True if kind is None else _long(v) is not None if kind == "bigint" else bool(_DOUBLE.match(v))
 
 
-@lru_cache(50_000)
+@lru_cache(KEPT_STRINGS)
 def grams(s: str) -> tuple[Counter, float]:
     p = f" {s.lower()} "
     c = Counter(p[i:i + N_GRAM] for i in range(len(p) - N_GRAM + 1))
@@ -69,6 +74,13 @@ def cosine(a: str, b: str) -> float:
     return sum(n * y[g] for g, n in x.items() if g in y) / (na * nb) if na > 0 and nb > 0 else 0.0
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ENTRIES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, at most ``rows`` at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def facts(sentence: str) -> list[tuple[str, str]]:
     """(attribute, value) of every ``attribute is value`` item."""
     items = (x.split(" is ", 1) for x in re.sub(r"\.\Z", "", sentence).split(", ") if " is " in x)
@@ -233,7 +245,7 @@ def score_variants(entries: DataFrame, variants: list[str], methods: list[Method
     ways, starts, known = tuple(methods), tuple(prefixes), frozenset(columns)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for entry, truth, texts in zip(*(b.column(c).to_pylist() for c in ("entry_id", "truth", "texts"))):
                 e = EntryScores([(t["attr"], t["row_id"], t["value"]) for t in truth], ways, starts, known, types)
@@ -249,7 +261,7 @@ def score_variants(entries: DataFrame, variants: list[str], methods: list[Method
 _NUMBER = re.compile(NUMBER_RE)
 
 
-@lru_cache(50_000)
+@lru_cache(KEPT_STRINGS)
 def number(s: str) -> float | None:
     t = s.strip(" ")
     return float(t.replace("$", "").replace(",", "")) if _NUMBER.match(t) else None
@@ -309,7 +321,7 @@ def match_rows(entries: DataFrame, methods: list[str], value_t: float, column_t:
     names = ["method", "entry_id", "domain", "avg_row_accuracy", "match_accuracy", "match_in_right_column_accuracy"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for entry, domain, truth, pred in zip(*(b.column(c).to_pylist() for c in ("entry_id", "domain", "truth", "pred"))):
                 items, like, named = [(t["attr"], t["row_id"], t["value"]) for t in truth], {}, {}

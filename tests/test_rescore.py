@@ -1,9 +1,12 @@
 """Scores by what changed equal scores from scratch; many foreign keys at once equal one by one."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from relweave.operators.joins import fk_share, fk_shares
-from relweave.operators.rescore import EntryScores, Method, cosine, fits, number, row_scores
+from relweave.operators.rescore import EntryScores, Method, cosine, fits, grams, match_rows, number, row_scores, score_variants
 
 WAYS = (Method("a", True, False, False, (("c_nationkey", "n_name"),)), Method("b", True, True, False, (("c_nationkey", "n_name"),)), Method("c", False, False, True, ()))
 
@@ -65,3 +68,38 @@ def test_row_scores_by_hand():
     assert row_scores(truth, [], 0.8, 0.5, {}, {}) == (-1.0, -1.0, -1.0) == row_scores([], cells, 0.8, 0.5, {}, {})
     assert row_scores(truth, [(3, "name", "alpha"), (3, "id", "x")], 0.8, 0.5, {}, {}) == (0.0, 0.0, 0.0)
     assert [number(x) for x in ("$1,234.5", " -3 ", "1e3", "")] == [1234.5, -3.0, None, None]
+
+
+class Given:
+    """Stands for a frame of entries; gives back what would run in its tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def peak(run, entries):
+    """(rows, bytes): the rows that come out, and the most that Python held beyond what it was given."""
+    batch = pa.RecordBatch.from_pylist(entries)
+    grams.cache_clear(), number.cache_clear()
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return n, most
+
+
+def test_memory_does_not_grow_with_the_rows_of_a_batch(spark):
+    truth = [{"attr": "c_name", "row_id": str(i), "value": f"v{i}"} for i in range(1, 6)]
+    pred = [{"method": m, "row_pos": i, "id_val": str(i + 1), "column_name": "c_name", "value": f"v{i + 1}"} for m in "ab" for i in range(5)]
+    run = match_rows(Given(spark), ["a", "b"], 0.8, 0.5)
+    (few, small), (many, large) = (peak(run, [{"entry_id": i, "domain": "d", "truth": truth, "pred": pred} for i in range(n)]) for n in (400, 4000))
+    assert (few, many) == (800, 8000) and large < 2 * small
+    run = score_variants(Given(spark), ["x", "y"], list(WAYS), ["c_"], ["c_name"], {})
+    (few, small), (many, large) = (peak(run, [{"entry_id": i, "truth": truth, "texts": [["c_name is v1."] * 5] * 2} for i in range(n)]) for n in (400, 4000))
+    assert (few, many) == (400 * 6, 4000 * 6) and large < 2 * small
