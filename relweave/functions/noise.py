@@ -34,6 +34,9 @@ SUFFIXES = [
     (r"(?U)\bSchool District\b", "District"),
 ]
 COUNTY_RE = r"(?U)\b(\w+)\s+County\b"
+# What a sentence holds that type 1 or 3 can change: two digits in a row; one of these.
+DIGITS_RE = r"\d\d"
+MARKS = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "School", "County"]
 
 
 def _h(tag: str, src: Column, tid: Column, i: Column) -> Column:
@@ -47,6 +50,11 @@ def sentence_hashes(sents: Column, src: Column, tid: Column) -> Column:
         "|", F.lit(str(SEED)), src.cast("string"), tid.cast("string"), i.cast("string"))))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: interpreted lambdas repeat what they name twice."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def n_picked(n: Column, level: float) -> Column:
     """``max(1, round_half_even(n * level))``."""
     return F.greatest(F.lit(1), F.bround(n.cast("double") * F.lit(float(level)), 0).cast("int"))
@@ -76,7 +84,7 @@ def type1(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
     2+ digits (+5..50), at the match position (Q18 fixed)."""
     def one(s, i):
         h = _h("t1", src, tid, i)
-        return (F.when(~F.get(picked, i), s)
+        return (F.when(~F.get(picked, i) | ~s.rlike(DIGITS_RE), s)
                 .when(s.rlike(YEAR_RE), _bump(s, YEAR_RE, F.lit(1) + F.pmod(h, F.lit(10))))
                 .when(s.rlike(ZIP_RE), _bump(s, ZIP_RE, F.lit(10) + F.pmod(h, F.lit(90))))
                 .when(s.rlike(NUM_RE), _bump(s, NUM_RE, F.lit(5) + F.pmod(h, F.lit(46))))
@@ -88,7 +96,7 @@ def type2(sents: Column, picked: Column) -> Column:
     """Missing values: drop picked sentences; fewer than 2 left keeps the first
     two of the original."""
     kept = F.filter(sents, lambda s, i: ~F.get(picked, i))
-    return F.when(F.size(kept) < 2, F.slice(sents, 1, 2)).otherwise(kept)
+    return _let(kept, lambda k: F.when(F.size(k) < 2, F.slice(sents, 1, 2)).otherwise(k))
 
 
 def type3(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
@@ -102,7 +110,10 @@ def type3(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
             x = F.regexp_replace(x, p, r)
         coin = _h("t3", src, tid, i) / F.lit(4294967296.0)
         x = F.when(coin < 0.5, F.regexp_replace(x, COUNTY_RE, "$1")).otherwise(x)
-        return F.when(F.get(picked, i), x).otherwise(s)
+        marked = F.lit(False)
+        for m in MARKS:
+            marked = marked | s.contains(m)
+        return F.when(F.get(picked, i) & marked, x).otherwise(s)
     return F.transform(sents, one)
 
 
@@ -114,36 +125,25 @@ def _swap(w: Column, h: Column) -> Column:
     return F.when(ae > 2, swapped).otherwise(w)
 
 
-def word_info(sents: Column, src: Column, tid: Column, only: Column | None = None) -> Column:
-    """Per sentence: its words and the three draws type 4 needs. Materialise
-    this once per text so the word split is not repeated per word. With
-    ``only`` (a flag array, e.g. the picks of the highest level) the work is
-    done for flagged sentences alone; the others get NULL and are never read."""
-    def one(s, i):
-        info = F.struct(F.split(s, r"\s+").alias("words"), _h("t4w", src, tid, i).alias("hw"),
-                        _h("t4d", src, tid, i).alias("hd"), _h("t4s", src, tid, i).alias("hs"))
-        return info if only is None else F.when(F.get(only, i), info)
-    return F.transform(sents, one)
-
-
-def type4(sents: Column, picked: Column, info: Column) -> Column:
+def type4(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
     """Structural: for a picked sentence of 3+ words swap two neighbouring
     letters in one word's leading letters, and drop one inner word when it has
     more than 3 words; words rejoined by one space."""
     def one(s, i):
-        x = F.get(info, i)
-        words = x["words"]
-        nw = F.size(words)
-        widx = F.pmod(x["hw"], nw)
-        didx = F.lit(1) + F.pmod(x["hd"], F.greatest(nw - 2, F.lit(1)))
-        w2 = F.transform(words, lambda w, j: F.when(j == widx, _swap(w, x["hs"])).otherwise(w))
-        w3 = F.filter(w2, lambda w, j: ~((nw > 3) & (j == didx)))
-        return F.when(F.get(picked, i) & (nw >= 3), F.array_join(w3, " ")).otherwise(s)
+        def changed(words):
+            nw = F.size(words)
+            # slices instead of a lambda for every word
+            def swapped(at):
+                return F.concat(F.slice(words, 1, at), F.array(_swap(F.get(words, at), _h("t4s", src, tid, i))), F.slice(words, at + 2, nw))
+            dropped = lambda w: _let(F.lit(1) + F.pmod(_h("t4d", src, tid, i), nw - 2).cast("int"), lambda at: F.concat(F.slice(w, 1, at), F.slice(w, at + 2, nw)))
+            w2 = _let(F.pmod(_h("t4w", src, tid, i), nw).cast("int"), swapped)
+            return F.when(nw < 3, s).otherwise(F.array_join(_let(w2, lambda w: F.when(nw > 3, dropped(w)).otherwise(w)), " "))
+        # a single blank is split at without a regular expression
+        return F.when(F.get(picked, i), _let(F.split(F.regexp_replace(s, r"\s+", " "), " "), changed)).otherwise(s)
     return F.transform(sents, one)
 
 
-def apply_noise(kind: str, sents: Column, picked: Column, src: Column, tid: Column,
-                info: Column | None = None) -> Column:
+def apply_noise(kind: str, sents: Column, picked: Column, src: Column, tid: Column) -> Column:
     if kind == "type1_contradictory":
         return type1(sents, picked, src, tid)
     if kind == "type2_missing":
@@ -151,14 +151,32 @@ def apply_noise(kind: str, sents: Column, picked: Column, src: Column, tid: Colu
     if kind == "type3_duplicates":
         return type3(sents, picked, src, tid)
     if kind == "type4_structural":
-        return type4(sents, picked, info if info is not None else word_info(sents, src, tid))
+        return type4(sents, picked, src, tid)
     raise ValueError(kind)
 
 
-def n_modified(kind: str, sents: Column, noisy: Column) -> Column:
+def noise_levels(kind: str, sents: Column, picked: dict[str, Column], at_top: Column) -> dict[str, Column]:
+    """The noisy sentences of every level from ``at_top``, those of the highest
+    one: picks are nested and what a sentence becomes doesn't depend on the level, so it is
+    rewritten once. Type 2 drops other sentences at each level."""
+    if kind == "type2_missing":
+        return {name: type2(sents, p) for name, p in picked.items()}
+    top = max(picked, key=lambda name: LEVELS[name])
+
+    def lower(p):
+        return F.transform(sents, lambda s, i: F.when(F.get(p, i), F.get(at_top, i)).otherwise(s))
+
+    return {name: at_top if name == top else lower(p) for name, p in picked.items()}
+
+
+def n_modified(kind: str, sents: Column, noisy: Column, picked: Column | None = None) -> Column:
     """Perturbation accounting (D20): removed count for type 2, else the number
-    of positions whose text changed."""
+    of positions whose text changed; with ``picked`` only of those flagged, so that
+    the sentences of the highest level serve the lower ones."""
     if kind == "type2_missing":
         return F.size(sents) - F.size(noisy)
-    return F.aggregate(F.transform(sents, lambda s, i: F.when(s != F.get(noisy, i), 1).otherwise(0)),
-                       F.lit(0), lambda a, b: a + b)
+    if picked is None:
+        changed = F.filter(sents, lambda s, i: s != F.get(noisy, i))
+    else:
+        changed = F.filter(sents, lambda s, i: F.get(picked, i) & (s != F.get(noisy, i)))
+    return F.when(sents.isNotNull(), F.size(changed))

@@ -42,32 +42,33 @@ def texts(spark, sf):
     return d.unionByName(e).unionByName(staff_notes(spark, sf))
 
 
-def with_sentences(df, words: bool = True):
+def with_sentences(df):
     """Sentence array, sampling hashes and one picked-flag array per level,
-    each evaluated once per text; ``words``: also what type 4 needs. Texts are dealt
-    out first: their sentences take far longer than the move."""
+    each evaluated once per text. Texts are dealt out first: their sentences
+    take far longer than the move."""
     t = materialize(spread(df, "src", "id"), ["src", "id"], sents=split_sentences("text"))
     t = materialize(t, ["src", "id", "sents"],
                     hs=N.sentence_hashes(F.col("sents"), F.col("src"), F.col("id")))
-    t = materialize(t, ["src", "id", "sents", "hs"], srt=F.array_sort("hs"))
+    t = materialize(t, ["src", "id", "sents", "hs"], srt=F.sort_array("hs"))
     named = {f"p_{name}": N.picked_flags(F.col("hs"), lvl, F.col("srt")) for name, lvl in N.LEVELS.items()}
-    t = materialize(t, ["src", "id", "sents"], **named)
-    if not words:
-        return t
-    top = f"p_{max(N.LEVELS, key=N.LEVELS.get)}"
-    return materialize(t, ["src", "id", "sents", *[f"p_{n}" for n in N.LEVELS]],
-                       info=N.word_info(F.col("sents"), F.col("src"), F.col("id"), only=F.col(top)))
+    return materialize(t, ["src", "id", "sents"], **named)
+
+
+TOP = max(N.LEVELS, key=N.LEVELS.get)
+FLAGS = {name: f"p_{name}" for name in N.LEVELS}
+
+
+def at_top_level(t, kinds: list[str], keep: list[str]):
+    """``with_sentences`` rows with the sentences as each of ``kinds`` leaves them at
+    the highest level, as columns ``top0``, ``top1``, ..."""
+    top = {f"top{i}": N.apply_noise(kind, F.col("sents"), F.col(FLAGS[TOP]), F.col("src"), F.col("id")) for i, kind in enumerate(kinds)}
+    return materialize(t, [*keep, "sents", *FLAGS.values()], **top)
 
 
 def noisy_texts(spark, sf, kind: str):
-    structural = kind == "type4_structural"
-    t = with_sentences(texts(spark, sf), words=structural)
-    per_level = []
-    for name, lvl in N.LEVELS.items():
-        picked = F.col(f"p_{name}")
-        noisy = N.apply_noise(kind, F.col("sents"), picked, F.col("src"), F.col("id"),
-                              F.col("info") if structural else None)
-        per_level.append(F.struct(F.lit(name).alias("level"), join_sentences(noisy).alias("text")))
+    t = at_top_level(with_sentences(texts(spark, sf)), [kind], ["src", "id"])
+    noisy = N.noise_levels(kind, F.col("sents"), {n: F.col(p) for n, p in FLAGS.items()}, F.col("top0"))
+    per_level = [F.struct(F.lit(name).alias("level"), join_sentences(v).alias("text")) for name, v in noisy.items()]
     return t.select("src", "id", F.inline(F.array(*per_level)))
 
 
@@ -199,18 +200,15 @@ SELECT variant, CAST(n_modified AS BIGINT) AS n_modified, CAST(n_total AS BIGINT
 @query("noise_matrix_stats", _stats_sql())
 def noise_matrix_stats(spark, sf):
     """Per variant: modified sentences, total sentences, percentage.
-    The sentence split is computed once per text and all 12 variants are
-    derived from the same arrays, so each text is read once."""
-    t = with_sentences(texts(spark, sf))
-    noisy = {}
+    The sentence split is computed once per text, a sentence is rewritten once by each
+    type and all 12 variants are counted from the same arrays, so each text is read once."""
+    rewritten = [kind for kind in N.TYPES if kind != "type2_missing"]
+    t = at_top_level(with_sentences(texts(spark, sf)), rewritten, [])
+    sents, cells = F.col("sents"), []
     for kind in N.TYPES:
-        for name in N.LEVELS:
-            noisy[f"{kind}_{name}"] = N.apply_noise(kind, F.col("sents"), F.col(f"p_{name}"),
-                                                    F.col("src"), F.col("id"), F.col("info"))
-    m = materialize(t, ["sents"], **{f"v{i}": e for i, e in enumerate(noisy.values())})
-    cells = [F.struct(F.lit(v).alias("variant"),
-                      N.n_modified(v.rsplit("_", 1)[0], F.col("sents"), F.col(f"v{i}")).alias("m"))
-             for i, v in enumerate(noisy)]
-    per = m.select(F.size("sents").alias("n"), F.inline(F.array(*cells)))
+        for name, p in FLAGS.items():
+            noisy = F.col(f"top{rewritten.index(kind)}") if kind in rewritten else N.type2(sents, F.col(p))
+            cells.append(F.struct(F.lit(f"{kind}_{name}").alias("variant"), N.n_modified(kind, sents, noisy, F.col(p)).alias("m")))
+    per = t.select(F.size("sents").alias("n"), F.inline(F.array(*cells)))
     agg = per.groupBy("variant").agg(F.sum("m").alias("n_modified"), F.sum("n").alias("n_total"))
     return finalize(agg.withColumn("pct", F.round(F.col("n_modified") * 100.0 / F.col("n_total"), 6)))

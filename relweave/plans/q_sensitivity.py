@@ -18,11 +18,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relweave.functions import noise as N
-from relweave.functions.text import finalize, materialize
+from relweave.functions.text import finalize
 from relweave.operators.rescore import Method, score_variants
 from relweave.plans import common as C
 from relweave.plans import q_metrics as M
-from relweave.plans.q_noise import _BASE, _noisy_rows, with_sentences
+from relweave.plans.q_noise import FLAGS, _BASE, _noisy_rows, at_top_level, with_sentences
 from relweave.plans.registry import query
 from relweave.session import spread
 
@@ -38,12 +38,12 @@ METRICS = ["tc", "vc", "cc", "ri", "ex"]
 def entry_variants(spark, sf):
     """(entry_id, truth, texts): one row per entry with the sentences of all its variants."""
     e = C.entries(spark, sf).select(F.lit("entry").alias("src"), F.col("entry_id").alias("id"), "text")
-    t = with_sentences(e)
-    named = {"v0": F.col("sents")}
-    for i, v in enumerate(VARIANTS[1:], start=1):
-        kind, lv = v.rsplit("_", 1)
-        named[f"v{i}"] = N.apply_noise(kind, F.col("sents"), F.col(f"p_{lv}"), F.col("src"), F.col("id"), F.col("info"))
-    m = materialize(t, ["id"], **named).select("id", F.array(*[f"v{i}" for i in range(len(VARIANTS))]).alias("texts"))
+    t = at_top_level(with_sentences(e), N.TYPES, ["id"])
+    flags, named = {n: F.col(p) for n, p in FLAGS.items()}, {"v0": F.col("sents")}
+    for k, kind in enumerate(N.TYPES):
+        levels = N.noise_levels(kind, F.col("sents"), flags, F.col(f"top{k}"))
+        named |= {f"v{VARIANTS.index(f'{kind}_{lv}')}": noisy for lv, noisy in levels.items()}
+    m = t.select("id", F.array(*[named[f"v{i}"] for i in range(len(VARIANTS))]).alias("texts"))
     truth = M.truth_items(spark, sf).groupBy("entry_id").agg(F.collect_list(F.struct("attr", "row_id", "value")).alias("truth"))
     return spread(truth.join(m, truth.entry_id == m.id).select("entry_id", "truth", "texts"), "entry_id")
 

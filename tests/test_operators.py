@@ -269,3 +269,45 @@ def test_flatten_from_the_parent_down(spark):
              {"child": "bridge", "child_col": "tag", "parent": "tag", "parent_col": "tid", "how": "left"}]
     got = sorted(((r.p_id, r.c_cid, r.tag_name) for r in flatten(t, edges, "p").collect()), key=str)
     assert got == sorted([(1, 10, "x"), (1, 11, None), (2, None, None)], key=str)
+
+
+def test_one_rewrite_serves_every_noise_level(spark):
+    """What the highest level makes of a sentence is what a lower one makes of it; counts follow the same flags."""
+    sents = ["Built in 1998 at 94601.", "Mr. Lee of  Alameda County,\tHigh School", "alpha beta gamma delta", "one two", "x", "no digits, 7 or a 12 here", "a b c", "Dr.  Who knows"]
+    df = spark.createDataFrame([("s", i, [f"{x} {i}" for x in sents]) for i in range(12)] + [("s", 90, []), ("s", 91, None)], "src string, id long, s array<string>")
+    hs, args = N.sentence_hashes(F.col("s"), F.col("src"), F.col("id")), (F.col("src"), F.col("id"))
+    df = df.select("*", *[N.picked_flags(hs, lvl).alias(f"p_{name}") for name, lvl in N.LEVELS.items()])
+    for kind in N.TYPES:
+        one = {name: N.apply_noise(kind, F.col("s"), F.col(f"p_{name}"), *args) for name in N.LEVELS}
+        all_ = N.noise_levels(kind, F.col("s"), {name: F.col(f"p_{name}") for name in N.LEVELS}, one["L3"])
+        for name in N.LEVELS:
+            count = N.n_modified(kind, F.col("s"), one[name] if kind == "type2_missing" else one["L3"], F.col(f"p_{name}"))
+            for r in df.select("id", "s", one[name].alias("a"), all_[name].alias("b"), count.alias("n")).collect():
+                assert r.a == r.b, (kind, name, r)
+                if r.s is not None:
+                    assert r.n == (len(r.s) - len(r.a) if kind == "type2_missing" else sum(x != y for x, y in zip(r.s, r.a)))
+
+
+def test_structural_noise_equals_word_by_word(spark):
+    import hashlib
+    import re
+    sents = ["alpha beta gamma delta epsilon", "one  two\tthree", "ab cd", "Straße été naïve", "x1 2y zz- (abc) def.", "a b c d"]
+    rows = [("s", i, [f"{x} w{i}" for x in sents]) for i in range(15)]
+    df = spark.createDataFrame(rows, "src string, id long, s array<string>")
+    got = {r.id: r.v for r in df.select("id", N.type4(F.col("s"), F.transform("s", lambda x: F.lit(True)), F.col("src"), F.col("id")).alias("v")).collect()}
+    for _, i, s in rows:
+        for pos, x in enumerate(s):
+            h = {t: int(hashlib.md5(f"{t}|42|s|{i}|{pos}".encode()).hexdigest()[:8], 16) for t in ("t4w", "t4d", "t4s")}
+            w = re.split(r"\s+", x)
+            if len(w) >= 3:
+                at = h["t4w"] % len(w)
+                end = len(w[at])
+                while end and not w[at][end - 1].isalpha():
+                    end -= 1
+                if end > 2:
+                    k = h["t4s"] % (end - 1)
+                    w[at] = w[at][:k] + w[at][k + 1] + w[at][k] + w[at][k + 2:]
+                if len(w) > 3:
+                    del w[1 + h["t4d"] % (len(w) - 2)]
+                x = " ".join(w)
+            assert got[i][pos] == x
