@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.common import publish_files, slices
+from relweave.operators.windows import rank_in_group
 from relweave.session import cut_lineage
 
 _PAD = 2  # a code point that stands before the first character
@@ -205,13 +206,13 @@ class LanguageModels:
 
 
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = 4, discount: float = 0.75,
-        shard_entries: int = 1 << 18, sample_rows: int = 2000, reject_share: float = 0.001) -> LanguageModels:
+        shard_entries: int = 1 << 18, sample_rows: int | None = None, reject_share: float = 0.001) -> LanguageModels:
     """Learns the models from all rows with a language and a text.
 
     Every gram is kept under its 64-bit key, 16 bytes an entry. ``shard_entries``:
-    about so many entries lie in a shard, which one task sorts. ``sample_rows``:
-    about so many sampled rows on which the rejection cut is calibrated, at the
-    quantile that rejects ``reject_share`` of a language's own texts.
+    about so many entries lie in a shard, which one task sorts. The rejection cut is
+    calibrated on all these rows, at the quantile that rejects ``reject_share`` of a
+    language's own texts; with ``sample_rows`` on about so many sampled ones.
     """
     levels = _levels(cut_lineage(count_grams(df, order, lang_col, text_col)), order)
     sizes, floor = {}, {}
@@ -305,7 +306,7 @@ def _keys_of(grid: np.ndarray) -> np.ndarray:
     return key
 
 
-def _calibrated(model: LanguageModels, df: DataFrame, lang_col: str, text_col: str, rows: int, share: float) -> LanguageModels:
+def _calibrated(model: LanguageModels, df: DataFrame, lang_col: str, text_col: str, rows: int | None, share: float) -> LanguageModels:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -317,18 +318,33 @@ def _calibrated(model: LanguageModels, df: DataFrame, lang_col: str, text_col: s
 
     known = (df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
              .where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang").isin(model.langs)))
-    s = known.sample(min(1.0, rows / max(1, known.count())), seed=7).mapInArrow(run, "lang string, h double").toPandas()
+    if rows is not None:
+        known = known.sample(min(1.0, rows / max(1, known.count())), seed=7)
     model.cut = {x: float("inf") for x in model.langs}
-    if len(s):
-        for lang in model.langs:
-            own = s.loc[s["lang"] == lang, "h"].to_numpy()
-            if len(own):
-                # the quantile, and a margin of its distance from the middle
-                q = float(np.quantile(own, 1 - share))
-                model.cut[lang] = q + (q - float(np.median(own)))
+    for lang, (q, middle) in quantiles(known.mapInArrow(run, "lang string, h double"), "lang", "h", (1 - share, 0.5)).items():
+        # the quantile, and a margin of its distance from the middle
+        model.cut[lang] = q + (q - middle)
     return model
 
 
+def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> dict:
+    """Exact quantiles of each group's values, between two neighbours in proportion. Rows are
+    numbered in a sort over many tasks; a few of each group come to the driver."""
+    # checkpointed: the borders of the sort's ranges read the values once more
+    ranked = rank_in_group(cut_lineage(df.select(group, value)), group, [value], out="rn")
+    sizes = {r[group]: r["n"] for r in ranked.groupBy(group).agg(F.max("rn").alias("n")).collect()}
+    wanted = {g: [(n - 1) * x for x in at] for g, n in sizes.items()}
+    asked = F.lit(False)
+    for g, places in wanted.items():
+        asked = asked | ((F.col(group) == g) & F.col("rn").isin(sorted({min(int(p) + k, sizes[g] - 1) + 1 for p in places for k in (0, 1)})))
+    found = {(r[group], r["rn"]): r[value] for r in ranked.where(asked).collect()}
+    out = {}
+    for g, places in wanted.items():
+        ends = [(found[g, int(p) + 1], found[g, min(int(p) + 1, sizes[g] - 1) + 1], p - int(p)) for p in places]
+        out[g] = tuple(low + (high - low) * part for low, high, part in ends)
+    return out
+
+
 def predict(df: DataFrame, model: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row, from the whole text.
 

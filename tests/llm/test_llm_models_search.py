@@ -98,6 +98,26 @@ def test_every_gram_is_kept(spark, shard_entries):
         assert np.allclose(got[:, j], [_brute_entropy(mine, t, 4) for t in tests], rtol=1e-9), lang
 
 
+def test_rejection_cut_comes_from_all_rows(spark):
+    """More texts than any sample: each language's cut is the quantile over all its own texts."""
+    rng = random.Random(5)
+    rows = [(i, _sentence(rng, WORDS[x], rng.randint(2, 5)), x) for i, x in enumerate(rng.choice(["aa", "oo"]) for _ in range(5000))]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), reject_share=0.01)
+    for j, lang in enumerate(m.langs):
+        own = m.entropies([t for _, t, x in rows if x == lang])[:, j]
+        q = np.quantile(own, 0.99)
+        assert m.cut[lang] == pytest.approx(q + (q - np.median(own)), rel=1e-9)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    sets = {"one": [2.5], "two": [1.0, 4.0], "same": [3.0] * 50, "many": rng.normal(size=777).tolist()}
+    df = spark.createDataFrame([(g, v) for g, x in sets.items() for v in x], "g string, v double").repartition(5)
+    got = langid.quantiles(df, "g", "v", (0.999, 0.5, 0.0, 1.0))
+    assert {g: pytest.approx(np.quantile(x, [0.999, 0.5, 0, 1]).tolist()) for g, x in sets.items()} == {g: list(v) for g, v in got.items()}
+    assert langid.quantiles(df.where("false"), "g", "v", (0.5,)) == {}
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "x")], "doc_id long, text string, lang string")
     model = langid.fit(df)
