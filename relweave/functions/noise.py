@@ -67,8 +67,9 @@ def picked_flags(hashes: Column, level: float, sorted_hashes: Column | None = No
     n = F.size(hashes)
     k = n_picked(n, level)
     srt = sorted_hashes if sorted_hashes is not None else F.array_sort(hashes)
-    thr = F.when(n > 0, F.element_at(srt, F.least(k, n)))
-    return F.transform(hashes, lambda h: (k >= n) | (h <= thr))
+    # worked out once for a text; null: all are picked
+    thr = F.when(k >= n, F.lit(None).cast("string")).otherwise(F.element_at(srt, k))
+    return _let(thr, lambda t: F.transform(hashes, lambda h: t.isNull() | (h <= t)))
 
 
 def _bump(s: Column, pattern: str, delta: Column) -> Column:
@@ -118,11 +119,11 @@ def type3(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
 
 
 def _swap(w: Column, h: Column) -> Column:
+    def moved(sp):
+        return F.concat(F.substring(w, 1, sp), F.substring(w, sp + 2, 1), F.substring(w, sp + 1, 1), F.substr(w, sp + 3))
+
     ae = F.length(F.regexp_replace(w, r"\PL+$", ""))
-    sp = F.pmod(h, F.greatest(ae - 1, F.lit(1)))
-    swapped = F.concat(F.substring(w, 1, sp), F.substring(w, sp + 2, 1),
-                       F.substring(w, sp + 1, 1), F.substr(w, sp + 3))
-    return F.when(ae > 2, swapped).otherwise(w)
+    return _let(ae, lambda n: F.when(n > 2, _let(F.pmod(h, n - 1).cast("int"), moved)).otherwise(w))
 
 
 def type4(sents: Column, picked: Column, src: Column, tid: Column) -> Column:
