@@ -3,7 +3,9 @@ an automaton) against brute force."""
 
 import collections
 import math
+import pathlib
 import random
+import urllib.parse
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pytest
 
 from relweave.operators.contain import contained
 from relweave.operators.simjoin import best_partners, prefix_join, ranked_grams
-from relweave.operators.vectors import OUT_COMPONENTS, copies, drop_near_copies, visits
+from relweave.operators.vectors import OUT_COMPONENTS, Block, copies, drop_near_copies, fill_blocks, first_of_equals, mark_near, pivots_of, visits
 
 
 def grams(s):
@@ -116,6 +118,65 @@ def test_copies_of_vectors_leave_in_bounded_batches():
     assert all((np.array(b.column("v").to_pylist()) == x[b.column("id").to_numpy()]).all() for b in out[:2])
 
 
+def test_vectors_are_written_once(spark):
+    """At 64 dimensions without structure a vector touches a good part of all cells. What is written must not grow with them."""
+    x = np.random.default_rng(3).normal(size=(1200, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    root = pathlib.Path(urllib.parse.urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    before, tasks = set(root.glob("rdd-*")), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = {f.getPath() for f in _shuffle_files(tasks)}
+    assert len(drop_near_copies(df, 0.97, cell_rows=12, block=150).collect()) == 1200
+    kept = sum(f.stat().st_size for d in set(root.glob("rdd-*")) - before for f in d.iterdir())
+    dealt = sum(f.length() for f in _shuffle_files(tasks) if f.getPath() not in shuffled)
+    assert kept + dealt < 4 * x.nbytes
+
+
+def _shuffle_files(disk):
+    found = disk.getAllFiles()
+    return [f for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")]
+
+
+@pytest.mark.parametrize("held", [40, 16])
+def test_near_copies_over_blocks_equal_all_pairs(spark, held):
+    """Crowded cells, equal and nearly equal rows, opposite and parallel ones, repeated ids."""
+    rng = np.random.default_rng(held)
+    base = rng.normal(size=(60, 24))
+    x = np.concatenate([base, 2 * base[:20], -base[:10], base[:1].repeat(40, 0), base[1:2] + 0.05 * rng.normal(size=(60, 24)), base[20:40] + 0.2 * rng.normal(size=(20, 24))])
+    ids = rng.permutation(len(x))
+    c = unit(x) @ unit(x).T > 0.97
+    want = sorted(ids[j] for j in range(len(x)) if not (c[:, j] & (ids < ids[j])).any())
+    again = [(1000, x[3].tolist())] * 2 + [(2000, rng.normal(size=24).tolist())] * 2 + [(3000, v) for v in rng.normal(size=(2, 24)).tolist()]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + again, "vec_id int, embedding array<double>").repartition(3)
+    out = drop_near_copies(df, 0.97, cell_rows=9, held=held)
+    assert out.schema["vec_id"].dataType.simpleString() == "int"
+    assert sorted(r.vec_id for r in out.collect()) == want + [2000, 3000, 3000]
+
+
+def test_rough_products_are_never_below_the_cosine():
+    rng = np.random.default_rng(5)
+    x = unit(np.concatenate([rng.normal(size=(400, 40)), rng.normal(size=(1, 40)) + 0.05 * rng.normal(size=(100, 40))]))
+    pivots, basis = x[:30], np.linalg.svd(x[:30], full_matrices=False)[2][:15].T
+    cells = np.sort((x @ pivots.T).argmax(1)).astype(np.int32)
+    x = x[np.argsort((x @ pivots.T).argmax(1), kind="stable")]
+    a = Block(np.arange(500), cells, x, pivots, basis)
+    assert (a.rough @ a.rough.T > x @ x.T - 1e-5).all()
+    mark_near(a, a, pivots, 0.9, 64)
+    assert (a.gone == [(x[:j] @ x[j] > 0.9).any() for j in range(500)]).all() and a.gone.sum() > 50
+
+
+def test_blocks_are_bounded_and_first_of_equals_found():
+    rng = np.random.default_rng(6)
+    members = np.concatenate([rng.integers(0, 90, 200), [1000, 0, 350]])
+    first, many, total = fill_blocks(members, 100)
+    load = np.zeros(total)
+    for f, k, n in zip(first, many, members, strict=True):
+        load[f:f + k] += n / k
+    assert load.max() <= 100 and total < 2 * members.sum() / 100 + 2 and (first + many <= total).all()
+    v = np.array([[1.0, 2.0], [0.0, 1.0], [1.0, 2.0], [0.0, 1.0], [3.0, 3.0]])
+    assert sorted(first_of_equals(np.array([9, 4, 2, 5, 1]), v)) == [1, 2, 4]
+    assert pivots_of([[3.0, 4.0], [3.0, 4.0], [1e200, 0.0], [1e-200, 0.0]]).tolist() == [[0.6, 0.8]] and len(pivots_of([[1e-200, 0.0]])) == 1
+
+
 def test_contained_equals_substring(spark):
     rng = random.Random(9)
     alphabet = ["ab", "aB ", "c", " ", "\n", "é", "É", "x."]
